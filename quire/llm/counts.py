@@ -9,7 +9,6 @@ edit, encodes those chunks only, and adds the differences along the paths to the
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import bpe
-from quire.llm.common import add_columns
+from quire.llm.common import add_columns, blocks
 
 LEAF = 32
 #: Characters behind a chunk that its end can depend on, in "white space but the last of it, before a word".
@@ -139,7 +138,7 @@ def edit(df: DataFrame, path: str | None = None) -> DataFrame:
     keep = [f.name for f in df.schema.fields if f.name != "reencoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches, "text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             chars, tokens = batch.column("chars").to_pylist(), batch.column("tokens").to_pylist()
             edits = [e or [] for e in batch.column("edits").to_pylist()]
