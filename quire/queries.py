@@ -1,11 +1,19 @@
-"""Queries over the driver's tables, by name."""
+"""Queries over the driver's tables, by name, and their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from quire.plans import purchases
 
-def oracle_sql() -> dict:
-    return {}
+PLANS = (purchases,)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: q for plan in PLANS for name, q in plan.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: q for plan in PLANS for name, q in plan.sql().items()}
