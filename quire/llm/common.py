@@ -7,12 +7,13 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Text that a mapping task holds at once, in bytes. Only the memory depends on it, never a result.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,16 +45,17 @@ def forget(df: DataFrame) -> None:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that a string column's values in one block have BLOCK_BYTES or are a single row."""
+    """The batches, cut so that one column's strings, bytes or lists in a block have BLOCK_BYTES or are a single row."""
     for batch in batches:
-        if batch.num_rows == 0:
-            continue
         if batch.nbytes <= BLOCK_BYTES:
-            yield batch
+            if batch.num_rows:
+                yield batch
             continue
+        values = batch.column(column)
+        length = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
         start, size = 0, 0
-        for i, x in enumerate(batch.column(column)):
-            n = len(x.as_buffer()) if x.is_valid else 0
+        for i, n in enumerate(pc.fill_null(length, 0).to_pylist()):
+            n *= 4 if pa.types.is_list(values.type) else 1
             if i > start and size + n > BLOCK_BYTES:
                 yield batch.slice(start, i - start)
                 start, size = i, 0
