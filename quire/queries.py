@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import purchases
+from quire.plans import corpus, purchases
 
-PLANS = (purchases,)
+PLANS = (purchases, corpus)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
