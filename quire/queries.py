@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import corpus, purchases
+from quire.plans import corpus, purchases, records
 
-PLANS = (purchases, corpus)
+PLANS = (purchases, corpus, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
