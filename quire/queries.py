@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import corpus, purchases, records
+from quire.plans import asked, corpus, purchases, records
 
-PLANS = (purchases, corpus, records)
+PLANS = (purchases, corpus, records, asked)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
