@@ -2,8 +2,8 @@
 
 Vectors are quantised to integers and range-sorted by a code of signs of random projections, so that rows in a range
 look alike. Ranges of BLOCK rows are blocks: forward indexes (a dense matrix with ids) with the greatest and least
-value of each term. Blocks are grouped in shards, and the queries in groups of bounded size. A task gets one shard and
-one group of queries: for each query it orders the blocks by the summed term maxima, an upper bound of any score in the
+value of each term. Blocks are grouped in shards, and the queries in groups of bounded size. Every group meets every
+shard in a task of its own or with one or two other shards: for each query it orders the blocks by the summed term maxima, an upper bound of any score in the
 block, and scores blocks in that order until the bound falls below the query's kth score. The kth score starts at that
 within the query's own block, which is known from building it. Each task's k best are merged by query.
 """
@@ -173,9 +173,11 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     ordered = rows.repartitionByRange("code", "vec_id").sortWithinPartitions("code", "vec_id")
     shards = saved(ordered.mapInArrow(sharded(every, k), SHARDS + f", queries array<struct<{QUERIES.replace(' ', ':').replace(',:', ', ')}>>"))
     asked = shards.select(F.explode("queries").alias("q")).select("q.*")
-    groups = -(-asked.count() // GROUP)
-    asked = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(1, groups))).alias("group")).agg(F.collect_list(F.struct("query_id", "seed", "v", "width")).alias("asked"))
-    dealt = shards.select("shard", "width", "ids", "data", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, groups) - 1).cast("long"))).alias("group")).repartition("shard", "group")
-    found = dealt.join(asked, "group").select("width", "ids", "data", "asked").mapInArrow(searched(k), "query_id long, vec_id long, score long")
+    groups, slices = max(1, -(-asked.count() // GROUP)), max(1, -(-shards.count() // 2))
+    asked = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("group")).agg(F.collect_list(F.struct("query_id", "seed", "v", "width")).alias("asked"))
+    every_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    dealt = shards.select("width", "ids", "data", F.pmod(F.xxhash64("shard"), F.lit(slices)).alias("slice"), every_of(groups).alias("group"))
+    found = dealt.join(asked.withColumn("slice", every_of(slices)), ["group", "slice"]).select("width", "ids", "data", "asked")
+    found = found.mapInArrow(searched(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
