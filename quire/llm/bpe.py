@@ -15,12 +15,14 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections import defaultdict
 from itertools import count
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +36,9 @@ NONE = np.iinfo(np.int64).max
 class Merges:
     """Sorted pair keys with the rank and the resulting token of each merge."""
 
-    def __init__(self, pairs: list[tuple[int, int, int, int]]) -> None:
-        made = np.array(pairs, np.int64).reshape(-1, 4)
+    def __init__(self, pairs: array) -> None:
+        """pairs: left, right, rank and resulting token of each merge, one after another."""
+        made = np.frombuffer(pairs, np.int64).reshape(-1, 4)
         key = made[:, 0] << 32 | made[:, 1]
         order = np.argsort(key, kind="stable")
         self.key, self.rank = key[order], made[order, 2]
@@ -153,8 +156,10 @@ def gather(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.n
     total = int(n.sum())
     if not total:
         return ids[:0]
-    first = np.repeat(starts[which] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
-    return ids[first + np.arange(total)]
+    kind = np.int32 if max(total, len(ids)) < 1 << 31 else np.int64
+    at = np.repeat((starts[which] - np.cumsum(n) + n).astype(kind), n)
+    at += np.arange(total, dtype=kind)
+    return ids[at]
 
 
 # ---- ranks of a tiktoken file ------------------------------------------------------------------------------------
@@ -166,15 +171,24 @@ CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 ODD = re.compile("[\x1c-\x1f]")
 
 
+@functools.cache
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of each id; empty for an id that the file doesn't have."""
+    with open(path, "rb") as f:
+        rank = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
+    return [rank.get(i, b"") for i in range(max(rank) + 1)]
+
+
 @functools.cache
 def byte_vocabulary(path: str) -> tuple[Merges, np.ndarray, list[bytes]]:
     """The merges, the id of each single byte, and the bytes of each id."""
-    with open(path, "rb") as f:
-        rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    pairs = [(rank[t[:i]], rank[t[i:]], r, r) for t, r in rank.items() for i in range(1, len(t)) if t[:i] in rank and t[i:] in rank]
-    words = [b""] * (max(rank.values()) + 1)
+    words = token_bytes(path)
+    rank = {t: r for r, t in enumerate(words) if t}
+    pairs = array("q")
     for t, r in rank.items():
-        words[r] = t
+        for i in range(1, len(t)):
+            if t[:i] in rank and t[i:] in rank:
+                pairs.extend((rank[t[:i]], rank[t[i:]], r, r))
     return Merges(pairs), np.array([rank[bytes([i])] for i in range(256)], np.int64), words
 
 
@@ -243,7 +257,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def make(lists: list) -> list:
-        words = byte_vocabulary(path)[2].__getitem__
+        words = token_bytes(path).__getitem__
         return [[None if x is None else b"".join(map(words, x)) for x in lists]]
 
     return add_columns(df, ids, [T.StructField(out, T.BinaryType())], make)
@@ -271,10 +285,10 @@ def word_vocabulary(path: str) -> tuple[Merges, np.ndarray, np.ndarray, dict[str
     with open(path, encoding="utf-8") as f:
         made = json.load(f)
     vocab = made["model"]["vocab"]
-    pairs = []
+    pairs = array("q")
     for r, m in enumerate(made["model"]["merges"]):
         a, b = m.split(" ") if isinstance(m, str) else m
-        pairs.append((vocab[a], vocab[b], r, vocab[a + b]))
+        pairs.extend((vocab[a], vocab[b], r, vocab[a + b]))
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256
     rest = count(256)
     mark = [chr(i) if i in set(plain) else chr(next(rest)) for i in range(256)]
@@ -289,45 +303,62 @@ def lower(text: str) -> str:
 
 
 @uncollected
-def encode_words(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """As encode_block, by the vocabulary and the rules of word_bpe_49k.json."""
+def encode_words(texts: list[str | None] | pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """As encode_block, by the vocabulary and the rules of word_bpe_49k.json.
+
+    Splitting at white space and numbering the distinct chunks is left to Arrow; so are chunks of Latin letters, also
+    with a full stop or comma behind them. The rules' expression is applied to the other distinct chunks.
+    """
     merges, inner, last, special = word_vocabulary(path)
     marks = regex.compile("(" + "|".join(map(regex.escape, special)) + ")")
-    numbers: defaultdict[str, int] = defaultdict(count().__next__)
-    number = numbers.__getitem__
-    docs = [np.fromiter(map(number, ([t] if ODD.search(t) else t.split()) if t else ()), np.int32) for t in texts]
-    parts: defaultdict[str, int] = defaultdict(count().__next__)
-    part = parts.__getitem__
-    of_chunk: list[tuple[int, ...]] = []
-    for c in numbers:
-        if c.isascii():  # nearly all are a word, or a word and a mark
-            low = c.lower()
-            if low.isalpha():
-                of_chunk.append((part(low),))
-                continue
-            if low[-1] in ".," and low[:-1].isalpha():
-                of_chunk.append((part(low[:-1]), part(low[-1])))
-                continue
-        found: list[int] = []
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    coded = lists.flatten().dictionary_encode()
+    chunk, each = coded.dictionary, pc.list_value_length(lists).to_numpy()
+    low = pc.utf8_lower(chunk)
+    plain = pc.match_substring_regex(chunk, r"^[\x{0}-\x{12f}\x{131}-\x{2ff}]*$")
+    cut, end = pc.utf8_slice_codeunits(low, 0, -1), pc.utf8_slice_codeunits(low, -1)
+    whole = pc.and_(plain, pc.utf8_is_alpha(low)).to_numpy(zero_copy_only=False)
+    marked = pc.and_(pc.and_(plain, pc.utf8_is_alpha(cut)), pc.is_in(end, pa.array([".", ","]))).to_numpy(zero_copy_only=False) & ~whole
+    other = np.flatnonzero(~(whole | marked))
+    found: list[list[str]] = []
+    for c in chunk.take(pa.array(other)).to_pylist():
+        own: list[str] = []
         for piece in marks.split(c) if "<|" in c else (c,):
             if piece in special:
-                found.append(parts[piece])
+                own.append(piece)
             elif piece:
-                piece = piece if piece.isascii() else unicodedata.normalize("NFC", piece)
-                found += [parts[w] for w in WORDS.findall(lower(piece))]
-        of_chunk.append(tuple(found))
-    known = np.fromiter((special.get(w, -1) for w in parts), np.int64, len(parts))
-    raw = [w.encode("utf-8", "surrogatepass") for w, k in zip(parts, known.tolist(), strict=True) if k < 0]
-    n = np.fromiter(map(len, raw), np.int64, len(raw))
-    joined = np.frombuffer(b"".join(raw), np.uint8)
+                own += WORDS.findall(lower(piece if piece.isascii() else unicodedata.normalize("NFC", piece)))
+        found.append(own)
+    sizes = np.where(whole, 1, 2)
+    sizes[other] = np.fromiter(map(len, found), np.int64, len(found))
+    upto = np.concatenate(([0], np.cumsum(sizes)))
+    one, two = pa.array(whole), pa.array(marked)
+    parts = pa.concat_arrays([low.filter(one), cut.filter(two), end.filter(two), pa.array([w for own in found for w in own], pa.string())]).dictionary_encode()
+    number = parts.indices.to_numpy()
+    which = np.empty(upto[-1], np.int64)
+    places = [upto[:-1][whole], upto[:-1][marked], upto[:-1][marked] + 1, gather(np.arange(upto[-1]), upto[:-1], sizes, other)]
+    which[np.concatenate(places)] = number
+    word = parts.dictionary
+    known = pc.index_in(word, pa.array(list(special))).fill_null(-1).to_numpy()
+    known = np.append(np.array(list(special.values()), np.int64), -1)[known]
+    rest = word.filter(pa.array(known < 0)).cast(pa.binary())
+    n = pc.binary_length(rest).to_numpy().astype(np.int64)
+    joined = np.frombuffer(rest.buffers()[2] or b"", np.uint8)[np.frombuffer(rest.buffers()[1], np.int32)[rest.offset] if len(rest) else 0 :][: int(n.sum())]
     symbols = inner[joined]
     if len(n):
         symbols[np.cumsum(n) - 1] = last[joined[np.cumsum(n) - 1]]
     ids, n = replay(symbols, n, merges)
-    lengths = np.ones(len(parts), np.int64)
+    lengths = np.ones(len(word), np.int64)
     lengths[known < 0] = n
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else lengths
-    flat = np.zeros(int(lengths.sum()), np.int64)
+    starts = np.cumsum(lengths) - lengths
+    flat = np.zeros(int(lengths.sum()), np.int32)
     flat[starts[known >= 0]] = known[known >= 0]
     flat[np.repeat(known < 0, lengths)] = ids
-    return by_chunk(flat, starts, lengths, of_chunk, docs)
+    flat = gather(flat, starts, lengths, which)  # by chunk
+    ends = np.concatenate(([0], np.cumsum(lengths[which])))
+    begin, n = ends[upto[:-1]], ends[upto[1:]] - ends[upto[:-1]]
+    used = coded.indices.to_numpy()
+    total = np.concatenate(([0], np.cumsum(n[used])))
+    at = np.concatenate(([0], np.cumsum(each)))
+    return gather(flat, begin, n, used), np.diff(total[at])

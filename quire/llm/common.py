@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,11 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def own_dir() -> str:
+    """A temporary folder of this process, for a local session without spark.checkpoint.dir."""
+    path = tempfile.mkdtemp(prefix="quire-")
+    atexit.register(shutil.rmtree, path, True)
+    return path
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder's name below spark.checkpoint.dir, which a cluster shares; a temporary one only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file://{tempfile.gettempdir()}/quire-scratch"
+        root = f"file://{own_dir()}"
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
     return f"{root.rstrip('/')}/quire-{uuid.uuid4().hex}"

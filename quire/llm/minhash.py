@@ -6,10 +6,12 @@
    Neighbours in a bucket are the first candidates: about as many as rows, however large a bucket is.
 3. Pairs are compared in batches of 32 minima. After each batch a pair goes when the posterior probability (uniform
    prior) that its similarity reaches the threshold is below MISS. Of the rest, each class's best pair is verified on
-   the full sets, and components of the verified links are found.
+   the full sets, then those that the components of these links leave apart.
 4. Buckets that still hold several components are searched wholly: their members outside the largest component against
-   all others of other components, in blocks of at most about 256 members. Pairs within a component need no look. What
-   the same comparison leaves is verified too, so no link between different components is left out.
+   all others of other components, in tiles of two blocks of about 256 members. What the same comparison leaves joins
+   components to clusters; a tile emits no more than one row for each of its members. Within clusters the search is
+   done again with the full sets at hand, and each tile gives the links it finds as stars. Pairs within a component
+   need no look; no link between different components is left out.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.common import add_columns, forget, saved
-from quire.llm.components import components
+from quire.llm.components import components, roots
 
 WORDS = 5
 BANDS, ROWS, SEED = 40, 8, 11
@@ -179,25 +181,38 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").take(rows), batch.column("b").take(rows), pa.array(matches, pa.int64())], names=["a", "b", "matches"])
 
 
-def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in each group of rows, sorted by (key, i, j): block i against block j, or i with itself."""
-
-    def pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        row, comp, n, block = (group.column(c).to_numpy() for c in ("row", "comp", "n", "block"))
-        sig = matrix(group.column("sig").combine_chunks())
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        p, q = np.repeat(x, len(y)), np.tile(y, len(x))
-        other = (comp[p] != comp[q]) & ((p < q) if i == j else True)
+def apart_within(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Of one tile, block i against block j or i with itself: what pairs of different components stay, as stars.
+
+    With the column `set` a pair stays if it is a link, else if its signatures may be of a link. A star has one row for
+    each row but the least of those that its pairs connect.
+    """
+    row, comp, n, block = (group.column(c).to_numpy() for c in ("row", "comp", "n", "block"))
+    sig = matrix(group.column("sig").combine_chunks())
+    x, y = (np.flatnonzero(block == group.column(c)[0].as_py()) for c in ("i", "j"))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for some in np.array_split(x, max(1, len(x) * len(y) >> 14)):
+        p, q = np.repeat(some, len(y)), np.tile(y, len(some))
+        other = (comp[p] != comp[q]) & ((p < q) | (block[p] != block[q]))
         p, q = p[other], q[other]
-        stay, _ = alike(sig[p], sig[q], n[p], n[q]) if len(p) <= 1 << 14 else (np.concatenate([c + alike(sig[p[c : c + (1 << 14)]], sig[q[c : c + (1 << 14)]], n[p[c : c + (1 << 14)]], n[q[c : c + (1 << 14)]])[0] for c in range(0, len(p), 1 << 14)]), None)
-        p, q = row[p[stay]], row[q[stay]]
-        return np.minimum(p, q), np.maximum(p, q)
+        stay, _ = alike(sig[p], sig[q], n[p], n[q])
+        a.append(p[stay]), b.append(q[stay])
+    p, q = np.concatenate(a), np.concatenate(b)
+    if "set" in group.column_names and len(p):
+        sets = [np.frombuffer(v, U) for v in group.column("set").to_pylist()]
+        both = np.fromiter((len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(p.tolist(), q.tolist(), strict=True)), np.int64, len(p))
+        stay = 100 * both >= PERCENT * (n[p] + n[q] - both)
+        p, q = p[stay], q[stay]
+    return roots(row[p], row[q]) if len(p) else (row[:0], row[:0])
+
+
+def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """apart_within() for each tile of rows sorted by (key, i, j)."""
 
     def flush(table: pa.Table) -> pa.RecordBatch:
         key = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
         cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
-        made = [pairs(table.slice(a, b - a)) for a, b in zip(np.append(0, cuts).tolist(), np.append(cuts, table.num_rows).tolist(), strict=True)]
+        made = [apart_within(table.slice(a, b - a)) for a, b in zip(np.append(0, cuts).tolist(), np.append(cuts, table.num_rows).tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*made, strict=True)], names=["a", "b"])
 
     held: pa.Table | None = None
@@ -216,9 +231,24 @@ def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(held)
 
 
-def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are linked, by their full sets, which are made again from one text of each class."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+def tiled(held: DataFrame, size: int) -> DataFrame:
+    """(key, i, j, block, row, comp): rows (key, row, comp) of keys with several components, dealt to tiles of two blocks.
+
+    The largest component's rows have blocks of their own, which meet the others' blocks and not one another.
+    """
+    sizes = held.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    kinds = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("total"), F.max(F.struct("n", "comp")).alias("major")).where("comps > 1")
+    blocks_of = lambda n: F.ceil(n / size)
+    cut = held.join(kinds.select("key", F.col("major.comp").alias("major"), blocks_of(F.col("major.n")).alias("n_major"), blocks_of(F.col("total") - F.col("major.n")).alias("n_other")), "key")
+    pick = lambda n: F.pmod(F.xxhash64("row"), n).cast("long")
+    cut = cut.withColumn("block", F.when(F.col("comp") == F.col("major"), pick(F.col("n_major"))).otherwise(F.col("n_major") + pick(F.col("n_other"))))
+    others = F.sequence(F.col("n_major"), F.col("n_major") + F.col("n_other") - 1)
+    against = F.when(F.col("block") < F.col("n_major"), others).otherwise(F.sequence(F.lit(0).cast("long"), F.col("n_major") + F.col("n_other") - 1))
+    return cut.withColumn("with", F.explode(against)).select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "row", "comp")
+
+
+def sets_of(need: DataFrame, documents: DataFrame, classes: DataFrame) -> DataFrame:
+    """(row, set) for the classes in need (row), made again from one text of each class."""
     texts = documents.join(classes.select("row", "doc_id", "same").join(need, "row"), "doc_id").select("row", "same", "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,6 +260,13 @@ def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame) -> Data
                     rows.append(row), sets.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(sets, pa.binary())], names=["row", "set"])
 
+    return texts.mapInArrow(make, "row long, set binary")
+
+
+def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that are linked, by their full sets."""
+    need = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yes = []
@@ -240,7 +277,7 @@ def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame) -> Data
             at = pa.array(np.flatnonzero(yes))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
 
-    sets = texts.mapInArrow(make, "row long, set binary")
+    sets = sets_of(need, documents, classes)
     both = pairs.select("a", "b").join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
     return saved(both.select("a", "b", "x", "y").mapInArrow(linked, "a long, b long"))
 
@@ -263,32 +300,36 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     chain = members.where("next is not null").select(F.col("row").alias("a"), F.col("next").alias("b")).unionByName(beside.select(F.col("row").alias("a"), F.col("next").alias("b"))).distinct()
     sig = classes.select("row", F.col("n_shingles").alias("n"), "sig")
     named = lambda x: sig.select(F.col("row").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    likely = chain.join(named("a"), "a").join(named("b"), "b").mapInArrow(compared, "a long, b long, matches long")
+    likely = saved(chain.join(named("a"), "a").join(named("b"), "b").mapInArrow(compared, "a long, b long, matches long"))
     best = saved(likely.groupBy("b").agg(F.max(F.struct("matches", "a")).alias("best")).select("best.a", "b"))
     links = verified(best, documents, classes)
     label = components(links)
+    of = lambda x: label.select(F.col("x").alias(x), F.col("root").alias(f"root_{x}"))
+    apart = likely.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    apart = saved(apart.join(best, ["a", "b"], "left_anti"))
+    links = links.unionByName(verified(apart, documents, classes))
+    label = components(links)
 
-    held = members.select("key", "row").distinct().join(label.withColumnRenamed("x", "row"), "row", "left").select("key", "row", F.coalesce("root", "row").alias("comp"))
-    held = saved(held)
-    sizes = held.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    kinds = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("total"), F.max(F.struct("n", "comp")).alias("major")).where("comps > 1")
-    blocks_of = lambda n: F.ceil(n / BLOCK)
-    cut = held.join(kinds.select("key", F.col("major.comp").alias("major"), blocks_of(F.col("major.n")).alias("n_major"), blocks_of(F.col("total") - F.col("major.n")).alias("n_other")), "key")
-    pick = lambda n: F.pmod(F.xxhash64("row"), n).cast("long")
-    cut = cut.withColumn("block", F.when(F.col("comp") == F.col("major"), pick(F.col("n_major"))).otherwise(F.col("n_major") + pick(F.col("n_other"))))
-    others = F.sequence(F.col("n_major"), F.col("n_major") + F.col("n_other") - 1)
-    against = F.when(F.col("block") < F.col("n_major"), others).otherwise(F.sequence(F.lit(0).cast("long"), F.col("n_major") + F.col("n_other") - 1))
-    dealt = cut.withColumn("with", F.explode(against)).select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "row", "comp")
-    dealt = dealt.join(sig, "row").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    rest = saved(dealt.mapInArrow(across, "a long, b long").distinct().join(best, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        label = components(links.unionByName(verified(rest, documents, classes)))
-
-    roots = classes.select("row", "doc_id", "same").join(label.withColumnRenamed("x", "row"), "row", "left").select("doc_id", "same", F.coalesce("root", "row").alias("root"))
-    least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of = saved(roots.join(least, "root").select("same", "component_id"))
+    comp = F.coalesce("root", "row").alias("comp")
+    held = saved(members.select("key", "row").distinct().join(label.withColumnRenamed("x", "row"), "row", "left").select("key", "row", comp))
+    tiles = lambda t: t.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(across, "a long, b long")
+    maybe = saved(tiles(tiled(held, BLOCK).join(sig, "row")).distinct())
+    if not maybe.isEmpty():
+        cluster = components(maybe.unionByName(label.select(F.col("x").alias("a"), F.col("root").alias("b"))))
+        touched = maybe.select(F.col("a").alias("row")).unionByName(maybe.select(F.col("b").alias("row"))).join(cluster.withColumnRenamed("x", "row"), "row", "left")
+        touched = touched.select(F.coalesce("root", "row").alias("root")).distinct()
+        inside = cluster.select(F.col("x").alias("row"), "root").unionByName(touched.select(F.col("root").alias("row"), "root")).join(touched, "root", "left_semi").withColumnRenamed("root", "key")
+        inside = saved(inside.join(label.withColumnRenamed("x", "row"), "row", "left").select("key", "row", comp))
+        sets = sets_of(inside.select("row").distinct(), documents, classes)
+        more = saved(tiles(tiled(inside, 2 * BLOCK).join(sig, "row").join(sets, "row")))
+        label = components(links.unionByName(more))
+        forget(inside)
+
+    rooted = classes.select("row", "doc_id", "same").join(label.withColumnRenamed("x", "row"), "row", "left").select("doc_id", "same", F.coalesce("root", "row").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    of = saved(rooted.join(least, "root").select("same", "component_id"))
     out = made.select("doc_id", "n_shingles", "same").join(of, "same", "left")
-    for t in (members, held, best, rest):
+    for t in (members, held, likely, best, apart, maybe):
         forget(t)
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
