@@ -38,6 +38,8 @@ PERCENT = 85
 #: Posterior probability of a link below which a pair is dropped, and minima compared at a time.
 MISS, BATCH = 1e-9, 32
 BLOCK = 256
+#: Parts into which each key's rows are dealt where they meet what is known of the key.
+SALTS = 32
 #: Distinct words whose hashes a task remembers; others are hashed again.
 REMEMBERED = 200_000
 
@@ -239,7 +241,9 @@ def tiled(held: DataFrame, size: int) -> DataFrame:
     sizes = held.groupBy("key", "comp").agg(F.count("*").alias("n"))
     kinds = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("total"), F.max(F.struct("n", "comp")).alias("major")).where("comps > 1")
     blocks_of = lambda n: F.ceil(n / size)
-    cut = held.join(kinds.select("key", F.col("major.comp").alias("major"), blocks_of(F.col("major.n")).alias("n_major"), blocks_of(F.col("total") - F.col("major.n")).alias("n_other")), "key")
+    known = kinds.select("key", F.col("major.comp").alias("major"), blocks_of(F.col("major.n")).alias("n_major"), blocks_of(F.col("total") - F.col("major.n")).alias("n_other"))
+    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))  # a cluster may hold a third of all rows
+    cut = held.withColumn("salt", F.pmod(F.xxhash64("row", F.lit(SALTS)), F.lit(SALTS))).join(salted, ["key", "salt"])
     pick = lambda n: F.pmod(F.xxhash64("row"), n).cast("long")
     cut = cut.withColumn("block", F.when(F.col("comp") == F.col("major"), pick(F.col("n_major"))).otherwise(F.col("n_major") + pick(F.col("n_other"))))
     others = F.sequence(F.col("n_major"), F.col("n_major") + F.col("n_other") - 1)
