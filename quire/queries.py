@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import asked, corpus, purchases, records
+from quire.plans import asked, corpus, purchases, records, sections
 
-PLANS = (purchases, corpus, records, asked)
+PLANS = (purchases, corpus, records, asked, sections)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
