@@ -31,6 +31,8 @@ from pyspark.sql import types as T
 from quire.llm.common import add_columns
 
 NONE = np.iinfo(np.int64).max
+#: Bytes of text or ids that a task encodes or decodes at once; two workers of an executor hold a block each, several times over.
+BLOCK = 4 << 20
 
 
 class Merges:
@@ -249,7 +251,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None
     """
     path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
     field = T.StructField(ids, T.ArrayType(T.IntegerType()))
-    return add_columns(df, text, [field], lambda texts: [id_lists(*encode_block(texts, path, pattern))])
+    return add_columns(df, text, [field], lambda texts: [id_lists(*encode_block(texts, path, pattern))], BLOCK)
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
@@ -260,7 +262,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
         words = token_bytes(path).__getitem__
         return [[None if x is None else b"".join(map(words, x)) for x in lists]]
 
-    return add_columns(df, ids, [T.StructField(out, T.BinaryType())], make)
+    return add_columns(df, ids, [T.StructField(out, T.BinaryType())], make, BLOCK)
 
 
 def digest(documents: DataFrame) -> DataFrame:

@@ -55,10 +55,10 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that one column's strings, bytes or lists in a block have BLOCK_BYTES or are a single row."""
+def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that one column's strings, bytes or lists in a block have `most` bytes or are a single row."""
     for batch in batches:
-        if batch.nbytes <= BLOCK_BYTES:
+        if batch.nbytes <= most:
             if batch.num_rows:
                 yield batch
             continue
@@ -67,14 +67,14 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
         start, size = 0, 0
         for i, n in enumerate(pc.fill_null(length, 0).to_pylist()):
             n *= 4 if pa.types.is_list(values.type) else 1
-            if i > start and size + n > BLOCK_BYTES:
+            if i > start and size + n > most:
                 yield batch.slice(start, i - start)
                 start, size = i, 0
             size += n
         yield batch.slice(start)
 
 
-def add_columns(df: DataFrame, column: str, fields: list[T.StructField], make: Callable[[list], list]) -> DataFrame:
+def add_columns(df: DataFrame, column: str, fields: list[T.StructField], make: Callable[[list], list], most: int = BLOCK_BYTES) -> DataFrame:
     """df with further columns that make derives from the list of one column's values, block by block, in Arrow.
 
     A column of df that has the name of a new one is replaced. make returns one Arrow array or list for each field.
@@ -86,7 +86,7 @@ def add_columns(df: DataFrame, column: str, fields: list[T.StructField], make: C
     carry = [f.name for f in kept if f.name not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, column):
+        for block in blocks(batches, column, most):
             made = make(block.column(column).to_pylist())
             arrays = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, types, strict=True)]
             yield pa.RecordBatch.from_arrays([*(block.column(c) for c in carry), *arrays], names=[*carry, *(f.name for f in fields)])
