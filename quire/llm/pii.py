@@ -2,8 +2,8 @@
 
 Plain e-mail addresses, IP addresses, card and telephone numbers are found by linear scans. For disguises, small
 transducers rewrite a text and keep, for every piece of the result, where in the source it came from:
-homoglyphs and digits of other scripts become ASCII one by one; spelled digits become digits; "(at)", "[dot]",
-"name at host dot tld" become @ and dots; characters without width vanish. Identifiers found in the rewritten text are
+homoglyphs and digits of other scripts become ASCII one by one; characters without width vanish; in what that gives,
+spelled digits become digits; "(at)", "[dot]", "name at host dot tld" become @ and dots, each on its own too. Identifiers found in the rewritten text are
 mapped back to source positions. A span of the base kinds always stays; a rewritten one is added where no base span of
 its kind holds it.
 """
@@ -96,11 +96,6 @@ SPELLED = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 DIGIT_WORD = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
-#: Words that are digits, without one that is also an article; a text with fewer than two of them has no run.
-SPELLED_HINT = frozenset(w.encode() for w in SPELLED if w != "un")
-BREAKS = bytes.maketrans(b",.-+", b"    ")
-
-
 def latin(text: str) -> bool:
     """Whether all characters are in Latin-1, where nothing looks like something else."""
     try:
@@ -110,26 +105,29 @@ def latin(text: str) -> bool:
     return True
 
 
-def has_spelled(text: str) -> bool:
-    words = text.encode("utf-8", "surrogatepass").lower().translate(BREAKS).split()
-    return sum(map(SPELLED_HINT.__contains__, words)) > 1
-
-
-SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:\+|plus)[ \t]?)?(?:{DIGIT_WORD}|[0-9]+)(?:[ \t\n,.-]{{1,3}}(?:{DIGIT_WORD}|[0-9]+|dot|point))+(?!\w)", re.IGNORECASE)
-SPELLED_PART = re.compile(rf"(?P<plus>\+|plus)|(?P<word>{DIGIT_WORD})|(?P<number>[0-9]+)|(?P<dot>dot|point)|(?P<gap>[ \t\n,.-]+)", re.IGNORECASE)
-#: Digit words that a run must have; fewer are prose.
-LEAST_SPELLED = 3
+BRACKETED = r"[\[({<][ \t]*+(?:dot|point|\.)[ \t]*+[\])}>]"
+ITEM = rf"(?:{DIGIT_WORD}(?!\w)|[0-9]++)"
+#: Digits and spelled digits between gaps and dots, disguised ones too.
+NUMBER_RUN = re.compile(
+    rf"(?:(?:\+|(?<!\w)plus)[ \t]?)?(?:(?<!\w){DIGIT_WORD}(?!\w)|(?<![0-9])[0-9]++)"
+    rf"(?:[ \t]{{0,3}}{BRACKETED}[ \t]{{0,3}}{ITEM}|[ \t\n,.()-]{{1,3}}(?:{ITEM}|(?:dot|point)(?!\w)))+",
+    re.IGNORECASE,
+)
+NUMBER_PART = re.compile(rf"(?P<sign>\+)|(?P<plus>plus)|(?P<dot>[ \t]*{BRACKETED}[ \t]*|dot|point)|(?P<word>{DIGIT_WORD})|(?P<number>[0-9]+)|(?P<gap>[ \t\n,.()-]+)", re.IGNORECASE)
+#: Digit words from which on all gaps of a run are dropped, those between plain numbers too.
+MOSTLY_SPELLED = 3
+#: After "plus" a sum in groups of three digits and no telephone number.
+GROUPED = re.compile(r"plus[ \t]?[0-9]{1,3}(?:[ ,.][0-9]{3})+", re.IGNORECASE)
 
-AT = re.compile(r"[\[({<][ \t]?(?:[aA][tT]|@)[ \t]?[\])}>]|[ \t][aA][tT][ \t]")
+AT = re.compile(r"[\[({<][ \t]?(?:[aA][tT]|@)[ \t]?[\])}>]|[ \t][aA][tT][ \t]|@")
 DOT = r"(?:[ \t]*[\[({<][ \t]*(?:dot|\.)[ \t]*[\])}>][ \t]*|[ \t]+dot[ \t]+)"
 HOST = re.compile(rf"[A-Za-z0-9-]+(?:(?:{DOT}|\.)[A-Za-z0-9-]+)+", re.IGNORECASE)
 DOTS = re.compile(DOT, re.IGNORECASE)
-BEFORE = re.compile(rf"(?:[A-Za-z0-9._%+-]+{DOT})*[A-Za-z0-9._%+-]+\Z", re.IGNORECASE)
-#: Characters before a disguised @ that can be the name with its disguised dots.
-NAME = 128
+#: A disguised dot without the blanks around it.
+BARE_DOT = re.compile(r"[\[({<][ \t]*+(?:dot|\.)[ \t]*+[\])}>]|(?<=[ \t])dot(?=[ \t])", re.IGNORECASE)
 #: Of "name at host.tld", without a disguised dot, only these ends are taken.
 ENDS = re.compile(r"\.(?:com|org|net|edu|gov|info|io|de|fr|es|eu|uk)\Z", re.IGNORECASE)
-NO_WIDTH = re.compile("[­​-‍⁠﻿]+")
+NO_WIDTH = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]+")
 
 
 class Rewritten:
@@ -143,12 +141,15 @@ class Rewritten:
     def add(self, piece: str, start: int, end: int, copied: bool) -> None:
         if piece:
             self.parts.append(piece)
-            self.at.append(self.size)
-            self.source.append((start, end, copied))
+            if copied and self.source and self.source[-1][1:] == (start, True):
+                self.source[-1] = (self.source[-1][0], end, True)
+            else:
+                self.at.append(self.size)
+                self.source.append((start, end, copied))
             self.size += len(piece)
 
     def back(self, start: int, end: int) -> tuple[int, int, bool]:
-        """The source span of a span here, and whether a rewritten piece is in it."""
+        """The source span of a span here, and whether a rewritten piece is in it or something between copied ones was left out."""
         i, j = bisect_right(self.at, start) - 1, bisect_right(self.at, end - 1) - 1
         first, last = self.source[i], self.source[j]
         return (
@@ -158,49 +159,84 @@ class Rewritten:
         )
 
 
-def spelled(text: str) -> list[Rewritten]:
-    """Runs of spelled digits, with digits."""
+def numbers(text: str) -> list[Rewritten]:
+    """Runs of digits with spelled ones or disguised dots among them, rewritten.
+
+    A gap between plain numbers stays, for the base checks to judge; one beside a rewritten piece goes, or is a dot.
+    """
     out = []
-    for m in SPELLED_RUN.finditer(text):
-        run, words, last = Rewritten(), 0, ""
-        for p in SPELLED_PART.finditer(text, *m.span()):
-            kind = p.lastgroup
-            if kind == "word":
-                run.add(SPELLED[p[0].lower()], *p.span(), False)
-                words += 1
-            elif kind == "plus":
-                run.add("+", *p.span(), False)
-            elif kind == "number":
-                run.add(p[0], *p.span(), True)
-            elif kind == "dot" or kind == "gap" and "." in p[0] and last != "dot":
-                run.add(".", *p.span(), False)
-            last = kind
-        if words >= LEAST_SPELLED:
+    for m in NUMBER_RUN.finditer(text):
+        parts = [(p.lastgroup, *p.span()) for p in NUMBER_PART.finditer(text, *m.span())]
+        kinds = [k for k, _, _ in parts]
+        words = kinds.count("word")
+        if not words and "dot" not in kinds and ("plus" not in kinds or GROUPED.fullmatch(m[0])):
+            continue
+        for whole in (False, True) if words >= MOSTLY_SPELLED else (False,):
+            run = Rewritten()
+            for i, (kind, a, b) in enumerate(parts):
+                if kind == "word":
+                    run.add(SPELLED[text[a:b].lower()], a, b, False)
+                elif kind == "plus":
+                    run.add("+", a, b, False)
+                elif kind == "dot":
+                    run.add(".", a, b, False)
+                elif kind == "gap":
+                    beside = kinds[i - 1 : i] + kinds[i + 1 : i + 2]
+                    if not whole and all(k in ("number", "sign") for k in beside):
+                        run.add(text[a:b], a, b, True)
+                    elif "." in text[a:b] and "dot" not in beside:
+                        run.add(".", a, b, False)
+                else:
+                    run.add(text[a:b], a, b, True)
             out.append(run)
     return out
 
 
+def name_start(text: str, left: int, dots: dict[int, int]) -> int:
+    """Where the name that ends at left begins; its dots may be disguised ones, given by their ends."""
+    start = left
+    while True:
+        while start > 0 and text[start - 1] in LOCAL:
+            start -= 1
+        before = dots.get(start, 0)
+        if start == left or before == 0 or text[before - 1] not in LOCAL:
+            return start
+        start = before
+
+
 def addresses(text: str) -> list[Rewritten]:
-    """Addresses with a disguised @, rewritten."""
-    out = []
+    """Addresses with a disguised @, or a plain one beside disguised dots, rewritten."""
+    out: list[Rewritten] = []
+    ends: dict[int, int] | None = None
     for m in AT.finditer(text):
+        if ends is None:
+            ends = {}
+            for d in BARE_DOT.finditer(text):
+                a, b = d.span()
+                while a > 0 and text[a - 1] in " \t":
+                    a -= 1
+                while b < len(text) and text[b] in " \t":
+                    b += 1
+                ends[b] = a
+        if m[0] == "@" and not ends:
+            continue
         left, right = m.span()
-        while left > 0 and text[left - 1] in " \t":
-            left -= 1
-        while right < len(text) and text[right] in " \t":
-            right += 1
+        if m[0] != "@":
+            while left > 0 and text[left - 1] in " \t":
+                left -= 1
+            while right < len(text) and text[right] in " \t":
+                right += 1
         host = HOST.match(text, right)
         if not host or left == 0 or text[left - 1] not in LOCAL:
             continue
         plain = m[0].strip(" \t").lower() == "at"
         if plain and not DOTS.search(host[0]) and not ENDS.search(host[0]):
             continue
-        start = max(0, left - NAME)
-        name = BEFORE.search(text[start:left])
+        start = name_start(text, left, ends)
         run = Rewritten()
-        for a, b in ((start + name.start(), left), (left, right), host.span()):
+        for a, b in ((start, left), (left, right), host.span()):
             if a == left:
-                run.add("@", a, b, False)
+                run.add("@", a, b, m[0] == "@")
                 continue
             for d in DOTS.finditer(text, a, b):
                 run.add(text[a : d.start()], a, d.start(), True)
@@ -212,31 +248,29 @@ def addresses(text: str) -> list[Rewritten]:
 
 
 def disguised(text: str) -> set[tuple[str, int, int]]:
-    """Spans of identifiers that only a rewritten text shows."""
+    """Spans of identifiers that only a rewritten text shows. Later rewritings read what the earlier ones made."""
     found: set[tuple[str, int, int]] = set()
-    same = text
+    flat, shown = text, None
     if "\xad" in text or not latin(text):
         if ONE_TO_ONE.search(text):
-            same = text.translate(SAME)
-            found.update(base(same))
-        if NO_WIDTH.search(same):
-            run, a = Rewritten(), 0
-            for m in NO_WIDTH.finditer(same):
-                run.add(same[a : m.start()], a, m.start(), True)
+            flat = text.translate(SAME)
+            found.update(base(flat))
+        if NO_WIDTH.search(flat):
+            shown, a = Rewritten(), 0
+            for m in NO_WIDTH.finditer(flat):
+                shown.add(flat[a : m.start()], a, m.start(), True)
                 a = m.end()
-            run.add(same[a:], a, len(same), True)
-            for kind, s, e in base("".join(run.parts)):
-                s, e, changed = run.back(s, e)
+            shown.add(flat[a:], a, len(flat), True)
+            flat = "".join(shown.parts)
+            for kind, s, e in base(flat):
+                s, e, changed = shown.back(s, e)
                 if changed:
                     found.add((kind, s, e))
-    runs = addresses(same)
-    if has_spelled(same):
-        runs += spelled(same)
-    for run in runs:
+    for run in addresses(flat) + numbers(flat):
         for kind, s, e in base("".join(run.parts)):
             s, e, changed = run.back(s, e)
             if changed:
-                found.add((kind, s, e))
+                found.add((kind, *shown.back(s, e)[:2]) if shown else (kind, s, e))
     return found
 
 

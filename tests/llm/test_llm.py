@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -157,6 +158,38 @@ def test_pii_disguised(text, kind, span):
     assert span not in pii.masked(text)
 
 
+@pytest.mark.parametrize(
+    "text,kind,span",
+    [
+        ("to john@example[dot]com now", "email", "john@example[dot]com"),
+        ("to john@example dot com now", "email", "john@example dot com"),
+        ("to john dot doe@example.com now", "email", "john dot doe@example.com"),
+        ("at 192 dot 168 dot 1 dot 20 there", "ip", "192 dot 168 dot 1 dot 20"),
+        ("at 192[.]168[.]1[.]1 there", "ip", "192[.]168[.]1[.]1"),
+        ("at 192(dot)168(dot)1(dot)1 there", "ip", "192(dot)168(dot)1(dot)1"),
+        ("call +49 151 234 five six now", "phone", "+49 151 234 five six"),
+        ("call +1 (988) 555-24 eight 5 now", "phone", "+1 (988) 555-24 eight 5"),
+        ("card 4539 1488 0343 646 seven ok", "card", "4539 1488 0343 646 seven"),
+        ("to john at exa\u200bmple dot com now", "email", "john at exa\u200bmple dot com"),
+        ("to jоhn@exa\u200bmple[dot]com now", "email", "jоhn@exa\u200bmple[dot]com"),
+        ("call +49 151 234 fi\u200bve six now", "phone", "+49 151 234 fi\u200bve six"),
+        ("to " + "a" * 300 + " at example dot com", "email", "a" * 300 + " at example dot com"),
+    ],
+)
+def test_pii_disguised_each_alone(text, kind, span):
+    assert (kind, text.index(span), text.index(span) + len(span), False) in pii.spans(text)
+    assert span not in pii.masked(text)
+
+
+def test_pii_undisguised_numbers():
+    for text in ("plus 100 000 000 more", "1. 2. 3. 4 and 2 + 100 200 300", "In 1995, 1996, 1997, 1998 one of them", "items 1, 2, 3, 4 point 5", "a dot plot @ noon"):
+        assert pii.spans(text) == []
+    for text in ("[ " * 50_000, " " * 200_000 + "@", "a@" * 50_000 + " dot ", "a dot " * 30_000 + "@", "1 " * 100_000, "1(" * 50_000):
+        began = time.monotonic()
+        pii.spans(text)
+        assert time.monotonic() - began < 5
+
+
 def test_pii_clean(spark):
     assert pii.spans("We looked at it. At noon one or two came, the dot at the end was red; six of 12 at home.") == []
     docs = spark.createDataFrame([(1, "a@b.cd and 1.2.3.4", "s"), (2, None, "s")], "doc_id long, text string, source string")
