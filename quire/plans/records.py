@@ -152,7 +152,7 @@ def legal_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References by brand and type names between parts."""
     p = table(spark, sf_dir, "part")
-    texts = p.where("p_partkey % 20 = 1").select(F.col("p_partkey").alias("doc_id"), F.concat("p_name", F.lit(" of "), "p_brand", F.lit(", "), "p_type").alias("text"))
+    texts = p.select(F.col("p_partkey").alias("doc_id"), F.concat("p_name", F.lit(" of "), "p_brand", F.lit(", "), "p_type").alias("text"))
     names = p.groupBy(F.col("p_brand").alias("alias")).agg(F.min("p_partkey").alias("target")).unionByName(p.groupBy(F.col("p_type").alias("alias")).agg(F.min("p_partkey").alias("target")))
     return gr.alias_references(texts, names.select(F.col("target").cast("long").alias("target"), "alias"))
 
