@@ -16,6 +16,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ from quire.llm.components import components, roots
 
 WORDS = 5
 BANDS, ROWS, SEED = 40, 8, 11
-#: A link: 100 * intersection >= PERCENT * union.
+#: A link: 100 * intersection >= PERCENT * union, unless a caller gives another percentage. The bands suit 80 and more.
 PERCENT = 85
 #: Posterior probability of a link below which a pair is dropped, and minima compared at a time.
 MISS, BATCH = 1e-9, 32
@@ -144,9 +145,10 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield some([int(last[0])], [int(last[1])], [None], [2 * part + 1])
 
 
-def least_matches() -> list[int]:
+@functools.cache
+def least_matches(percent: int) -> list[int]:
     """For each number of batches the matches below which a pair is dropped: P(similarity >= threshold | matches) < MISS."""
-    t = PERCENT / 100 + (1 - PERCENT / 100) / 256  # bytes of different minima agree now and then
+    t = percent / 100 + (1 - percent / 100) / 256  # bytes of different minima agree now and then
     out = []
     for n in range(BATCH, BANDS * ROWS + 1, BATCH):
         p, m = 0.0, -1
@@ -157,14 +159,11 @@ def least_matches() -> list[int]:
     return out
 
 
-LEAST = least_matches()
-
-
-def alike(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def alike(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Which of the pairs of signature rows x[i], y[i] of sets with n[i] and m[i] members stay, and their matches."""
-    left = np.flatnonzero(100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
+    left = np.flatnonzero(100 * np.minimum(n, m) >= percent * np.maximum(n, m))
     matches = np.zeros(len(left), np.int64)
-    for k, least in enumerate(LEAST):
+    for k, least in enumerate(least_matches(percent)):
         cut = slice(k * BATCH, (k + 1) * BATCH)
         matches = matches + (x[left, cut] == y[left, cut]).sum(1)
         stay = matches >= least
@@ -176,14 +175,14 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
 
 
-def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        stay, matches = alike(matrix(batch.column("sig_a")), matrix(batch.column("sig_b")), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
+        stay, matches = alike(matrix(batch.column("sig_a")), matrix(batch.column("sig_b")), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), percent)
         rows = pa.array(stay)
         yield pa.RecordBatch.from_arrays([batch.column("a").take(rows), batch.column("b").take(rows), pa.array(matches, pa.int64())], names=["a", "b", "matches"])
 
 
-def apart_within(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def apart_within(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Of one tile, block i against block j or i with itself: what pairs of different components stay, as stars.
 
     With the column `set` a pair stays if it is a link, else if its signatures may be of a link. A star has one row for
@@ -197,24 +196,24 @@ def apart_within(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         p, q = np.repeat(some, len(y)), np.tile(y, len(some))
         other = (comp[p] != comp[q]) & ((p < q) | (block[p] != block[q]))
         p, q = p[other], q[other]
-        stay, _ = alike(sig[p], sig[q], n[p], n[q])
+        stay, _ = alike(sig[p], sig[q], n[p], n[q], percent)
         a.append(p[stay]), b.append(q[stay])
     p, q = np.concatenate(a), np.concatenate(b)
     if "set" in group.column_names and len(p):
         sets = [np.frombuffer(v, U) for v in group.column("set").to_pylist()]
         both = np.fromiter((len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(p.tolist(), q.tolist(), strict=True)), np.int64, len(p))
-        stay = 100 * both >= PERCENT * (n[p] + n[q] - both)
+        stay = 100 * both >= percent * (n[p] + n[q] - both)
         p, q = p[stay], q[stay]
     return roots(row[p], row[q]) if len(p) else (row[:0], row[:0])
 
 
-def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """apart_within() for each tile of rows sorted by (key, i, j)."""
 
     def flush(table: pa.Table) -> pa.RecordBatch:
         key = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
         cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
-        made = [apart_within(table.slice(a, b - a)) for a, b in zip(np.append(0, cuts).tolist(), np.append(cuts, table.num_rows).tolist(), strict=True)]
+        made = [apart_within(table.slice(a, b - a), percent) for a, b in zip(np.append(0, cuts).tolist(), np.append(cuts, table.num_rows).tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*made, strict=True)], names=["a", "b"])
 
     held: pa.Table | None = None
@@ -267,7 +266,7 @@ def sets_of(need: DataFrame, documents: DataFrame, classes: DataFrame) -> DataFr
     return texts.mapInArrow(make, "row long, set binary")
 
 
-def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that are linked, by their full sets."""
     need = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
 
@@ -277,7 +276,7 @@ def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame) -> Data
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                yes.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+                yes.append(100 * both >= percent * (len(x) + len(y) - both))
             at = pa.array(np.flatnonzero(yes))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
 
@@ -286,15 +285,11 @@ def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame) -> Data
     return saved(both.select("a", "b", "x", "y").mapInArrow(linked, "a long, b long"))
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """For each row of documents (doc_id, text): doc_id, n_shingles, component_id and kept.
-
-    Texts without words, null ones included, are linked with nothing. Rows with a null doc_id are linked only with equal
-    texts, and have the least doc_id of their component, or null. Repeated rows are copies. Other columns are not used.
-    """
+def labelled(documents: DataFrame, percent: int) -> DataFrame:
+    """near_duplicates() for rows (row, doc_id, text), with their row numbers."""
+    made = saved(sketch(documents.select("row", "doc_id", "text")))
     documents = documents.select("doc_id", "text")
-    made = saved(sketch(documents).withColumn("row", F.monotonically_increasing_id()))
-    first = [F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), *(F.any_value(c).alias(c) for c in ("n_shingles", "keys", "sig"))]
+    first = [F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("lead"), *(F.any_value(c).alias(c) for c in ("n_shingles", "keys", "sig"))]
     classes = saved(made.where("n_shingles > 0").groupBy("same").agg(*first))
     rows = classes.where("doc_id is not null").select(F.explode("keys").alias("key"), "row")
     members = saved(rows.repartitionByRange("key", "row").sortWithinPartitions("key", "row").mapInArrow(neighbours, "key long, row long, next long, edge long"))
@@ -304,19 +299,19 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     chain = members.where("next is not null").select(F.col("row").alias("a"), F.col("next").alias("b")).unionByName(beside.select(F.col("row").alias("a"), F.col("next").alias("b"))).distinct()
     sig = classes.select("row", F.col("n_shingles").alias("n"), "sig")
     named = lambda x: sig.select(F.col("row").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    likely = saved(chain.join(named("a"), "a").join(named("b"), "b").mapInArrow(compared, "a long, b long, matches long"))
+    likely = saved(chain.join(named("a"), "a").join(named("b"), "b").mapInArrow(functools.partial(compared, percent=percent), "a long, b long, matches long"))
     best = saved(likely.groupBy("b").agg(F.max(F.struct("matches", "a")).alias("best")).select("best.a", "b"))
-    links = verified(best, documents, classes)
+    links = verified(best, documents, classes, percent)
     label = components(links)
     of = lambda x: label.select(F.col("x").alias(x), F.col("root").alias(f"root_{x}"))
     apart = likely.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     apart = saved(apart.join(best, ["a", "b"], "left_anti"))
-    links = links.unionByName(verified(apart, documents, classes))
+    links = links.unionByName(verified(apart, documents, classes, percent))
     label = components(links)
 
     comp = F.coalesce("root", "row").alias("comp")
     held = saved(members.select("key", "row").distinct().join(label.withColumnRenamed("x", "row"), "row", "left").select("key", "row", comp))
-    tiles = lambda t: t.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(across, "a long, b long")
+    tiles = lambda t: t.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(functools.partial(across, percent=percent), "a long, b long")
     maybe = saved(tiles(tiled(held, BLOCK).join(sig, "row")).distinct())
     if not maybe.isEmpty():
         cluster = components(maybe.unionByName(label.select(F.col("x").alias("a"), F.col("root").alias("b"))))
@@ -329,17 +324,30 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         label = components(links.unionByName(more))
         forget(inside)
 
-    rooted = classes.select("row", "doc_id", "same").join(label.withColumnRenamed("x", "row"), "row", "left").select("doc_id", "same", F.coalesce("root", "row").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of = saved(rooted.join(least, "root").select("same", "component_id"))
-    out = made.select("doc_id", "n_shingles", "same").join(of, "same", "left")
+    rooted = classes.select("row", "lead", "same").join(label.withColumnRenamed("x", "row"), "row", "left").select("lead", "same", F.coalesce("root", "row").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("lead").alias("lead")).select("root", F.col("lead.doc_id").alias("component_id"), F.col("lead.row").alias("keeper"))
+    of = saved(rooted.select("root", "same").join(least, "root").select("same", "component_id", "keeper"))
+    out = made.select("row", "doc_id", "n_shingles", "same").join(of, "same", "left")
     for t in (members, held, likely, best, apart, maybe):
         forget(t)
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    kept = (F.col("n_shingles") == 0) | (F.col("row") == F.col("keeper"))
+    return out.select("row", "doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """For each row of documents (doc_id, text): doc_id, n_shingles, component_id and kept.
+
+    Of each component one row is kept, of those with its least doc_id the first. Texts without words, null ones included,
+    are linked with nothing and kept. Rows with a null doc_id are linked only with equal texts, and have the least doc_id
+    of their component, or null. Repeated rows are copies. Other columns are not used.
+    """
+    return labelled(documents.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), percent).drop("row")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """docs without the documents that have an earlier one in their component."""
-    gone = near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each component, by near_duplicates(): rows are numbered once and decided one by one, whatever their doc_id."""
+    row = "row" + "_" * max(map(len, docs.columns))  # no column of docs has this name
+    numbered = saved(docs.withColumn(row, F.monotonically_increasing_id()))
+    gone = labelled(numbered.select(F.col(row).alias("row"), "doc_id", "text"), percent).where("not kept").select(F.col("row").alias(row))
+    return numbered.join(gone, row, "left_anti").select(*(f"`{c}`" for c in docs.columns))

@@ -262,6 +262,17 @@ def test_minhash_odd(spark, odd):
     assert kept.columns == odd.columns and 7 not in {x.doc_id for x in kept.collect()}
 
 
+def test_dedup_by_row(spark):
+    a, b, c = ("one two three four five six " + x for x in ("alpha", "beta gamma delta", "other words at the very end"))
+    rows = [(1, a), (1, a), (2, a), (2, b), (None, c), (None, c), (None, a), (3, None), (3, None), (None, "")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, row long")
+    left = [tuple(r) for r in minhash.dedup(docs).collect()]
+    assert Counter(r[:2] for r in left) == Counter([(1, a), (2, b), (None, c), (3, None), (3, None), (None, "")])
+    assert minhash.near_duplicates(docs).where("kept").count() == 6
+    near = spark.createDataFrame([(1, " ".join(map(str, range(100)))), (2, " ".join(map(str, [*range(98), "x", "y"])))], "doc_id long, text string")
+    assert minhash.dedup(near).count() == 1 and minhash.dedup(near, 99).count() == 2
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1400)]
