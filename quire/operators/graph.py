@@ -20,14 +20,29 @@ def walk(starts: DataFrame, edges: DataFrame, hops: int = 10) -> DataFrame:
     return seen
 
 
-def levels(parents: DataFrame, depth: int = 12) -> DataFrame:
-    """(node, level) for (node, parent), roots at 0; nodes that no root leads to have null: they are on or below a cycle."""
-    placed = parents.where("parent is null").select("node", F.lit(0).alias("level"))
-    front = placed
-    for k in range(1, depth):
-        front = parents.join(front.select(F.col("node").alias("parent")), "parent").select("node", F.lit(k).alias("level"))
-        placed = placed.unionByName(front)
-    return parents.select("node").join(placed, "node", "left")
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed and without its lineage: below spark.checkpoint.dir, or in the executors' storage where that is unset."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def levels(parents: DataFrame) -> DataFrame:
+    """(node, level) for (node, parent), each node once, roots at 0; nodes that no root leads to have null: they are on or below a cycle.
+
+    Each round doubles the steps that a node looks up, so there are about log2(depth) joins. A round in which no node
+    gets to its end is the last: there are nodes at every level above the deepest, and the rest never get to one.
+    """
+    open_ = cut(parents.select("node", F.col("parent").alias("up"), F.col("parent").isNotNull().cast("int").alias("steps"), F.col("parent").isNull().alias("rooted")))
+    done = open_.where("up is null")
+    open_ = open_.where("up is not null")
+    while True:
+        above = open_.unionByName(done).select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("rooted").alias("top"))
+        met = open_.drop("rooted").join(above, "up", "left").select("node", F.col("next").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.coalesce("top", F.lit(False)).alias("rooted"))
+        met = cut(met)
+        ended = met.where("up is null")
+        if ended.isEmpty():
+            break
+        done, open_ = done.unionByName(ended), met.where("up is not null")
+    return done.select("node", F.when(F.col("rooted"), F.col("steps")).alias("level")).unionByName(open_.select("node", F.lit(None).cast("int").alias("level")))
 
 
 LINK = r"<a href=\"([^\"]+)\">([^<]*)</a>"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import page_range, terms
+from quire.operators.graph import cut
 
 #: Fixed patterns of a chunk's own heading, and of a page's first line.
 NUMBERED = r"^([IVXLCDM]+\.|[A-Z]\.|[0-9]+\.)\s+\S"
@@ -43,25 +44,27 @@ def substantive(kind: Column, title: Column, text: Column) -> Column:
     return F.coalesce(kind.isin(*ANSWERS) & says & ~shouts, F.lit(False))
 
 
-def promoted(sections: DataFrame, depth: int = 12) -> DataFrame:
+def promoted(sections: DataFrame) -> DataFrame:
     """(section, answer): the nearest section from each one upwards that is substantive; null where none is.
 
-    sections: section, parent, title, text, kind. Below a revision history no section answers, and none is promoted to a
-    text of more than LONGEST characters. One join for each level, of ids and flags only; at most `depth` levels.
+    sections: section, parent, title, text, kind, each section once. Below a revision history no section answers, and none
+    is promoted to a text of more than LONGEST characters. Each round doubles the ancestors that a section has seen, by a
+    join of ids and flags only, until all have seen theirs up to the top, or as many as there are sections on a cycle.
     """
-    flags = sections.select(
-        "section", "parent", substantive(F.col("kind"), F.col("title"), F.col("text")).alias("good"), F.contains(F.upper("title"), F.lit(HISTORY)).alias("old"), (F.length("text") > LONGEST).alias("long")
-    )
-    above = flags.select(F.col("section").alias("at"), F.col("parent").alias("up"), F.col("good").alias("g"), F.col("old").alias("o"), F.col("long").alias("l"))
-    state = flags.select("section", F.col("parent").alias("at"), F.when(F.col("good"), F.col("section")).alias("answer"), F.col("old").alias("dead"), F.lit(False).alias("far"))
-    for _ in range(depth):
-        met = state.join(above, "at", "left")
-        found = F.col("answer").isNull() & F.coalesce("g", F.lit(False))
-        state = met.select(
-            "section", F.col("up").alias("at"), F.when(found, F.col("at")).otherwise(F.col("answer")).alias("answer"),
-            (F.col("dead") | F.coalesce("o", F.lit(False))).alias("dead"), F.when(found, F.col("l")).otherwise(F.col("far")).alias("far"),
-        )
-    return state.select("section", F.when(~F.col("dead") & ~F.col("far"), F.col("answer")).alias("answer"))
+    good = substantive(F.col("kind"), F.col("title"), F.col("text"))
+    long, old = F.length("text") > LONGEST, F.contains(F.upper("title"), F.lit(HISTORY))
+    flags = sections.select("section", F.col("parent").alias("at"), good.alias("good"), long.alias("long"), old.alias("old"))
+    off = F.coalesce("old", F.lit(False))
+    state = cut(flags.select("section", "at", F.when(F.col("good"), F.col("section")).alias("answer"), F.coalesce(F.col("good") & F.col("long"), F.lit(False)).alias("far"), off.alias("dead")))
+    n, seen, done = state.count(), 1, state.where("at is null")
+    open_ = state.where("at is not null")
+    while seen < n and not open_.isEmpty():
+        above = open_.unionByName(done).select(F.col("section").alias("at"), F.col("at").alias("up"), F.col("answer").alias("a"), F.col("far").alias("f"), F.col("dead").alias("d"))
+        far = F.when(F.col("answer").isNull(), F.coalesce("f", F.lit(False))).otherwise(F.col("far"))
+        met = cut(open_.join(above, "at", "left").select("section", F.col("up").alias("at"), F.coalesce("answer", "a").alias("answer"), far.alias("far"), (F.col("dead") | F.coalesce("d", F.lit(False))).alias("dead")))
+        done, open_, seen = done.unionByName(met.where("at is null")), met.where("at is not null"), 2 * seen
+    own = F.col("answer") == F.col("section")
+    return done.unionByName(open_).select("section", F.when(~F.col("dead") & (own | ~F.col("far")), F.col("answer")).alias("answer"))
 
 
 def locations(spans: DataFrame, blocks: DataFrame, width: int = 4096) -> DataFrame:

@@ -135,7 +135,7 @@ def bfs_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tree_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels of customers whose parent is the customer with half their key; every fiftieth is on a cycle."""
     parent = F.when(F.col("c_custkey") <= 1, None).when(F.col("c_custkey") % 50 == 0, F.col("c_custkey")).otherwise(F.expr("c_custkey div 2"))
-    return gr.levels(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), parent.alias("parent")), 20)
+    return gr.levels(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), parent.alias("parent")))
 
 
 def hyperlink_refs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import re
 
 from quire.operators import graph as gr
+from quire.operators import sections as se
 from quire.plans import records
 
 DATA = "/root/testdata/sf0.001"
@@ -51,3 +52,26 @@ def test_reference_edges_search_all_parts(spark):
     found = [tuple(r) for r in records.reference_edges(spark, DATA).collect()]
     assert len(found) == len(set(found)) and set(found) == want
     assert len({x[0] for x in found}) > len(rows) / 2
+
+
+def test_levels_without_bound(spark):
+    chain = [(0, None)] + [(i, i - 1) for i in range(1, 45)]
+    cycle = [(100, 102), (101, 100), (102, 101), (103, 102), (104, 104), (105, 103)]
+    rows = chain + cycle + [(200, 999), (201, 200), (300, None), (301, 0)]
+    got = dict(map(tuple, gr.levels(spark.createDataFrame(rows, "node long, parent long")).collect()))
+    assert got == {i: i for i in range(45)} | dict.fromkeys([*range(100, 106), 200, 201]) | {300: 0, 301: 1}
+    assert gr.levels(spark.createDataFrame([], "node long, parent long")).count() == 0
+
+
+def test_promoted_without_bound(spark):
+    says = "The purchase limit applies to every department that orders goods."
+
+    def line(first, n, top, text=says):
+        """A chain of n sections without content below one with a title and a text."""
+        return [(first, None, top, text, "body")] + [(i, i - 1, "ABC", "ABC", "body") for i in range(first + 1, first + n)]
+
+    rows = line(0, 40, "ABC") + line(100, 40, "Revision history") + line(200, 40, "ABC", says * 300)
+    rows += [(300, 301, "ABC", "ABC", "body"), (301, 300, "ABC", says, "body"), (302, 302, "ABC", "ABC", "body"), (303, 999, "ABC", "ABC", "body")]
+    got = dict(map(tuple, se.promoted(spark.createDataFrame(rows, "section long, parent long, title string, text string, kind string")).collect()))
+    want = dict.fromkeys(range(40), 0) | dict.fromkeys(range(100, 140)) | {200: 200} | dict.fromkeys(range(201, 240)) | {300: 301, 301: 301, 302: None, 303: None}
+    assert got == want
