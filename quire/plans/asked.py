@@ -70,10 +70,14 @@ def reply_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark passage's surroundings in the documents that hold it: texts meet passages on the passage's first 24 characters."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 24).alias("m"), F.element_at(F.split("text", " "), 1).alias("word")).where("length(m) = 24")
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
-    held = d.join(F.broadcast(b), "word").where("contains(text, m)")
+    """Each benchmark passage's surroundings in the documents that hold all of it: texts meet passages on the passage's longest inner word."""
+    pieces = F.split("m", r"\s+")
+    inner = F.array_sort(F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0))), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("m")).where("m <> ''").withColumn("word", F.get(inner, F.lit(0))["w"])
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = documents.withColumn("word", F.explode(F.array_distinct(F.split("text", r"\s+"))))
+    short = documents.join(F.broadcast(b.where("word is null").drop("word")), F.expr("contains(text, m)"))
+    held = d.join(F.broadcast(b), "word").where("contains(text, m)").drop("word").unionByName(short)
     return held.select("item_id", "doc_id", F.length(qs.excerpt(F.col("text"), F.col("m"))).alias("chars"), F.contains(qs.excerpt(F.col("text"), F.col("m")), F.col("m")).alias("holds"))
 
 
