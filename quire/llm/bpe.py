@@ -17,6 +17,7 @@ import re
 import unicodedata
 from array import array
 from collections import defaultdict
+from collections.abc import Iterable
 from itertools import count
 
 import numpy as np
@@ -182,48 +183,81 @@ def token_bytes(path: str) -> list[bytes]:
 
 
 @functools.cache
-def byte_vocabulary(path: str) -> tuple[Merges, np.ndarray, list[bytes]]:
-    """The merges, the id of each single byte, and the bytes of each id."""
-    words = token_bytes(path)
-    rank = {t: r for r, t in enumerate(words) if t}
+def byte_vocabulary(path: str) -> tuple[Merges, np.ndarray, dict[bytes, int]]:
+    """The merges, the id of each single byte, and the id of each token."""
+    rank = {t: r for r, t in enumerate(token_bytes(path)) if t}
     pairs = array("q")
     for t, r in rank.items():
         for i in range(1, len(t)):
             if t[:i] in rank and t[i:] in rank:
                 pairs.extend((rank[t[:i]], rank[t[i:]], r, r))
-    return Merges(pairs), np.array([rank[bytes([i])] for i in range(256)], np.int64), words
+    return Merges(pairs), np.array([rank[bytes([i])] for i in range(256)], np.int64), rank
 
 
-@uncollected
-def encode_block(texts: list[str | None], path: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts, one after another, and how many each has."""
-    merges, single, words = byte_vocabulary(path)
-    whole = {w: i for i, w in enumerate(words) if w}
-    split = regex.compile(pattern).findall
-    numbers: defaultdict[str, int] = defaultdict(count().__next__)
-    number = numbers.__getitem__
-    docs = [np.fromiter(map(number, (split(t) if ODD.search(t) else CHUNK.findall(t)) if t else ()), np.int32) for t in texts]
-    parts: defaultdict[str, int] = defaultdict(count().__next__)
+def numbered(texts: list[str | None], pattern: str, numbers: defaultdict[str, int]) -> list[np.ndarray]:
+    """The numbers of each text's chunks; those not in numbers yet get the next ones."""
+    split, number = regex.compile(pattern).findall, numbers.__getitem__
+    return [np.fromiter(map(number, (split(t) if ODD.search(t) else CHUNK.findall(t)) if t else ()), np.int32) for t in texts]
+
+
+def fresh() -> defaultdict[str, int]:
+    return defaultdict(count().__next__)
+
+
+def words_of(chunks: Iterable[str], pattern: str) -> tuple[list[tuple[int, ...]], list[bytes]]:
+    """The numbers of each chunk's words, and the distinct words."""
+    split, parts = regex.compile(pattern).findall, fresh()
     part = parts.__getitem__
     of_chunk = []
-    for c in numbers:  # nearly all are a word, or a word and a mark; what isalpha() says is \p{L} for each character
+    for c in chunks:  # nearly all are a word, or a word and a mark; what isalpha() says is \p{L} for each character
         if c.isalpha() or c[0] == " " and c[1:].isalpha():
             of_chunk.append((part(c),))
         elif c[-1] in ".," and c[1 if c[0] == " " else 0 : -1].isalpha():
             of_chunk.append((part(c[:-1]), part(c[-1])))
         else:
             of_chunk.append(tuple(map(part, split(c))))
-    raw = [p.encode("utf-8", "surrogatepass") for p in parts]
-    known = np.fromiter((whole.get(w, -1) for w in raw), np.int64, len(raw))  # a word that is a token needs no merge
-    todo = [w for w, k in zip(raw, known.tolist(), strict=True) if k < 0]
-    ids, n = replay(single[np.frombuffer(b"".join(todo), np.uint8)], np.fromiter(map(len, todo), np.int64, len(todo)), merges)
-    lengths = np.ones(len(raw), np.int64)
+    return of_chunk, [p.encode("utf-8", "surrogatepass") for p in parts]
+
+
+def replayed(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of words, one after another, and how many each has."""
+    merges, single, _ = byte_vocabulary(path)
+    return replay(single[np.frombuffer(b"".join(words), np.uint8)], np.fromiter(map(len, words), np.int64, len(words)), merges)
+
+
+def coded(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """As replayed, where words that are a token need no merge."""
+    whole = byte_vocabulary(path)[2]
+    known = np.fromiter((whole.get(w, -1) for w in words), np.int64, len(words))
+    ids, n = replayed([w for w, k in zip(words, known.tolist(), strict=True) if k < 0], path)
+    lengths = np.ones(len(words), np.int64)
     lengths[known < 0] = n
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else lengths
     flat = np.zeros(int(lengths.sum()), np.int64)
-    flat[starts[known >= 0]] = known[known >= 0]
+    flat[(np.cumsum(lengths) - lengths)[known >= 0]] = known[known >= 0]
     flat[np.repeat(known < 0, lengths)] = ids
-    return by_chunk(flat, starts, lengths, of_chunk, docs)
+    return flat, lengths
+
+
+@uncollected
+def encode_block(texts: list[str | None], path: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, one after another, and how many each has."""
+    numbers = fresh()
+    docs = numbered(texts, pattern, numbers)
+    of_chunk, words = words_of(numbers, pattern)
+    flat, lengths = coded(words, path)
+    return by_chunk(flat, np.cumsum(lengths) - lengths, lengths, of_chunk, docs)
+
+
+@uncollected
+def chunk_counts(chunks: list[str], path: str, pattern: str) -> np.ndarray:
+    """The number of ids of each chunk."""
+    of_chunk, words = words_of(chunks, pattern)
+    lengths = coded(words, path)[1]
+    sizes = np.fromiter(map(len, of_chunk), np.int64, len(of_chunk))
+    which = np.fromiter((p for c in of_chunk for p in c), np.int64, int(sizes.sum()))
+    upto = np.concatenate(([0], np.cumsum(lengths[which])))
+    ends = np.cumsum(sizes)
+    return upto[ends] - upto[ends - sizes]
 
 
 def by_chunk(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, of_chunk: list[tuple[int, ...]], docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

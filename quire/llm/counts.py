@@ -9,6 +9,7 @@ edit, encodes those chunks only, and adds the differences along the paths to the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -30,29 +31,53 @@ def pattern(text: str):
     return regex.compile(public_tokenizers.PATTERN) if bpe.ODD.search(text) else bpe.CHUNK
 
 
-def chunk_tokens(chunks: list[list[str]], path: str) -> list[list[int]]:
-    """The number of tokens of each chunk, from one replay over the distinct ones of all lists."""
-    distinct = list(dict.fromkeys(c for own in chunks for c in own))
-    n = dict(zip(distinct, bpe.encode_block(distinct, path, public_tokenizers.PATTERN)[1].tolist(), strict=True))
-    return [[n[c] for c in own] for own in chunks]
-
-
-def tree(leaves: list[int]) -> np.ndarray:
-    """Sums in a complete binary tree: node i has the children 2i and 2i + 1, the leaves are the second half."""
-    half = 1
-    while half < len(leaves):
-        half *= 2
-    out = np.zeros(2 * half, np.int64)
-    out[half : half + len(leaves)] = leaves
+def tree(leaves: np.ndarray) -> np.ndarray:
+    """Sums in complete binary trees, one for each row of leaves: node i has the children 2i and 2i + 1, the leaves are the second half."""
+    half = 1 << max(0, leaves.shape[1] - 1).bit_length()
+    out = np.zeros((len(leaves), 2 * half), np.int64)
+    out[:, half : half + leaves.shape[1]] = leaves
     while half > 1:
-        out[half // 2 : half] = out[half : 2 * half].reshape(-1, 2).sum(1)
+        np.add(out[:, half : 2 * half : 2], out[:, half + 1 : 2 * half : 2], out=out[:, half // 2 : half])
         half //= 2
     return out
 
 
-def build(text: str, tokens: list[int], chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    size = [sum(map(len, chunks[i : i + LEAF])) for i in range(0, len(chunks), LEAF)]
-    return tree(size), tree([sum(tokens[i : i + LEAF]) for i in range(0, len(chunks), LEAF)])
+class Planted:
+    """The trees of a block of texts, and the number of tokens of each chunk seen so far."""
+
+    def __init__(self, texts: list[str], path: str, trees: bool = True) -> None:
+        self.path, self.numbers, self.n = path, bpe.fresh(), np.zeros(0, np.int64)
+        docs = bpe.numbered(texts, public_tokenizers.PATTERN, self.numbers) if trees else []
+        self.learn()
+        size = np.fromiter(map(len, self.numbers), np.int64, len(self.numbers))
+        both = np.stack((size, self.n))
+        self.chars, self.tokens = [], []
+        for d in docs:
+            a, b = tree(np.add.reduceat(both[:, d], np.arange(0, len(d), LEAF), 1) if len(d) else np.zeros((2, 1), np.int64))
+            self.chars.append(a), self.tokens.append(b)
+
+    def learn(self) -> None:
+        """Encodes the chunks that were numbered since the last time."""
+        if len(self.numbers) > len(self.n):
+            self.n = np.append(self.n, bpe.chunk_counts(list(islice(self.numbers, len(self.n), None)), self.path, public_tokenizers.PATTERN))
+
+    def edit(self, texts: list[str], chars: list[list[int]], tokens: list[list[int]], edits: list[list[dict | None]]) -> list[int]:
+        """Applies each text's edits in place, the kth ones of all texts together; how many chunks each text had encoded again."""
+        again = [0] * len(texts)
+        for k in range(max(map(len, edits), default=0)):
+            plans = []
+            for i, own in enumerate(edits):
+                if k < len(own) and own[k] is not None:
+                    start = min(max(own[k]["start"] or 0, 0), len(texts[i]))
+                    end = min(max(own[k]["end"] or 0, start), len(texts[i]))
+                    plan = Plan(texts[i], chars[i], start, end, own[k]["new"] or "")
+                    plans.append((i, plan, [*map(self.numbers.__getitem__, plan.chunks)]))
+            self.learn()
+            n = self.n.tolist()
+            for i, plan, own in plans:
+                plan.apply(chars[i], tokens[i], [n[c] for c in own])
+                texts[i], again[i] = plan.text, again[i] + len(own)
+        return again
 
 
 def leaf_at(chars: list[int], position: int) -> tuple[int, int]:
@@ -109,6 +134,15 @@ class Plan:
 
 
 LONGS = T.ArrayType(T.LongType())
+#: Bytes of text that a task indexes or edits at once.
+BLOCK = bpe.BLOCK
+
+
+def longs(lists: list) -> pa.Array:
+    """Arrays or lists of longs as one Arrow array."""
+    ends = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
+    flat = np.concatenate([np.asarray(x, np.int64) for x in lists]) if lists else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(flat, pa.int64()))
 
 
 def index(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
@@ -116,47 +150,37 @@ def index(df: DataFrame, text: str = "text", path: str | None = None) -> DataFra
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def make(texts: list) -> list:
-        chars, tokens = [], []
-        texts = [t or "" for t in texts]
-        chunks = [pattern(t).findall(t) for t in texts]
-        for t, own, n in zip(texts, chunks, chunk_tokens(chunks, path), strict=True):
-            a, b = build(t, n, own)
-            chars.append(a if len(a) > 1 else [0, 0]), tokens.append(b if len(b) > 1 else [0, 0])
-        return [chars, tokens]
+        made = Planted([t or "" for t in texts], path)
+        return [longs(made.chars), longs(made.tokens)]
 
-    return add_columns(df, text, [T.StructField("chars", LONGS), T.StructField("tokens", LONGS)], make)
+    return add_columns(df, text, [T.StructField("chars", LONGS), T.StructField("tokens", LONGS)], make, BLOCK)
 
 
 def edit(df: DataFrame, path: str | None = None) -> DataFrame:
     """df with its texts and trees after the edits in its column `edits` (array of start, end, new, in code points), one after another.
 
-    Adds reencoded, the chunks that had to be encoded again. Positions beyond a text count as its end, an end before its
-    start as that start, null or no edits as none. Needs text, chars and tokens, as index() makes them.
+    Adds n_before, the tokens before, and reencoded, the chunks that had to be encoded again. Positions beyond a text
+    count as its end, an end before its start as that start, null or no edits as none. Needs text; chars and tokens as
+    index() makes them are read where df has them, else the texts are indexed in the same pass.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    out = T.StructType([*(f for f in df.schema.fields if f.name != "reencoded"), T.StructField("reencoded", T.LongType())])
-    keep = [f.name for f in df.schema.fields if f.name != "reencoded"]
+    new = {"text": T.StringType(), "chars": LONGS, "tokens": LONGS, "n_before": T.LongType(), "reencoded": T.LongType()}
+    keep = [f for f in df.schema.fields if f.name not in new]
+    given = {"chars", "tokens"} <= set(df.columns)
+    names = [f.name for f in keep] + list(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", BLOCK):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            chars, tokens = batch.column("chars").to_pylist(), batch.column("tokens").to_pylist()
-            edits = [e or [] for e in batch.column("edits").to_pylist()]
-            again = [0] * len(texts)
-            for k in range(max(map(len, edits), default=0)):  # the kth edits of all documents share a replay
-                plans = {}
-                for i, own in enumerate(edits):
-                    if k < len(own) and own[k] is not None:
-                        start = min(max(own[k]["start"] or 0, 0), len(texts[i]))
-                        end = min(max(own[k]["end"] or 0, start), len(texts[i]))
-                        plans[i] = Plan(texts[i], chars[i], start, end, own[k]["new"] or "")
-                for (i, p), n in zip(plans.items(), chunk_tokens([p.chunks for p in plans.values()], path), strict=True):
-                    p.apply(chars[i], tokens[i], n)
-                    texts[i], again[i] = p.text, again[i] + len(n)
-            made = {"text": texts, "chars": chars, "tokens": tokens, "reencoded": again}
-            yield pa.RecordBatch.from_arrays([pa.array(made[c], pa.string() if c == "text" else pa.int64() if c == "reencoded" else pa.list_(pa.int64())) if c in made else batch.column(c) for c in [*keep, "reencoded"]], names=[*keep, "reencoded"])
-
-    return df.select(*(f"`{c}`" for c in keep)).mapInArrow(run, out)
+            made = Planted(texts, path, not given)
+            chars, tokens = ([x.tolist() for x in made.chars], [x.tolist() for x in made.tokens]) if not given else (batch.column(c).to_pylist() for c in ("chars", "tokens"))
+            before = [t[1] for t in tokens]
+            again = made.edit(texts, chars, tokens, [e or [] for e in batch.column("edits").to_pylist()])
+            arrays = [pa.array(texts, pa.string()), longs(chars), longs(tokens), pa.array(before, pa.int64()), pa.array(again, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), *arrays], names=names)
+
+    read = [*keep, *(f for f in df.schema.fields if f.name == "text" or given and f.name in ("chars", "tokens"))]
+    return df.select(*(f"`{f.name}`" for f in read)).mapInArrow(run, T.StructType(keep + [T.StructField(c, t) for c, t in new.items()]))
 
 
 def sample_edits(n: int = 3):
@@ -173,5 +197,5 @@ def sample_edits(n: int = 3):
 def digest(documents: DataFrame) -> DataFrame:
     """For each document its tokens before and after three edits, the chunks encoded again for them, and the new text's hash."""
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    made = edit(index(docs).withColumns({"before": F.col("tokens")[1], "edits": sample_edits()}))
-    return made.select("doc_id", F.col("before").alias("n_tokens_before"), F.col("tokens")[1].alias("n_tokens"), "reencoded", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    made = edit(docs.withColumn("edits", sample_edits()))
+    return made.select("doc_id", F.col("n_before").alias("n_tokens_before"), F.col("tokens")[1].alias("n_tokens"), "reencoded", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))

@@ -310,22 +310,35 @@ def test_edits(reference):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     for _ in range(400):
         text = "".join(r.choice("ab c  \n'sl 1.,É") for _ in range(r.choice([0, 1, 5, 40, 2000])))
-        chunks = counts.pattern(text).findall(text)
-        chars, tokens = (x.tolist() for x in counts.build(text, counts.chunk_tokens([chunks], path)[0], chunks))
+        made = counts.Planted([text], path)
+        chars, tokens = made.chars[0].tolist(), made.tokens[0].tolist()
         for _ in range(3):
             start = r.randint(0, len(text))
             end = min(len(text), start + r.choice([0, 0, 1, 5, 50]))
-            plan = counts.Plan(text, chars, start, end, "".join(r.choice("a b\n'l") for _ in range(r.choice([0, 1, 20]))))
-            plan.apply(chars, tokens, counts.chunk_tokens([plan.chunks], path)[0])
-            text = plan.text
+            new = "".join(r.choice("a b\n'l") for _ in range(r.choice([0, 1, 20])))
+            texts = [text]
+            made.edit(texts, [chars], [tokens], [[{"start": start, "end": end, "new": new}]])
+            text = text[:start] + new + text[end:]
+            assert texts == [text]
             assert (chars[1], tokens[1]) == (len(text), len(reference.encode_ordinary(text)))
+            for sums in (chars, tokens):
+                assert all(sums[i] == sums[2 * i] + sums[2 * i + 1] for i in range(1, len(sums) // 2))
 
 
 def test_counts(spark, odd, empty, reference):
-    docs = counts.index(odd.select("doc_id", "text")).withColumn("edits", F.when(F.col("doc_id") % 2 == 0, F.array(F.struct(F.lit(1).alias("start"), F.lit(10**6).alias("end"), F.lit(" new").alias("new")), F.lit(None))))
-    for row in counts.edit(docs).collect():
+    edits = F.when(F.col("doc_id") % 2 == 0, F.array(F.struct(F.lit(1).alias("start"), F.lit(10**6).alias("end"), F.lit(" new").alias("new")), F.lit(None)))
+    clash = odd.select("doc_id", "text", F.lit("x").alias("reencoded"), F.lit("y").alias("n_before")).withColumn("edits", edits)
+    clash = clash.unionByName(clash)  # repeated rows
+    indexed, alone = counts.edit(counts.index(clash)), counts.edit(clash)
+    rows = alone.collect()
+    key = lambda r: (r.doc_id or -1, r.text, r.n_before, r.reencoded, tuple(r.chars), tuple(r.tokens))
+    assert sorted(map(key, rows)) == sorted(map(key, indexed.collect())) and len(rows) == 2 * len(ODD)
+    old = Counter(len(reference.encode_ordinary(t or "")) for t in ODD * 2)
+    assert Counter(r.n_before for r in rows) == old
+    for row in rows:
         assert row.tokens[1] == len(reference.encode_ordinary(row.text))
     assert counts.digest(odd).count() == len(ODD) and counts.digest(empty).count() == 0
+    assert counts.edit(counts.index(empty).withColumn("edits", edits)).count() == 0
 
 
 # ---- 10
