@@ -248,18 +248,6 @@ def encode_block(texts: list[str | None], path: str, pattern: str) -> tuple[np.n
     return by_chunk(flat, np.cumsum(lengths) - lengths, lengths, of_chunk, docs)
 
 
-@uncollected
-def chunk_counts(chunks: list[str], path: str, pattern: str) -> np.ndarray:
-    """The number of ids of each chunk."""
-    of_chunk, words = words_of(chunks, pattern)
-    lengths = coded(words, path)[1]
-    sizes = np.fromiter(map(len, of_chunk), np.int64, len(of_chunk))
-    which = np.fromiter((p for c in of_chunk for p in c), np.int64, int(sizes.sum()))
-    upto = np.concatenate(([0], np.cumsum(lengths[which])))
-    ends = np.cumsum(sizes)
-    return upto[ends] - upto[ends - sizes]
-
-
 def by_chunk(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, of_chunk: list[tuple[int, ...]], docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """From ids by word to ids by chunk to ids by document."""
     sizes = np.fromiter(map(len, of_chunk), np.int64, len(of_chunk))

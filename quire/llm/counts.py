@@ -8,6 +8,7 @@ edit, encodes those chunks only, and adds the differences along the paths to the
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from itertools import islice
 
@@ -15,6 +16,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +44,25 @@ def tree(leaves: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Characters from which on a chunk's tokens are counted by merge replay, whose cost doesn't grow with the square of a word.
+LONG = 64
+
+
+@functools.cache
+def library(path: str) -> tiktoken.Encoding:
+    ranks = {t: r for r, t in enumerate(bpe.token_bytes(path)) if t}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def chunk_tokens(chunks: list[str], path: str) -> np.ndarray:
+    """The number of tokens of each chunk."""
+    encode = library(path).encode_ordinary
+    n = np.fromiter((len(encode(c)) if len(c) < LONG else 0 for c in chunks), np.int64, len(chunks))
+    long = [i for i, c in enumerate(chunks) if len(c) >= LONG]
+    n[long] = bpe.encode_block([chunks[i] for i in long], path, public_tokenizers.PATTERN)[1]
+    return n
+
+
 class Planted:
     """The trees of a block of texts, and the number of tokens of each chunk seen so far."""
 
@@ -59,7 +80,7 @@ class Planted:
     def learn(self) -> None:
         """Encodes the chunks that were numbered since the last time."""
         if len(self.numbers) > len(self.n):
-            self.n = np.append(self.n, bpe.chunk_counts(list(islice(self.numbers, len(self.n), None)), self.path, public_tokenizers.PATTERN))
+            self.n = np.append(self.n, chunk_tokens(list(islice(self.numbers, len(self.n), None)), self.path))
 
     def edit(self, texts: list[str], chars: list[list[int]], tokens: list[list[int]], edits: list[list[dict | None]]) -> list[int]:
         """Applies each text's edits in place, the kth ones of all texts together; how many chunks each text had encoded again."""
