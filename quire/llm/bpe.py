@@ -1,4 +1,8 @@
-"""Byte-level BPE by merge replay over the distinct words of a block of documents.
+"""Byte-level BPE by merge replay over the distinct words of the corpus.
+
+Texts are cut to words in blocks. A word that is a token has its id at once; the others, once for each block, are
+shuffled by word, replayed, and their ids shuffled back to the blocks, so what moves is blocks and distinct words of
+blocks and never single places of words.
 
 The words' symbols stand in one array, linked to their neighbours. An inverted index leads from each token pair (by
 the rank of its merge) to the positions where it stands; merges are applied in rank order to all their positions at
@@ -17,7 +21,7 @@ import re
 import unicodedata
 from array import array
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from itertools import count
 
 import numpy as np
@@ -25,15 +29,18 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import add_columns
+from quire.llm.common import add_columns, blocks, saved
 
 NONE = np.iinfo(np.int64).max
 #: Bytes of text or ids that a task encodes or decodes at once; two workers of an executor hold a block each, several times over.
 BLOCK = 4 << 20
+#: Bytes of rows with words that a task replays at once.
+MERGED = 16 << 20
 
 
 class Merges:
@@ -265,31 +272,147 @@ def id_lists(ids: np.ndarray, n: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids, pa.int32()))
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
+def binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """An array of bytes from all of them together and the item of data at which each ends."""
+    offsets = (np.append(0, ends) * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def worded(df: DataFrame, text: str, kept: list[T.StructField], path: str, pattern: str) -> DataFrame:
+    """df in blocks of rows, one row each: its rows, their words as ids, and the words that are no token.
+
+    codes has the words of all texts of a block one after another (int32): the id of a word that is a token, else
+    -1 - k for the kth of `words`; sizes, how many of them each text has.
+    """
+    names = [f.name for f in kept]
+    schema = T.StructType([
+        T.StructField("block", T.LongType()), T.StructField("rows", T.ArrayType(T.StructType(kept))), T.StructField("codes", T.BinaryType()),
+        T.StructField("sizes", T.BinaryType()), T.StructField("words", T.ArrayType(T.BinaryType())),
+    ])
+
+    @uncollected
+    def coded_block(texts: list) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        whole, numbers = byte_vocabulary(path)[2], fresh()
+        docs = numbered(texts, pattern, numbers)
+        of_chunk, words = words_of(numbers, pattern)
+        code = np.fromiter((whole.get(w, -1) for w in words), np.int64, len(words))
+        merged = np.flatnonzero(code < 0)
+        code[merged] = -1 - np.arange(len(merged))
+        codes, sizes = by_chunk(code, np.arange(len(words)), np.ones(len(words), np.int64), of_chunk, docs)
+        return codes.astype(np.int32), sizes.astype(np.int32), [words[i] for i in merged.tolist()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in blocks(batches, text, BLOCK):
+            codes, sizes, words = coded_block(batch.column(text).to_pylist())
+            rows = pa.StructArray.from_arrays([batch.column(c) for c in names], names)
+            lists = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), rows)
+            one = [pa.array([part << 32 | n], pa.int64()), lists, pa.array([codes.tobytes()], pa.binary()), pa.array([sizes.tobytes()], pa.binary()), pa.array([words], pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(one, names=schema.names)
+            n += 1
+
+    return df.mapInArrow(run, schema)
+
+
+def merged(path: str):
+    """For rows (block, k, word) sorted by word, the words' ids by block. Each distinct word is replayed once, with as many others as make MERGED bytes."""
+
+    def flush(table: pa.Table) -> pa.RecordBatch:
+        word = table.column("word").combine_chunks().dictionary_encode()
+        ids, n = replayed(word.dictionary.to_pylist(), path)
+        block = table.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        block, k, which = block[order], table.column("k").to_numpy()[order], word.indices.to_numpy()[order]
+        last = np.append(np.flatnonzero(block[1:] != block[:-1]), len(block) - 1)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(block[last]), binaries(k.astype(np.int32), last + 1), binaries(n[which].astype(np.int32), last + 1),
+                binaries(gather(ids.astype(np.int32), np.cumsum(n) - n, n, which), np.cumsum(n[which])[last]),
+            ],
+            names=["block", "k", "n", "ids"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= MERGED:
+                yield flush(pa.Table.from_batches(held))
+                held, size = [], 0
+        if size:
+            yield flush(pa.Table.from_batches(held))
+
+    return run
+
+
+def filled(kept: list[T.StructField], out: str):
+    """The rows of blocks with their ids, from the ids of the words that are tokens and the answers for the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                codes, sizes = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int32) for c in ("codes", "sizes"))
+                answers = batch.column("answers")[i].as_py() or []
+                k, n, ids = (np.concatenate([np.frombuffer(a[c], np.int32) for a in answers] or [np.zeros(0, np.int32)]) for c in ("k", "n", "ids"))
+                length, start = np.zeros((2, len(k)), np.int64)
+                length[k], start[k] = n, np.cumsum(n) - n
+                whole, other = codes >= 0, -1 - codes[codes < 0]
+                each = np.ones(len(codes), np.int64)
+                each[~whole] = length[other]
+                flat = np.zeros(int(each.sum()), np.int32)
+                flat[(np.cumsum(each) - each)[whole]] = codes[whole]
+                flat[np.repeat(~whole, each)] = gather(ids, start, length, other)
+                upto = np.append(0, np.cumsum(each))[np.append(0, np.cumsum(sizes))]
+                rows = batch.column("rows")[i].values
+                lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(rows.field(f.name) for f in kept), lists], names=[*(f.name for f in kept), out])
+
+    return run
+
+
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, pattern: str | None = None, keep: bool = True) -> DataFrame:
     """df with the token ids of a text column by the ranks in a tiktoken file, without special tokens.
 
     A null or empty text has no ids. Rows, repeated ones included, keep their other columns; one named like ids is
-    replaced. No shuffle: the index spans the distinct words of a block of a partition.
+    replaced; without keep the text itself goes. The words that are no token, once for each block of rows, are dealt to
+    tasks by word; there every distinct word of the corpus is replayed once, and its ids go back to the blocks.
     """
     path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-    field = T.StructField(ids, T.ArrayType(T.IntegerType()))
-    return add_columns(df, text, [field], lambda texts: [id_lists(*encode_block(texts, path, pattern))], BLOCK)
+    kept = [f for f in df.schema.fields if f.name != ids and (keep or f.name != text)] or [df.schema[text]]
+    made = saved(worded(df, text, kept, path, pattern))
+    asked = made.select("block", F.posexplode("words").alias("k", "word")).repartition("word").sortWithinPartitions("word")
+    answers = asked.mapInArrow(merged(path), "block long, k binary, n binary, ids binary")
+    answers = answers.groupBy("block").agg(F.collect_list(F.struct("k", "n", "ids")).alias("answers"))  # of a block's words
+    both = made.select("block", "rows", "codes", "sizes").join(answers, "block", "left").select("rows", "codes", "sizes", "answers")
+    return both.mapInArrow(filled(kept, ids), T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+
+
+@functools.cache
+def token_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all ids, one after another, where each begins, and how many it has."""
+    n = np.fromiter(map(len, token_bytes(path)), np.int64)
+    return np.frombuffer(b"".join(token_bytes(path)), np.uint8), np.cumsum(n) - n, n
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
     """df with the bytes that a column of token ids stands for. Null ids: null; none: no bytes."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
-    def make(lists: list) -> list:
-        words = token_bytes(path).__getitem__
-        return [[None if x is None else b"".join(map(words, x)) for x in lists]]
+    def make(lists: pa.Array) -> list:
+        data, starts, lengths = token_table(path)
+        which = lists.flatten().to_numpy(zero_copy_only=False)
+        upto = np.append(0, np.cumsum(lengths[which]))
+        ends = upto[np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]
+        made = binaries(gather(data, starts, lengths, which), ends)
+        return [pc.if_else(lists.is_valid(), made, None) if lists.null_count else made]
 
-    return add_columns(df, ids, [T.StructField(out, T.BinaryType())], make, BLOCK)
+    return add_columns(df, ids, [T.StructField(out, T.BinaryType())], make, BLOCK, arrow=True)
 
 
 def digest(documents: DataFrame) -> DataFrame:
     """For each document the number of ids and the hashes of the ids in decimal and of the bytes decoded from them."""
-    done = decode(encode(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).drop("text"))
+    done = decode(encode(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), keep=False))
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -41,18 +41,43 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/quire-{uuid.uuid4().hex}"
 
 
+#: Sessions by the scratch folders that saved() made in them and nothing has removed yet.
+MADE: dict[str, SparkSession] = {}
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: lineage is cut, and lost executors cost no data."""
+    """df written as Parquet to the shared folder and read again: lineage is cut, and lost executors cost no data.
+
+    Lazy results read such tables later; what forget() hasn't removed by then goes when the driver's process ends.
+    """
     path = scratch_dir(df.sparkSession)
+    if not MADE:
+        atexit.register(forget_all)
+    MADE[path] = df.sparkSession
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes the files of a table that saved() made and nothing reads any more."""
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for made in [m for m in MADE if m.rpartition("/")[2] == folder.rstrip("/").rpartition("/")[2]]:
+        del MADE[made]
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of tables that saved() made and nothing reads any more."""
+    for df in tables:
+        for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
+            remove(df.sparkSession, folder)
+
+
+def forget_all() -> None:
+    for folder, spark in list(MADE.items()):
+        try:
+            remove(spark, folder)
+        except Exception:  # the session's JVM has ended before; nothing can be removed through it
+            MADE.clear()
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -74,10 +99,11 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = BLOCK_BYT
         yield batch.slice(start)
 
 
-def add_columns(df: DataFrame, column: str, fields: list[T.StructField], make: Callable[[list], list], most: int = BLOCK_BYTES) -> DataFrame:
+def add_columns(df: DataFrame, column: str, fields: list[T.StructField], make: Callable[[list], list], most: int = BLOCK_BYTES, arrow: bool = False) -> DataFrame:
     """df with further columns that make derives from the list of one column's values, block by block, in Arrow.
 
-    A column of df that has the name of a new one is replaced. make returns one Arrow array or list for each field.
+    A column of df that has the name of a new one is replaced. make returns one Arrow array or list for each field; with
+    arrow it gets the values as an Arrow array.
     """
     names = {f.name for f in fields}
     kept = [f for f in df.schema.fields if f.name not in names or f.name == column]
@@ -87,7 +113,7 @@ def add_columns(df: DataFrame, column: str, fields: list[T.StructField], make: C
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, column, most):
-            made = make(block.column(column).to_pylist())
+            made = make(block.column(column) if arrow else block.column(column).to_pylist())
             arrays = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, types, strict=True)]
             yield pa.RecordBatch.from_arrays([*(block.column(c) for c in carry), *arrays], names=[*carry, *(f.name for f in fields)])
 

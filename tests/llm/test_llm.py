@@ -61,6 +61,18 @@ def test_byte_bpe(spark, odd, empty, reference):
         want = reference.encode_ordinary(t or "")
         assert (i if i % 5 else None, hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest(), len(want)) in got
     assert bpe.digest(empty).count() == 0
+    clash = bpe.encode(odd.withColumn("block", F.lit(3)).unionByName(odd.withColumn("block", F.lit(3))))  # repeated rows, an input column `ids`
+    assert clash.columns == ["doc_id", "text", "block", "ids"] and clash.count() == 2 * len(ODD)
+
+
+def test_byte_bpe_words_of_many_blocks(spark, reference):
+    texts = random_texts(300, "abcdeABé 'stm09\n", 80, 5) + ["qwzx" * 20_000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(7)
+    got = {r.doc_id: r.ids for r in bpe.encode(docs).collect()}
+    assert all(got[i] == reference.encode_ordinary(t) for i, t in enumerate(texts[:300]))
+    assert reference.decode(got[300]) == texts[300]
+    back = {r.doc_id: bytes(r.decoded) for r in bpe.decode(bpe.encode(docs)).collect()}
+    assert back == {i: t.encode() for i, t in enumerate(texts)}
 
 
 def test_word_bpe():
