@@ -110,7 +110,7 @@ def solve(m: np.ndarray, before: int, end: int) -> np.ndarray:
 
 
 def numbered(lines: DataFrame) -> DataFrame:
-    """lines with g, their number in the order of (conv_id, turn, line_no), and first, whether a transcript begins."""
+    """lines with g, their number in the order of (conv_id, turn, line_no, line), and first, whether a transcript begins."""
     order = ["conv_id", "turn", "line_no"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +126,7 @@ def numbered(lines: DataFrame) -> DataFrame:
             n, last = n + len(conv), conv[-1]
 
     schema = "conv_id long, turn long, line_no long, line string, code int, part long, within long, first boolean"
-    made = saved(lines.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(count, schema))
+    made = saved(lines.repartitionByRange(*order).sortWithinPartitions(*order, "line").mapInArrow(count, schema))
     over = Window.orderBy("part")
     parts = made.groupBy("part").agg(F.count("*").alias("n"), F.max("conv_id").alias("last"))  # a row for each partition
     parts = parts.select("part", (F.sum("n").over(over) - F.col("n")).alias("base"), F.lag("last").over(over).alias("previous"), F.row_number().over(over).alias("k"))

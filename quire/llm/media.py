@@ -74,9 +74,18 @@ def write(payload: bytes) -> bytes:
     return made + data
 
 
-def walk(data: memoryview, start: int, end: int, found: dict[bytes, list[tuple[int, int]]]) -> None:
-    """The bodies of all boxes between two places, nested ones too, by kind, in the order of the tracks."""
-    while start + 8 <= end:
+def walk(data: memoryview) -> tuple[dict[bytes, tuple[int, int]], list[dict[bytes, tuple[int, int]]]]:
+    """The bodies of the boxes outside tracks and of those in each track, nested ones too: the first of each kind.
+
+    A stack holds what is left to walk, so boxes may be nested to any depth.
+    """
+    outside: dict[bytes, tuple[int, int]] = {}
+    tracks: list[dict[bytes, tuple[int, int]]] = []
+    left = [(0, len(data), outside)]
+    while left:
+        start, end, owner = left.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1:
@@ -84,42 +93,60 @@ def walk(data: memoryview, start: int, end: int, found: dict[bytes, list[tuple[i
         stop = end if size == 0 else start + size
         if stop > end or stop < body:
             raise ValueError(f"box {kind!r} leaves its parent")
-        found.setdefault(kind, []).append((body, stop))
+        left.append((stop, end, owner))
+        if kind == b"trak":
+            owner = {}
+            tracks.append(owner)
+        owner.setdefault(kind, (body, stop))
         if kind in NESTED:
-            walk(data, body, stop, found)
-        start = stop
+            left.append((body, stop, owner))
+    return outside, tracks
 
 
 def read(data: bytes) -> dict:
-    """Codec, time scale, duration, number of samples, the sync samples' byte ranges and all samples' (offset, size) of the first track."""
+    """Codec, time scale, duration, number of samples, the sync samples' byte ranges and all samples' (offset, size) of the first track.
+
+    Every count is checked against the bytes of its box or of the file before anything of that size is made.
+    """
     view = memoryview(data)
-    found: dict[bytes, list[tuple[int, int]]] = {}
-    walk(view, 0, len(data), found)
+    tracks = walk(view)[1]
+    if not tracks:
+        raise ValueError("no track")
+    found = tracks[0]
 
-    def rows(kind: bytes, dtype: str, width: int = 1, skip: int = 0) -> np.ndarray:
+    def rows(kind: bytes, dtype: str, width: int = 1) -> np.ndarray:
         if kind not in found:
             return np.zeros((0, width), np.int64)
-        at = found[kind][0][0] + 4 + skip
-        n = struct.unpack_from(">I", view, at)[0]
-        return np.frombuffer(view, dtype, n * width, at + 4).reshape(n, width).astype(np.int64)
+        at, stop = found[kind]
+        n = struct.unpack_from(">I", view, at + 4)[0]
+        if at + 8 + n * width * np.dtype(dtype).itemsize > stop:
+            raise ValueError(f"more rows than {kind!r} has bytes")
+        return np.frombuffer(view, dtype, n * width, at + 8).reshape(n, width).astype(np.int64)
 
-    at = found[b"mdhd"][0][0]
+    at = found[b"mdhd"][0]
     scale, duration = struct.unpack_from(">IQ", view, at + 20) if view[at] == 1 else struct.unpack_from(">II", view, at + 12)
-    codec = bytes(view[(d := found[b"stsd"][0][0] + 8) + 4 : d + 8]).decode("latin-1")
-    at = found[b"stsz"][0][0]
+    codec = bytes(view[(d := found[b"stsd"][0] + 8) + 4 : d + 8]).decode("latin-1")
+    at, stop = found[b"stsz"]
     same, n = struct.unpack_from(">II", view, at + 4)
+    if n * (same or 1) > len(data) or not same and at + 12 + 4 * n > stop:
+        raise ValueError("more samples than bytes")
     sizes = np.full(n, same, np.int64) if same else np.frombuffer(view, ">u4", n, at + 12).astype(np.int64)
     where = rows(b"co64", ">u8")[:, 0] if b"co64" in found else rows(b"stco", ">u4")[:, 0]
     runs = rows(b"stsc", ">u4", 3)
-    per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(where) + 1)))
-    chunk = np.repeat(np.arange(len(where)), per)[:n]
+    times = rows(b"stts", ">u4", 2)
+    chunks = np.diff(np.append(runs[:, 0], len(where) + 1))
+    if (chunks < 0).any() or int(chunks @ runs[:, 1]) != n or int(times[:, 0].sum()) != n:
+        raise ValueError("sample tables disagree")
+    per = np.repeat(runs[:, 1], chunks)
+    chunk = np.repeat(np.arange(len(where)), per)
     before = np.cumsum(sizes) - sizes
     first = np.concatenate(([0], np.cumsum(per)[:-1])) if len(per) else per
     offset = where[chunk] + before - before[first[chunk]]
-    times = rows(b"stts", ">u4", 2)
-    if int(times[:, 0].sum()) != n or len(chunk) != n:
-        raise ValueError("sample tables disagree")
+    if n and (int((offset + sizes).max()) > len(data) or int(offset.min()) < 0):
+        raise ValueError("a sample leaves the file")
     sync = rows(b"stss", ">u4")[:, 0] - 1 if b"stss" in found else np.arange(n)
+    if len(sync) and int(sync.min()) < 0:
+        raise ValueError("a sync sample has no number")
     return {
         "codec": codec, "timescale": scale, "duration": duration, "ticks": int((times[:, 0] * times[:, 1]).sum()),
         "offset": offset, "size": sizes, "keyframes": np.stack((offset[sync], sizes[sync]), 1),

@@ -280,8 +280,10 @@ def spans(text: str | None) -> list[tuple[str, int, int, bool]]:
         return []
     plain = base(text)
     more = disguised(text).difference(plain)
-    for kind, a, b in plain:
-        more = {x for x in more if x[0] != kind or x[1] < a or x[2] > b} if more else more
+    if more and plain:  # base spans of a kind don't overlap: only the last one that begins before a span can hold it
+        starts = {k: [x[1] for x in plain if x[0] == k] for k in KINDS}
+        ends = {k: [x[2] for x in plain if x[0] == k] for k in KINDS}
+        more = {x for x in more if not (i := bisect_right(starts[x[0]], x[1])) or ends[x[0]][i - 1] < x[2]}
     return sorted([(*x, True) for x in plain] + [(*x, False) for x in more], key=lambda x: (KINDS.index(x[0]), *x[1:]))
 
 

@@ -105,6 +105,23 @@ def forward(x: np.ndarray, count: np.ndarray, w: dict[str, np.ndarray]) -> dict[
     return {"z": z, "h": h, "v": v, "u": u, "a": a, "m": m, "score": sigmoid(m @ w["c"] + w["b"])}
 
 
+def gradient(x: np.ndarray, count: np.ndarray, label: np.ndarray, w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The gradient of the mean log loss by each learned weight."""
+    at = np.cumsum(count) - count
+    f = forward(x, count, w)
+    d = (f["score"] - label) / len(label)
+    g = {"c": f["m"].T @ d, "b": d.sum(keepdims=True)}
+    dm = np.repeat(d[:, None] * w["c"], count, 0)
+    da = (dm * f["h"]).sum(1)
+    ds = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, at), count))
+    g["w"] = (f["v"] * f["u"]).T @ ds
+    dv, du = ds[:, None] * w["w"] * f["u"] * (1 - f["v"] ** 2), ds[:, None] * w["w"] * f["v"] * f["u"] * (1 - f["u"])
+    g["V"], g["U"] = f["h"].T @ dv, f["h"].T @ du
+    dh = (f["a"][:, None] * dm + dv @ w["V"].T + du @ w["U"].T) * (1 - f["h"] ** 2)
+    g["E"], g["e"] = f["z"].T @ dh, dh.sum(0)
+    return g
+
+
 def fit(x: np.ndarray, count: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
     """Weights from bags and their labels. Without bags: weights that score every document 0.5."""
     rng = np.random.default_rng(SEED)
@@ -117,20 +134,9 @@ def fit(x: np.ndarray, count: np.ndarray, label: np.ndarray) -> dict[str, np.nda
         return w | fixed
     spread = x.std(0)
     fixed = {"mean": x.mean(0), "scale": np.where(spread > 1e-3, spread, 1)}
-    at = np.cumsum(count) - count
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
     for step in range(1, STEPS + 1):
-        f = forward(x, count, w | fixed)
-        d = (f["score"] - label) / len(label)
-        g = {"c": f["m"].T @ d, "b": d.sum(keepdims=True)}
-        dm = np.repeat(d[:, None] * w["c"], count, 0)
-        da = (dm * f["h"]).sum(1)
-        ds = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, at), count))
-        g["w"] = (f["v"] * f["u"]).T @ ds
-        dv, du = ds[:, None] * w["w"] * f["u"] * (1 - f["v"] ** 2), ds[:, None] * w["w"] * f["v"] * f["u"] * (1 - f["u"])
-        g["V"], g["U"] = f["h"].T @ dv, f["h"].T @ du
-        dh = (f["a"][:, None] * dm + dv @ w["V"].T + du @ w["U"].T) * (1 - f["h"] ** 2)
-        g["E"], g["e"] = f["z"].T @ dh, dh.sum(0)
+        g = gradient(x, count, label, w | fixed)
         for k in w:
             one, two = moment[k]
             g[k] = g[k] + DECAY * w[k]
@@ -148,11 +154,13 @@ def held_out(doc_id: str = "doc_id"):
 def train(documents: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
     """Weights from labels.quality of rows that aren't held out: of the SAMPLE first by a hash of the id, those up to LONGEST.
 
-    Null labels and ids are left out; without labelled rows the weights score 0.5.
+    Null labels and ids are left out; of rows that share an id the least text counts; without labelled rows the weights
+    score 0.5.
     """
     chosen = labels.select("doc_id", F.col("quality").cast("double").alias("label")).where("doc_id is not null and label is not null").where(~held_out())
     chosen = chosen.dropDuplicates().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(SAMPLE)
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.length("text") <= LONGEST)
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # SAMPLE rows at most
     make = lambda texts: [bags(*together(texts))]
     got = add_columns(rows, "text", [T.StructField("bag", T.ArrayType(T.FloatType()))], make).drop("text").toPandas()
     got = got.assign(key=[tuple(b[:FEATURES]) for b in got.bag]).sort_values(["doc_id", "label", "key"], kind="stable")

@@ -2,14 +2,18 @@
 
 Vectors are quantised to integers and range-sorted by a code of signs of random projections, so that rows in a range
 look alike. Ranges of BLOCK rows are blocks: forward indexes (a dense matrix with ids) with the greatest and least
-value of each term. Blocks are grouped in shards, and the queries in groups of bounded size. Every group meets every
-shard in a task of its own or with one or two other shards: for each query it orders the blocks by the summed term maxima, an upper bound of any score in the
-block, and scores blocks in that order until the bound falls below the query's kth score. The kth score starts at that
-within the query's own block, which is known from building it. Each task's k best are merged by query.
+value of each term; SHARD blocks are a shard, with its own maxima. A query's score with any row of a block or shard is
+at most the sum of its terms with those maxima. The kth score starts at that within the query's own block.
+
+Queries, in groups, meet the shards' maxima first. What they ask for is pairs of a query and a shard whose bound
+reaches the query's kth score; only queries are sent, to the shards that they ask for. First each goes to the FIRST
+shards with the highest bounds, then, with the kth score found there, to the others that still reach it. In a shard, a
+query's blocks are scored in the order of their bounds until these fall below the kth score.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,22 +21,23 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quire.llm.common import forget, saved
+from quire.llm.common import saved
 
 #: Rows in a block, blocks in a shard, queries in a group.
 BLOCK, SHARD, GROUP = 256, 16, 4096
+#: Shards that each query is sent to before its kth score is raised.
+FIRST = 2
 SIGNS, SEED = 10, 3
 LOWEST = np.iinfo(np.int64).min
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """(vec_id, v) with v the floors of scale * x, as longs. Rows without an id are left out, and vectors that are null or hold null, NaN or infinite components; of repeated ids the greatest vector stays."""
+    """(vec_id, v) with v the floors of scale * x, as longs, row by row. Rows without an id are left out, and vectors that are null or hold null, NaN or infinite components."""
     x = F.transform("embedding", lambda x: x.cast("double"))
     whole = F.forall(x, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     kept = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(whole, F.lit(True)))
-    return kept.select("vec_id", F.transform(x, lambda x: F.floor(x * scale)).alias("v")).groupBy("vec_id").agg(F.max("v").alias("v"))
+    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda x: F.floor(x * scale)).alias("v"))
 
 
 def dense(lists: pa.Array, width: int = 0) -> np.ndarray:
@@ -43,11 +48,19 @@ def dense(lists: pa.Array, width: int = 0) -> np.ndarray:
     return out
 
 
+@functools.cache
+def side(part: int) -> np.ndarray:
+    """The directions that codes take the signs of, in 256 components from 256 * part on."""
+    return np.random.default_rng((SEED, part)).standard_normal((256, SIGNS))
+
+
 def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         v = dense(batch.column("v")).astype(float)
-        side = np.random.default_rng(SEED).standard_normal((SIGNS, max(1, v.shape[1])))[:, : v.shape[1]] if v.shape[1] <= 1 << 12 else np.ones((SIGNS, v.shape[1]))
-        code = ((v @ side.T > 0) << np.arange(SIGNS)).sum(1)
+        along = np.zeros((len(v), SIGNS))
+        for j in range(0, v.shape[1], 256):
+            along += v[:, j : j + 256] @ side(j // 256)[: v.shape[1] - j]
+        code = ((along > 0) << np.arange(SIGNS)).sum(1)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code, pa.int64())], names=["vec_id", "v", "code"])
 
 
@@ -65,35 +78,32 @@ def kth(scores: np.ndarray, k: int) -> np.ndarray:
     return np.full(len(scores), LOWEST) if scores.shape[1] < k else -np.partition(-scores, k - 1, axis=1)[:, k - 1]
 
 
-SHARDS = "shard long, width int, ids binary, data binary"
-QUERIES = "query_id long, seed long, v binary, width int"
+QUERY = "struct<row: long, query_id: long, low: long, v: binary, width: int>"
+SHARDS = f"shard long, width int, ids binary, rows binary, data binary, top binary, least binary, queries array<{QUERY}>"
+ASKED = pa.list_(pa.struct([("row", pa.int64()), ("query_id", pa.int64()), ("low", pa.int64()), ("v", pa.binary()), ("width", pa.int32())]))
 
 
 def sharded(every: int, k: int):
     """Shards from rows sorted by code, and each shard's queries with the kth score in their own block."""
 
-    def shard(table: pa.Table, number: int) -> tuple:
-        ids = table.column("vec_id").to_numpy()
-        v = dense(table.column("v").combine_chunks())
-        queries = []
-        for b in range(0, len(ids), BLOCK):
-            own, at = ids[b : b + BLOCK], v[b : b + BLOCK]
-            asked = np.flatnonzero(own % every == 0)
-            if not len(asked):
-                continue
-            s = products(at[asked], at)
-            s[np.arange(len(asked)), asked] = LOWEST + 1
-            for i, seed in zip(asked.tolist(), kth(s, k + 1 if len(own) > k else 10**9).tolist(), strict=True):
-                queries.append((int(own[i]), max(seed, LOWEST), at[i].tobytes(), v.shape[1]))
-        return (number, v.shape[1], ids.tobytes(), v.tobytes()), queries
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, held = TaskContext.get().partitionId(), 0, None
 
         def out(table: pa.Table) -> pa.RecordBatch:
-            row, queries = shard(table, part << 32 | made)
-            listed = [[{"query_id": q, "seed": s, "v": v, "width": w} for q, s, v, w in queries]]
-            return pa.RecordBatch.from_arrays([*(pa.array([x]) for x in row[:1]), pa.array([row[1]], pa.int32()), *(pa.array([x], pa.binary()) for x in row[2:]), pa.array(listed, ASKED)], names=["shard", "width", "ids", "data", "queries"])
+            ids, rows = (table.column(c).to_numpy() for c in ("vec_id", "row"))
+            v = dense(table.column("v").combine_chunks())
+            queries = []
+            for b in range(0, len(ids), BLOCK):
+                own, at = ids[b : b + BLOCK], v[b : b + BLOCK]
+                asked = np.flatnonzero(own % every == 0)
+                if not len(asked):
+                    continue
+                s = products(at[asked], at)
+                s[np.arange(len(asked)), asked] = LOWEST + 1
+                low = kth(s, k) if len(own) > k else np.full(len(asked), LOWEST)
+                queries += [{"row": int(rows[b + i]), "query_id": int(own[i]), "low": x, "v": at[i].tobytes(), "width": v.shape[1]} for i, x in zip(asked.tolist(), low.tolist(), strict=True)]
+            one = [pa.array([part << 32 | made]), pa.array([v.shape[1]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, rows, v, v.max(0), v.min(0))), pa.array([queries], ASKED)]
+            return pa.RecordBatch.from_arrays(one, names=["shard", "width", "ids", "rows", "data", "top", "least", "queries"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -110,19 +120,36 @@ def sharded(every: int, k: int):
     return run
 
 
-ASKED = pa.list_(pa.struct([("query_id", pa.int64()), ("seed", pa.int64()), ("v", pa.binary()), ("width", pa.int32())]))
+def matrix(asked: list[dict], width: int) -> np.ndarray:
+    """The vectors of queries, as wide as the widest, or as width."""
+    out = np.zeros((len(asked), max([width, *(x["width"] for x in asked)])), np.int64)
+    for i, x in enumerate(asked):
+        out[i, : x["width"]] = np.frombuffer(x["v"], np.int64)
+    return out
+
+
+def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows with a group of queries and a group of shards' maxima the pairs (row, shard, bound) whose bound reaches the kth score."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            asked, shards = batch.column("asked")[i].as_py(), batch.column("maxima")[i].as_py()
+            width = max(x["width"] for x in shards)
+            top, least = (np.zeros((len(shards), width), np.int64) for _ in range(2))
+            for j, x in enumerate(shards):
+                top[j, : x["width"]], least[j, : x["width"]] = np.frombuffer(x["top"], np.int64), np.frombuffer(x["least"], np.int64)
+            q = matrix(asked, width)
+            bound = products(np.maximum(q, 0), top) + products(np.minimum(q, 0), least)
+            a, b = np.nonzero(bound >= np.array([x["low"] for x in asked])[:, None])
+            row, shard = np.array([x["row"] for x in asked])[a], np.array([x["shard"] for x in shards])[b]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (row, shard, bound[a, b])], names=["row", "shard", "bound"])
 
 
 def searched(k: int):
-    """The k best of each shard for each query of a group that the shard can still matter to."""
-
-    def one(ids: np.ndarray, data: np.ndarray, asked: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        width = max(data.shape[1], max(x["width"] for x in asked))
-        qid = np.array([x["query_id"] for x in asked])
-        q = np.zeros((len(asked), width), np.int64)
-        for i, x in enumerate(asked):
-            q[i, : x["width"]] = np.frombuffer(x["v"], np.int64)
-        low = np.array([x["seed"] for x in asked])
+    """The k best of each shard for each query of a group that asks for it."""
+
+    def one(ids: np.ndarray, rows: np.ndarray, data: np.ndarray, asked: list[dict]) -> list[np.ndarray]:
+        q, own_row = matrix(asked, data.shape[1]), np.array([x["row"] for x in asked])
+        low = np.array([x["low"] for x in asked])
         cuts = range(0, len(ids), BLOCK)
         top = np.stack([data[b : b + BLOCK].max(0) for b in cuts])
         least = np.stack([data[b : b + BLOCK].min(0) for b in cuts])
@@ -136,10 +163,10 @@ def searched(k: int):
             found = [best]
             for b in np.unique(order[active, r]).tolist():
                 who = active[order[active, r] == b]
-                own = ids[b * BLOCK : (b + 1) * BLOCK]
-                s = products(q[who], data[b * BLOCK : (b + 1) * BLOCK])
-                i, j = np.nonzero((s >= low[who, None]) & (own[None, :] != qid[who, None]))
-                found.append([who[i], own[j], s[i, j]])
+                cut = slice(b * BLOCK, (b + 1) * BLOCK)
+                s = products(q[who], data[cut])
+                i, j = np.nonzero((s >= low[who, None]) & (rows[cut][None, :] != own_row[who, None]))
+                found.append([who[i], ids[cut][j], s[i, j]])
             who, vec, score = (np.concatenate(x) for x in zip(*found, strict=True))
             sort = np.lexsort((vec, -score, who))
             who, vec, score = who[sort], vec[sort], score[sort]
@@ -149,35 +176,52 @@ def searched(k: int):
             full = rank == k - 1
             low[who[full]] = np.maximum(low[who[full]], score[full])
             best = [x[rank < k] for x in (who, vec, score)]
-        return qid[best[0]], best[1], best[2]
+        return [own_row[best[0]], np.array([x["query_id"] for x in asked])[best[0]], best[1], best[2]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = np.frombuffer(batch.column("ids")[i].as_buffer(), np.int64)
-                data = np.frombuffer(batch.column("data")[i].as_buffer(), np.int64).reshape(len(ids), batch.column("width")[i].as_py())
-                made = one(ids, data, batch.column("asked")[i].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=["query_id", "vec_id", "score"])
+                ids, rows, data = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in ("ids", "rows", "data"))
+                made = one(ids, rows, data.reshape(len(ids), batch.column("width")[i].as_py()), batch.column("asked")[i].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=["row", "query_id", "vec_id", "score"])
 
     return run
 
 
+def best(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def search(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row whose vec_id is divisible by `every`, the k other rows with the highest scores, ties to the smaller vec_id.
 
-    Vectors as quantised() keeps them; shorter ones count as if they ended in zeros. A table without queries or
-    candidates gives no rows. Scores of components beyond 2**31 may leave the range of a long.
+    Vectors as quantised() keeps them; shorter ones count as if they ended in zeros. Rows count one by one: of rows with
+    one vec_id, each is a candidate of all others, and each a query of its own. A table without queries or candidates
+    gives no rows. Scores of components beyond 2**31 may leave the range of a long.
     """
-    rows = quantised(vectors).mapInArrow(coded, "vec_id long, v array<long>, code long")
-    rows = saved(rows)
-    ordered = rows.repartitionByRange("code", "vec_id").sortWithinPartitions("code", "vec_id")
-    shards = saved(ordered.mapInArrow(sharded(every, k), SHARDS + f", queries array<struct<{QUERIES.replace(' ', ':').replace(',:', ', ')}>>"))
+    rows = saved(quantised(vectors).mapInArrow(coded, "vec_id long, v array<long>, code long").withColumn("row", F.monotonically_increasing_id()))
+    ordered = rows.repartitionByRange("code", "vec_id", "row").sortWithinPartitions("code", "vec_id", "row")
+    shards = saved(ordered.mapInArrow(sharded(every, k), SHARDS))
     asked = shards.select(F.explode("queries").alias("q")).select("q.*")
-    groups, slices = max(1, -(-asked.count() // GROUP)), max(1, -(-shards.count() // 2))
-    asked = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("group")).agg(F.collect_list(F.struct("query_id", "seed", "v", "width")).alias("asked"))
+    n_asked, n_shards = asked.count(), shards.count()
+    groups, parts = max(1, -(-n_asked // GROUP)), max(1, -(-n_shards // GROUP))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
     every_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    dealt = shards.select("width", "ids", "data", F.pmod(F.xxhash64("shard"), F.lit(slices)).alias("slice"), every_of(groups).alias("group"))
-    found = dealt.join(asked.withColumn("slice", every_of(slices)), ["group", "slice"]).select("width", "ids", "data", "asked")
-    found = found.mapInArrow(searched(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    grouped = asked.groupBy(dealt("row", groups).alias("group")).agg(F.collect_list(F.struct("row", "query_id", "low", "v", "width")).alias("asked"))
+    maxima = shards.groupBy(dealt("shard", parts).alias("part")).agg(F.collect_list(F.struct("shard", "width", "top", "least")).alias("maxima"))
+    met = grouped.withColumn("part", every_of(parts)).join(maxima, "part").select("asked", "maxima").repartition(max(1, groups * parts))
+    pairs = met.mapInArrow(bounded, "row long, shard long, bound long")
+    pairs = saved(pairs.withColumn("nth", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("bound"), "shard"))))
+
+    def scored(wanted: DataFrame, queries: DataFrame) -> DataFrame:
+        sent = wanted.select("row", "shard").join(queries, "row")
+        sent = sent.groupBy("shard", dealt("row", groups).alias("group")).agg(F.collect_list(F.struct("row", "query_id", "low", "v", "width")).alias("asked"))
+        data = shards.select("shard", "width", "ids", "rows", "data").join(sent, "shard")
+        return data.select("width", "ids", "rows", "data", "asked").mapInArrow(searched(k), "row long, query_id long, vec_id long, score long")
+
+    first = saved(best(scored(pairs.where(F.col("nth") <= FIRST), asked), k))
+    raised = asked.join(first.where(F.col("rank") == k).select("row", F.col("score").alias("kth")), "row", "left").withColumn("low", F.greatest("low", "kth")).drop("kth")
+    others = pairs.where(F.col("nth") > FIRST).join(raised.select("row", "low"), "row").where("bound >= low")
+    found = first.drop("rank").unionByName(scored(others, raised))
+    return best(found, k).select("query_id", "rank", "vec_id", "score")

@@ -11,6 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.common import saved
+
+#: Parts into which the captures of each pattern and month are dealt.
+SALTS = 32
+
 
 def host(url: Column) -> Column:
     """The host of a URL in lower case, without user and port; empty where there is none."""
@@ -49,13 +54,17 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     The longest active pattern decides; of equal ones an allowing entry. Without one the decision is none. A null or
     malformed URL has no host and matches nothing, a null day neither. Repeated rows stay.
     """
-    rows = captures.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", "day")
+    rows = saved(captures.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", "day"))  # numbered once, read twice
+    captures = rows
     last = F.coalesce(F.date_sub("to", 1), F.lit("2999-12-31").cast("date"))
     bounds = captures.agg(F.trunc(F.min("day"), "month").alias("low"), F.trunc(F.max("day"), "month").alias("high"))  # one row
     active = intervals(entries).crossJoin(F.broadcast(bounds)).withColumns({"a": F.greatest(F.trunc("from", "month"), "low"), "z": F.least(F.trunc(last, "month"), "high")}).where("a <= z")
     active = active.select("pattern", "allow", "from", "to", F.explode(F.sequence("a", "z", F.expr("interval 1 month"))).alias("month"))
     probes = rows.select("row", "day", F.trunc("day", "month").alias("month"), F.explode(patterns(F.col("url"))).alias("pattern"))
-    hit = probes.join(active, ["pattern", "month"]).where((F.col("day") >= F.col("from")) & (F.col("to").isNull() | (F.col("day") < F.col("to"))))
+    named = active.join(probes.select("pattern", "month").distinct(), ["pattern", "month"], "left_semi")
+    salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a host's captures of a month are dealt to tasks
+    probes = probes.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    hit = probes.join(salted, ["pattern", "month", "salt"]).where((F.col("day") >= F.col("from")) & (F.col("to").isNull() | (F.col("day") < F.col("to"))))
     best = F.max(F.struct(F.length("pattern").alias("n"), "allow", "pattern"))
     found = hit.groupBy("row").agg(F.count("*").alias("n_active"), best.alias("best"))
     decision = F.when(F.col("best").isNull(), "none").when(F.col("best.allow"), "allow").otherwise("block")

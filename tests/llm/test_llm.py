@@ -469,3 +469,114 @@ def near_by_sets(docs):
     edges = [(a, b) for (a, b), n in both.items() if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n)]
     gone = set(roots(*np.array(edges).T)[0].tolist())
     return sorted(set(sets) - gone)
+
+
+# ---- odd tables
+
+
+def test_media_corrupt(spark):
+    nested = b""
+    for _ in range(3000):
+        nested = media.box(b"moov", nested)
+    good = media.write(media.padded(b"x" * 5000))
+    at = good.index(b"stsz") + 8
+    many = good[:at] + b"\0\0\0\x01\xff\xff\xff\xff" + good[at + 8 :]
+    at = good.index(b"stsc") + 16
+    runs = good[:at] + b"\xff\xff\xff\xff" + good[at + 4 :]
+    at = good.index(b"stco") + 12
+    away = good[:at] + b"\xff\xff\xff\xff" + good[at + 4 :]
+    rows = [(i, m) for i, m in enumerate((nested, many, runs, away, good))]
+    got = {r.i: r.track for r in media.probe(spark.createDataFrame(rows, "i long, media binary")).collect()}
+    assert all(got[i].error for i in range(4)) and got[4].error is None and got[4].samples == 79
+
+
+def test_media_two_tracks():
+    one = media.write(media.padded(b"a" * 9000))
+    moov = one.index(b"moov") - 4
+    size = struct.unpack_from(">I", one, moov)[0]
+    trak = one.index(b"trak") - 4
+    track = one[trak : trak + struct.unpack_from(">I", one, trak)[0]]
+    bare = track.replace(b"stss", b"free")  # a track whose samples are all sync samples
+    both = struct.pack(">I", size + len(track)) + one[moov + 4 : trak] + bare + track
+    made = one[:moov] + both + one[moov + size :]
+    assert len(media.read(made)["keyframes"]) == 141 and len(media.read(one)["keyframes"]) == 3
+
+
+def test_chat_ties(spark):
+    w = chat.fit(chat.transcripts(spark.read.parquet(f"{DATA}/conversations.parquet")))
+    rows = [(1, 0, 0, "User: b?"), (1, 0, 0, "Assistant: a."), (1, 0, 0, "Assistant: a."), (None, 0, 0, None), (None, 0, 0, "User: x"), (2, None, None, "")]
+    given = spark.createDataFrame([(*r, "own") for r in rows], "conv_id long, turn long, line_no long, line string, role string")
+    runs = [sorted(map(str, chat.recover(given.repartition(n), w).collect())) for n in (1, 3, 4)]
+    assert len(runs[0]) == len(rows) and runs[0] == runs[1] == runs[2]
+
+
+def test_pii_merge_is_linear():
+    text = "mail a@b.cd or x at example dot com, " * 6000
+    began = time.monotonic()
+    found = pii.spans(text)
+    assert len(found) == 12000 and time.monotonic() - began < 10
+
+
+def test_topk_repeated_ids(spark):
+    r = np.random.default_rng(4)
+    rows = [(int(i) % 40 * 5, [float(x) for x in r.normal(0, 1, 6)]) for i in range(300)]
+    got = Counter(tuple(x) for x in topk.search(spark.createDataFrame([(*x, "v") for x in rows], "vec_id long, embedding array<double>, v string").repartition(3)).collect())
+    ids, m = np.array([i for i, _ in rows]), np.stack([np.floor(256 * np.array(v)).astype(int) for _, v in rows])
+    want = Counter()
+    for i in np.flatnonzero(ids % 50 == 0):
+        s = m @ m[i]
+        want.update((int(ids[i]), k + 1, int(ids[j]), int(s[j])) for k, j in enumerate([j for j in np.lexsort((ids, -s)) if j != i][:5]))
+    assert got == want
+
+
+def test_tiles_are_bounded(spark):
+    held = spark.range(6000).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("row"), F.when(F.col("id") < 3000, 0).otherwise(F.col("id")).alias("comp"))
+    most = minhash.tiled(held, minhash.BLOCK).groupBy("key", "i", "j").count().agg(F.max("count")).first()[0]
+    assert most <= 2 * minhash.BLOCK * 1.3
+
+
+def test_gradient_by_differences():
+    r = np.random.default_rng(6)
+    x, count, y = r.normal(size=(30, quality.FEATURES)), np.array([2, 8, 20]), np.array([1.0, 0, 1])
+    w = quality.fit(x, count, y) | {"c": r.normal(size=quality.CODES), "w": r.normal(size=quality.ATTENTION)}
+    g = quality.gradient(x, count, y, w)
+
+    def loss(of):
+        s = quality.forward(x, count, of)["score"]
+        return -np.mean(y * np.log(s) + (1 - y) * np.log(1 - s))
+
+    for name in g:
+        for at in list(np.ndindex(w[name].shape))[:12]:
+            up, down = ({**w, name: w[name].copy()} for _ in range(2))
+            up[name][at] += 1e-6
+            down[name][at] -= 1e-6
+            assert abs((loss(up) - loss(down)) / 2e-6 - g[name][at]) < 1e-6
+
+
+def test_quality_odd(spark, odd, empty):
+    labels = spark.createDataFrame([(1, 1, "x"), (1, 1, "x"), (2, 0, "x"), (None, 1, "x"), (3, None, "x")], "doc_id long, quality int, source string")
+    twice = odd.unionByName(odd).withColumn("score", F.lit("own"))
+    got = quality.digest(twice, labels).collect()
+    assert len(got) == 2 * len(ODD) and len({r.score for r in got}) <= len(set(ODD)) and all(0 <= r.score <= 1 for r in got)
+    assert quality.digest(empty, labels).count() == 0 and quality.digest(odd, labels.where("false")).count() == len(ODD)
+
+
+def test_pipeline_odd(spark, tmp_path):
+    import corpus_pipeline
+
+    some = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = some.unionByName(some.limit(20)).unionByName(some.limit(5).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(some.limit(3).withColumn("text", F.lit(None).cast("string")))
+    docs = docs.withColumn("row", F.lit("own")).withColumn("score", F.lit(0.1))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    given = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = spark.createDataFrame(stage(spark, given, str(tmp_path)).collect(), given.schema)
+        assert after.columns == docs.columns and 0 < after.count() <= given.count()
+        given = after
+    texts = [r.text for r in given.collect() if (r.text or "").split()]
+    assert len(texts) == len(set(texts))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= given.count()
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
