@@ -5,24 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.scratch import forget, saved
+
+
+def steps(edges: DataFrame) -> DataFrame:
+    """edges without overrides, whose conditions a walk can't judge."""
+    return edges.where("relation <> 'overrides'") if "relation" in edges.columns else edges
+
 
 def walk(starts: DataFrame, edges: DataFrame, hops: int = 10) -> DataFrame:
-    """(start, node, hop): the nodes within some hops of each start, with the least number of hops. edges: (source, target).
+    """(start, node, hop): the nodes within some hops of each start, with the least number of hops. edges: (source, target), and relation, of which overrides are skipped.
 
-    One join for each hop; a node that was reached earlier is left out by an anti-join, so cycles end the walk.
+    A round for each hop: its new nodes are written and met with the edges, and a round without new nodes is the last,
+    so the plan of a round doesn't hold the earlier ones and cycles end the walk.
     """
-    seen = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("hop"))
-    front = seen
+    if hops < 0:
+        raise ValueError("hops must not be negative")
+    known = steps(edges).select("source", "target")
+    front = saved(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("hop")).distinct())
+    seen = front
     for hop in range(1, hops + 1):
-        new = front.join(edges, front["node"] == edges["source"]).select("start", F.col("target").alias("node")).distinct()
-        front = new.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hop", F.lit(hop))
+        new = front.join(known, front["node"] == known["source"]).select("start", F.col("target").alias("node")).distinct()
+        front = saved(new.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hop", F.lit(hop)))
+        if front.isEmpty():
+            forget(front)
+            break
         seen = seen.unionByName(front)
     return seen
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed and without its lineage: below spark.checkpoint.dir, or in the executors' storage where that is unset."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+def walked_edges(seen: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """(start, *edges): the edges that a walk of some hops followed, those from nodes that it reached before its last hop."""
+    known = steps(edges)
+    return seen.where(F.col("hop") < hops).select("start", F.col("node").alias("source")).join(known, "source").select("start", *known.columns)
 
 
 def levels(parents: DataFrame) -> DataFrame:
@@ -31,13 +46,13 @@ def levels(parents: DataFrame) -> DataFrame:
     Each round doubles the steps that a node looks up, so there are about log2(depth) joins. A round in which no node
     gets to its end is the last: there are nodes at every level above the deepest, and the rest never get to one.
     """
-    open_ = cut(parents.select("node", F.col("parent").alias("up"), F.col("parent").isNotNull().cast("int").alias("steps"), F.col("parent").isNull().alias("rooted")))
+    open_ = saved(parents.select("node", F.col("parent").alias("up"), F.col("parent").isNotNull().cast("int").alias("steps"), F.col("parent").isNull().alias("rooted")))
     done = open_.where("up is null")
     open_ = open_.where("up is not null")
     while True:
         above = open_.unionByName(done).select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("rooted").alias("top"))
         met = open_.drop("rooted").join(above, "up", "left").select("node", F.col("next").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.coalesce("top", F.lit(False)).alias("rooted"))
-        met = cut(met)
+        met = saved(met)
         ended = met.where("up is null")
         if ended.isEmpty():
             break

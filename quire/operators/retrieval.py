@@ -2,33 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.scratch import saved, sized
+
 K1, B = 1.5, 0.75
 
 
-def postings(docs: DataFrame, tokens: Column) -> DataFrame:
-    """(doc_id, term, f, len) from documents and their tokens; one shuffle by (doc_id, term), combined before it."""
-    words = docs.select("doc_id", tokens.alias("t")).select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term"))
-    return words.groupBy("doc_id", "term").agg(F.count("*").alias("f"), F.first("len").alias("len"))
+#: Digits after the point to which scores are compared, so that sums of the same numbers in another order tie.
+TIES = 12
+
+
+def tokenised(docs: DataFrame, **tokens: Column) -> DataFrame:
+    """(doc_id, one array of tokens for each name), from one pass over the texts; written once for all that reads it."""
+    return saved(docs.select("doc_id", *(c.alias(name) for name, c in tokens.items())))
+
 
+def postings(counted: DataFrame, queries: DataFrame) -> DataFrame:
+    """(doc_id, term, f, len) of the queries' terms in documents (doc_id, t). Other terms go before anything is counted."""
+    words = counted.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term"))
+    wanted = words.join(sized(queries.select("term").distinct()), "term", "left_semi")
+    return wanted.groupBy("doc_id", "term").agg(F.count("*").alias("f"), F.first("len").alias("len"))
 
-def bm25(docs: DataFrame, tokens: Column, queries: DataFrame, floor: float | None = None) -> DataFrame:
-    """(q_id, doc_id, score) for queries (q_id, term, times): only documents with a term of the query.
 
-    Postings meet only the queries' terms, so what is scored follows the questions and not the vocabulary.
+def bm25(counted: DataFrame, queries: DataFrame, floor: float | None = None) -> DataFrame:
+    """(q_id, doc_id, score) for documents (doc_id, t) and queries (q_id, term, times): only documents with a term of the query.
+
+    Postings are only those of the queries' terms, so what moves follows the questions and not the vocabulary. Terms,
+    frequencies and questions are broadcast up to a counted number of rows.
     """
-    counted = docs.select("doc_id", tokens.alias("t"))
     totals = counted.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg"))  # one row
-    wanted = queries.select("term").distinct()
-    own = postings(docs, tokens).join(F.broadcast(wanted), "term")
-    df = own.groupBy("term").agg(F.count("*").alias("df"))
+    own = saved(postings(counted, queries))
+    df = sized(own.groupBy("term").agg(F.count("*").alias("df")))
     average = F.greatest(F.col("avg"), F.lit(floor)) if floor is not None else F.col("avg")
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / average))
-    hits = own.join(F.broadcast(df), "term").crossJoin(F.broadcast(totals)).join(F.broadcast(queries), "term")
-    return hits.groupBy("q_id", "doc_id").agg(F.round(F.sum(weight * F.col("times")), 6).alias("score"))
+    hits = own.join(df, "term").crossJoin(F.broadcast(totals)).join(sized(queries), "term")
+    return hits.groupBy("q_id", "doc_id").agg(F.round(F.sum(weight * F.col("times")), TIES).alias("score"))
 
 
 def top(scores: DataFrame, k: int, score: str = "score", key: str = "q_id", tie: str = "doc_id") -> DataFrame:
@@ -42,6 +57,44 @@ def cosine(a: str, b: str) -> Column:
     return dot(F.col(a), F.col(b)) / (F.sqrt(dot(F.col(a), F.col(a))) * F.sqrt(dot(F.col(b), F.col(b))))
 
 
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0, block: int = 2048) -> DataFrame:
+    """(q_id, doc_id, score, rank): for queries (q_id, v) the k rows (doc_id, v) with the greatest cosine of at least `least`, ties by doc_id; no row with its own id.
+
+    Vectors are dealt to blocks and queries to groups of about `block` rows; a group meets a block in one task, as a
+    product of matrices, which gives its k best only. A row without a vector, or whose vector has no length, takes no part.
+    """
+    length = lambda t: F.sqrt(F.aggregate(t, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    unit = lambda t, key: t.select(key, F.transform("v", lambda x: x.cast("double")).alias("v")).where(length("v") > 0)
+    rows, asked = saved(unit(vectors, "doc_id")), saved(unit(queries, "q_id"))
+    n_rows, n_asked = max(1, -(-rows.count() // block)), max(1, -(-asked.count() // block))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    blocks = rows.groupBy(dealt("doc_id", n_rows).alias("b")).agg(F.collect_list(F.struct("doc_id", "v")).alias("rows")).withColumn("g", every(n_asked))
+    groups = asked.groupBy(dealt("q_id", n_asked).alias("g")).agg(F.collect_list(F.struct("q_id", "v")).alias("asked"))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def matrix(lists: pa.Array) -> np.ndarray:
+            n = np.diff(lists.offsets.to_numpy())
+            out = np.zeros((len(n), int(n.max(initial=0))))
+            out[np.arange(out.shape[1]) < n[:, None]] = lists.flatten().to_numpy()
+            return out / np.sqrt((out**2).sum(1))[:, None]
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own, ask = batch.column("rows")[i].values, batch.column("asked")[i].values
+                d, q = matrix(own.field("v")), matrix(ask.field("v"))
+                width = min(d.shape[1], q.shape[1])
+                score = np.round(q[:, :width] @ d[:, :width].T, TIES)
+                ids, q_ids = own.field("doc_id").to_numpy(), ask.field("q_id").to_numpy()
+                score[(q_ids[:, None] == ids[None, :]) | (score < least)] = -2
+                low = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k] if score.shape[1] > k else np.full(len(q), -2.0)
+                a, b = np.nonzero((score >= low[:, None]) & (score > -2))
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[a]), pa.array(ids[b]), pa.array(score[a, b])], names=["q_id", "doc_id", "score"])
+
+    found = blocks.join(groups, "g").select("rows", "asked").mapInArrow(best, "q_id long, doc_id long, score double")
+    return top(found, k)
+
+
 def fuse(lists: list[DataFrame], offset: int, ties: str) -> DataFrame:
     """(q_id, doc_id, score): sums of 1 / (60 + rank + offset) over ranked lists (q_id, doc_id, rank from 1).
 
@@ -52,7 +105,7 @@ def fuse(lists: list[DataFrame], offset: int, ties: str) -> DataFrame:
     for i, x in enumerate(lists):
         part = x.select("q_id", "doc_id", "rank", F.lit(i).alias("list"))
         all_ = part if all_ is None else all_.unionByName(part)
-    out = all_.groupBy("q_id", "doc_id").agg(F.round(F.sum(1 / (60 + F.col("rank") + offset)), 9).alias("score"), F.min(F.struct("list", "rank")).alias("first"))
+    out = all_.groupBy("q_id", "doc_id").agg(F.round(F.sum(1 / (60 + F.col("rank") + offset)), TIES).alias("score"), F.min(F.struct("list", "rank")).alias("first"))
     tie = F.col("first.list") * 1_000_000 + F.col("first.rank") if ties == "first" else F.col("doc_id")
     return out.withColumn("tie", tie.cast("long")).drop("first")
 

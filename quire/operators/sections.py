@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import page_range, terms
-from quire.operators.graph import cut
+from quire.scratch import saved
 
 #: Fixed patterns of a chunk's own heading, and of a page's first line.
 NUMBERED = r"^([IVXLCDM]+\.|[A-Z]\.|[0-9]+\.)\s+\S"
@@ -55,13 +55,13 @@ def promoted(sections: DataFrame) -> DataFrame:
     long, old = F.length("text") > LONGEST, F.contains(F.upper("title"), F.lit(HISTORY))
     flags = sections.select("section", F.col("parent").alias("at"), good.alias("good"), long.alias("long"), old.alias("old"))
     off = F.coalesce("old", F.lit(False))
-    state = cut(flags.select("section", "at", F.when(F.col("good"), F.col("section")).alias("answer"), F.coalesce(F.col("good") & F.col("long"), F.lit(False)).alias("far"), off.alias("dead")))
+    state = saved(flags.select("section", "at", F.when(F.col("good"), F.col("section")).alias("answer"), F.coalesce(F.col("good") & F.col("long"), F.lit(False)).alias("far"), off.alias("dead")))
     n, seen, done = state.count(), 1, state.where("at is null")
     open_ = state.where("at is not null")
     while seen < n and not open_.isEmpty():
         above = open_.unionByName(done).select(F.col("section").alias("at"), F.col("at").alias("up"), F.col("answer").alias("a"), F.col("far").alias("f"), F.col("dead").alias("d"))
         far = F.when(F.col("answer").isNull(), F.coalesce("f", F.lit(False))).otherwise(F.col("far"))
-        met = cut(open_.join(above, "at", "left").select("section", F.col("up").alias("at"), F.coalesce("answer", "a").alias("answer"), far.alias("far"), (F.col("dead") | F.coalesce("d", F.lit(False))).alias("dead")))
+        met = saved(open_.join(above, "at", "left").select("section", F.col("up").alias("at"), F.coalesce("answer", "a").alias("answer"), far.alias("far"), (F.col("dead") | F.coalesce("d", F.lit(False))).alias("dead")))
         done, open_, seen = done.unionByName(met.where("at is null")), met.where("at is not null"), 2 * seen
     own = F.col("answer") == F.col("section")
     return done.unionByName(open_).select("section", F.when(~F.col("dead") & (own | ~F.col("far")), F.col("answer")).alias("answer"))

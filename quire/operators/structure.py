@@ -26,32 +26,50 @@ def running_labels(rows: DataFrame, k: int = 3) -> DataFrame:
     return found.withColumn("keep", F.row_number().over(Window.partitionBy("doc_id", "label").orderBy("page", "pos")) == 1).drop("up", "down")
 
 
+#: Distinct levels of headings in one table; Word has nine.
+LEVELS = 64
+
+
+def levels_of(heads: DataFrame) -> list[int]:
+    """The levels that headings have, ascending."""
+    found = sorted(r[0] for r in heads.select("level").where("level is not null").distinct().limit(LEVELS + 1).collect())
+    if len(found) > LEVELS:
+        raise ValueError(f"more than {LEVELS} levels of headings")
+    return found
+
+
 def section_ranges(heads: DataFrame, ends: DataFrame) -> DataFrame:
-    """heads (doc_id, start, level) with end: the next heading of the same or a higher place, else the document's end.
+    """heads (doc_id, start, level) with end: the next heading of the same or a smaller level, else the document's end.
 
-    Levels are few, so each level's next heading comes from one window over the document's headings.
+    Each level that occurs has its next heading from one window over the document's headings.
     """
     after = Window.partitionBy("doc_id").orderBy("start").rowsBetween(1, Window.unboundedFollowing)
-    following = F.least(*(F.when(F.col("level") >= k, F.min(F.when(F.col("level") == k, F.col("start"))).over(after)) for k in (1, 2, 3)))
-    return heads.withColumn("next", following).join(ends, "doc_id").withColumn("end", F.coalesce("next", "end")).drop("next")
+    nexts = [F.when(F.col("level") >= k, F.min(F.when(F.col("level") == k, F.col("start"))).over(after)) for k in levels_of(heads)]
+    following = F.least(*nexts, F.lit(None)) if nexts else F.lit(None)
+    return heads.withColumn("next", following.cast("int")).join(ends, "doc_id").withColumn("end", F.coalesce("next", "end")).drop("next")
 
 
 def parents(ranges: DataFrame) -> DataFrame:
-    """ranges with parent, the start of the enclosing range with the greatest smaller level (the first one on a tie)."""
-    inner, outer = ranges.alias("i"), ranges.alias("o")
-    around = (F.col("i.doc_id") == F.col("o.doc_id")) & (F.col("o.start") <= F.col("i.start")) & (F.col("o.end") >= F.col("i.end")) & (F.col("o.level") < F.col("i.level"))
-    best = F.max_by(F.col("o.start"), F.struct(F.col("o.level"), -F.col("o.start")))
-    found = inner.join(outer, around, "left").groupBy("i.doc_id", "i.start", "i.level", "i.end")
-    return found.agg(best.alias("parent"))
+    """ranges, as section_ranges() makes them, with parent: the start of the enclosing range with the greatest smaller level.
+
+    That is the last heading before with a smaller level: none of those between ends it.
+    """
+    before = Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = [F.when(F.col("level") > k, F.max(F.when(F.col("level") == k, F.col("start"))).over(before)) for k in levels_of(ranges)]
+    return ranges.withColumn("parent", (F.greatest(*lasts, F.lit(None)) if lasts else F.lit(None)).cast("int"))
 
 
 def owners(ranges: DataFrame, ends: DataFrame) -> DataFrame:
-    """Slices (doc_id, a, b, owner) between all range borders, each owned by the deepest range around it; null owns the rest."""
-    border = ranges.select("doc_id", F.explode(F.array("start", "end")).alias("a")).unionByName(ends.select("doc_id", F.explode(F.array(F.lit(0), "end")).alias("a"))).distinct()
-    cut = border.withColumn("b", F.lead("a").over(Window.partitionBy("doc_id").orderBy("a"))).where("b is not null and b > a")
-    inside = (F.col("c.doc_id") == F.col("r.doc_id")) & (F.col("r.start") <= F.col("c.a")) & (F.col("r.end") >= F.col("c.b"))
-    best = F.max_by(F.col("r.start"), F.struct(F.col("r.level"), F.col("r.start")))
-    return cut.alias("c").join(ranges.alias("r"), inside, "left").groupBy("c.doc_id", "c.a", "c.b").agg(best.alias("owner"))
+    """Slices (doc_id, a, b, owner) between all borders of ranges that section_ranges() made, each owned by the deepest range around it; null owns the rest.
+
+    A range ends where another begins, or with the document, so the borders are the headings, and the deepest range at a
+    place is that of the last heading.
+    """
+    own = ranges.select("doc_id", F.col("start").alias("a"), F.col("start").alias("owner"))
+    border = own.unionByName(ends.select("doc_id", F.lit(0).alias("a"), F.lit(None).cast("int").alias("owner")))
+    border = border.groupBy("doc_id", "a").agg(F.max("owner").alias("owner"))
+    cut = border.withColumn("b", F.lead("a").over(Window.partitionBy("doc_id").orderBy("a")))
+    return cut.join(ends, "doc_id").select("doc_id", "a", F.coalesce("b", "end").alias("b"), "owner").where("b > a")
 
 
 def windows(sized: DataFrame, size: int = 240, overlap: int = 40) -> DataFrame:
@@ -83,7 +101,9 @@ def chunk_stats(sizes: DataFrame) -> DataFrame:
     )
 
 
+MARKER = r"(?m)(?=^[ \t]*(?:[A-Z][A-Z\s]{4,}:?\s*$|(?i:Part\s+\d+|[IVXLCDM]{1,6}\.|[A-Z]\.\s|\d{1,2}\.\s)))"
+
+
 def pieces_by_marker(text: Column) -> Column:
     """A text cut before lines that open a section, pieces of more than 20 characters."""
-    marker = r"(?m)(?=^[ \t]*(?:[A-Z][A-Z\s]{4,}:?\s*$|(?i:Part\s+\d+|[IVXLCDM]{1,6}\.|[A-Z]\.\s|\d{1,2}\.\s)))"
-    return F.filter(F.transform(F.split(text, marker), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: F.length(s) > 20)
+    return F.filter(F.transform(F.split(text, MARKER), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: F.length(s) > 20)

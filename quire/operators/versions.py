@@ -86,12 +86,20 @@ def manifest_problems(manifest: DataFrame) -> DataFrame:
 
 
 def problems(documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(problem, doc_id, n) of chunks (doc_id, start, end, text): no document, outside it, or not the exact part of its text; repeated documents."""
-    joined = chunks.join(documents.select("doc_id", F.col("text").alias("whole")), "doc_id", "left")
+    """(problem, doc_id, n) of chunks (doc_id, start, end, text): no document, outside it, or not the exact part of its text; repeated documents.
+
+    A document's text moves once, to the places that its chunks name; the parts there meet the chunks by place. start and
+    end must not be null.
+    """
+    wanted = chunks.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+    cut = wanted.join(documents.select("doc_id", F.col("text").alias("whole")), "doc_id", "left").select("doc_id", "whole", F.explode("ranges").alias("r"))
+    piece = F.expr("substring(whole, r.start + 1, r.end - r.start)")
+    cut = cut.select("doc_id", "r.start", "r.end", F.length("whole").alias("size"), piece.alias("piece"))
+    joined = chunks.join(cut, ["doc_id", "start", "end"])
     kind = (
-        F.when(F.col("whole").isNull(), "no document")
-        .when((F.col("start") < 0) | (F.col("end") <= F.col("start")) | (F.col("end") > F.length("whole")), "outside")
-        .when(F.expr("substring(whole, start + 1, end - start)") != F.col("text"), "differs")
+        F.when(F.col("size").isNull(), "no document")
+        .when((F.col("start") < 0) | (F.col("end") <= F.col("start")) | (F.col("end") > F.col("size")), "outside")
+        .when(F.col("piece") != F.col("text"), "differs")
     )
     found = joined.select(kind.alias("problem"), "doc_id").where("problem is not null").groupBy("problem", "doc_id").agg(F.count("*").alias("n"))
     twice = documents.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("repeated").alias("problem"), "doc_id", "n")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import questions as qs
 from quire.operators import retrieval as rt
-from quire.operators import rules
 from quire.plans import corpus
 from quire.plans.purchases import choose, pick
 from quire.plans.tables import table
+from quire.scratch import sized
 
 ASKED = (
     "Do we need a competitive bid for a federal grant purchase?", "Is non-federal money exempt from the SSPR form?", "A small business quote for three years per year", "Only one vendor: sole source with mixed funding",
@@ -69,23 +69,38 @@ def reply_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(qs.reply_parts(F.col("r")).alias("p")).groupBy("p.answer", "p.conditions").agg(F.count("*").alias("n"))
 
 
-def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark passage's surroundings in the documents that hold all of it: texts meet passages on the passage's longest inner word."""
-    pieces = F.split("m", r"\s+")
-    inner = F.array_sort(F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0))), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("m")).where("m <> ''").withColumn("word", F.get(inner, F.lit(0))["w"])
+def holders(spark: SparkSession, sf_dir: str, wanted: DataFrame) -> DataFrame:
+    """(item_id, doc_id, text): documents that may hold an item (item_id, word), those with its word; all for an item without one.
+
+    Only ids and words meet; the texts are fetched for the pairs that are left.
+    """
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    d = documents.withColumn("word", F.explode(F.array_distinct(F.split("text", r"\s+"))))
-    short = documents.join(F.broadcast(b.where("word is null").drop("word")), F.expr("contains(text, m)"))
-    held = d.join(F.broadcast(b), "word").where("contains(text, m)").drop("word").unionByName(short)
-    return held.select("item_id", "doc_id", F.length(qs.excerpt(F.col("text"), F.col("m"))).alias("chars"), F.contains(qs.excerpt(F.col("text"), F.col("m")), F.col("m")).alias("holds"))
+    words = documents.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    pairs = words.join(sized(wanted.where("word is not null").select("item_id", "word")), "word").select("item_id", "doc_id").distinct()
+    found = documents.join(pairs, "doc_id").select("item_id", "doc_id", "text")
+    return found.unionByName(documents.crossJoin(sized(wanted.where("word is null").select("item_id"))).select("item_id", "doc_id", "text"))  # items of one or two words
+
+
+def inner_word(text: Column) -> Column:
+    """The longest word of a text that isn't its first or last one; null where there is none."""
+    pieces = F.split(text, r"\s+")
+    inner = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0)))
+    return F.get(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
+
+
+def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark passage's surroundings in the documents that hold all of it."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("m")).where("m <> ''")
+    held = holders(spark, sf_dir, b.withColumn("word", inner_word(F.col("m")))).join(sized(b), "item_id").where("contains(text, m)")
+    cut = held.select("item_id", "doc_id", "m", qs.excerpt(F.col("text"), F.col("m")).alias("cut"))
+    return cut.select("item_id", "doc_id", F.length("cut").alias("chars"), F.contains("cut", "m").alias("holds"))
 
 
 def hybrid_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to 20 candidates of either list, first seen first, and the eight with the best of both scores."""
-    first, second = (rt.top(x, 20).select("q_id", "doc_id", "score") for x in (corpus.lexical(spark, sf_dir).where("score > 0"), corpus.chunk_lexical(spark, sf_dir)))
+    first, second = (x.select("q_id", "doc_id", "score") for x in corpus.two_lists(spark, sf_dir, 20))
     pool = first.unionByName(second).groupBy("q_id", "doc_id").agg(F.max("score").alias("score"))
-    return rt.top(pool, 8).select("q_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return rt.top(pool, 8).select("q_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def modal_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,19 +135,15 @@ def pass_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether all fragments of a case (the first two lines of a passage) are in some document, by a join on passages that documents hold."""
-    c = table(spark, sf_dir, "benchmark").select("item_id", F.slice(F.split("text", "\n"), 1, 2).alias("fragments"), F.element_at(F.split("text", " "), 1).alias("word"))
-    d = table(spark, sf_dir, "documents").select("text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
-    ok = d.join(F.broadcast(c), "word").where(F.forall("fragments", lambda f: F.contains("text", f))).groupBy("item_id").agg(F.count("*").alias("documents"))
+    """For each case the number of documents with all its fragments, the lines of a passage."""
+    c = table(spark, sf_dir, "benchmark").select("item_id", F.filter(F.split("text", "\n"), lambda x: x != "").alias("fragments"))
+    longest = F.get(F.array_sort(F.transform("fragments", lambda f: F.struct((-F.length(f)).alias("n"), f.alias("f")))), F.lit(0))["f"]
+    c = c.withColumn("word", inner_word(longest))
+    held = holders(spark, sf_dir, c.where("size(fragments) > 0")).join(sized(c.select("item_id", "fragments")), "item_id")
+    ok = held.where(F.forall("fragments", lambda f: F.contains("text", f))).groupBy("item_id").agg(F.count("*").alias("documents"))
     return c.join(ok, "item_id", "left").select("item_id", F.size("fragments").alias("fragments"), F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
-def equipment_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Service categories over part types as texts."""
-    p = table(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" software services "), "p_type").alias("description"))
-    return p.groupBy(rules.said(rules.IT).alias("it"), rules.said(rules.SERVICE).alias("service")).agg(F.count("*").alias("n"))
-
-
 def sql() -> dict[str, str]:
     q = f"a AS (SELECT o_orderkey, {choose(ASKED)} AS q, o_totalprice FROM orders)"
     said = lambda p, t="q": f"coalesce(regexp_matches({t}, '(?i){p}'), FALSE)"
@@ -141,8 +152,8 @@ def sql() -> dict[str, str]:
     letters = f"array_to_string(list_filter([{', '.join(f'CASE WHEN {said(p)} THEN {chr(39)}{k}{chr(39)} END' for k, p in qs.EXPOSURES.items())}], lambda x: x IS NOT NULL), '')"
     has = lambda names: f"list_has_any(ts, [{', '.join(chr(39) + n + chr(39) for n in names)}])"
     s = corpus.sql()
-    with_b = s["bm25_topk"].split(" SELECT q_id, doc_id, score, rank")[0]
-    with_a = s["bm25_a_topk"].split(" SELECT q_id, doc_id, score, rank")[0].removeprefix("WITH ")
+    with_b = s["bm25_topk"].split(" SELECT q_id, doc_id, round(score, 6)")[0]
+    with_a = s["bm25_a_topk"].split(" SELECT q_id, doc_id, round(score, 6)")[0].removeprefix("WITH ")
     top = lambda src, k: f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rank FROM {src}) WHERE rank <= {k}"
     money = "CASE WHEN o_orderkey % 2 = 0 THEN '$' || format('{:,d}', CAST(floor(o_totalprice) AS BIGINT)) ELSE '$' || (o_orderkey % 900 + 1) || 'k' END"
     intent = s["intent_route"]
@@ -157,12 +168,12 @@ def sql() -> dict[str, str]:
         "refusals": "SELECT o_orderpriority AS priority, (o_orderkey % 2 <> 0 AND o_orderkey % 20 - 15 < -8) OR o_orderkey % 5 <> 0 AS refused, count(*) AS n FROM orders GROUP BY 1, 2",
         "citation_lines": "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN s_name || ', p.' || s_suppkey WHEN 1 THEN s_name || ' (S' || s_nationkey || ')' ELSE s_name END AS cite, CAST(CASE WHEN s_suppkey % 4 = 0 THEN s_nationkey ELSE s_suppkey END AS BIGINT) AS ref FROM supplier",
         "reply_split": "SELECT CASE o_orderkey % 4 WHEN 0 THEN 'Yes, it is.' WHEN 1 THEN 'No.' WHEN 2 THEN 'It depends.' ELSE '' END AS answer, CASE o_orderkey % 4 WHEN 0 THEN 'Ask first.' ELSE 'None' END AS conditions, count(*) AS n FROM orders GROUP BY 1, 2",
-        "hybrid_pool": f"{with_b}, {with_a}, u AS (SELECT q_id, doc_id, score FROM ({top('(SELECT * FROM s WHERE score > 0)', 20)}) UNION ALL SELECT q_id, doc_id, score FROM ({top('sa', 20)})), pool AS (SELECT q_id, doc_id, max(score) AS score FROM u GROUP BY 1, 2) SELECT q_id, doc_id, score, rank FROM ({top('pool', 8)})",
+        "hybrid_pool": f"{with_b}, {with_a}, u AS (SELECT q_id, doc_id, score FROM ({top('(SELECT * FROM s WHERE score > 0)', 20)}) UNION ALL SELECT q_id, doc_id, score FROM ({top('sa', 20)})), pool AS (SELECT q_id, doc_id, max(score) AS score FROM u GROUP BY 1, 2) SELECT q_id, doc_id, round(score, 6) AS score, rank FROM ({top('pool', 8)})",
         "modal_quantity": "WITH n AS (SELECT l_partkey, l_quantity, count(*) AS n, min(l_orderkey * 100 + l_linenumber) AS place FROM lineitem GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, place) AS k FROM n) SELECT l_partkey, l_quantity AS quantity, n FROM k WHERE k = 1",
         "intent_accuracy": f"WITH r AS ({intent}) SELECT count(*) AS n, round(avg(CASE WHEN intent = label THEN 1 ELSE 0 END), 9) AS fine, round(avg(CASE WHEN intent // 2 = label // 2 THEN 1 ELSE 0 END), 9) AS coarse FROM r JOIN embeddings USING (vec_id)",
         "run_compare": "WITH a AS (SELECT event_type, avg(value) FILTER (event_id % 2 = 0) AS base, avg(value) FILTER (event_id % 2 = 1) AS tuned FROM events GROUP BY 1) SELECT event_type, round(base, 6) AS base, round(tuned, 6) AS tuned, round(tuned - base, 6) AS change, CASE WHEN tuned - base > 0.5 THEN 'better' WHEN tuned - base < -0.5 THEN 'worse' ELSE 'same' END AS verdict FROM a",
         "pass_rate": "WITH a AS (SELECT l_returnflag, count(*) FILTER (l_linenumber <> 7 AND l_discount < 0.05) AS passed, count(*) FILTER (l_linenumber <> 7 AND l_discount >= 0.05) AS failed, count(*) FILTER (l_linenumber = 7) AS skipped FROM lineitem GROUP BY 1) SELECT *, round(passed / (passed + failed), 9) AS rate FROM a",
-        "evidence_cases": "WITH c AS (SELECT item_id, string_split(text, chr(10))[1:2] AS fr FROM benchmark) SELECT item_id, CAST(len(fr) AS INT) AS fragments, (SELECT count(*) FROM documents d WHERE contains(d.text, fr[1]) AND (len(fr) < 2 OR contains(d.text, fr[2]))) AS documents FROM c",
+        "evidence_cases": "WITH c AS (SELECT item_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS fr FROM benchmark), u AS (SELECT item_id, len(fr) AS n, unnest(fr) AS f FROM c), h AS (SELECT item_id, doc_id FROM u JOIN documents d ON contains(d.text, f) GROUP BY 1, 2 HAVING count(*) = max(n)), k AS (SELECT item_id, count(*) AS n FROM h GROUP BY 1) SELECT item_id, CAST(len(fr) AS INT) AS fragments, coalesce(n, 0) AS documents FROM c LEFT JOIN k USING (item_id)",
     }
 
 

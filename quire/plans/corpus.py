@@ -9,6 +9,7 @@ from quire.functions import text as tx
 from quire.operators import retrieval as rt
 from quire.operators import structure as st
 from quire.plans.tables import table
+from quire.scratch import sized
 
 WORD = r"[\p{L}\p{M}\p{N}_]"
 
@@ -44,9 +45,9 @@ def running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def heads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Headings at some lines of each document, with levels 1 to 3, and the documents' numbers of lines."""
+    """Headings at some lines of each document, with levels 1 to 9, and the documents' numbers of lines."""
     rows = st.lines(docs_of(spark, sf_dir))
-    level = F.pmod(F.col("line_no") * 7 + F.col("doc_id"), F.lit(3)) + 1
+    level = F.pmod(F.col("line_no") * 7 + F.col("doc_id"), F.lit(9)) + 1
     found = rows.where(F.pmod(F.col("line_no") + F.col("doc_id"), F.lit(2)) == 0).select("doc_id", F.col("line_no").alias("start"), level.cast("int").alias("level"))
     return found, docs_of(spark, sf_dir).select("doc_id", F.size(F.split("text", "\n")).alias("end"))
 
@@ -69,6 +70,12 @@ def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.windows(sized)
 
 
+def legacy_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of documents between lines that open a section."""
+    pieces = docs_of(spark, sf_dir).select("doc_id", F.posexplode(st.pieces_by_marker(F.col("text"))).alias("k", "piece"))
+    return pieces.select("doc_id", "k", F.length("piece").alias("chars"), F.md5(F.col("piece").cast("binary")).alias("digest"))
+
+
 def word_count(text):
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
 
@@ -92,36 +99,42 @@ def questions(spark: SparkSession, sf_dir: str, terms) -> DataFrame:
     return t.groupBy("q_id", "term").agg(F.count("*").alias("times"))
 
 
-def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = questions(spark, sf_dir, tx.search_terms).withColumn("times", F.lit(1))
-    return rt.bm25(docs_of(spark, sf_dir), tx.terms(F.col("text")), asked, 1.0)
+def both_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, b, a): the terms of both rankings, from one pass; a is null where a text is too short for the second."""
+    long = F.length(F.regexp_replace("text", r"^\s+|\s+$", "")) >= 100
+    return rt.tokenised(docs_of(spark, sf_dir), b=tx.terms(F.col("text")), a=F.when(long, tx.chunk_terms(F.col("text"))))
+
+
+def lexical(spark: SparkSession, sf_dir: str, tokens: DataFrame | None = None) -> DataFrame:
+    counted = rt.tokenised(docs_of(spark, sf_dir), t=tx.terms(F.col("text"))) if tokens is None else tokens.select("doc_id", F.col("b").alias("t"))
+    return rt.bm25(counted, questions(spark, sf_dir, tx.search_terms).withColumn("times", F.lit(1)), 1.0)
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rt.top(lexical(spark, sf_dir).where("score > 0"), 10).select("q_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return rt.top(lexical(spark, sf_dir).where("score > 0"), 10).select("q_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def chunk_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = docs_of(spark, sf_dir).where(F.length(F.regexp_replace("text", r"^\s+|\s+$", "")) >= 100)
-    return rt.bm25(long, tx.chunk_terms(F.col("text")), questions(spark, sf_dir, tx.chunk_terms))
+def chunk_lexical(spark: SparkSession, sf_dir: str, tokens: DataFrame | None = None) -> DataFrame:
+    tokens = both_tokens(spark, sf_dir) if tokens is None else tokens
+    return rt.bm25(tokens.where("a is not null").select("doc_id", F.col("a").alias("t")), questions(spark, sf_dir, tx.chunk_terms))
 
 
 def bm25_a_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rt.top(chunk_lexical(spark, sf_dir), 10).where("score > 0").select("q_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return rt.top(chunk_lexical(spark, sf_dir), 10).where("score > 0").select("q_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def fts_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with all of the first three terms of a question, best first, ten at most."""
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.array_distinct(F.slice(tx.terms(F.col("text")), 1, 3)).alias("t"))
+    """Documents with all of the first twenty terms of a question, best first, ten at most."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.array_distinct(F.slice(tx.terms(F.col("text")), 1, 20)).alias("t"))
     asked = q.select("q_id", F.size("t").alias("need"), F.explode("t").alias("term"))
-    found = rt.postings(docs_of(spark, sf_dir), tx.terms(F.col("text"))).join(F.broadcast(asked), "term")
+    found = rt.postings(rt.tokenised(docs_of(spark, sf_dir), t=tx.terms(F.col("text"))), asked).join(sized(asked), "term")
     whole = found.groupBy("q_id", "doc_id").agg(F.count("*").alias("have"), F.max("need").alias("need"), F.sum("f").alias("f"), F.max("len").alias("len")).where("have = need")
-    scored = whole.select("q_id", "doc_id", F.round(F.col("f") / F.col("len"), 9).alias("score"))
-    return rt.top(scored, 10).select("q_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    scored = whole.select("q_id", "doc_id", F.round(F.col("f") / F.col("len"), rt.TIES).alias("score"))
+    return rt.top(scored, 10).select("q_id", "doc_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(q_id, doc_id, score): the first vectors of each label against all others, as questions in one broadcast block."""
+def prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(q_id, doc_id, score): the first vector of each label, in one broadcast block of a row for each label, against all others."""
     v = table(spark, sf_dir, "embeddings")
     first = v.groupBy("label").agg(F.min("vec_id").alias("q_id"))
     asked = v.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q")).join(F.broadcast(first.select("q_id")), "q_id", "left_semi")
@@ -129,24 +142,31 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("q_id", "doc_id", F.round(rt.cosine("q", "d"), 6).alias("score"))
 
 
+def dense(spark: SparkSession, sf_dir: str, k: int, least: float = -1.0) -> DataFrame:
+    """The k nearest of every twentieth vector among all others."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    return rt.nearest(v.withColumnRenamed("vec_id", "doc_id"), v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "q_id"), k, least)
+
+
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rt.top(dense(spark, sf_dir).where("score >= 0.25"), 40).select("q_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return dense(spark, sf_dir, 40, 0.25).select("q_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def intent_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The label whose prototype (its first vector) is nearest, the smallest on ties; none below 0.30."""
     v = table(spark, sf_dir, "embeddings")
-    best = dense(spark, sf_dir).join(F.broadcast(v.select(F.col("vec_id").alias("q_id"), "label")), "q_id").groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "label")).alias("b"))
+    best = prototypes(spark, sf_dir).join(F.broadcast(v.groupBy("label").agg(F.min("vec_id").alias("q_id"))), "q_id").groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "label")).alias("b"))
     score = -F.col("b.s")
     return best.select(F.col("doc_id").alias("vec_id"), score.alias("score"), F.when(score >= 0.3, F.col("b.label")).alias("intent"))
 
 
-def two_lists(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    return [rt.top(lexical(spark, sf_dir).where("score > 0"), 40), rt.top(chunk_lexical(spark, sf_dir), 40)]
+def two_lists(spark: SparkSession, sf_dir: str, k: int = 40) -> list[DataFrame]:
+    tokens = both_tokens(spark, sf_dir)
+    return [rt.top(lexical(spark, sf_dir, tokens).where("score > 0"), k), rt.top(chunk_lexical(spark, sf_dir, tokens), k)]
 
 
 def fused(spark: SparkSession, sf_dir: str, offset: int, ties: str) -> DataFrame:
-    return rt.top(rt.fuse(two_lists(spark, sf_dir), offset, ties), 30, tie="tie").select("q_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return rt.top(rt.fuse(two_lists(spark, sf_dir), offset, ties), 30, tie="tie").select("q_id", "doc_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def rrf_a(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +189,7 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def map_at_5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """accuracy@1, accuracy@5 and MAP@5 of the dense lists, where vectors of the same label are right."""
     lab = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    ranked = rt.top(dense(spark, sf_dir), 5).join(lab.select(F.col("vec_id").alias("q_id"), F.col("label").alias("ql")), "q_id").join(lab.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id")
+    ranked = dense(spark, sf_dir, 5).join(lab.select(F.col("vec_id").alias("q_id"), F.col("label").alias("ql")), "q_id").join(lab.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id")
     right = ranked.withColumn("hit", (F.col("label") == F.col("ql")).cast("int"))
     upto = F.sum("hit").over(Window.partitionBy("q_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     each = right.withColumn("p", F.when(F.col("hit") == 1, upto / F.col("rank")).otherwise(0.0)).groupBy("q_id").agg(F.sum("p").alias("p"), F.sum("hit").alias("hits"), F.max(F.when(F.col("rank") == 1, F.col("hit"))).alias("top"))
@@ -185,7 +205,7 @@ def passages_budgeted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled context of each question from its three best documents."""
     ranked = rt.top(lexical(spark, sf_dir).where("score > 0"), 3).join(docs_of(spark, sf_dir), "doc_id")
-    label = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] document "), F.col("doc_id").cast("string"), F.lit(" ("), F.format_string("%.3f", "score"), F.lit("): "), F.substring("text", 1, 80))
+    label = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] document "), F.col("doc_id").cast("string"), F.lit(" ("), F.format_string("%.3f", "score"), F.lit("): "), "text")
     return ranked.groupBy("q_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", label.alias("t")))), lambda x: x["t"]), "\n\n").alias("context"))
 
 
@@ -202,7 +222,7 @@ def sql() -> dict[str, str]:
 t{x} AS (SELECT doc_id, {tokens} AS t FROM {docs}), tot{x} AS (SELECT count(*) AS n, avg(len(t)) AS avg FROM t{x}),
 p{x} AS (SELECT doc_id, term, count(*) AS f, any_value(len) AS len FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM t{x}) GROUP BY 1, 2),
 df{x} AS (SELECT term, count(*) AS df FROM p{x} GROUP BY 1), q{x} AS ({asked}),
-s{x} AS (SELECT q_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * f * 2.5::DOUBLE / (f + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / {average})) * times), 6) AS score
+s{x} AS (SELECT q_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * f * 2.5::DOUBLE / (f + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / {average})) * times), 12) AS score
   FROM p{x} JOIN df{x} USING (term) JOIN q{x} USING (term), tot{x} GROUP BY 1, 2)"""
 
     b_query = f"SELECT DISTINCT item_id AS q_id, term, 1 AS times FROM (SELECT item_id, unnest(w) AS term FROM (SELECT item_id, {terms('text')} AS w FROM benchmark) UNION ALL SELECT item_id, unnest(string_split({expand}, ' ')) AS term FROM (SELECT item_id, unnest({terms('text')}) AS w FROM benchmark) WHERE {expand} IS NOT NULL)"
@@ -211,9 +231,10 @@ s{x} AS (SELECT q_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.
     b = bm25("documents", terms("text"), b_query, "greatest(avg, 1)")
     a = bm25(long_docs, chunk("text"), a_query, "avg", "a")
     top = lambda src, k, tie="doc_id": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, {tie}) AS rank FROM {src}) WHERE rank <= {k}"
+    near = "d AS (SELECT q.vec_id AS q_id, e.vec_id AS doc_id, q.label AS ql, e.label AS el, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 12) AS score FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)"
     dense = "first AS (SELECT min(vec_id) AS q_id FROM embeddings GROUP BY label), d AS (SELECT q.vec_id AS q_id, e.vec_id AS doc_id, q.label AS ql, e.label AS el, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN first ON q.vec_id = first.q_id JOIN embeddings e ON e.vec_id <> q.vec_id)"
-    heads = f"{lines}, h AS (SELECT doc_id, line_no AS start, CAST((line_no * 7 + doc_id) % 3 + 1 AS INT) AS level FROM l WHERE (line_no + doc_id) % 2 = 0), e AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents), r AS (SELECT h.doc_id, h.start, h.level, coalesce(min(k.start), any_value(n)) AS \"end\" FROM h JOIN e USING (doc_id) LEFT JOIN h k ON k.doc_id = h.doc_id AND k.start > h.start AND k.level <= h.level GROUP BY 1, 2, 3)"
-    fuse = lambda off: f"u AS (SELECT q_id, doc_id, rank, 0 AS li FROM ({top('(SELECT * FROM s WHERE score > 0)', 40)}) UNION ALL SELECT q_id, doc_id, rank, 1 AS li FROM ({top('sa', 40)})), f AS (SELECT q_id, doc_id, round(sum(1 / (60 + rank + {off})::DOUBLE), 9) AS score, min(li * 1000000 + rank) AS tie FROM u GROUP BY 1, 2)"
+    heads = f"{lines}, h AS (SELECT doc_id, line_no AS start, CAST((line_no * 7 + doc_id) % 9 + 1 AS INT) AS level FROM l WHERE (line_no + doc_id) % 2 = 0), e AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents), r AS (SELECT h.doc_id, h.start, h.level, coalesce(min(k.start), any_value(n)) AS \"end\" FROM h JOIN e USING (doc_id) LEFT JOIN h k ON k.doc_id = h.doc_id AND k.start > h.start AND k.level <= h.level GROUP BY 1, 2, 3)"
+    fuse = lambda off: f"u AS (SELECT q_id, doc_id, rank, 0 AS li FROM ({top('(SELECT * FROM s WHERE score > 0)', 40)}) UNION ALL SELECT q_id, doc_id, rank, 1 AS li FROM ({top('sa', 40)})), f AS (SELECT q_id, doc_id, round(sum(1 / (60 + rank + {off})::DOUBLE), 12) AS score, min(li * 1000000 + rank) AS tie FROM u GROUP BY 1, 2)"
     return {
         "lexical_tokens": f"SELECT doc_id, len(regexp_extract_all(text, '{tok}')) AS tokens, len(regexp_extract_all(text, '{WORD}+')) AS words, coalesce(CAST(list_sum(list_transform(regexp_extract_all(text, '{tok}'), lambda p: length(p))) AS BIGINT), 0) AS last_end FROM documents",
         "token_offsets": rf"WITH a AS (SELECT item_id, regexp_extract_all(text, '{tok}') AS p FROM benchmark), b AS (SELECT item_id, unnest(p) AS p, generate_subscripts(p, 1) - 1 AS k FROM a), c AS (SELECT *, sum(length(p)) OVER (PARTITION BY item_id ORDER BY k) AS e, regexp_replace(p, '^\s+', '') AS token FROM b) SELECT item_id, CAST(k AS INT) AS k, CAST(e - length(token) AS INT) AS start, CAST(e AS INT) AS end_, token FROM c",
@@ -223,20 +244,21 @@ s{x} AS (SELECT q_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.
         "parent_sections": f"WITH {heads}, c AS (SELECT i.doc_id, i.start, i.level, i.\"end\", o.start AS ps, row_number() OVER (PARTITION BY i.doc_id, i.start ORDER BY o.level DESC NULLS LAST, o.start) AS k FROM r i LEFT JOIN r o ON o.doc_id = i.doc_id AND o.start <= i.start AND o.\"end\" >= i.\"end\" AND o.level < i.level) SELECT doc_id, CAST(start AS INT) AS start, level, CAST(\"end\" AS INT) AS \"end\", CAST(ps AS INT) AS parent FROM c WHERE k = 1",
         "ownership": f"WITH {heads}, b AS (SELECT doc_id, start AS a FROM r UNION SELECT doc_id, \"end\" FROM r UNION SELECT doc_id, 0 FROM e UNION SELECT doc_id, n FROM e), c AS (SELECT doc_id, a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM b), d AS (SELECT c.doc_id, c.a, c.b, r.start AS owner, row_number() OVER (PARTITION BY c.doc_id, c.a ORDER BY r.level DESC NULLS LAST, r.start DESC) AS k FROM c LEFT JOIN r ON r.doc_id = c.doc_id AND r.start <= c.a AND r.\"end\" >= c.b WHERE c.b > c.a) SELECT doc_id, CAST(a AS INT) AS a, CAST(b AS INT) AS b, CAST(owner AS INT) AS owner FROM d WHERE k = 1",
         "chunk_windows": f"WITH n AS (SELECT doc_id, len(regexp_extract_all(text, '{tok}')) AS n FROM documents), w AS (SELECT doc_id, n, unnest(range(CASE WHEN n <= 240 THEN 1 ELSE 1 + CAST(ceil((n - 240) / 200) AS BIGINT) END)) AS k FROM n WHERE n > 0) SELECT doc_id, CAST(k AS INT) AS \"window\", CAST(k * 200 AS INT) AS first, CAST(least(k * 200 + 240, n) AS INT) AS last FROM w",
+        "legacy_sections": rf"WITH m AS (SELECT doc_id, regexp_replace(text, '(?m)(^[ \t]*(?:[A-Z][A-Z\s]{{4,}}:?\s*$|(?i:Part\s+\d+|[IVXLCDM]{{1,6}}\.|[A-Z]\.\s|\d{{1,2}}\.\s)))', chr(1) || '\1', 'g') AS t FROM documents), p AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 20) AS p FROM m), e AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) - 1 AS k FROM p) SELECT doc_id, CAST(k AS INT) AS k, CAST(length(piece) AS INT) AS chars, md5(piece) AS digest FROM e",
         "chunk_stats": r"WITH c AS (SELECT CAST(floor(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) * 1.3) AS BIGINT) AS t FROM documents) SELECT count(*) AS chunks, round(avg(t), 6) AS mean, min(t) AS least, max(t) AS greatest, count(*) FILTER (t < 80) AS small, count(*) FILTER (t > 350) AS large, count(*) FILTER (t < 80) AS b0, count(*) FILTER (t >= 80 AND t < 150) AS b80, count(*) FILTER (t >= 150 AND t < 300) AS b150, count(*) FILTER (t >= 300) AS b300 FROM c",
         "merged_ranges": "WITH o AS (SELECT o_custkey AS key, CAST(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS INT) AS start FROM orders), m AS (SELECT *, max(start + 10) OVER (PARTITION BY key ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY start ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT key, min(start) AS start, max(start + 10) AS \"end\" FROM g GROUP BY key, g",
-        "bm25_topk": f"WITH {b} SELECT q_id, doc_id, score, rank FROM ({top('(SELECT * FROM s WHERE score > 0)', 10)})",
-        "bm25_a_topk": f"WITH {a} SELECT q_id, doc_id, score, rank FROM ({top('sa', 10)}) WHERE score > 0",
-        "fts_all_terms": f"WITH t AS (SELECT doc_id, {terms('text')} AS t FROM documents), p AS (SELECT doc_id, term, count(*) AS f, any_value(len) AS len FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM t) GROUP BY 1, 2), q AS (SELECT item_id AS q_id, list_distinct({terms('text')}[1:3]) AS ts FROM benchmark), k AS (SELECT q_id, len(ts) AS need, unnest(ts) AS term FROM q), s AS (SELECT q_id, doc_id, round(sum(f) / max(len), 9) AS score FROM p JOIN k USING (term) GROUP BY 1, 2 HAVING count(*) = max(need)) SELECT q_id, doc_id, score, rank FROM ({top('s', 10)})",
-        "cosine_topk": f"WITH {dense} SELECT q_id, doc_id, score, rank FROM ({top('(SELECT * FROM d WHERE score >= 0.25)', 40)})",
+        "bm25_topk": f"WITH {b} SELECT q_id, doc_id, round(score, 6) AS score, rank FROM ({top('(SELECT * FROM s WHERE score > 0)', 10)})",
+        "bm25_a_topk": f"WITH {a} SELECT q_id, doc_id, round(score, 6) AS score, rank FROM ({top('sa', 10)}) WHERE score > 0",
+        "fts_all_terms": f"WITH t AS (SELECT doc_id, {terms('text')} AS t FROM documents), p AS (SELECT doc_id, term, count(*) AS f, any_value(len) AS len FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM t) GROUP BY 1, 2), q AS (SELECT item_id AS q_id, list_distinct({terms('text')}[1:20]) AS ts FROM benchmark), k AS (SELECT q_id, len(ts) AS need, unnest(ts) AS term FROM q), s AS (SELECT q_id, doc_id, round(sum(f) / max(len), 12) AS score FROM p JOIN k USING (term) GROUP BY 1, 2 HAVING count(*) = max(need)) SELECT q_id, doc_id, round(score, 9) AS score, rank FROM ({top('s', 10)})",
+        "cosine_topk": f"WITH {near} SELECT q_id, doc_id, round(score, 6) AS score, rank FROM ({top('(SELECT * FROM d WHERE score >= 0.25)', 40)})",
         "intent_route": f"WITH {dense}, k AS (SELECT doc_id, score, ql, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ql) AS k FROM d) SELECT doc_id AS vec_id, score, CASE WHEN score >= 0.3 THEN ql END AS intent FROM k WHERE k = 1",
-        "rrf_a": f"WITH {b}, {a}, {fuse(0)} SELECT q_id, doc_id, score, rank FROM ({top('f', 30, 'tie')})",
-        "rrf_b": f"WITH {b}, {a}, {fuse(-1)} SELECT q_id, doc_id, score, rank FROM ({top('f', 30)})",
+        "rrf_a": f"WITH {b}, {a}, {fuse(0)} SELECT q_id, doc_id, round(score, 9) AS score, rank FROM ({top('f', 30, 'tie')})",
+        "rrf_b": f"WITH {b}, {a}, {fuse(-1)} SELECT q_id, doc_id, round(score, 9) AS score, rank FROM ({top('f', 30)})",
         "recall_at_k": f"WITH {b}, r AS ({top('(SELECT * FROM s WHERE score > 0)', 10)}), m AS (SELECT q_id, min(rank) AS first FROM r JOIN documents d USING (doc_id) JOIN benchmark ON item_id = q_id WHERE contains(d.text, benchmark.text) GROUP BY 1), j AS (SELECT first FROM benchmark LEFT JOIN m ON item_id = q_id) SELECT round(avg(CASE WHEN first <= 1 THEN 1.0 ELSE 0.0 END), 9) AS recall_1, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0.0 END), 9) AS recall_5, round(avg(CASE WHEN first <= 10 THEN 1.0 ELSE 0.0 END), 9) AS recall_10, count(*) FILTER (first IS NULL) AS misses FROM j",
-        "map_at_5": f"WITH {dense}, r AS ({top('d', 5)}), h AS (SELECT q_id, rank, CAST(el = ql AS INT) AS hit, sum(CAST(el = ql AS INT)) OVER (PARTITION BY q_id ORDER BY rank) AS upto FROM r), e AS (SELECT q_id, sum(CASE WHEN hit = 1 THEN upto / rank ELSE 0 END) AS p, sum(hit) AS hits, max(hit) FILTER (rank = 1) AS top FROM h GROUP BY 1) SELECT round(avg(top), 9) AS accuracy_1, round(avg(CASE WHEN hits > 0 THEN 1 ELSE 0 END), 9) AS accuracy_5, round(avg(CASE WHEN hits > 0 THEN p / hits ELSE 0 END), 9) AS map_5 FROM e",
-        "context_build": f"WITH {b}, r AS ({top('(SELECT * FROM s WHERE score > 0)', 3)}) SELECT q_id, string_agg('[' || rank || '] document ' || doc_id || ' (' || format('{{:.3f}}', score) || '): ' || substr(text, 1, 80), chr(10) || chr(10) ORDER BY rank) AS context FROM r JOIN documents USING (doc_id) GROUP BY 1",
+        "map_at_5": f"WITH {near}, r AS ({top('d', 5)}), h AS (SELECT q_id, rank, CAST(el = ql AS INT) AS hit, sum(CAST(el = ql AS INT)) OVER (PARTITION BY q_id ORDER BY rank) AS upto FROM r), e AS (SELECT q_id, sum(CASE WHEN hit = 1 THEN upto / rank ELSE 0 END) AS p, sum(hit) AS hits, max(hit) FILTER (rank = 1) AS top FROM h GROUP BY 1) SELECT round(avg(top), 9) AS accuracy_1, round(avg(CASE WHEN hits > 0 THEN 1 ELSE 0 END), 9) AS accuracy_5, round(avg(CASE WHEN hits > 0 THEN p / hits ELSE 0 END), 9) AS map_5 FROM e",
+        "context_build": f"WITH {b}, r AS ({top('(SELECT * FROM s WHERE score > 0)', 3)}) SELECT q_id, string_agg('[' || rank || '] document ' || doc_id || ' (' || format('{{:.3f}}', score) || '): ' || text, chr(10) || chr(10) ORDER BY rank) AS context FROM r JOIN documents USING (doc_id) GROUP BY 1",
     }
 
 
-NAMES = "lexical_tokens token_offsets heading_lines running_lines section_ranges parent_sections ownership chunk_windows chunk_stats merged_ranges bm25_topk bm25_a_topk fts_all_terms cosine_topk intent_route rrf_a rrf_b recall_at_k map_at_5 passages_budgeted context_build".split()
+NAMES = "legacy_sections lexical_tokens token_offsets heading_lines running_lines section_ranges parent_sections ownership chunk_windows chunk_stats merged_ranges bm25_topk bm25_a_topk fts_all_terms cosine_topk intent_route rrf_a rrf_b recall_at_k map_at_5 passages_budgeted context_build".split()
 QUERIES = {name: globals()[name] for name in NAMES}

@@ -111,7 +111,7 @@ def enrich_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     store = d.where("doc_id % 3 = 0").select(F.sha1(F.col("text").cast("binary")).alias("key"), F.concat(F.lit("about "), F.col("lang")).alias("note")).groupBy("key").agg(F.min("note").alias("note"))
     out = d.withColumn("key", F.sha1(F.col("text").cast("binary"))).join(store, "key", "left")
-    body = F.concat(F.lit("["), "source", F.lit(" | "), "lang", F.lit("]\n"), F.coalesce(F.concat("note", F.lit("\n")), F.lit("")), F.substring("text", 1, 40))
+    body = F.concat(F.lit("["), "source", F.lit(" | "), "lang", F.lit("]\n"), F.coalesce(F.concat("note", F.lit("\n")), F.lit("")), F.col("text"))
     return out.select("doc_id", "key", body.alias("text"))
 
 
@@ -132,6 +132,18 @@ def bfs_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.walk(table(spark, sf_dir, "region").select(name("region", "r_regionkey").alias("node")), edges, 2)
 
 
+def walk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relations that walks of three hops from regions follow, and how many; every ninth customer is only overridden."""
+    name = lambda kind, key: F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
+    n, c, o = (table(spark, sf_dir, t) for t in ("nation", "customer", "orders"))
+    kind = F.when(F.col("c_custkey") % 9 == 0, "overrides").otherwise("references")
+    edges = n.select(name("region", "n_regionkey").alias("source"), name("nation", "n_nationkey").alias("target"), F.lit("contains").alias("relation"))
+    edges = edges.unionByName(c.select(name("nation", "c_nationkey").alias("source"), name("customer", "c_custkey").alias("target"), kind.alias("relation")))
+    edges = edges.unionByName(o.select(name("customer", "o_custkey").alias("source"), name("order", "o_orderkey").alias("target"), F.lit("references").alias("relation")))
+    seen = gr.walk(table(spark, sf_dir, "region").select(name("region", "r_regionkey").alias("node")), edges, 3)
+    return gr.walked_edges(seen, edges, 3).groupBy("start", "relation").agg(F.count("*").alias("edges"), F.count_distinct("target").alias("targets"))
+
+
 def tree_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels of customers whose parent is the customer with half their key; every fiftieth is on a cycle."""
     parent = F.when(F.col("c_custkey") <= 1, None).when(F.col("c_custkey") % 50 == 0, F.col("c_custkey")).otherwise(F.expr("c_custkey div 2"))
@@ -246,8 +258,10 @@ def claim_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """About 70 % of English documents and 30 % of others; a sampling operator."""
-    return table(spark, sf_dir, "documents").sampleBy("lang", {"en": 0.7, "fr": 0.3, "de": 0.3, "es": 0.3}, 7).select("doc_id", "lang")
+    """About 70 % of English documents and 30 % of others, chosen by a hash of the id, and a seventh of them for evaluation; a sampling operator."""
+    digits = lambda a: F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), a, 4), 16, 10).cast("int")
+    rate = F.when(F.col("lang") == "en", 45875).otherwise(19660)  # of 65536
+    return table(spark, sf_dir, "documents").where(digits(1) < rate).select("doc_id", "lang", (digits(5) < 9830).alias("evaluation"))
 
 
 def sql() -> dict[str, str]:
@@ -283,10 +297,11 @@ def sql() -> dict[str, str]:
           j AS (SELECT x.doc_id, CASE WHEN d.text IS NULL THEN 'no document' WHEN s < 0 OR e <= s OR e > length(d.text) THEN 'outside' WHEN substr(d.text, s + 1, e - s) <> t THEN 'differs' END AS problem FROM x LEFT JOIN documents d USING (doc_id)) SELECT problem, doc_id, count(*) AS n FROM j WHERE problem IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT 'repeated', doc_id, count(*) FROM documents GROUP BY 2 HAVING count(*) > 1""",
         "index_summary": f"WITH {d}, l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM d) SELECT count(*) AS documents, count(*) FILTER (status = 'active') AS active, count(*) FILTER (status = 'review') AS review, count(*) FILTER (status = 'archived') AS archived, count(*) FILTER (classification = 'public') AS public, (SELECT count(*) FROM l) AS sections, (SELECT count(*) FROM l WHERE contains(line, '|')) AS tables FROM d",
         "tag_documents": "SELECT lang, CASE quality WHEN 1 THEN 'good' WHEN 0 THEN 'poor' ELSE 'General Policy' END AS tag, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2",
-        "enrich_merge": "WITH s AS (SELECT sha1(text) AS key, min('about ' || lang) AS note FROM documents WHERE doc_id % 3 = 0 GROUP BY 1) SELECT doc_id, sha1(text) AS key, '[' || source || ' | ' || lang || ']' || chr(10) || coalesce(note || chr(10), '') || substr(text, 1, 40) AS text FROM documents LEFT JOIN s ON s.key = sha1(documents.text)",
+        "enrich_merge": "WITH s AS (SELECT sha1(text) AS key, min('about ' || lang) AS note FROM documents WHERE doc_id % 3 = 0 GROUP BY 1) SELECT doc_id, sha1(text) AS key, '[' || source || ' | ' || lang || ']' || chr(10) || coalesce(note || chr(10), '') || text AS text FROM documents LEFT JOIN s ON s.key = sha1(documents.text)",
         "resume_todo": "SELECT lang, count(*) AS n, min(doc_id) AS first FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1",
         "bfs_2hop": "WITH RECURSIVE e AS (SELECT 'region:' || n_regionkey AS source, 'nation:' || n_nationkey AS target FROM nation UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey FROM customer UNION ALL SELECT 'nation:' || s_nationkey, 'supplier:' || s_suppkey FROM supplier), w AS (SELECT 'region:' || r_regionkey AS start, 'region:' || r_regionkey AS node, 0 AS hop FROM region UNION ALL SELECT start, target, hop + 1 FROM w JOIN e ON node = source WHERE hop < 2) SELECT start, node, CAST(min(hop) AS INT) AS hop FROM w GROUP BY 1, 2",
-        "tree_levels": "WITH RECURSIVE p AS (SELECT c_custkey AS node, CASE WHEN c_custkey <= 1 THEN NULL WHEN c_custkey % 50 = 0 THEN c_custkey ELSE c_custkey // 2 END AS parent FROM customer), w AS (SELECT node, 0 AS level FROM p WHERE parent IS NULL UNION ALL SELECT p.node, level + 1 FROM p JOIN w ON p.parent = w.node WHERE level < 19) SELECT p.node, CAST(level AS INT) AS level FROM p LEFT JOIN w USING (node)",
+        "walk_edges": "WITH e AS (SELECT n_regionkey AS r, 'contains' AS relation, 'nation:' || n_nationkey AS t FROM nation UNION ALL SELECT n_regionkey, 'references', 'customer:' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 9 <> 0 UNION ALL SELECT n_regionkey, 'references', 'order:' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 9 <> 0) SELECT 'region:' || r AS start, relation, count(*) AS edges, count(DISTINCT t) AS targets FROM e GROUP BY 1, 2",
+        "tree_levels": "WITH RECURSIVE p AS (SELECT c_custkey AS node, CASE WHEN c_custkey <= 1 THEN NULL WHEN c_custkey % 50 = 0 THEN c_custkey ELSE c_custkey // 2 END AS parent FROM customer), w AS (SELECT node, 0 AS level FROM p WHERE parent IS NULL UNION ALL SELECT p.node, level + 1 FROM p JOIN w ON p.parent = w.node WHERE level < 100) SELECT p.node, CAST(level AS INT) AS level FROM p LEFT JOIN w USING (node)",
         "hyperlink_refs": f"WITH r AS (SELECT page_id, url, unnest(regexp_extract_all(html, '{link}', 1)) AS target, unnest(regexp_extract_all(html, '{label}', 1)) AS label FROM pages), o AS (SELECT page_id, label FROM r GROUP BY 1, 2 HAVING count(*) = 1 AND trim(label) <> ''), f AS (SELECT page_id, label, CASE WHEN regexp_matches(target, '^https?://') THEN target WHEN starts_with(target, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || target END AS target FROM r) SELECT page_id, target, label FROM f JOIN o USING (page_id, label) WHERE target IS NOT NULL",
         "legal_refs": r"WITH t AS (SELECT p_partkey AS doc_id, 'See far  ' || p_size || '.' || (p_partkey % 7) || CASE WHEN p_partkey % 2 = 0 THEN '-4' ELSE '' END || ' and 2 cfr 200.' || (p_partkey % 5) || ', FAR part.' AS text FROM part), f AS (SELECT doc_id, regexp_replace(upper(unnest(regexp_extract_all(text, '(?i)\b(FAR\s+\d+\.\d+(?:-\d+)?|\d+\s+CFR\s+\d+(?:\.\d+)?)\b', 1))), '\s+', ' ', 'g') AS reference FROM t) SELECT doc_id, reference, count(*) AS n, 'reference:' || substr(sha256(reference), 1, 20) AS node_id FROM f GROUP BY 1, 2",
         "html_extract": "SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, nullif(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '') AS heading, len(regexp_extract_all(html, '<p>')) AS paragraphs, len(regexp_extract_all(html, '<a href=')) AS links FROM pages",
@@ -301,13 +316,14 @@ def sql() -> dict[str, str]:
         "durations": "SELECT o_orderkey, CAST(([14, 90, 360, NULL, 42, 3])[o_orderkey % 6 + 1] AS INT) AS days FROM orders",
         "date_observations": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 3 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 5 = 3 THEN strftime(o_orderdate, '%Y-%m') END AS effective FROM orders",
         "quote_partition": "WITH p AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '[.\\n]'), lambda s: trim(s)), lambda s: length(s) >= 20) AS q FROM benchmark) SELECT item_id, CAST(generate_subscripts(q, 1) AS INT) AS k, unnest(q) AS quote FROM p",
+        "sample_stratified": "WITH h AS (SELECT doc_id, lang, md5(doc_id::VARCHAR) AS h FROM documents) SELECT doc_id, lang, ('0x' || substr(h, 5, 4))::INT < 9830 AS evaluation FROM h WHERE ('0x' || substr(h, 1, 4))::INT < CASE WHEN lang = 'en' THEN 45875 ELSE 19660 END",
         "claim_checks": "SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'no support' WHEN o_orderkey % 4 IN (0, 3) THEN 'unknown quote' WHEN o_orderkey % 5 = 0 THEN 'own citation' END AS problem, count(*) AS n FROM orders GROUP BY 1",
     }
 
 
 NAMES = (
     "dedup_versions version_status archive_merge latest_rows scope_filter scoped_snapshot clearances manifest_checks integrity_violations index_summary tag_documents enrich_merge resume_todo "
-    "bfs_2hop tree_levels hyperlink_refs legal_refs reference_edges html_extract answer_grounding numeric_score diagnostic_flags flag_histogram latency_summary grade_counts holdout_split amounts durations "
+    "bfs_2hop walk_edges tree_levels hyperlink_refs legal_refs reference_edges html_extract answer_grounding numeric_score diagnostic_flags flag_histogram latency_summary grade_counts holdout_split amounts durations "
     "date_observations quote_partition claim_checks sample_stratified"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}

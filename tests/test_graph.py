@@ -2,8 +2,12 @@
 
 import re
 
+import numpy as np
+
 from quire.operators import graph as gr
+from quire.operators import retrieval as rt
 from quire.operators import sections as se
+from quire.operators import structure as st
 from quire.plans import records
 
 DATA = "/root/testdata/sf0.001"
@@ -75,3 +79,69 @@ def test_promoted_without_bound(spark):
     got = dict(map(tuple, se.promoted(spark.createDataFrame(rows, "section long, parent long, title string, text string, kind string")).collect()))
     want = dict.fromkeys(range(40), 0) | dict.fromkeys(range(100, 140)) | {200: 200} | dict.fromkeys(range(201, 240)) | {300: 301, 301: 301, 302: None, 303: None}
     assert got == want
+
+
+def test_walk_of_many_hops(spark):
+    edges = [(str(i), str(i + 1), "references") for i in range(12)] + [("0", "9", "overrides"), ("3", "0", "contains")]
+    e = spark.createDataFrame(edges, "source string, target string, relation string")
+    starts = spark.createDataFrame([("0",), ("absent",)], "node string")
+    seen = gr.walk(starts, e, 10)
+    assert {tuple(r) for r in seen.collect()} == {("0", str(i), i) for i in range(11)} | {("absent", "absent", 0)}
+    assert {(r.source, r.target) for r in gr.walked_edges(seen, e, 10).collect()} == {x[:2] for x in edges[:10]} | {("3", "0")}
+    assert gr.walk(starts, e, 0).count() == 2
+
+
+def test_ranges_of_all_levels(spark):
+    import random
+
+    r = random.Random(3)
+    heads = [(d, s, r.randint(1, 9)) for d in range(6) for s in sorted(r.sample(range(60), 15))]
+    ends = spark.createDataFrame([(d, 60) for d in range(7)], "doc_id long, end int")
+    ranges = st.section_ranges(spark.createDataFrame(heads, "doc_id long, start int, level int"), ends)
+    by = {}
+    for d, s, n in heads:
+        by[d, s] = (n, min((t for e, t, m in heads if e == d and t > s and m <= n), default=60))
+    assert {(x.doc_id, x.start): (x.level, x.end) for x in ranges.collect()} == by
+    for x in st.parents(ranges).collect():
+        around = [(m, -t) for (d, t), (m, e) in by.items() if d == x.doc_id and t <= x.start and e >= x.end and m < x.level]
+        assert x.parent == (-max(around)[1] if around else None)
+    for x in st.owners(ranges, ends).collect():
+        inside = [(m, t) for (d, t), (m, e) in by.items() if d == x.doc_id and t <= x.a and e >= x.b]
+        assert x.owner == (max(inside)[1] if inside else None)
+
+
+def test_named_sources_take_the_longest(spark):
+    aliases = [(1, "Travel Policy"), (2, "Travel"), (3, "BUS-43"), (4, "Policy on Gifts"), (5, "abc")]
+    asked = [(1, "What does the travel policy on gifts say?"), (2, "bus 43 or travel, travel policy"), (3, "abc none"), (4, "Policy on gifts; BUS-43!")]
+    got = se.named_sources(spark.createDataFrame(asked, "q_id long, question string"), spark.createDataFrame(aliases, "target long, alias string"))
+    assert {r.q_id: r.targets for r in got.collect()} == {1: [2, 4], 2: [1, 2, 3], 4: [3, 4]}
+
+
+def test_passages_by_a_loop(spark):
+    import random
+
+    r = random.Random(8)
+    ranked = [(q, k, q * 100 + k, r.choice([0, 100, 600, 7000, 12_000, 30_000])) for q in range(40) for k in range(1, 9)]
+    got = {x.q_id: ([(p.doc_id, p.taken) for p in x.picks], x.used) for x in rt.passages(spark.createDataFrame(ranked, "q_id long, rank long, doc_id long, n_chars long")).collect()}
+    for q in range(40):
+        picks, used = [], 0
+        for _, _, doc, n in ranked[q * 8 : q * 8 + 8]:
+            taken = min(n, 12_000, 24_000 - used)
+            if len(picks) < 4 and 24_000 - used >= 500 and taken > 0:
+                picks.append((doc, taken))
+                used += taken
+        assert got[q] == (picks, used)
+
+
+def test_nearest_by_force(spark):
+    r = np.random.default_rng(1)
+    m = r.normal(size=(300, 5)).round(1)
+    m[7] = 0
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "doc_id long, v array<double>").repartition(3)
+    got = {(x.q_id, x.rank): x.doc_id for x in rt.nearest(rows, rows.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "q_id"), 5, block=64).collect()}
+    for q in range(0, 300, 20):
+        with np.errstate(invalid="ignore"):
+            s = np.round(m @ m[q] / np.linalg.norm(m, axis=1) / np.linalg.norm(m[q]), 12)
+        order = [i for i in np.lexsort((np.arange(300), -np.nan_to_num(s, nan=-9))) if i not in (q, 7)][:5]
+        assert [got[q, k + 1] for k in range(5)] == order
+    assert len(got) == 75
