@@ -1,12 +1,7 @@
-"""What the operators of this package share: scratch tables and Arrow mapping."""
+"""What the operators of this package share: tables and Arrow mapping."""
 
 from __future__ import annotations
 
-import atexit
-import functools
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from quire.scratch import forget, saved
+
+__all__ = ["add_columns", "blocks", "forget", "saved", "table"]
+
 #: Text that a mapping task holds at once, in bytes. Only the memory depends on it, never a result.
 BLOCK_BYTES = 12 << 20
 
@@ -23,63 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@functools.cache
-def own_dir() -> str:
-    """A temporary folder of this process, for a local session without spark.checkpoint.dir."""
-    path = tempfile.mkdtemp(prefix="quire-")
-    atexit.register(shutil.rmtree, path, True)
-    return path
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder's name below spark.checkpoint.dir, which a cluster shares; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{own_dir()}"
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-    return f"{root.rstrip('/')}/quire-{uuid.uuid4().hex}"
-
-
-#: Sessions by the scratch folders that saved() made in them and nothing has removed yet.
-MADE: dict[str, SparkSession] = {}
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: lineage is cut, and lost executors cost no data.
-
-    Lazy results read such tables later; what forget() hasn't removed by then goes when the driver's process ends.
-    """
-    path = scratch_dir(df.sparkSession)
-    if not MADE:
-        atexit.register(forget_all)
-    MADE[path] = df.sparkSession
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    for made in [m for m in MADE if m.rpartition("/")[2] == folder.rstrip("/").rpartition("/")[2]]:
-        del MADE[made]
-
-
-def forget(*tables: DataFrame) -> None:
-    """Deletes the files of tables that saved() made and nothing reads any more."""
-    for df in tables:
-        for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
-            remove(df.sparkSession, folder)
-
-
-def forget_all() -> None:
-    for folder, spark in list(MADE.items()):
-        try:
-            remove(spark, folder)
-        except Exception:  # the session's JVM has ended before; nothing can be removed through it
-            MADE.clear()
-
-
 def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that one column's strings, bytes or lists in a block have `most` bytes or are a single row."""
     for batch in batches:
