@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed patterns of the topics, in the order of their names' declaration.
+#: Without the look-behinds that topics() puts before it, since SQL engines without them take it too.
 FEDERAL = r"\b(federal(ly)?|nih|nsf|doe|dod|nasa|usda|darpa|noaa|hhs|uniform guidance|2 cfr)\b"
 SPLIT = (
     r"same (vendor|supplier|company)|\bsplit|break (it |this |them |the purchase )?up|\bdivid|separate (purchase )?orders|(two|three|several|multiple) (separate )?(purchase )?orders"
@@ -45,18 +46,21 @@ def topics(text: Column) -> Column:
     return F.array_sort(F.array_compact(F.array(*found)))
 
 
-AMOUNT = r"\$\s?(\d{1,3}(?:,\d{3})+|\d+)(\.\d+)?\s*((?i:k|m|mm|million|thousand))?\b"
+# Fixed patterns of the amounts and of what stands around them.
+AMOUNT = r"\$\s?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?\s*(?i:k|m|mm|million|thousand)?\b|\b\d+(?:\.\d+)?\s?[kK]\b"
 TIMES = {"k": 1e3, "thousand": 1e3, "m": 1e6, "mm": 1e6, "million": 1e6}
 BEFORE = r"(?i)((threshold|limit|maximum|minimum|cap)\s*(is|of|at|amount of)?\s*(the\s+)?|\b(under|below|over|exceeds?|exceeding|above|than|up to|at least|within)\s+(the\s+)?(approximately\s+)?)$"
 AFTER = r"(?i)^\s*(\w+\s+){0,2}(threshold|limit|per occurrence|umbrella|coverage|insurance|policy limit|grant\b|award\b|budget\b)"
 TOTAL = r"(?i)(total(ing|s)?|in total|combined|bringing .{0,40}to|overall|altogether)\s*(of|is|to)?\s*(about|approximately|roughly)?\s*$"
 YEARLY = r"(?i)^\s*(/\s*(year|yr)|per\s+(year|yr|annum)|a\s+year|each\s+year|annually|every\s+year)"
+INSURED = r"(?i)insurance|liability|umbrella|per occurrence|coverage|policy limit"
 
 
 def amounts(text: Column) -> Column:
-    """The dollar amounts of a text with their start, and whether what stands around makes each a reference, a total or a yearly one.
+    """The amounts of a text with their start and end, and whether what stands around makes each a reference, a total or a yearly one.
 
-    Pieces between amounts come from one split, so offsets are sums of lengths; context is 45 characters before and 40 after.
+    Dollar amounts, and bare ones in thousands such as 25k. Pieces between amounts come from one split, so offsets are sums
+    of lengths; context is 45 characters before, 40 after, and for insurance the sentence.
     """
     hits = F.regexp_extract_all(text, F.lit(AMOUNT), F.lit(0))
     gaps = F.split(text, AMOUNT)
@@ -65,9 +69,12 @@ def amounts(text: Column) -> Column:
 
     def one(h: Column, i: Column) -> Column:
         before = F.aggregate(F.zip_with(F.slice(gaps, 1, i + 1), F.slice(hits, 1, F.greatest(i, F.lit(0))), lambda g, x: F.length(g) + F.coalesce(F.length(x), F.lit(0))), F.lit(0), lambda a, n: a + n)
+        end = before + F.length(h)
         left = F.substring(text, F.greatest(before - 44, F.lit(1)), F.least(before, F.lit(45)))
-        right = F.substring(text, before + F.length(h) + 1, F.lit(40))
-        return F.struct((number(h) * unit(h)).alias("value"), before.alias("start"), (left.rlike(BEFORE) | right.rlike(AFTER)).alias("reference"), left.rlike(TOTAL).alias("total"), right.rlike(YEARLY).alias("per_year"))
+        right = F.substring(text, end + 1, F.lit(40))
+        sentence = F.concat(F.element_at(F.split(F.substring(text, F.lit(1), before), r"[.?] "), -1), h, F.element_at(F.split(F.substring(text, end + 1, F.length(text)), r"[.?] "), 1))
+        reference = left.rlike(BEFORE) | right.rlike(AFTER) | sentence.rlike(INSURED)
+        return F.struct((number(h) * unit(h)).alias("value"), before.alias("start"), end.alias("end"), reference.alias("reference"), left.rlike(TOTAL).alias("total"), right.rlike(YEARLY).alias("per_year"))
 
     return F.filter(F.transform(hits, one), lambda a: a["value"] > 0)
 
@@ -79,7 +86,7 @@ def gates(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"use_rules": (F.col("amount") > 0) | has(RULE_TOPICS) | F.col("covered"), "template": template})
 
 
-# Fixed patterns of the ladders.
+# Fixed patterns of the ladders. Those of former employees and of meals are longer than their topics' on purpose.
 FORMER = r"former (uc |university |campus )?(employee|staff|official|director|manager|dean|chancellor)|ex-?employee|\bretire[ds]?\b|\bretiree|\bretiring\b|left (the )?(university|uc)\b|post-?employment|after (leaving|retir\w+)|used to work (at|for) (uc|the university)|recently (left|departed|separated)|no longer (works?|employed)"
 CONTRACTING = r"\b(contract\w*|hire|hiring|hired|bid\w*|vendor|supplier|consult\w*|award\w*|procure\w*|rfp|rfq|purchase order|ban|post-?employment)\b"
 DECIDED = r"negotiat|\bplanning\b|arrangements?|decision-?making|part of the decision|(helped|involved in) (select|choos|evaluat|award|draft|write|writ|develop)|wrote the (spec|rfp|rfq|requirements)|evaluated (the )?(bids?|proposals?)|managed (the|this) (contract|vendor|supplier)|approved (the )?(contract|purchase|award)|on the (selection|evaluation) (committee|panel)"
@@ -128,6 +135,24 @@ def risk(text: Column) -> Column:
     return F.when(asked, F.when(letters != "", F.concat(F.lit("high:"), letters)).when(said(text, MODERATE), "moderate").when(said(text, LOW), "low").otherwise("rule"))
 
 
+# Fixed patterns of the alcohol permit ladder.
+ALCOHOL = TOPICS["alcohol_permit"]
+PERMIT_NOTES = {
+    "dea": r"\bdea\b",
+    "scheduled": r"inventory (is )?(scheduled|planned|set|booked) (for )?(next|this|in|on)|(next|this) (week|month).{0,30}inventory|inventory.{0,30}(next|this) (week|month)",
+    "overdue": r"(haven'?t|have not|hasn'?t|has not|no|never|without|last) .{0,40}inventory|inventory .{0,40}(last year|a year ago|over (six|6) months|overdue|annual)|annual inventory",
+    "leaving": r"(pi|investigator|holder|professor|faculty).{0,60}(retir|leav|depart)|(retir|leav|depart).{0,60}(pi\b|investigator|permit)",
+}
+
+
+def alcohol(text: Column) -> Column:
+    """The notes that go with the rule on permits for tax-free alcohol; an overdue inventory only where none is scheduled. Null for other texts."""
+    notes = {k: said(text, p) for k, p in PERMIT_NOTES.items()}
+    notes["overdue"] = notes["overdue"] & ~notes["scheduled"]
+    return F.when(said(text, ALCOHOL), F.array_join(F.array_compact(F.array(*(F.when(v, k) for k, v in notes.items()))), ","))
+
+
+# Fixed pattern of vague replies.
 VAGUE = r"(excerpts?|provided (text|context|documents?)|sources?) (do(es)? not|don't) (contain|provide|specify|mention|address|include)|not (specified|mentioned|addressed|covered) in the|insufficient (information|evidence)|cannot (be )?(determine|answer)d?"
 
 

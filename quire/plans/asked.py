@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.operators import engine as en
 from quire.operators import questions as qs
+from quire.operators import requests as rq
 from quire.operators import retrieval as rt
 from quire.plans import corpus
-from quire.plans.purchases import choose, pick
+from quire.plans.purchases import choose, pick, sections
 from quire.plans.tables import table
-from quire.scratch import sized
+from quire.scratch import saved, sized
 
 ASKED = (
     "Do we need a competitive bid for a federal grant purchase?", "Is non-federal money exempt from the SSPR form?", "A small business quote for three years per year", "Only one vendor: sole source with mixed funding",
     "Can we split this into separate orders from the same vendor?", "Does equipment need a tag under BUS-29?", "A retired director wants a consulting contract", "A former employee helped write the spec and is now a vendor",
     "A former manager from the same department bids on the contract", "Ex-employee lobbying on behalf of a vendor for a contract award", "Lunch for guests: business meal receipts", "Catering insurance per occurrence limits",
     "Is a certificate of insurance needed for a chemical charter bus?", "Low risk vendor with P1 data: what risk level?", "Generative AI tool risk matrix", "Which form is the micro-purchase threshold in?", "Tax-free alcohol permit for 200-proof ethanol", "Contracting out covered services under AFSCME",
+    "I have a DEA registration but haven't done an inventory count: is a tax-free permit fine?", "The investigator is retiring; an inventory is scheduled for next week: may we buy ethanol?",
 )
 CONTEXTS = ("buy it for {}.", "we total {} here", "below the threshold of {} only", "{} per year for five years", "under {} is fine", "{} in insurance coverage", "pay {} and no more")
 
@@ -31,7 +34,36 @@ def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ladders(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("q")
-    return asked(spark, sf_dir).groupBy(qs.post_employment(q).alias("post_employment"), qs.business_meal(q).alias("meal"), qs.risk(q).alias("risk")).agg(F.count("*").alias("n"))
+    return asked(spark, sf_dir).groupBy(qs.post_employment(q).alias("post_employment"), qs.business_meal(q).alias("meal"), qs.risk(q).alias("risk"), qs.alcohol(q).alias("alcohol")).agg(F.count("*").alias("n"))
+
+
+#: Questions whose parse follows from their form; {a} and {b} are amounts.
+PURCHASES = (
+    "We want to purchase software for {a}, which our NIH grant pays.", "Buy equipment: {a} from the state and {b} from the federal grant.", "Two orders of {a} and {b} from the same vendor.",
+    "The vendor charges {a} per year for 3 years.", "Is the bid limit of {a} right?", "Do we tag a microscope worth {a} and a centrifuge costing {b}?",
+    "A sole source contract for {a}: the only manufacturer of this unique laser.", "An urgent janitorial service order of {a} for 45 days.",
+)
+
+
+def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question for each order, parsed."""
+    o = table(spark, sf_dir, "orders")
+    money = lambda c: F.concat(F.lit("$"), F.format_number(c, 0))
+    a, b = F.floor("o_totalprice"), F.col("o_custkey") * 7 % 120000 + 1
+    text = F.replace(F.replace(pick("o_orderkey", PURCHASES), F.lit("{a}"), money(a)), F.lit("{b}"), money(b))
+    return rq.parse(o.select(F.col("o_orderkey").alias("q_id"), text.alias("question")))
+
+
+def parse_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = F.array_join(F.transform("items", lambda x: F.concat(x["name"], F.lit("="), x["cost"].cast("long").cast("string"))), ",")
+    return purchases(spark, sf_dir).select("q_id", "amount", "federal_amount", "award", "years", F.aggregate("related", F.lit(0.0), lambda s, x: s + x).alias("related"), "selection", "justification", "split_intent", "duration_days", items.alias("items"))
+
+
+def engine_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules decide on the parsed questions."""
+    out = en.decide(saved(purchases(spark, sf_dir)), sections(spark))  # else the optimiser copies the parser into every rule
+    tagged = F.size(F.filter("equipment", lambda x: x["must_tag"]))
+    return out.select("q_id", "bid_required", "form_required", "substantive", "empty", en.use_rules(out).alias("use_rules"), F.size("facts").alias("facts"), tagged.alias("tagged"))
 
 
 def rule_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +75,7 @@ def amount_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amounts in seven contexts: value, place and what the context makes of them."""
     money = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("$"), F.format_number(F.floor("o_totalprice"), 0))).otherwise(F.concat(F.lit("$"), F.expr("cast(o_orderkey % 900 + 1 as string)"), F.lit("k")))
     text = F.replace(pick("o_orderkey", CONTEXTS), F.lit("{}"), money)
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(qs.amounts(text)).alias("a")).select("o_orderkey", "a.*")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(qs.amounts(text)).alias("a")).select("o_orderkey", "a.value", "a.start", "a.reference", "a.total", "a.per_year")
 
 
 def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,6 +182,9 @@ def sql() -> dict[str, str]:
     topic = lambda: ", ".join(f"CASE WHEN {said(p, 'regexp_replace(q, ' + chr(39) + '(?i)non[- ]federal' + chr(39) + ', ' + chr(39) + chr(39) + ')') if t == 'federal' else said(p)} THEN '{t}' END" for t, p in qs.TOPICS.items())
     ts = f"list_sort(list_filter([{topic()}], lambda x: x IS NOT NULL))"
     letters = f"array_to_string(list_filter([{', '.join(f'CASE WHEN {said(p)} THEN {chr(39)}{k}{chr(39)} END' for k, p in qs.EXPOSURES.items())}], lambda x: x IS NOT NULL), '')"
+    note = {k: said(p.replace("'", "''")) for k, p in qs.PERMIT_NOTES.items()}
+    note["overdue"] += f" AND NOT {note['scheduled']}"
+    alcohol = f"CASE WHEN {said(qs.ALCOHOL)} THEN array_to_string(list_filter([{', '.join(f'CASE WHEN {v} THEN {chr(39)}{k}{chr(39)} END' for k, v in note.items())}], lambda x: x IS NOT NULL), ',') END"
     has = lambda names: f"list_has_any(ts, [{', '.join(chr(39) + n + chr(39) for n in names)}])"
     s = corpus.sql()
     with_b = s["bm25_topk"].split(" SELECT q_id, doc_id, round(score, 6)")[0]
@@ -157,12 +192,21 @@ def sql() -> dict[str, str]:
     top = lambda src, k: f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rank FROM {src}) WHERE rank <= {k}"
     money = "CASE WHEN o_orderkey % 2 = 0 THEN '$' || format('{:,d}', CAST(floor(o_totalprice) AS BIGINT)) ELSE '$' || (o_orderkey % 900 + 1) || 'k' END"
     intent = s["intent_route"]
+    ab = "p AS (SELECT o_orderkey AS q_id, o_orderkey % 8 AS k, floor(o_totalprice) AS a, (o_custkey * 7 % 120000 + 1)::DOUBLE AS b FROM orders)"
+    parsed = """SELECT q_id, (CASE WHEN k IN (0, 2, 6, 7) THEN a WHEN k = 1 THEN a + b WHEN k = 3 THEN 3 * a ELSE 0 END)::DOUBLE AS amount, (CASE k WHEN 0 THEN a WHEN 1 THEN b ELSE 0 END)::DOUBLE AS federal_amount,
+      CASE WHEN k < 2 THEN 'grant' END AS award, (CASE k WHEN 3 THEN 3 ELSE 1 END)::DOUBLE AS years, (CASE k WHEN 2 THEN b ELSE 0 END)::DOUBLE AS related, CASE k WHEN 6 THEN 'sole_source' WHEN 7 THEN 'urgent' END AS selection,
+      CASE k WHEN 6 THEN 'one_of_a_kind' END AS justification, k = 2 AS split_intent, CAST(CASE k WHEN 7 THEN 45 END AS INT) AS duration_days, CASE k WHEN 5 THEN 'microscope=' || a::BIGINT || ',centrifuge=' || b::BIGINT ELSE '' END AS items FROM p"""
+    value = "CASE k WHEN 1 THEN a + b WHEN 2 THEN a + b ELSE a END"
+    decided = f"""d AS (SELECT *, {value} AS v, k = 0 OR (k = 1 AND b >= 50000) AS fed, k IN (4, 5) AS no FROM p), e AS (SELECT *, CASE WHEN NOT no THEN v >= 100000 AND k NOT IN (6, 7) END AS bid, CASE WHEN NOT no THEN v >= CASE WHEN fed THEN 50000 ELSE 100000 END END AS form FROM d)
+      SELECT q_id, bid AS bid_required, form AS form_required, coalesce(bid OR form, FALSE) OR fed OR k IN (2, 5, 7) AS substantive, FALSE AS empty, TRUE AS use_rules, CAST(CASE k WHEN 4 THEN 1 ELSE 0 END AS INT) AS facts, CAST(CASE k WHEN 5 THEN (a >= 5000)::INT + (b >= 5000)::INT ELSE 0 END AS INT) AS tagged FROM e"""
     return {
+        "parse_requests": f"WITH {ab} {parsed}",
+        "engine_results": f"WITH {ab}, {decided}",
         "topics": f"WITH {q} SELECT o_orderkey, array_to_string({ts}, ',') AS topics FROM a",
         "ladders": f"""WITH {q}, b AS (SELECT *, {letters} AS lt FROM a) SELECT
           CASE WHEN {said(qs.FORMER)} AND {said(qs.CONTRACTING)} THEN CASE WHEN {said(chr(92) + 'bretire')} AND NOT {said(qs.REPRESENTING)} THEN 'retiree' WHEN {said(qs.DECIDED)} THEN 'two_years' WHEN {said(qs.POLICYMAKER)} AND {said(qs.SAME_UNIT)} THEN '12_months' WHEN {said(qs.REPRESENTING)} THEN 'representing' ELSE 'check' END END AS post_employment,
           {said(qs.MEAL)} AND NOT ({said(qs.INSURANCE)} AND NOT {said('document|reimburs|receipt|expense|claim|approv')}) AS meal,
-          CASE WHEN {said(qs.RISK)} OR ({said(qs.INSURANCE)} AND lt <> '') THEN CASE WHEN lt <> '' THEN 'high:' || lt WHEN {said(qs.MODERATE)} THEN 'moderate' WHEN {said(qs.LOW)} THEN 'low' ELSE 'rule' END END AS risk, count(*) AS n FROM b GROUP BY 1, 2, 3""",
+          CASE WHEN {said(qs.RISK)} OR ({said(qs.INSURANCE)} AND lt <> '') THEN CASE WHEN lt <> '' THEN 'high:' || lt WHEN {said(qs.MODERATE)} THEN 'moderate' WHEN {said(qs.LOW)} THEN 'low' ELSE 'rule' END END AS risk, {alcohol} AS alcohol, count(*) AS n FROM b GROUP BY 1, 2, 3, 4""",
         "rule_gate": f"WITH {q}, b AS (SELECT o_orderkey, {ts} AS ts, o_orderkey % 3 = 0 AS am, o_orderkey % 5 = 0 AS cv, {choose(('bidding_threshold', 'general', 'sspr_form', 'equipment_tagging'))} AS it FROM a) SELECT am OR {has(qs.RULE_TOPICS)} OR cv AS use_rules, NOT am AND it <> 'general' AND {has(qs.TEMPLATE_TOPICS)} AND NOT {has(qs.NOT_TEMPLATED)} AS template, count(*) AS n, min(o_orderkey) AS first FROM b GROUP BY 1, 2",
         "amount_context": f"WITH a AS (SELECT o_orderkey, o_orderkey % 7 AS k, {choose(CONTEXTS)} AS c, o_totalprice FROM orders) SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN floor(o_totalprice) ELSE (o_orderkey % 900 + 1) * 1000 END::DOUBLE AS value, CAST(strpos(c, '{{}}') - 1 AS INT) AS start, k IN (2, 4, 5) AS reference, k = 1 AS total, k = 3 AS per_year FROM a",
         "refusals": "SELECT o_orderpriority AS priority, (o_orderkey % 2 <> 0 AND o_orderkey % 20 - 15 < -8) OR o_orderkey % 5 <> 0 AS refused, count(*) AS n FROM orders GROUP BY 1, 2",
@@ -177,5 +221,5 @@ def sql() -> dict[str, str]:
     }
 
 
-NAMES = "topics ladders rule_gate amount_context refusals citation_lines reply_split excerpts hybrid_pool modal_quantity intent_accuracy run_compare pass_rate evidence_cases".split()
+NAMES = "parse_requests engine_results topics ladders rule_gate amount_context refusals citation_lines reply_split excerpts hybrid_pool modal_quantity intent_accuracy run_compare pass_rate evidence_cases".split()
 QUERIES = {name: globals()[name] for name in NAMES}
