@@ -263,3 +263,30 @@ def cart_guide(carts: DataFrame) -> DataFrame:
     out = carts.withColumn("questions", questions).withColumn("status", F.when(F.size("questions") > 0, "needs_details").otherwise("checked"))
     done = F.col("status") == "checked"
     return out.withColumns({"assessed": F.when(done, amount.cast("decimal(14,2)")), "required": F.when(done, amount >= limit)})
+
+
+# Fixed places of a cart page's fields.
+CART_ITEM = r'(?s)<[^>]*class="[^"]*document__cell__item[^"]*"[^>]*id="LineItemSixPack[^"]*"[^>]*>(.*?)(?=<[^>]*class="[^"]*document__cell__item|<table|$)'
+CART_ROW = r"(?s)<tr[^>]*>\s*<td[^>]*>([^<]*)</td>\s*<td[^>]*>([^<]*)</td>\s*</tr>"
+
+
+def read_cart(pages: DataFrame, html: str) -> DataFrame:
+    """pages with items (description, quantity, unit_price), tax, shipping and handling of a cart page; what isn't on it, or no amount, is null.
+
+    Taxes are the rows Tax, Tax1 and so on, together.
+    """
+    page = F.col(html)
+    plain = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    money = lambda c: F.when(F.trim(F.regexp_replace(c, r"\bUSD\b|[$,]", "")).rlike(r"^\d+(\.\d{1,2})?$"), F.trim(F.regexp_replace(c, r"\bUSD\b|[$,]", ""))).cast("decimal(14,2)")
+    one = lambda x: F.struct(
+        plain(F.regexp_extract(x, r'class="[^"]*ProductDescription[^"]*"[^>]*>([^<]*)<', 1)).alias("description"),
+        F.regexp_extract(x, r'name="Req_ProductHdrQuantity:[^"]*"[^>]*value="(\d+(?:\.\d+)?)"', 1).try_cast("decimal(12,4)").alias("quantity"),
+        money(F.regexp_extract(x, r'id="UnitPriceValueBlock:[^"]*"[^>]*>([^<]*)<', 1)).alias("unit_price"),
+    )
+    names = F.transform(F.regexp_extract_all(page, F.lit(CART_ROW), F.lit(1)), lambda x: F.lower(plain(x)))
+    rows = F.arrays_zip(names.alias("name"), F.transform(F.regexp_extract_all(page, F.lit(CART_ROW), F.lit(2)), money).alias("amount"))
+    out = pages.withColumns({"items": F.transform(F.regexp_extract_all(page, F.lit(CART_ITEM), F.lit(1)), one), "rows": rows})
+    named = lambda n: F.get(F.filter("rows", lambda r: r["name"] == n), F.lit(0))["amount"]
+    taxes = F.filter("rows", lambda r: r["name"].rlike(r"^tax\d*$"))
+    tax = F.when(F.size(taxes) > 0, F.aggregate(taxes, F.lit(0).cast("decimal(24,2)"), lambda s, r: (s + r["amount"]).cast("decimal(24,2)"))).cast("decimal(14,2)")
+    return out.withColumns({"tax": tax, "shipping": named("shipping"), "handling": named("handling")}).drop("rows")
