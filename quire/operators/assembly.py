@@ -39,11 +39,14 @@ def clipped(sections: DataFrame, blocks: DataFrame, width: int = 4096) -> DataFr
 def quote_spans(text: Column, borders: Column) -> Column:
     """Numbered parts (quote_id, start, end, quote) of a text between its borders and blank lines, without white space around them."""
     hits, gaps = F.regexp_extract_all(text, F.lit(f"({BLANK})"), F.lit(1)), F.split(text, BLANK, -1)
-    chars = lambda c, k: F.aggregate(F.slice(c, F.lit(1), k), F.lit(0), lambda n, x: n + F.length(x))
-    after = F.transform(hits, lambda h, i: chars(gaps, i + 1) + chars(hits, i + 1))
+    sizes = F.zip_with(gaps, hits, lambda g, h: F.length(g) + F.length(h))  # null for the last gap, which no blank line ends
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
+    step = lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["ends"], F.array(s["at"] + n)).alias("ends"))
+    after = F.aggregate(F.filter(sizes, lambda n: n.isNotNull()), start, step)["ends"]
     inside = F.filter(F.transform(borders, lambda b: b.cast("int")), lambda b: (b > 0) & (b < F.length(text)))
     cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0), F.length(text)), inside, after)))
-    pairs = F.transform(F.slice(cuts, F.lit(1), F.size(cuts) - 1), lambda a, i: F.struct(a.alias("a"), F.substring(text, a + 1, F.element_at(cuts, i + 2) - a).alias("s")))
+    ends = F.slice(cuts, F.lit(2), F.greatest(F.size(cuts) - 1, F.lit(0)))
+    pairs = F.zip_with(F.slice(cuts, F.lit(1), F.size(cuts) - 1), ends, lambda a, b: F.struct(a.alias("a"), F.substring(text, a + 1, b - a).alias("s")))
     said = F.filter(pairs, lambda p: p["s"].rlike(r"\S"))
 
     def one(p: Column, i: Column) -> Column:

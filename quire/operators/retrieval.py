@@ -15,7 +15,7 @@ K1, B = 1.5, 0.75
 
 
 #: Digits after the point to which scores are compared, so that sums of the same numbers in another order tie.
-TIES = 12
+TIES = 9
 
 
 def tokenised(docs: DataFrame, **tokens: Column) -> DataFrame:

@@ -255,7 +255,7 @@ def sql() -> dict[str, str]:
         "block_spans": f'WITH {body}, e AS (SELECT doc_id, max(s + n) AS n FROM p GROUP BY 1), x AS (SELECT doc_id, n, unnest(range((n - 1) // 300 + 1)) AS section FROM e WHERE n > 0), y AS (SELECT doc_id, section, section * 300 AS a, least(section * 300 + 300, n) AS z FROM x) SELECT doc_id, section, k AS block, greatest(a, s) - a AS start, least(z, s + p.n) - a AS "end", greatest(a, s) - s AS source_start, least(z, s + p.n) - s AS source_end FROM y JOIN p USING (doc_id) WHERE s + p.n > a AND s < z',
         "quote_spans": f"WITH {l}, p AS (SELECT *, sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY k) - length(text) - 2 AS place, regexp_replace(text, '^\\s+', '') AS r FROM l), q AS (SELECT doc_id, k, place + length(text) - length(r) AS start, regexp_replace(r, '\\s+$', '') AS quote FROM p WHERE regexp_matches(text, '\\S')) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS quote_id, CAST(start AS BIGINT) AS start, CAST(start + length(quote) AS BIGINT) AS \"end\", md5(quote) AS digest FROM q",
         "verified_claims": f"SELECT o_orderkey AS q_id, CASE o_orderkey % 8 WHEN 1 THEN 'number without evidence' WHEN 2 THEN 'own citation' WHEN 3 THEN 'blank' WHEN 4 THEN 'unknown source' WHEN 6 THEN 'unknown part' WHEN 7 THEN 'absent quote' END AS problem, CASE o_orderkey % 8 WHEN 0 THEN 'Claim ' || {money} || ' [1]' WHEN 5 THEN 'Claim ' || {money} || ' BUS 43 [1]' END AS line, CASE o_orderkey % 8 WHEN 0 THEN 'Bids start at $' || {money} || ' for   this “kind”.' WHEN 5 THEN 'start at $' || {money} || ' for   this “kind”.' END AS quotes FROM orders",
-        "hybrid_dense": f"{with_a}, v AS (SELECT q.vec_id AS q_id, e.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 12) AS score FROM embeddings q JOIN benchmark ON item_id = q.vec_id JOIN embeddings e ON e.vec_id <> q.vec_id), u AS (SELECT q_id, doc_id, rank, 0 AS li FROM ({top('sa', 30)}) UNION ALL SELECT q_id, doc_id, rank, 1 AS li FROM ({top('(SELECT * FROM v WHERE score >= 0)', 30)})), f AS (SELECT q_id, doc_id, round(sum(1 / (60 + rank)::DOUBLE), 12) AS score, min(li * 1000000 + rank) AS tie FROM u GROUP BY 1, 2) SELECT q_id, doc_id, round(score, 9) AS score, rank FROM ({top('f', 10, 'tie')})",
+        "hybrid_dense": f"{with_a}, v AS (SELECT q.vec_id AS q_id, e.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score FROM embeddings q JOIN benchmark ON item_id = q.vec_id JOIN embeddings e ON e.vec_id <> q.vec_id), u AS (SELECT q_id, doc_id, rank, 0 AS li FROM ({top('sa', 30)}) UNION ALL SELECT q_id, doc_id, rank, 1 AS li FROM ({top('(SELECT * FROM v WHERE score >= 0)', 30)})), f AS (SELECT q_id, doc_id, round(sum(1 / (60 + rank)::DOUBLE), 9) AS score, min(li * 1000000 + rank) AS tie FROM u GROUP BY 1, 2) SELECT q_id, doc_id, round(score, 9) AS score, rank FROM ({top('f', 10, 'tie')})",
         "rewrites": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'limit of ' || regexp_replace(c_mktsegment, '\\s+', ' ', 'g') WHEN c_custkey % 3 <> 1 AND c_custkey % 5 = 0 THEN 'key words' ELSE c_name END AS search FROM customer",
         "graph_nodes": f"WITH {l}, n AS (SELECT 'document' AS kind, 'document:' || doc_id AS id FROM documents UNION ALL SELECT 'form', 'form:document:' || doc_id FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 'section', 'section:' || doc_id || ':' || k FROM l UNION ALL SELECT 'contains', CASE WHEN k = 0 THEN 'document:' || doc_id ELSE 'section:' || doc_id || ':' || ((k - 1) // 2) END || '>section:' || doc_id || ':' || k FROM l UNION ALL SELECT 'has_source', 'form:document:' || doc_id || '>document:' || doc_id FROM documents WHERE doc_id % 3 = 0) SELECT kind, count(*) AS n, min(id) AS first, max(id) AS last FROM n GROUP BY 1",
         "text_join": "SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS found FROM documents",

@@ -222,7 +222,7 @@ def sql() -> dict[str, str]:
 t{x} AS (SELECT doc_id, {tokens} AS t FROM {docs}), tot{x} AS (SELECT count(*) AS n, avg(len(t)) AS avg FROM t{x}),
 p{x} AS (SELECT doc_id, term, count(*) AS f, any_value(len) AS len FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM t{x}) GROUP BY 1, 2),
 df{x} AS (SELECT term, count(*) AS df FROM p{x} GROUP BY 1), q{x} AS ({asked}),
-s{x} AS (SELECT q_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * f * 2.5::DOUBLE / (f + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / {average})) * times), 12) AS score
+s{x} AS (SELECT q_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * f * 2.5::DOUBLE / (f + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / {average})) * times), 9) AS score
   FROM p{x} JOIN df{x} USING (term) JOIN q{x} USING (term), tot{x} GROUP BY 1, 2)"""
 
     b_query = f"SELECT DISTINCT item_id AS q_id, term, 1 AS times FROM (SELECT item_id, unnest(w) AS term FROM (SELECT item_id, {terms('text')} AS w FROM benchmark) UNION ALL SELECT item_id, unnest(string_split({expand}, ' ')) AS term FROM (SELECT item_id, unnest({terms('text')}) AS w FROM benchmark) WHERE {expand} IS NOT NULL)"
@@ -231,10 +231,10 @@ s{x} AS (SELECT q_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.
     b = bm25("documents", terms("text"), b_query, "greatest(avg, 1)")
     a = bm25(long_docs, chunk("text"), a_query, "avg", "a")
     top = lambda src, k, tie="doc_id": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, {tie}) AS rank FROM {src}) WHERE rank <= {k}"
-    near = "d AS (SELECT q.vec_id AS q_id, e.vec_id AS doc_id, q.label AS ql, e.label AS el, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 12) AS score FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)"
+    near = "d AS (SELECT q.vec_id AS q_id, e.vec_id AS doc_id, q.label AS ql, e.label AS el, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)"
     dense = "first AS (SELECT min(vec_id) AS q_id FROM embeddings GROUP BY label), d AS (SELECT q.vec_id AS q_id, e.vec_id AS doc_id, q.label AS ql, e.label AS el, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN first ON q.vec_id = first.q_id JOIN embeddings e ON e.vec_id <> q.vec_id)"
     heads = f"{lines}, h AS (SELECT doc_id, line_no AS start, CAST((line_no * 7 + doc_id) % 9 + 1 AS INT) AS level FROM l WHERE (line_no + doc_id) % 2 = 0), e AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents), r AS (SELECT h.doc_id, h.start, h.level, coalesce(min(k.start), any_value(n)) AS \"end\" FROM h JOIN e USING (doc_id) LEFT JOIN h k ON k.doc_id = h.doc_id AND k.start > h.start AND k.level <= h.level GROUP BY 1, 2, 3)"
-    fuse = lambda off: f"u AS (SELECT q_id, doc_id, rank, 0 AS li FROM ({top('(SELECT * FROM s WHERE score > 0)', 40)}) UNION ALL SELECT q_id, doc_id, rank, 1 AS li FROM ({top('sa', 40)})), f AS (SELECT q_id, doc_id, round(sum(1 / (60 + rank + {off})::DOUBLE), 12) AS score, min(li * 1000000 + rank) AS tie FROM u GROUP BY 1, 2)"
+    fuse = lambda off: f"u AS (SELECT q_id, doc_id, rank, 0 AS li FROM ({top('(SELECT * FROM s WHERE score > 0)', 40)}) UNION ALL SELECT q_id, doc_id, rank, 1 AS li FROM ({top('sa', 40)})), f AS (SELECT q_id, doc_id, round(sum(1 / (60 + rank + {off})::DOUBLE), 9) AS score, min(li * 1000000 + rank) AS tie FROM u GROUP BY 1, 2)"
     return {
         "lexical_tokens": f"SELECT doc_id, len(regexp_extract_all(text, '{tok}')) AS tokens, len(regexp_extract_all(text, '{WORD}+')) AS words, coalesce(CAST(list_sum(list_transform(regexp_extract_all(text, '{tok}'), lambda p: length(p))) AS BIGINT), 0) AS last_end FROM documents",
         "token_offsets": rf"WITH a AS (SELECT item_id, regexp_extract_all(text, '{tok}') AS p FROM benchmark), b AS (SELECT item_id, unnest(p) AS p, generate_subscripts(p, 1) - 1 AS k FROM a), c AS (SELECT *, sum(length(p)) OVER (PARTITION BY item_id ORDER BY k) AS e, regexp_replace(p, '^\s+', '') AS token FROM b) SELECT item_id, CAST(k AS INT) AS k, CAST(e - length(token) AS INT) AS start, CAST(e AS INT) AS end_, token FROM c",
@@ -249,7 +249,7 @@ s{x} AS (SELECT q_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.
         "merged_ranges": "WITH o AS (SELECT o_custkey AS key, CAST(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS INT) AS start FROM orders), m AS (SELECT *, max(start + 10) OVER (PARTITION BY key ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY start ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT key, min(start) AS start, max(start + 10) AS \"end\" FROM g GROUP BY key, g",
         "bm25_topk": f"WITH {b} SELECT q_id, doc_id, round(score, 6) AS score, rank FROM ({top('(SELECT * FROM s WHERE score > 0)', 10)})",
         "bm25_a_topk": f"WITH {a} SELECT q_id, doc_id, round(score, 6) AS score, rank FROM ({top('sa', 10)}) WHERE score > 0",
-        "fts_all_terms": f"WITH t AS (SELECT doc_id, {terms('text')} AS t FROM documents), p AS (SELECT doc_id, term, count(*) AS f, any_value(len) AS len FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM t) GROUP BY 1, 2), q AS (SELECT item_id AS q_id, list_distinct({terms('text')}[1:20]) AS ts FROM benchmark), k AS (SELECT q_id, len(ts) AS need, unnest(ts) AS term FROM q), s AS (SELECT q_id, doc_id, round(sum(f) / max(len), 12) AS score FROM p JOIN k USING (term) GROUP BY 1, 2 HAVING count(*) = max(need)) SELECT q_id, doc_id, round(score, 9) AS score, rank FROM ({top('s', 10)})",
+        "fts_all_terms": f"WITH t AS (SELECT doc_id, {terms('text')} AS t FROM documents), p AS (SELECT doc_id, term, count(*) AS f, any_value(len) AS len FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM t) GROUP BY 1, 2), q AS (SELECT item_id AS q_id, list_distinct({terms('text')}[1:20]) AS ts FROM benchmark), k AS (SELECT q_id, len(ts) AS need, unnest(ts) AS term FROM q), s AS (SELECT q_id, doc_id, round(sum(f) / max(len), 9) AS score FROM p JOIN k USING (term) GROUP BY 1, 2 HAVING count(*) = max(need)) SELECT q_id, doc_id, round(score, 9) AS score, rank FROM ({top('s', 10)})",
         "cosine_topk": f"WITH {near} SELECT q_id, doc_id, round(score, 6) AS score, rank FROM ({top('(SELECT * FROM d WHERE score >= 0.25)', 40)})",
         "intent_route": f"WITH {dense}, k AS (SELECT doc_id, score, ql, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ql) AS k FROM d) SELECT doc_id AS vec_id, score, CASE WHEN score >= 0.3 THEN ql END AS intent FROM k WHERE k = 1",
         "rrf_a": f"WITH {b}, {a}, {fuse(0)} SELECT q_id, doc_id, round(score, 9) AS score, rank FROM ({top('f', 30, 'tie')})",
