@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import bpe
-from quire.llm.common import add_columns, forget, saved
+from quire.llm.common import add_columns, saved
 
 BUCKETS, BITS, SEED = 128, 10, 20240607
 
