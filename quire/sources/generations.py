@@ -1,62 +1,53 @@
-"""Published tables: a generation is a folder of Parquet tables; a pointer file names the one that readers see.
+"""Published tables: each generation is a partition of its tables, and a small table of publications names the active one.
 
-A generation is written whole and checked before the pointer is replaced by renaming, so that a failure leaves the old
-one in place. All paths go through Hadoop's file systems.
+A generation is written and checked before its publication is appended, so that a failure leaves the old one in place.
+A refused or previewed generation is a partition that no publication names. Only Spark's readers and writers are used.
 """
 
 from __future__ import annotations
 
-import json
 import re
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 VERSION = 1
+PUBLICATIONS = "schema_version int, generation string, tables array<string>, published timestamp"
 
 
-def place(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+def partition(root: str, table: str, generation: str) -> str:
+    return f"{root}/{table}/generation={generation}"
 
 
 def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], check: Callable[[dict[str, DataFrame]], DataFrame] | None = None, preview: bool = False) -> str:
     """Writes tables as a new generation and returns its name. check gives rows for problems; any row stops the publication."""
     name = f"gen-{uuid.uuid4().hex}"
     for table, df in tables.items():
-        df.write.parquet(f"{root}/{name}/{table}")
-    written = {t: spark.read.parquet(f"{root}/{name}/{t}") for t in tables}
+        df.write.parquet(partition(root, table, name))
+    written = {t: spark.read.parquet(partition(root, t, name)) for t in tables}
     if check is not None and (found := check(written).limit(5).collect()):
-        p, fs = place(spark, f"{root}/{name}")
-        fs.delete(p, True)
         raise ValueError(f"not published: {found}")
     if not preview:
-        point(spark, root, name, sorted(tables))
+        row = spark.range(1).select(
+            F.lit(VERSION).alias("schema_version"),
+            F.lit(name).alias("generation"),
+            F.array(*map(F.lit, sorted(tables))).cast("array<string>").alias("tables"),
+            F.current_timestamp().alias("published"),
+        )
+        row.write.mode("append").parquet(f"{root}/publications")
     return name
 
 
-def point(spark: SparkSession, root: str, name: str, tables: list[str]) -> None:
-    text = json.dumps({"schema_version": VERSION, "generation": name, "tables": tables})
-    fresh, fs = place(spark, f"{root}/.pointer-{uuid.uuid4().hex}")
-    out = fs.create(fresh)
-    out.write(bytearray(text.encode()))
-    out.close()
-    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), spark._jsc.hadoopConfiguration()) if fresh.toUri().getScheme() else spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark._jsc.hadoopConfiguration())
-    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
-    options = spark.sparkContext._gateway.new_array(rename, 1)
-    options[0] = rename.OVERWRITE
-    context.rename(fresh, place(spark, f"{root}/pointer.json")[0], options)
-
-
 def active(spark: SparkSession, root: str) -> str:
-    """The active generation's name; a pointer that leaves the folder or has another version is refused."""
-    row = spark.read.option("wholetext", True).text(f"{root}/pointer.json").first()
-    found = json.loads(row[0])
-    if found.get("schema_version") != VERSION or not re.fullmatch(r"gen-[0-9a-f]{32}", str(found.get("generation"))):
-        raise ValueError("the pointer can't be used")
-    return found["generation"]
+    """The generation published last (ties: the greater name); another version or an unfit name is refused."""
+    rows = spark.read.schema(PUBLICATIONS).parquet(f"{root}/publications")
+    found = rows.orderBy(F.desc("published"), F.desc("generation")).first()
+    if found is None or found.schema_version != VERSION or not re.fullmatch(r"gen-[0-9a-f]{32}", found.generation or ""):
+        raise ValueError("no publication can be used")
+    return found.generation
 
 
 def read(spark: SparkSession, root: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{active(spark, root)}/{table}")
+    return spark.read.parquet(partition(root, table, active(spark, root)))
