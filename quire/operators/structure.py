@@ -101,9 +101,20 @@ def chunk_stats(sizes: DataFrame) -> DataFrame:
     )
 
 
-MARKER = r"(?m)(?=^[ \t]*(?:[A-Z][A-Z\s]{4,}:?\s*$|(?i:Part\s+\d+|[IVXLCDM]{1,6}\.|[A-Z]\.\s|\d{1,2}\.\s)))"
+#: What stands before a piece's first character while a text is cut. A text that holds it is cut there too.
+CUT = "\x01\x02"
+#: Lines in capitals, and numbers, letters and words that open a section.
+CAPITALS = r"(?md)^[ \t]*[A-Z][A-Z\s]{4,}:?\s*$"
+OPENING = (
+    rf"(?mid)^(?:{CUT})?[ \t]*(?:Part\s+\d+|[IVXLCDM]{{1,6}}\.|[A-Z]\.\s|\d{{1,2}}\.\s|[a-z]\)\s|\(\d+\)\s"
+    r"|SECTION|DEFINITIONS?|POLICY|PROCEDURES?|BACKGROUND|PURPOSE|SCOPE|RESPONSIBILITIES|COMPLIANCE|REFERENCES?|APPENDIX|EXHIBIT)"
+)
 
 
 def pieces_by_marker(text: Column) -> Column:
-    """A text cut before lines that open a section, pieces of more than 20 characters."""
-    return F.filter(F.transform(F.split(text, MARKER), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: F.length(s) > 20)
+    """A text cut before lines that open a section, pieces of more than 20 characters; at blank lines if no line does, all that say something."""
+    marked = F.regexp_replace(F.regexp_replace(text, CAPITALS, f"{CUT}$0"), OPENING, f"{CUT}$0")
+    trimmed = lambda pieces: F.transform(pieces, lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    sections = F.filter(trimmed(F.split(marked, CUT)), lambda s: F.length(s) > 20)
+    paragraphs = F.filter(trimmed(F.split(text, r"\n\s*\n")), lambda s: s != "")
+    return F.when(F.contains(marked, F.lit(CUT)), sections).otherwise(paragraphs)

@@ -71,7 +71,7 @@ def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def legacy_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces of documents between lines that open a section."""
+    """The pieces of documents between lines that open a section, or blank lines where none does."""
     pieces = docs_of(spark, sf_dir).select("doc_id", F.posexplode(st.pieces_by_marker(F.col("text"))).alias("k", "piece"))
     return pieces.select("doc_id", "k", F.length("piece").alias("chars"), F.md5(F.col("piece").cast("binary")).alias("digest"))
 
@@ -244,7 +244,12 @@ s{x} AS (SELECT q_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.
         "parent_sections": f"WITH {heads}, c AS (SELECT i.doc_id, i.start, i.level, i.\"end\", o.start AS ps, row_number() OVER (PARTITION BY i.doc_id, i.start ORDER BY o.level DESC NULLS LAST, o.start) AS k FROM r i LEFT JOIN r o ON o.doc_id = i.doc_id AND o.start <= i.start AND o.\"end\" >= i.\"end\" AND o.level < i.level) SELECT doc_id, CAST(start AS INT) AS start, level, CAST(\"end\" AS INT) AS \"end\", CAST(ps AS INT) AS parent FROM c WHERE k = 1",
         "ownership": f"WITH {heads}, b AS (SELECT doc_id, start AS a FROM r UNION SELECT doc_id, \"end\" FROM r UNION SELECT doc_id, 0 FROM e UNION SELECT doc_id, n FROM e), c AS (SELECT doc_id, a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM b), d AS (SELECT c.doc_id, c.a, c.b, r.start AS owner, row_number() OVER (PARTITION BY c.doc_id, c.a ORDER BY r.level DESC NULLS LAST, r.start DESC) AS k FROM c LEFT JOIN r ON r.doc_id = c.doc_id AND r.start <= c.a AND r.\"end\" >= c.b WHERE c.b > c.a) SELECT doc_id, CAST(a AS INT) AS a, CAST(b AS INT) AS b, CAST(owner AS INT) AS owner FROM d WHERE k = 1",
         "chunk_windows": f"WITH n AS (SELECT doc_id, len(regexp_extract_all(text, '{tok}')) AS n FROM documents), w AS (SELECT doc_id, n, unnest(range(CASE WHEN n <= 240 THEN 1 ELSE 1 + CAST(ceil((n - 240) / 200) AS BIGINT) END)) AS k FROM n WHERE n > 0) SELECT doc_id, CAST(k AS INT) AS \"window\", CAST(k * 200 AS INT) AS first, CAST(least(k * 200 + 240, n) AS INT) AS last FROM w",
-        "legacy_sections": rf"WITH m AS (SELECT doc_id, regexp_replace(text, '(?m)(^[ \t]*(?:[A-Z][A-Z\s]{{4,}}:?\s*$|(?i:Part\s+\d+|[IVXLCDM]{{1,6}}\.|[A-Z]\.\s|\d{{1,2}}\.\s)))', chr(1) || '\1', 'g') AS t FROM documents), p AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 20) AS p FROM m), e AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) - 1 AS k FROM p) SELECT doc_id, CAST(k AS INT) AS k, CAST(length(piece) AS INT) AS chars, md5(piece) AS digest FROM e",
+        "legacy_sections": r"""WITH c AS (SELECT doc_id, text, regexp_replace(text, '(?m)^[ \t]*[A-Z][A-Z\s]{4,}:?\s*$', chr(1) || chr(2) || '\0', 'g') AS t FROM documents),
+            m AS (SELECT doc_id, text, regexp_replace(t, '(?im)^(?:\x01\x02)?[ \t]*(?:Part\s+\d+|[IVXLCDM]{1,6}\.|[A-Z]\.\s|\d{1,2}\.\s|[a-z]\)\s|\(\d+\)\s|SECTION|DEFINITION|POLICY|PROCEDURE|BACKGROUND|PURPOSE|SCOPE|RESPONSIBILITIES|COMPLIANCE|REFERENCE|APPENDIX|EXHIBIT)', chr(1) || chr(2) || '\0', 'g') AS t FROM c),
+            p AS (SELECT doc_id, contains(t, chr(1) || chr(2)) AS cut, CASE WHEN cut THEN string_split(t, chr(1) || chr(2)) ELSE string_split_regex(text, '\n\s*\n') END AS parts FROM m),
+            s AS (SELECT doc_id, list_filter(list_transform(parts, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > CASE WHEN cut THEN 20 ELSE 0 END) AS p FROM p),
+            e AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) - 1 AS k FROM s)
+            SELECT doc_id, CAST(k AS INT) AS k, CAST(length(piece) AS INT) AS chars, md5(piece) AS digest FROM e""",
         "chunk_stats": r"WITH c AS (SELECT CAST(floor(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) * 1.3) AS BIGINT) AS t FROM documents) SELECT count(*) AS chunks, round(avg(t), 6) AS mean, min(t) AS least, max(t) AS greatest, count(*) FILTER (t < 80) AS small, count(*) FILTER (t > 350) AS large, count(*) FILTER (t < 80) AS b0, count(*) FILTER (t >= 80 AND t < 150) AS b80, count(*) FILTER (t >= 150 AND t < 300) AS b150, count(*) FILTER (t >= 300) AS b300 FROM c",
         "merged_ranges": "WITH o AS (SELECT o_custkey AS key, CAST(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS INT) AS start FROM orders), m AS (SELECT *, max(start + 10) OVER (PARTITION BY key ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY start ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT key, min(start) AS start, max(start + 10) AS \"end\" FROM g GROUP BY key, g",
         "bm25_topk": f"WITH {b} SELECT q_id, doc_id, round(score, 6) AS score, rank FROM ({top('(SELECT * FROM s WHERE score > 0)', 10)})",
