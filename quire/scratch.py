@@ -35,16 +35,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/quire-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, codec: str | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage is cut, and lost executors cost no data.
 
+    codec: the files' compression, the session's own where it is None.
+
     Lazy results read such tables later; what forget() hasn't removed by then goes when the driver's process ends.
     """
     path = scratch_dir(df.sparkSession)
     if not MADE:
         atexit.register(forget_all)
     MADE[path] = df.sparkSession
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
