@@ -1,4 +1,4 @@
-"""Decisions over parsed questions: the rules in one pass, reference facts, what was decided, and the answer's first line."""
+"""Decisions over parsed questions: the rules in one pass, reference facts, and what was decided."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators import questions as qs
-from quire.operators import rules
+from quire.operators import rendering, rules
 from quire.operators.rules import compact
 
 # Fixed severities of the flags.
@@ -19,10 +19,6 @@ SEVERITY = {
 FACTS = {"bid": 1, "sspr": 2, "federal": 2, "mixed": 1, "multi_year": 1, "small_business": 1, "sole_source": 2, "split": 1, "equipment": 1, "micro": 1, "sat": 1, "covered": 3}
 
 
-def dollars(x: Column) -> Column:
-    return F.concat(F.lit("$"), F.format_number(x, 0))
-
-
 def reference_facts(topics: Column) -> Column:
     """The keys topic:number of the facts that topics call up, in the facts' own order."""
     keys = F.array(*(F.struct(F.lit(t).alias("topic"), F.lit(f"{t}:{k + 1}").alias("key")) for t, n in FACTS.items() for k in range(n)))
@@ -75,23 +71,5 @@ def use_rules(decided: DataFrame) -> Column:
 
 
 def header(decided: DataFrame) -> DataFrame:
-    """Adds header, the determination in one line; policies' own messages are left to callers. Empty where nothing was decided."""
-    yes = lambda c: F.when(c, "YES").otherwise("NO")
-    federal, has = F.col("federal_rules"), F.col("amount") > 0
-    award = F.coalesce("award", F.lit("grant"))
-    trigger = F.when(award == "contract", rules.FORM_CONTRACT).otherwise(rules.FORM_GRANT)
-    mixed = F.concat(
-        F.lit("Federal rules "), F.when(federal, "apply to the entire transaction").otherwise("do NOT apply; UC/State rules only"), F.lit(" (federal portion "), dollars(F.col("federal_amount")), F.lit(" "),
-        F.when(federal, "meets").otherwise("is below"), F.lit(" the "), dollars(trigger), F.lit(" federal "), award, F.lit(" threshold)."),
-    )
-    bid = F.concat(F.lit("Competitive bid required: "), yes(F.col("bid_required")), F.lit(" ("), dollars(F.col("value")), F.lit(f"; threshold ${rules.BID:,}"), F.when(F.col("bid_exemption").isNotNull() & F.col("over_bid"), F.concat(F.lit("; exemption: "), "bid_exemption")).otherwise(""), F.lit(")."))
-    form = F.concat(F.lit("SSPR required: "), yes(F.col("form_required")), F.lit(" (threshold "), dollars(F.col("form_threshold")), F.when(F.col("form_required"), F.concat(F.lit("; sections "), F.regexp_replace("sections", ",", ", "))).otherwise(""), F.lit(")."))
-    tags = F.transform("equipment", lambda e: F.concat(e["name"], F.lit(" ("), dollars(e["cost"]), F.lit("): "), F.when(e["must_tag"], "must be tagged").otherwise("no tagging required"), F.lit(f" (BUS-29 threshold ${rules.TAG:,}).")))
-    covered = F.concat(
-        F.lit("Covered service ("), F.array_join("services", ", "), F.lit(") under Regents Policy 5402: "), F.when(F.col("prohibited"), "PROHIBITED (displaces UC employees).").otherwise("allowed only under a listed exception."),
-        F.lit(" AFSCME notice: "), yes(F.col("notice_required")), F.lit("."), F.when(F.col("notice_required"), F.concat(F.lit(" Wage/benefit parity: "), yes(F.col("parity_required")), F.lit("."))).otherwise(""),
-    )
-    others = F.filter("forms", lambda f: f != rules.FORMS[0])
-    also = F.when(F.size(others) > 0, F.concat(F.lit("Also required: "), F.array_join(others, "; "), F.lit(".")))
-    parts = F.concat(compact(F.when(has & F.col("mixed"), mixed), F.when(has, bid), F.when(has, form)), tags, compact(F.when(F.size("services") > 0, covered), also))
-    return decided.withColumn("header", F.when(F.size(parts) > 0, F.concat(F.lit("Determination (rule engine): "), F.array_join(parts, " "))).otherwise(""))
+    """Adds header, the determination in one line; empty where nothing was decided."""
+    return rendering.answer_line(rendering.worded(decided))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import NUMBERS, duration_days, number
-from quire.operators.questions import FEDERAL, SPLIT, TOPICS, amounts, said, topics
+from quire.operators.questions import FEDERAL, TOPICS, amounts, said, topics
 
 # Fixed patterns of the question parser.
 FEDERAL_WORD = rf"(?<!non-)(?<!non ){FEDERAL}"
@@ -34,7 +34,10 @@ JUSTIFICATIONS = (  # in this order; those that aren't allowed come first
     ("one_of_a_kind", r"one.of.a.kind|unique|only (manufacturer|vendor|supplier|company)|no other (manufacturer|vendor|supplier|company)|only available|only one (vendor|supplier|manufacturer|company)|only available from"),
 )
 REALLY_ONE = r"one.of.a.kind|unique|no other|only (manufacturer|available)"
-DIVIDED = SPLIT.removeprefix(r"same (vendor|supplier|company)|")
+DIVIDED = (
+    r"\bsplit|break (it |this |them |the purchase )?up|\bdivid|separate (purchase )?orders|(two|three|several|multiple) (separate )?(purchase )?orders"
+    r"|to avoid (the )?(competitive )?bid|stay (under|below)|smaller orders|independent purchases|separate purchases|without triggering"
+)
 EQUIPMENT = r"\btag(ged|ging)?\b|inventori(al|ed)|\basset|capitaliz|\bcaan\b|bus-29|tracked|equipment.{0,60}\$5,000 threshold|\$5,000 threshold.{0,60}equipment"
 ITEM_BEFORE = r"(?i)(?:an?|the|one)\s+([a-z][a-z\-]*(?:\s+[a-z][a-z\-]*){0,2}?)\s+(?:for|costing|valued at|worth|priced at|at)\s*(?:about\s+)?$"
 ITEM_AFTER = r"(?i)^\s*([a-z][a-z\-]*(?:\s+(?!and\b|or\b|for\b)[a-z][a-z\-]*)?)"

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import asked, assembly, corpus, purchases, records, sections
+from quire.plans import asked, assembly, corpus, purchases, records, sections, worded
 
-PLANS = (purchases, corpus, records, asked, sections, assembly)
+PLANS = (purchases, corpus, records, asked, sections, assembly, worded)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,9 +1,11 @@
-"""Questions with known decisions: parsing, boundaries, ladders, the answer's first line."""
+"""Questions with known decisions: parsing, boundaries, ladders, the answer's line. Questions and decisions are fixed values."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import engine as en
+from quire.operators import messages as ms
+from quire.operators import rendering as rd
 from quire.operators import requests as rq
 from quire.plans.purchases import sections
 from quire.scratch import saved
@@ -79,6 +81,38 @@ def test_ladders(asked):
     assert all(r.substantive and r.use_rules for r in got[:4]) and "business_meal" not in {x.split(":")[0] for x in got[4].ladders}
 
 
+def test_prohibitions_come_first(asked):
+    got = asked(
+        "Can we split this $120,000 purchase into two orders from the same vendor to avoid bidding?", "Two purchase orders of $60,000 and $55,000 to the same vendor", "The cheapest sole source vendor wants $120k for a purchase",
+        "What is the competitive bid threshold?", "Small business purchase for $300,000", "A former director on the evaluation committee: may we contract with them as a vendor?", "",
+    )
+    before = "Determination (rule engine): "
+    assert got[0].header.startswith(before + "Intentionally dividing a purchase into smaller orders to avoid bidding requirements is prohibited under BUS-43.")
+    assert got[1].header.startswith(before + "Potential split order: $60,000 + $55,000 = $115,000. Each order is below the $100,000 competitive bid threshold but together they meet it.")
+    assert got[2].header.startswith(before + "Price is not an allowable sole source justification. Allowable justifications: One-of-a-kind/Unique, Match existing (list UC PO#). Competitive bid required: YES")
+    assert got[3].header == before + ms.MESSAGES["bid:1"]
+    assert got[4].header.startswith(before + "At $300,000 this is not under the $250,000 small business/DVBE limit")
+    assert got[5].header == before + ms.MESSAGES["post_employment:two_years"] and got[6].header == ""
+
+
+def test_fill(spark):
+    rows = spark.createDataFrame([("a {x} b {y}{z}.", {"x": "{y}", "y": "2"}), ("plain", {}), ("", {"x": "1"}), (None, {"x": "1"})], "t string, p map<string,string>")
+    assert [r.f for r in rows.select(rd.fill(F.col("t"), F.col("p")).alias("f")).collect()] == ["a {y} b 2.", "plain", "", None]
+    assert {r.f for r in rows.select(rd.wording("a {x}-{y}", F.col("p")).alias("f")).collect()} == {"a {y}-2", "a -", "a 1-"}
+
+
+def test_four_parts(spark, asked):
+    rows = spark.createDataFrame(list(enumerate(("Is there a competitive bid threshold?", "A purchase for $120,000", "A purchase for $120,000"))), "q_id long, question string")
+    done = rd.rendered(en.decide(saved(rq.parse(rows)), sections(spark)))
+    replies = F.element_at(F.array(F.lit("ignored"), F.lit("Answer: Bid it.\nRule: mine\nConditions: Soon."), F.lit("")), (F.col("q_id") + 1).cast("int"))
+    sources = F.when(F.col("q_id") == 1, F.array(F.lit('A: "b"'))).otherwise(F.array().cast("array<string>"))
+    got = [r.answer for r in rd.answered(done, replies, F.lit("bidding_threshold"), sources).orderBy("q_id").collect()]
+    rule = "Competitive bid required: YES ($120,000; threshold $100,000). SSPR required: YES (threshold $100,000; sections I, VII, VIII)."
+    assert got[0] == f"Answer: {ms.MESSAGES['bid:1']}\nRule: {ms.MESSAGES['bid:1']}\nSource: {ms.MESSAGES['answer:no_source']}\nConditions: {ms.MESSAGES['answer:general']}"
+    assert got[1] == f'Answer: Bid it.\nRule: {rule}\nSource: A: "b"\nConditions: Soon.'
+    assert got[2] == f"Answer: {rule}\nRule: {rule}\nSource: {ms.MESSAGES['answer:no_source']}\nConditions: None"
+
+
 def test_alcohol(spark):
     from quire.operators import questions as qs
 
