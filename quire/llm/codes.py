@@ -123,9 +123,10 @@ def coded(books: list[np.ndarray], width: int, carry: list[str]) -> Callable:
 
 def learned(vectors: DataFrame, width: int, entries: int = ENTRIES, rounds: int = ROUNDS) -> list[np.ndarray]:
     """The codebook of each part position after some rounds over all rows (vec_id, v) of vectors."""
-    ids = vectors.where("vec_id is not null").groupBy("vec_id").agg(F.min("v").alias("v")).orderBy("vec_id").limit(entries)
+    ids = [r.vec_id for r in vectors.select("vec_id").where("vec_id is not null").distinct().orderBy("vec_id").limit(entries).collect()]
+    begin = vectors.where(F.col("vec_id").isin(ids)).groupBy("vec_id").agg(F.min("v").alias("v")).orderBy("vec_id")  # vectors of a few ids move
     first = np.zeros((0, width), np.int64)
-    for r in ids.collect():
+    for r in begin.collect():
         first = np.vstack([first, np.pad(np.array(r.v, np.int64), (0, width - len(r.v)))])
     books = [first[:, p * width // PARTS : (p + 1) * width // PARTS].copy() for p in range(PARTS)]
     for _ in range(rounds if len(first) else 0):
