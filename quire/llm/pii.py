@@ -125,8 +125,12 @@ HOST = re.compile(rf"[A-Za-z0-9-]+(?:(?:{DOT}|\.)[A-Za-z0-9-]+)+", re.IGNORECASE
 DOTS = re.compile(DOT, re.IGNORECASE)
 #: A disguised dot without the blanks around it.
 BARE_DOT = re.compile(r"[\[({<][ \t]*+(?:dot|\.)[ \t]*+[\])}>]|(?<=[ \t])dot(?=[ \t])", re.IGNORECASE)
-#: Of "name at host.tld", without a disguised dot, only these ends are taken.
+#: "name at host.end" has nothing but a plain "at" to tell it from prose ("he came at noon.It rained"). It counts at these
+#: ends, or, at any end of letters, where the name has a digit, a dot or the like inside, or a word for mail stands before it.
 ENDS = re.compile(r"\.(?:com|org|net|edu|gov|info|io|de|fr|es|eu|uk)\Z", re.IGNORECASE)
+LETTERS_END = re.compile(r"\.[A-Za-z]{2,}\Z")
+NO_WORD = re.compile(r"[A-Za-z]+[0-9._%+-]+[A-Za-z0-9]|[0-9]+[A-Za-z]")
+MAIL_WORD = re.compile(r"(?<!\w)(?:e-?mails?|mail|contact|reach|write to|address|courriel|contacter|kontakt|schreiben an|correo|escriba a)(?: is| me| us| an| a| à)?[ \t]*[:=]?[ \t]*\Z", re.IGNORECASE)
 NO_WIDTH = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]+")
 
 
@@ -229,10 +233,12 @@ def addresses(text: str) -> list[Rewritten]:
         host = HOST.match(text, right)
         if not host or left == 0 or text[left - 1] not in LOCAL:
             continue
+        start = name_start(text, left, ends)
         plain = m[0].strip(" \t").lower() == "at"
         if plain and not DOTS.search(host[0]) and not ENDS.search(host[0]):
-            continue
-        start = name_start(text, left, ends)
+            told = NO_WORD.match(text, start, left) or MAIL_WORD.search(text, max(0, start - 24), start)
+            if not told or not LETTERS_END.search(host[0]):
+                continue
         run = Rewritten()
         for a, b in ((start, left), (left, right), host.span()):
             if a == left:
