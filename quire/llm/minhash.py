@@ -286,7 +286,7 @@ def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, percent
 
 
 def labelled(documents: DataFrame, percent: int) -> DataFrame:
-    """near_duplicates() for rows (row, doc_id, text), with their row numbers."""
+    """near_duplicates() for rows (row, doc_id, text), with their row numbers and whether a row is the first of its component's least doc_id, or has no words."""
     made = saved(sketch(documents.select("row", "doc_id", "text")))
     documents = documents.select("doc_id", "text")
     first = [F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("lead"), *(F.any_value(c).alias(c) for c in ("n_shingles", "keys", "sig"))]
@@ -331,23 +331,24 @@ def labelled(documents: DataFrame, percent: int) -> DataFrame:
     for t in (members, held, likely, best, apart, maybe):
         forget(t)
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    kept = (F.col("n_shingles") == 0) | (F.col("row") == F.col("keeper"))
-    return out.select("row", "doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    first = (F.col("n_shingles") == 0) | (F.col("row") == F.col("keeper"))
+    return out.select("row", "doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), first.alias("first"))
 
 
 def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """For each row of documents (doc_id, text): doc_id, n_shingles, component_id and kept.
 
-    Of each component one row is kept, of those with its least doc_id the first. Texts without words, null ones included,
-    are linked with nothing and kept. Rows with a null doc_id are linked only with equal texts, and have the least doc_id
-    of their component, or null. Repeated rows are copies. Other columns are not used.
+    kept says that doc_id is component_id, the least doc_id of the component; so it is true for each of repeated rows, of
+    which dedup() keeps one. Texts without words, null ones included, are linked with nothing and kept. Rows with a null
+    doc_id are linked only with equal texts, and have the least doc_id of their component, or null, which counts as equal
+    to it. Repeated rows are copies. Other columns are not used.
     """
-    return labelled(documents.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), percent).drop("row")
+    return labelled(documents.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), percent).drop("row", "first")
 
 
 def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each component, by near_duplicates(): rows are numbered once and decided one by one, whatever their doc_id."""
     row = "row" + "_" * max(map(len, docs.columns))  # no column of docs has this name
     numbered = saved(docs.withColumn(row, F.monotonically_increasing_id()))
-    gone = labelled(numbered.select(F.col(row).alias("row"), "doc_id", "text"), percent).where("not kept").select(F.col("row").alias(row))
+    gone = labelled(numbered.select(F.col(row).alias("row"), "doc_id", "text"), percent).where("not first").select(F.col("row").alias(row))
     return numbered.join(gone, row, "left_anti").select(*(f"`{c}`" for c in docs.columns))
