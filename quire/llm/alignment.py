@@ -42,7 +42,7 @@ from quire.llm.common import add_columns, blocks, forget, saved
 from quire.scratch import remove, scratch_dir
 
 #: Bytes of text that a task tokenises at once, and distinct pairs that it holds before it passes their counts on.
-BLOCK, HELD = 4 << 20, 2 << 20
+BLOCK, HELD = 1 << 20, 2 << 20
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
