@@ -1,84 +1,236 @@
-"""Word documents as tables of blocks: binary files in, one row for each paragraph, table row or header out.
+"""Word documents as tables of blocks: binary files in, one row for each paragraph, table, text box, header, footer and note out.
 
-Only the standard library reads the package; a file that can't be read gives one row with its error.
+Only the standard library reads a package. Its parts, styles and link targets come from the package's own lists of
+relationships, not from names. What needs more than one file's XML is left to Spark: cells() places a table's cells on
+the grid and joins what is merged, pages() groups paragraphs under headings.
 """
 
 from __future__ import annotations
 
 import io
+import posixpath
+import re
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-SCHEMA = "file string, part string, ordinal int, kind string, level int, text string, cells array<string>, error string"
-PARTS = ("word/document.xml", "word/header1.xml", "word/header2.xml", "word/header3.xml", "word/footer1.xml", "word/footer2.xml", "word/footer3.xml", "word/footnotes.xml")
+FALLBACK = "{http://schemas.openxmlformats.org/markup-compatibility/2006}Fallback"
+REF = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+SCHEMA = (
+    "file string, part string, element string, ordinal int, kind string, level int, text string, rows array<array<struct<text: string, column_span: int, vertical_merge: string>>>, "
+    "links array<struct<text: string, target: string, element: string>>, error string"
+)
+COLUMNS = ["file", "part", "element", "ordinal", "kind", "level", "text", "rows", "links", "error"]
+#: Bytes that the parts of a package may have unpacked; beyond that a file counts as damaged.
+LARGEST = 512 << 20
+#: Kinds of related parts that hold blocks, by the last word of the relationship's type.
+KINDS = {"header": "header", "footer": "footer", "footnotes": "footnote", "endnotes": "footnote"}
+
+
+@dataclass
+class Package:
+    """A file's parts: the body's name, the other parts with blocks by name and kind, heading styles, and link targets by part."""
+
+    archive: zipfile.ZipFile
+    body: str = ""
+    others: dict[str, str] = field(default_factory=dict)
+    levels: dict[str, int] = field(default_factory=dict)
+    targets: dict[str, dict[str, str]] = field(default_factory=dict)
+
+    def xml(self, name: str) -> ElementTree.Element:
+        return ElementTree.fromstring(self.archive.read(name))
+
+    def related(self, part: str) -> dict[str, tuple[str, str]]:
+        """(kind, target) by id of what a part refers to; targets inside the package are names of parts."""
+        folder, name = posixpath.split(part)
+        listing = posixpath.join(folder, "_rels", f"{name}.rels")
+        if listing not in self.archive.namelist():
+            return {}
+        out = {}
+        for node in self.xml(listing):
+            target, kind = node.get("Target", ""), node.get("Type", "").rpartition("/")[2]
+            if node.get("TargetMode") != "External":
+                target = posixpath.normpath(target.lstrip("/") if target.startswith("/") else posixpath.join(folder, target))
+            out[node.get("Id", "")] = (kind, target)
+        return out
+
+
+def opened(data: bytes) -> Package:
+    archive = zipfile.ZipFile(io.BytesIO(data))
+    if sum(x.file_size for x in archive.infolist()) > LARGEST:
+        raise ValueError("the package is larger than allowed")
+    if any(x.flag_bits & 1 for x in archive.infolist()):
+        raise ValueError("the package is encrypted")
+    names, package = set(archive.namelist()), Package(archive)
+    package.body = next((t for k, t in package.related("").values() if k == "officeDocument"), "word/document.xml")
+    known = package.related(package.body)
+    folder = posixpath.dirname(package.body)
+    found = {t: KINDS[k] for k, t in known.values() if k in KINDS and t in names}
+    for n in names:  # parts that nothing refers to, by the usual names
+        if (m := re.fullmatch(rf"{re.escape(folder)}/(header|footer|footnotes|endnotes)\d*\.xml", n)) and n not in found:
+            found[n] = KINDS[m[1]]
+    package.others = dict(sorted(found.items()))
+    styles = next((t for k, t in known.values() if k == "styles"), posixpath.join(folder, "styles.xml"))
+    if styles in names:
+        for style in package.xml(styles).iter(W + "style"):
+            name = style.find(W + "name")
+            if name is not None and (m := re.search(r"heading\s*(\d+)", name.get(W + "val", ""), re.I)):
+                package.levels[style.get(W + "styleId", "")] = int(m[1])
+    for part in (package.body, *package.others):
+        package.targets[part] = {i: t for i, (k, t) in package.related(part).items()}
+    return package
 
 
 def text_of(node: ElementTree.Element) -> str:
-    """The text of a paragraph, with tabs and breaks."""
-    out = []
-    for x in node.iter():
+    """The text in a node, with tabs, breaks, symbols and check boxes; text boxes in it are blocks of their own."""
+    out: list[str] = []
+    waiting = [node]
+    while waiting:
+        x = waiting.pop()
+        if x.tag == W + "txbxContent":
+            continue
         if x.tag == W + "t":
             out.append(x.text or "")
         elif x.tag == W + "tab":
             out.append("\t")
         elif x.tag in (W + "br", W + "cr"):
             out.append("\n")
+        elif x.tag == W + "sym":
+            out.append(f"[symbol:{x.get(W + 'font', '')}:{x.get(W + 'char', '')}]")
+        elif x.tag == W + "checkBox":
+            checked = x.find(W + "checked")
+            out.append(f"[checkbox:{checked.get(W + 'val', '1') if checked is not None else 'unspecified'}]")
+        waiting.extend(reversed(x))
     return "".join(out)
 
 
-def blocks(data: bytes) -> Iterator[tuple]:
-    """(part, kind, level, text, cells) in the order of the body."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = set(z.namelist())
-        for part in PARTS:
-            if part not in names:
+def boxes_in(node: ElementTree.Element) -> list[ElementTree.Element]:
+    """The text boxes in a paragraph or table, not those in other boxes, nor the second form of one that older programs read."""
+    out, waiting = [], [node]
+    while waiting:
+        x = waiting.pop()
+        if x.tag == W + "txbxContent":
+            out.append(x)
+        elif x.tag != FALLBACK:
+            waiting.extend(reversed(x))
+    return out
+
+
+def level_of(package: Package, node: ElementTree.Element) -> int | None:
+    """A paragraph's heading level, by its style's name; by the style's id where the package lists no styles."""
+    style = node.find(f"{W}pPr/{W}pStyle")
+    own = style.get(W + "val", "") if style is not None else ""
+    m = None if package.levels else re.fullmatch(r"heading\s*(\d+)", own, re.I)
+    return package.levels.get(own) or (int(m[1]) if m else None)
+
+
+def links_in(package: Package, part: str, node: ElementTree.Element, place: str) -> list[tuple[str, str, str]]:
+    out = []
+    for i, link in enumerate(node.iter(W + "hyperlink"), start=1):
+        anchor = link.get(W + "anchor")
+        target = package.targets[part].get(link.get(REF, "")) or (f"#{anchor}" if anchor else "")
+        if target:
+            out.append((text_of(link), target, f"({place}//w:hyperlink)[{i}]"))
+    return out
+
+
+def cells_of(table: ElementTree.Element) -> list[list[tuple[str, int, str | None]]]:
+    """(text, column_span, vertical_merge) of a table's cells, row by row; tables in a cell are part of its text."""
+    rows = []
+    for row in table.findall(W + "tr"):
+        cells = []
+        for cell in row.findall(W + "tc"):
+            span, merge = cell.find(f"{W}tcPr/{W}gridSpan"), cell.find(f"{W}tcPr/{W}vMerge")
+            text = "\n".join(text_of(x) for tag in ("p", "tbl") for x in cell.findall(W + tag))
+            width = span.get(W + "val", "1") if span is not None else "1"
+            cells.append((text, int(width) if width.isdigit() else 1, merge.get(W + "val", "continue") if merge is not None else None))
+        rows.append(cells)
+    return rows
+
+
+def blocks(package: Package) -> Iterator[tuple]:
+    """(part, element, kind, level, text, rows, links) in the order of the body, then of headers, footers and notes by name."""
+    body = package.xml(package.body).find(W + "body")
+    if body is None:
+        raise ValueError("no document body")
+    parts = [(package.body, body, "/w:document/w:body", "text")]
+    tags = {"header": "/w:hdr", "footer": "/w:ftr"}
+    for part, kind in package.others.items():
+        parts.append((part, None, tags.get(kind) or f"/w:{posixpath.basename(part)[:-4]}", kind))
+    for part, top, prefix, kind in parts:
+        waiting = [(top if top is not None else package.xml(part), prefix, kind, None)]
+        while waiting:
+            node, place, kind, only = waiting.pop()
+            if only is None:  # a container: its children in order
+                waiting.extend(reversed([(x, f"{place}/*[{i}]", kind, x.tag) for i, x in enumerate(node, start=1) if x.tag not in (W + "sectPr", W + "pPr", W + "tcPr")]))
                 continue
-            root = ElementTree.fromstring(z.read(part))
-            top = root.find(W + "body") if part.endswith("document.xml") else root
-            for node in top.iter() if part.endswith("footnotes.xml") else top:
-                if node.tag == W + "p":
-                    style = node.find(f"{W}pPr/{W}pStyle")
-                    name = style.get(W + "val", "") if style is not None else ""
-                    level = int(name[7:]) if name.lower().startswith("heading") and name[7:].isdigit() else None
-                    text = text_of(node).strip()
-                    if text:
-                        kind = "heading" if level else part.split("/")[1].rstrip("0123456789.xml") if not part.endswith("document.xml") else "text"
-                        yield part, kind, level, text, None
-                elif node.tag == W + "tbl":
-                    for row in node.iter(W + "tr"):
-                        cells = ["\n".join(text_of(p) for p in c.iter(W + "p")) for c in row.findall(W + "tc")]
-                        yield part, "table", None, " | ".join(cells), cells
+            if only not in (W + "p", W + "tbl"):
+                waiting.append((node, place, kind, None))
+                continue
+            level = level_of(package, node) if only == W + "p" else None
+            rows = cells_of(node) if only == W + "tbl" else None
+            text = "\n".join(" | ".join(c[0] for c in row) for row in rows) if rows is not None else text_of(node)
+            if text.strip():
+                name = "table" if rows is not None else "heading" if level and kind == "text" else kind
+                yield part, place, name, level, text, rows, links_in(package, part, node, place)
+            waiting.extend(reversed([(x, f"({place}//w:txbxContent)[{i}]", "textbox", None) for i, x in enumerate(boxes_in(node), start=1)]))
 
 
 def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["file", "part", "ordinal", "kind", "level", "text", "cells", "error"]
     for pdf in batches:
         for path, content in zip(pdf.path, pdf.content, strict=True):
             try:
-                rows = [(path, part, i, kind, level, text, cells, None) for i, (part, kind, level, text, cells) in enumerate(blocks(content))]
-            except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, AttributeError) as e:
-                rows = [(path, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
-            out = pd.DataFrame(rows, columns=columns)
-            yield out.astype({"ordinal": "Int32", "level": "Int32"})
+                found = [(path, part, place, i, kind, level, text, rows, links, None) for i, (part, place, kind, level, text, rows, links) in enumerate(blocks(opened(content)))]
+            except Exception as e:  # whatever a damaged file brings about: this file gives its error, the others go on
+                found = [(path, *[None] * 8, f"{type(e).__name__}: {e}")]
+            yield pd.DataFrame(found, columns=COLUMNS).astype({"ordinal": "Int32", "level": "Int32"})
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """The blocks of all .docx files below a folder."""
+    """The blocks of all .docx files below a folder; a file that can't be read gives one row with its error, an empty document none. Files of no bytes aren't seen."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.docx").load(folder)
     return files.select("path", "content").mapInPandas(parse, SCHEMA)
 
 
+def required(files: DataFrame) -> DataFrame:
+    """files, an error where there is none: an index of nothing is a wrong folder."""
+    if files.isEmpty():
+        raise FileNotFoundError("no documents in the folder")
+    return files
+
+
+def divided(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The blocks of files that were read, and (file, error) of those that were not."""
+    return found.where("error is null").drop("error"), found.where("error is not null").select("file", "error")
+
+
+def cells(found: DataFrame) -> DataFrame:
+    """(file, part, ordinal, row, column, text, column_span, row_span) of all tables' cells, rows and columns from 0.
+
+    A cell's column is the sum of the spans before it in its row. What is merged downward is one cell, with the texts of
+    its parts joined by line ends: a merge begins at each cell that says restart, or that no cell of its column above
+    goes before.
+    """
+    tables = found.where("kind = 'table'").select("file", "part", "ordinal", F.posexplode("rows").alias("row", "cells"))
+    placed = F.transform("cells", lambda c, i: F.struct(F.aggregate(F.slice("cells", F.lit(1), i), F.lit(0), lambda s, x: s + x["column_span"]).alias("column"), c["text"].alias("text"), c["column_span"].alias("column_span"), c["vertical_merge"].alias("merge")))
+    flat = tables.select("file", "part", "ordinal", "row", F.explode(placed).alias("c")).select("file", "part", "ordinal", "row", "c.*")
+    column = Window.partitionBy("file", "part", "ordinal", "column").orderBy("row")
+    goes_on = (F.col("merge") == "continue") & (F.lag("row").over(column) == F.col("row") - 1) & F.lag("merge").over(column).isNotNull()
+    island = F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(column.rowsBetween(Window.unboundedPreceding, 0))
+    joined = F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("row", "text"))), lambda x: x["text"]), lambda t: t != ""), "\n")
+    grouped = flat.withColumn("island", island).groupBy("file", "part", "ordinal", "column", "island")
+    return grouped.agg(F.min("row").alias("row"), joined.alias("text"), F.first("column_span").alias("column_span"), F.count("*").cast("int").alias("row_span")).select("file", "part", "ordinal", "row", "column", "text", "column_span", "row_span")
+
+
 def pages(found: DataFrame) -> DataFrame:
     """(file, page, text): body paragraphs grouped under each heading style, by a running count of headings."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
-    body = found.where("part = 'word/document.xml' and kind in ('text', 'heading')")
+    body = found.where("kind in ('text', 'heading')").withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
     order = Window.partitionBy("file").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
     page = F.sum((F.col("kind") == "heading").cast("int")).over(order)
     rows = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"])

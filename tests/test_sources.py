@@ -1,3 +1,4 @@
+import io
 import json
 import zipfile
 
@@ -31,6 +32,93 @@ def test_docx(spark, tmp_path):
     assert [r.text for r in docx.pages(found).orderBy("page").collect()] == ["Scope\nFirst.", "Rules\nSecond."]
 
 
+REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+FULL = NS + f' xmlns:r="{REL}" xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006"'
+
+
+def relations(*rows):
+    made = "".join(f'<Relationship Id="{i}" Type="{REL}/{kind}" Target="{target}"{" TargetMode=" + chr(34) + "External" + chr(34) if kind == "hyperlink" else ""}/>' for i, kind, target in rows)
+    return f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{made}</Relationships>'
+
+
+def cell(text, span=None, merge=None):
+    props = (f'<w:gridSpan w:val="{span}"/>' if span else "") + (f'<w:vMerge w:val="{merge}"/>' if merge == "restart" else "<w:vMerge/>" if merge else "")
+    return f"<w:tc><w:tcPr>{props}</w:tcPr>{paragraph(text)}</w:tc>"
+
+
+@pytest.fixture(scope="module")
+def package(spark, tmp_path_factory):
+    """The blocks of one file with all that a package can hold, named as nothing but its relationships tell."""
+    folder = tmp_path_factory.mktemp("package")
+    box = f"<w:txbxContent>{paragraph('boxed')}</w:txbxContent>"
+    table = "<w:tbl>" + "".join(f"<w:tr>{row}</w:tr>" for row in (cell("head", 2) + cell("x"), cell("a", merge="restart") + cell("b") + cell("c"), cell("a2", merge="on") + cell("d") + cell("e"), cell("f", merge="restart") + cell("g", 2))) + "</w:tbl>"
+    body = (
+        paragraph("Scope", "S1") + f'<w:p><w:r><w:t>see </w:t></w:r><w:hyperlink r:id="r9"><w:r><w:t>the site</w:t></w:r></w:hyperlink><w:hyperlink w:anchor="mark"><w:r><w:t>below</w:t></w:r></w:hyperlink><w:hyperlink r:id="none"><w:r><w:t>dead</w:t></w:r></w:hyperlink></w:p>'
+        + f"<w:p><w:r><w:t>around</w:t><w:tab/><w:sym w:font=\"W\" w:char=\"F0A8\"/><w:br/><w:checkBox><w:checked w:val=\"0\"/></w:checkBox><mc:AlternateContent><mc:Choice>{box}</mc:Choice><mc:Fallback>{box}</mc:Fallback></mc:AlternateContent></w:r></w:p>"
+        + f"<w:sdt><w:sdtContent>{paragraph('controlled')}</w:sdtContent></w:sdt>" + table + paragraph("  ") + "<w:sectPr/>"
+    )
+    with zipfile.ZipFile(folder / "x.docx", "w") as z:
+        z.writestr("_rels/.rels", relations(("r1", "officeDocument", "word/main.xml")))
+        z.writestr("word/main.xml", f"<w:document {FULL}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/_rels/main.xml.rels", relations(("r1", "styles", "looks.xml"), ("r2", "header", "top.xml"), ("r3", "endnotes", "/word/ends.xml"), ("r4", "footnotes", "feet.xml"), ("r9", "hyperlink", "https://example.org/a"), ("r5", "image", "media/i.png")))
+        z.writestr("word/looks.xml", f'<w:styles {NS}><w:style w:styleId="S1"><w:name w:val="Heading 3"/></w:style><w:style w:styleId="S2"/></w:styles>')
+        z.writestr("word/top.xml", f"<w:hdr {FULL}>{paragraph('INTERNAL', 'S1')}</w:hdr>")
+        z.writestr("word/header4.xml", f"<w:hdr {NS}>{paragraph('fourth')}</w:hdr>")
+        z.writestr("word/feet.xml", f"<w:footnotes {NS}><w:footnote>{paragraph('a note')}</w:footnote></w:footnotes>")
+        z.writestr("word/ends.xml", f'<w:endnotes {FULL}><w:endnote><w:p><w:hyperlink r:id="e1"><w:r><w:t>end</w:t></w:r></w:hyperlink></w:p></w:endnote></w:endnotes>')
+        z.writestr("word/_rels/ends.xml.rels", relations(("e1", "hyperlink", "https://example.org/end")))
+    return docx.read(spark, str(folder))
+
+
+def test_docx_parts(package):
+    rows = package.orderBy("ordinal").collect()
+    assert [(r.part.rpartition("/")[2], r.kind, r.level, r.text) for r in rows if r.kind != "table"] == [
+        ("main.xml", "heading", 3, "Scope"), ("main.xml", "text", None, "see the sitebelowdead"), ("main.xml", "text", None, "around\t[symbol:W:F0A8]\n[checkbox:0]"), ("main.xml", "textbox", None, "boxed"), ("main.xml", "text", None, "controlled"),
+        ("ends.xml", "footnote", None, "end"), ("feet.xml", "footnote", None, "a note"), ("header4.xml", "header", None, "fourth"), ("top.xml", "header", 3, "INTERNAL"),
+    ]
+    assert len({r.element + r.part for r in rows}) == len(rows) and rows[0].element == "/w:document/w:body/*[1]"
+
+
+def test_docx_links(package):
+    rows = package.where("size(links) > 0").orderBy("ordinal").collect()
+    assert [[(x.text, x.target) for x in r.links] for r in rows] == [[("the site", "https://example.org/a"), ("below", "#mark")], [("end", "https://example.org/end")]]
+
+
+def test_docx_tables(package):
+    table = package.where("kind = 'table'").first()
+    assert table.text == "head | x\na | b | c\na2 | d | e\nf | g" and [[(c.text, c.column_span, c.vertical_merge) for c in r] for r in table.rows][2] == [("a2", 1, "continue"), ("d", 1, None), ("e", 1, None)]
+    got = {(r.row, r.column): (r.text, r.column_span, r.row_span) for r in docx.cells(package).collect()}
+    assert got == {
+        (0, 0): ("head", 2, 1), (0, 2): ("x", 1, 1), (1, 0): ("a\na2", 1, 2), (1, 1): ("b", 1, 1), (1, 2): ("c", 1, 1), (2, 1): ("d", 1, 1), (2, 2): ("e", 1, 1), (3, 0): ("f", 1, 1), (3, 1): ("g", 2, 1),
+    }
+
+
+def test_docx_damaged_files(spark, tmp_path):
+    whole = io.BytesIO()
+    with zipfile.ZipFile(whole, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f"<w:document {NS}><w:body>{paragraph('text ' * 500)}</w:body></w:document>")
+    data = bytearray(whole.getvalue())
+    (tmp_path / "good.docx").write_bytes(data)
+    at = data.index(b"word/document.xml") + 17
+    (tmp_path / "stream.docx").write_bytes(data[:at] + b"\xff" * 20 + data[at + 20 :])
+    (tmp_path / "short.docx").write_bytes(data[:40])
+    locked = bytearray(data)
+    for mark, flags in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):
+        locked[locked.index(mark) + flags] |= 1
+    (tmp_path / "locked.docx").write_bytes(locked)
+    with zipfile.ZipFile(tmp_path / "nobody.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document {NS}/>")
+    with zipfile.ZipFile(tmp_path / "xml.docx", "w") as z:
+        z.writestr("word/document.xml", "<w:document")
+    good, bad = docx.divided(docx.required(docx.read(spark, str(tmp_path))))
+    assert [r.file.rpartition("/")[2] for r in good.collect()] == ["good.docx"]
+    errors = {r.file.rpartition("/")[2]: r.error for r in bad.collect()}
+    assert set(errors) == {"stream.docx", "short.docx", "locked.docx", "nobody.docx", "xml.docx"} and "encrypted" in errors["locked.docx"]
+    (tmp_path / "none").mkdir()
+    with pytest.raises(FileNotFoundError):
+        docx.required(docx.read(spark, f"{tmp_path}/none"))
+
+
 def test_generations(spark, tmp_path):
     root = f"file://{tmp_path}/index"
     one, two = spark.range(3), spark.range(5)
