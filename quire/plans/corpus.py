@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
+from quire.operators import chunks as ck
 from quire.operators import retrieval as rt
 from quire.operators import structure as st
 from quire.plans.tables import table
@@ -76,6 +77,12 @@ def legacy_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "k", F.length("piece").alias("chars"), F.md5(F.col("piece").cast("binary")).alias("digest"))
 
 
+def legacy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greedy chunks of all documents."""
+    made = ck.packed(docs_of(spark, sf_dir))
+    return made.select("doc_id", "chunk_index", "token_count", F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 def word_count(text):
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
 
@@ -265,5 +272,5 @@ s{x} AS (SELECT q_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.
     }
 
 
-NAMES = "legacy_sections lexical_tokens token_offsets heading_lines running_lines section_ranges parent_sections ownership chunk_windows chunk_stats merged_ranges bm25_topk bm25_a_topk fts_all_terms cosine_topk intent_route rrf_a rrf_b recall_at_k map_at_5 passages_budgeted context_build".split()
+NAMES = "legacy_sections legacy_chunks lexical_tokens token_offsets heading_lines running_lines section_ranges parent_sections ownership chunk_windows chunk_stats merged_ranges bm25_topk bm25_a_topk fts_all_terms cosine_topk intent_route rrf_a rrf_b recall_at_k map_at_5 passages_budgeted context_build".split()
 QUERIES = {name: globals()[name] for name in NAMES}
