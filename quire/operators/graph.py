@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.mentions import mentions
 from quire.scratch import forget, saved
 
 
@@ -85,27 +86,9 @@ def legal_references(texts: DataFrame) -> DataFrame:
 
 
 def alias_references(texts: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(doc_id, target, alias, at): every place, from 1, of whole-word aliases in texts, the longest first where they overlap.
+    """(doc_id, target, alias, at): every place, from 1, of whole-word aliases in texts, as mentions() finds them.
 
-    Between an alias's words a text may have any characters but letters and digits, or none. A document's own aliases
-    take their places too, but give no row. Aliases meet texts on the word that a mention begins with: the alias's first
-    words run together, one or more of them. Each text moves once, to the aliases that may be in it.
+    A document's own aliases take their places too, but give no row.
     """
-    word = r"[\p{L}\p{N}]+"
-    named = aliases.withColumn("parts", F.regexp_extract_all("alias", F.lit(word), F.lit(0))).where("size(parts) > 0")
-    named = named.select("target", "alias", F.array_join("parts", r"[^\p{L}\p{N}]*").alias("pattern"), F.lower(F.array_join("parts", "")).alias("joined"), "parts")
-    begins = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda k: F.lower(F.array_join(F.slice("parts", F.lit(1), k), "")))
-    named = named.withColumn("word", F.explode(F.array_distinct(begins))).drop("parts")
-    words = texts.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(word), F.lit(0)))).alias("word"))
-    maybe = words.join(named, "word").groupBy("doc_id").agg(F.collect_set(F.struct("target", "alias", "pattern", "joined")).alias("a"))
-    bare = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", "")
-    pairs = texts.select("doc_id", "text", bare.alias("bare")).join(maybe, "doc_id").select("doc_id", "text", F.explode(F.filter("a", lambda x: F.contains(F.col("bare"), x["joined"]))).alias("x"))
-    pairs = pairs.select("doc_id", "text", "x.target", "x.alias", F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])"), "x.pattern", F.lit(r"(?![\p{L}\p{N}_])")).alias("pattern"))
-    found = pairs.select("doc_id", "target", "alias", F.expr("transform(regexp_extract_all(text, pattern, 0), x -> length(x))").alias("long"), F.expr("transform(split(text, pattern, -1), x -> length(x))").alias("apart")).where("size(long) > 0")
-    before = lambda c, k: F.aggregate(F.slice(c, F.lit(1), k), F.lit(0), lambda n, x: n + x)
-    placed = found.select("doc_id", "target", "alias", "long", "apart", F.explode(F.sequence(F.lit(1), F.size("long"))).alias("k")).withColumn("at", before("apart", F.col("k")) + before("long", F.col("k") - 1) + 1)
-    hits = placed.select("doc_id", F.struct((-F.length("alias")).alias("n"), "target", "alias", "at", (F.col("at") + F.element_at("long", F.col("k"))).alias("end")).alias("h"))
-    none = F.array().cast(f"array<{hits.schema['h'].dataType.simpleString()}>")
-    overlaps = lambda s, h: F.exists(s, lambda x: (x["at"] < h["end"]) & (h["at"] < x["end"]))
-    taken = hits.groupBy("doc_id").agg(F.aggregate(F.array_sort(F.collect_list("h")), none, lambda s, h: F.when(overlaps(s, h), s).otherwise(F.concat(s, F.array(h)))).alias("t"))
-    return taken.select("doc_id", F.explode("t").alias("h")).where("doc_id <> h.target").select("doc_id", "h.target", "h.alias", "h.at")
+    found = mentions(texts.select(F.col("doc_id").alias("key"), "text"), aliases)
+    return found.where("key <> target").select(F.col("key").alias("doc_id"), "target", "alias", (F.col("start") + 1).alias("at"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as tx
 from quire.operators import evaluation as ev
 from quire.operators import graph as gr
+from quire.operators import mentions as mn
 from quire.operators import versions as vs
 from quire.plans.tables import table
 
@@ -169,6 +170,35 @@ def reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.alias_references(texts, names.select(F.col("target").cast("long").alias("target"), "alias"))
 
 
+def owned_sections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents as sections, chunks that overlap or leave gaps, and two aliases of every seventh document: its fourth and fifth word, and its seventh."""
+    d = table(spark, sf_dir, "documents").where("text <> ''").select(F.col("doc_id").alias("section"), F.col("doc_id").alias("owner"), "text")
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(length(text) - 1) div 300"))).alias("k")
+    chunks = d.select("section", F.length("text").alias("n"), starts).where("(section + k) % 4 <> 0")
+    chunks = chunks.select("section", (F.col("k") * 300).cast("int").alias("start"), F.least(F.col("k") * 300 + F.when(F.col("k") % 3 == 0, 340).otherwise(250), F.col("n")).cast("int").alias("end")).where("end > start")
+    w = d.where("owner % 7 = 0").select(F.col("owner").alias("target"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)).alias("w")).where("size(w) > 6 and w[3] <> w[4]")
+    names = w.select("target", F.explode(F.array(F.concat(F.col("w")[3], F.lit("-"), F.col("w")[4]), F.col("w")[6])).alias("alias"))
+    return d, chunks, names.groupBy("alias").agg(F.min("target").alias("target"))
+
+
+def owned_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What documents name of one another in the ranges that their chunks own, with places and quotes."""
+    return mn.references(*owned_sections(spark, sf_dir))
+
+
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of pages, the text of a page being a block that two sections hold a part of each; chunks of 400 characters."""
+    p = table(spark, sf_dir, "pages")
+    text = F.regexp_replace("html", "<[^>]*>", " ")
+    blocks = p.select(F.col("page_id").alias("block"), text.alias("text"))
+    hits = F.arrays_zip(F.regexp_extract_all("html", F.lit('<a href="([^"]+)">[^<]*</a>'), F.lit(1)).alias("target"), F.regexp_extract_all("html", F.lit('<a href="[^"]+">([^<]*)</a>'), F.lit(1)).alias("label"))
+    links = p.select(F.col("page_id").alias("block"), F.posexplode(hits).alias("n", "x")).select("block", "x.label", F.when(F.col("n") % 3 == 2, F.col("x.target")).otherwise(F.concat(F.lit("https://example.org/"), F.col("n").cast("string"))).alias("target"))
+    half = F.expr("length(text) div 2").cast("int")
+    spans = blocks.select("block", F.explode(F.array(F.struct((F.col("block") * 2).alias("section"), F.lit(0).alias("start"), F.lit(0).alias("source_start"), half.alias("source_end")), F.struct((F.col("block") * 2 + 1).alias("section"), F.lit(10).alias("start"), half.alias("source_start"), F.lit(None).cast("int").alias("source_end")))).alias("s")).select("block", "s.*")
+    chunks = spans.select("section", F.explode(F.sequence(F.lit(0), F.lit(200))).alias("k")).select("section", (F.col("k") * 500).alias("start"), (F.col("k") * 500 + 400).alias("end"))
+    return mn.link_references(spans, blocks, links, chunks)
+
+
 def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title, heading, number of paragraphs and of links of each page; missing ones are null."""
     first = lambda p: F.nullif(F.regexp_extract("html", p, 1), F.lit(""))
@@ -317,13 +347,35 @@ def sql() -> dict[str, str]:
         "date_observations": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 3 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 5 = 3 THEN strftime(o_orderdate, '%Y-%m') END AS effective FROM orders",
         "quote_partition": "WITH p AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '[.\\n]'), lambda s: trim(s)), lambda s: length(s) >= 20) AS q FROM benchmark) SELECT item_id, CAST(generate_subscripts(q, 1) AS INT) AS k, unnest(q) AS quote FROM p",
         "sample_stratified": "WITH h AS (SELECT doc_id, lang, md5(doc_id::VARCHAR) AS h FROM documents) SELECT doc_id, lang, ('0x' || substr(h, 5, 4))::INT < 9830 AS evaluation FROM h WHERE ('0x' || substr(h, 1, 4))::INT < CASE WHEN lang = 'en' THEN 45875 ELSE 19660 END",
+        "owned_references": r"""WITH RECURSIVE c AS (SELECT doc_id AS section, text, length(text) AS n, unnest(range((length(text) - 1) // 300 + 1)) AS k FROM documents WHERE text <> ''),
+          r AS (SELECT section, k * 300 AS a, least(k * 300 + CASE WHEN k % 3 = 0 THEN 340 ELSE 250 END, n) AS b FROM c WHERE (section + k) % 4 <> 0),
+          i AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY section ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM r WHERE b > a),
+          m AS (SELECT section, min(a) AS a, max(b) AS b FROM (SELECT *, sum(new) OVER (PARTITION BY section ORDER BY a, b) AS g FROM i) GROUP BY section, g),
+          p AS (SELECT section, a AS pos, substr(text, (a + 1)::BIGINT, (b - a)::BIGINT) AS piece, row_number() OVER () AS id FROM m JOIN documents ON doc_id = section),
+          s AS (SELECT id, section, pos, piece, regexp_extract_all(piece, '[\p{L}\p{N}]+') AS tok, regexp_split_to_array(piece, '[\p{L}\p{N}]+') AS sep FROM p),
+          u AS (SELECT id, section, pos, piece, unnest(tok) AS w, generate_subscripts(tok, 1) AS k, unnest(sep[1:len(tok)]) AS before, unnest(sep[2:]) AS after FROM s),
+          t AS (SELECT *, sum(length(before)) OVER o + sum(length(w)) OVER o - length(w) AS a, lower(w) AS lo, lead(lower(w)) OVER o AS lo2 FROM u WINDOW o AS (PARTITION BY id ORDER BY k)),
+          t2 AS (SELECT *, a + length(w) AS b, lead(a + length(w)) OVER o AS b2, lead(after) OVER o AS after2 FROM t WINDOW o AS (PARTITION BY id ORDER BY k)),
+          w AS (SELECT doc_id AS target, regexp_extract_all(lower(text), '[a-z]{3,}') AS w FROM documents WHERE text <> '' AND doc_id % 7 = 0),
+          n AS (SELECT alias, min(target) AS target FROM (SELECT target, unnest([w[4] || '-' || w[5], w[7]]) AS alias FROM w WHERE len(w) > 6 AND w[4] <> w[5]) GROUP BY 1),
+          n2 AS (SELECT *, split_part(alias, '-', 1) AS x, split_part(alias, '-', 2) AS y FROM n),
+          h0 AS (SELECT id, section, pos, piece, target, alias, a, b, [k] AS toks, before, after FROM t2 JOIN n2 ON lo = x || y UNION ALL SELECT id, section, pos, piece, target, alias, a, b2, [k, k + 1], before, after2 FROM t2 JOIN n2 ON lo = x AND lo2 = y AND y <> ''),
+          h AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY -length(alias), target, alias, a) AS rank FROM h0 WHERE NOT ends_with(before, '_') AND NOT starts_with(after, '_')),
+          g AS (SELECT DISTINCT id, 0::BIGINT AS k, []::BIGINT[] AS taken, FALSE AS ok FROM h UNION ALL SELECT g.id, g.k + 1, CASE WHEN list_has_any(taken, toks) THEN taken ELSE list_concat(taken, toks) END, NOT list_has_any(taken, toks) FROM g JOIN h ON h.id = g.id AND h.rank = g.k + 1),
+          e AS (SELECT section AS source, target, 'references' AS relation, CAST(pos + a AS INT) AS start, CAST(pos + b AS INT) AS "end", substr(piece, (a + 1)::BIGINT, (b - a)::BIGINT) AS quote FROM h JOIN g ON g.id = h.id AND g.k = h.rank WHERE ok AND section <> target)
+          SELECT 'edge:' || substr(sha256(source || ':' || target || ':references:' || source || ':' || start || ':' || "end"), 1, 24) AS edge_id, * FROM e""",
+        "page_links": r"""WITH b AS (SELECT page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS text, regexp_extract_all(html, '<a href="([^"]+)">[^<]*</a>', 1) AS ts, regexp_extract_all(html, '<a href="[^"]+">([^<]*)</a>', 1) AS ls FROM pages),
+          l AS (SELECT page_id, text, unnest(ls) AS label, unnest(ts) AS href, generate_subscripts(ls, 1) - 1 AS n FROM b), k AS (SELECT *, CASE WHEN n % 3 = 2 THEN href ELSE 'https://example.org/' || n END AS target, array_to_string(list_transform(regexp_split_to_array(regexp_replace(label, '^\s+|\s+$', '', 'g'), '\s+'), lambda x: regexp_escape(x)), '\s+') AS pat FROM l WHERE trim(label) <> ''),
+          o AS (SELECT page_id, label, target, length(text) // 2 AS half, length(regexp_split_to_array(text, pat)[1]) AS a, length(regexp_extract(text, pat)) AS m FROM k WHERE regexp_matches(target, '(?i)^https?:') AND len(regexp_extract_all(text, pat)) = 1),
+          z AS (SELECT page_id * 2 AS source, target, label, a AS start, a + m AS "end" FROM o WHERE a + m <= half UNION ALL SELECT page_id * 2 + 1, target, label, a + 10 - half, a + m + 10 - half FROM o WHERE a >= half)
+          SELECT source, target, label, CAST(start AS INT) AS start, CAST("end" AS INT) AS "end" FROM z WHERE start // 500 = ("end" - 1) // 500 AND "end" - start // 500 * 500 <= 400""",
         "claim_checks": "SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'no support' WHEN o_orderkey % 4 IN (0, 3) THEN 'unknown quote' WHEN o_orderkey % 5 = 0 THEN 'own citation' END AS problem, count(*) AS n FROM orders GROUP BY 1",
     }
 
 
 NAMES = (
     "dedup_versions version_status archive_merge latest_rows scope_filter scoped_snapshot clearances manifest_checks integrity_violations index_summary tag_documents enrich_merge resume_todo "
-    "bfs_2hop walk_edges tree_levels hyperlink_refs legal_refs reference_edges html_extract answer_grounding numeric_score diagnostic_flags flag_histogram latency_summary grade_counts holdout_split amounts durations "
+    "bfs_2hop walk_edges tree_levels hyperlink_refs legal_refs reference_edges owned_references page_links html_extract answer_grounding numeric_score diagnostic_flags flag_histogram latency_summary grade_counts holdout_split amounts durations "
     "date_observations quote_partition claim_checks sample_stratified"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}

@@ -1,6 +1,8 @@
 """Operators of the evidence graph against brute force."""
 
+import random
 import re
+import time
 
 import numpy as np
 
@@ -30,6 +32,21 @@ def places(texts, aliases):
     return out
 
 
+def places_of_words(texts, aliases):
+    """places() for aliases with any letters."""
+    out = set()
+    for doc, text in texts:
+        taken = []
+        for target, alias in sorted(aliases, key=lambda x: (-len(x[1]), *x)):
+            pattern = re.compile(r"(?<!\w)" + r"[\W_]*".join(re.findall(r"[^\W_]+", alias)) + r"(?!\w)", re.I)
+            for m in pattern.finditer(text):
+                if not any(m.start() < e and m.end() > s for s, e in taken):
+                    taken.append(m.span())
+                    if target != doc:
+                        out.add((doc, target, alias, m.start() + 1))
+    return out
+
+
 def test_alias_places(spark):
     aliases = [(1, "BUS-43"), (2, "BUS 43 Annex"), (3, "Annex"), (4, "travel policy"), (5, "policy"), (6, "(A.1)")]
     texts = [
@@ -46,6 +63,27 @@ def test_alias_places(spark):
     assert {tuple(r) for r in gr.alias_references(t, a).collect()} == want
 
 
+def test_alias_places_at_random(spark):
+    r = random.Random(8)
+    word = lambda: r.choice(["a", "b", "ab", "ba", "aa", "É", "é1", "1"])
+    aliases = [(k, r.choice("- _").join(word() for _ in range(r.randint(1, 3)))) for k in range(40)]
+    aliases = sorted({a: (k, a) for k, a in reversed(aliases)}.values())
+    texts = [(100 + i % 3 if i % 3 else i % 40, "".join(word().upper() if r.random() < 0.3 else word() + r.choice(["", " ", " ", ", ", "_", "--"]) for _ in range(r.randint(0, 25)))) for i in range(300)]
+    texts = [(i, t) for i, (_, t) in enumerate(texts)]
+    got = gr.alias_references(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), spark.createDataFrame(aliases, "target long, alias string"))
+    pattern = [(k, a) for k, a in aliases]
+    assert {tuple(x) for x in got.collect()} == places_of_words(texts, pattern)
+
+
+def test_long_text_once(spark):
+    from quire.operators import mentions as mn
+
+    machine = mn.automaton_of([(k, f"name {k}") for k in range(5000)])
+    text = " ".join(f"name {k % 9000}" for k in range(100_000))
+    began = time.monotonic()
+    assert len(mn.found_in(text, machine)) > 50_000 and time.monotonic() - began < 10
+
+
 def test_reference_edges_search_all_parts(spark):
     rows = [(r.p_partkey, f"{r.p_name} of {r.p_brand}, {r.p_type}", r.p_brand, r.p_type) for r in spark.read.parquet(f"{DATA}/part.parquet").collect()]
     first = {}
