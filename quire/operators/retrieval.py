@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,32 +19,71 @@ K1, B = 1.5, 0.75
 TIES = 9
 
 
-def tokenised(docs: DataFrame, **tokens: Column) -> DataFrame:
-    """(doc_id, one array of tokens for each name), from one pass over the texts; written once for all that reads it."""
-    return saved(docs.select("doc_id", *(c.alias(name) for name, c in tokens.items())))
+#: Distinct terms of all questions up to which they are a set in the plan, met in each document's row.
+TERMS = 20_000
 
 
-def postings(counted: DataFrame, queries: DataFrame) -> DataFrame:
-    """(doc_id, term, f, len) of the queries' terms in documents (doc_id, t). Other terms go before anything is counted."""
-    words = counted.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term"))
-    wanted = words.join(sized(queries.select("term").distinct()), "term", "left_semi")
-    return wanted.groupBy("doc_id", "term").agg(F.count("*").alias("f"), F.first("len").alias("len"))
+def quoted(word: str) -> str:
+    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def run_ends(words: str) -> Column:
+    """The places, from 1, at which the runs of equal words end in a column of sorted words."""
+    ends = f"filter(sequence(1, size({words})), i -> i = size({words}) or get({words}, i - 1) <> get({words}, i))"
+    return F.when(F.size(words) > 0, F.expr(ends)).otherwise(F.array().cast("array<int>"))
+
+
+def frequencies(docs: DataFrame, **lists: tuple[Column, DataFrame]) -> DataFrame:
+    """(doc_id, and for each name: name, an array of (term, f), and name_len): how often each document has the terms of questions.
+
+    lists: by name the documents' tokens and the questions (q_id, term, times). A document's tokens stand in its row, so
+    its terms are counted there: those that no question has go, the rest is sorted and its runs are measured. Nothing
+    moves, and what is written has a row for each document with the questions' terms in it. Where the questions have
+    more than TERMS terms, tokens meet them by a join instead.
+    """
+    terms = {name: [r.term for r in asked.select("term").distinct().limit(TERMS + 1).collect()] for name, (_, asked) in lists.items()}
+    out = docs.select("doc_id", *(c.alias(name) for name, (c, _) in lists.items()))
+    out = out.withColumns({f"{name}_len": F.when(F.col(name).isNotNull(), F.size(name)) for name in lists})
+    for name, (_, asked) in lists.items():
+        if len(terms[name]) > TERMS:
+            out = joined_frequencies(out, name, asked)
+            continue
+        inside = f"filter({name}, w -> w in ({', '.join(map(quoted, terms[name]))}))" if terms[name] else f"filter({name}, w -> false)"
+        out = out.withColumn(name, F.array_sort(F.coalesce(F.expr(inside), F.array().cast("array<string>")))).withColumn("ends", run_ends(name))
+        counts = F.expr(f"transform(ends, (e, k) -> struct(get({name}, e - 1) as term, cast(e - coalesce(get(ends, k - 1), 0) as bigint) as f))")
+        out = out.withColumn(name, counts).drop("ends")
+    return saved(out)
+
+
+def joined_frequencies(docs: DataFrame, name: str, asked: DataFrame) -> DataFrame:
+    """docs with the column of tokens replaced by the (term, f) of those that questions have; a shuffle by document."""
+    row = docs.withColumn("row", F.monotonically_increasing_id())
+    row = saved(row)
+    words = row.select("row", F.explode(name).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    counts = words.groupBy("row", "term").agg(F.count("*").alias("f")).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("term", "f"))).alias("counts"))
+    none = F.array().cast("array<struct<term:string,f:bigint>>")
+    return row.join(counts, "row", "left").withColumn(name, F.coalesce("counts", none)).drop("row", "counts")
+
+
+def postings(counted: DataFrame) -> DataFrame:
+    """(doc_id, len, term, f) of documents (doc_id, len, tf), with all rows of a document in one partition."""
+    return counted.repartition("doc_id").select("doc_id", "len", F.explode("tf").alias("x")).select("doc_id", "len", "x.term", "x.f")
 
 
 def bm25(counted: DataFrame, queries: DataFrame, floor: float | None = None) -> DataFrame:
-    """(q_id, doc_id, score) for documents (doc_id, t) and queries (q_id, term, times): only documents with a term of the query.
+    """(q_id, doc_id, score) for documents (doc_id, len, tf) and queries (q_id, term, times): only documents with a term of the query.
 
-    Postings are only those of the queries' terms, so what moves follows the questions and not the vocabulary. Terms,
-    frequencies and questions are broadcast up to a counted number of rows.
+    Documents' counts move once, a row for each document; then they meet the terms' weights and the questions where they
+    are, and are summed there. Terms, frequencies and questions are broadcast up to a counted number of rows.
     """
-    totals = counted.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg"))  # one row
-    own = saved(postings(counted, queries))
-    df = sized(own.groupBy("term").agg(F.count("*").alias("df")))
+    totals = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))  # one row
+    df = counted.select(F.explode("tf").alias("x")).groupBy("x.term").agg(F.count("*").alias("df"))
     average = F.greatest(F.col("avg"), F.lit(floor)) if floor is not None else F.col("avg")
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / average))
-    hits = own.join(df, "term").crossJoin(F.broadcast(totals)).join(sized(queries), "term")
-    return hits.groupBy("q_id", "doc_id").agg(F.round(F.sum(weight * F.col("times")), TIES).alias("score"))
+    weighed = sized(queries.join(sized(df), "term").crossJoin(F.broadcast(totals)).select("q_id", "term", "times", idf.alias("idf"), average.alias("average")))
+    weight = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("average")))
+    hits = postings(counted).join(weighed, "term")
+    return hits.groupBy("doc_id", "q_id").agg(F.round(F.sum(weight * F.col("times")), TIES).alias("score")).select("q_id", "doc_id", "score")
 
 
 def top(scores: DataFrame, k: int, score: str = "score", key: str = "q_id", tie: str = "doc_id") -> DataFrame:
@@ -57,42 +97,116 @@ def cosine(a: str, b: str) -> Column:
     return dot(F.col(a), F.col(b)) / (F.sqrt(dot(F.col(a), F.col(a))) * F.sqrt(dot(F.col(b), F.col(b))))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0, block: int = 2048) -> DataFrame:
-    """(q_id, doc_id, score, rank): for queries (q_id, v) the k rows (doc_id, v) with the greatest cosine of at least `least`, ties by doc_id; no row with its own id.
+#: Clusters of vectors, which a task compares each vector and question with, and by how much bounds are wider than their sums.
+CLUSTERS, SLACK = 1024, 1e-7
+
+
+def matrix(lists: pa.Array, width: int) -> np.ndarray:
+    """Unit vectors, shorter ones with zeros behind them."""
+    n = np.diff(lists.offsets.to_numpy())
+    out = np.zeros((len(n), width))
+    out[np.arange(width) < n[:, None]] = lists.flatten().to_numpy()
+    return out / np.sqrt((out**2).sum(1))[:, None]
+
+
+def angles(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ centres.T, -1, 1))
+
+
+def units(rows: DataFrame, key: str) -> DataFrame:
+    """(key, v) as doubles, without rows whose vector is null or has no length."""
+    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return rows.select(key, F.transform("v", lambda x: x.cast("double")).alias("v")).where(length > 0)
+
+
+def clustered(rows: DataFrame, width: int, centres: np.ndarray) -> DataFrame:
+    """(doc_id, v, cluster, angle): the centre that each row is nearest to, and its angle from it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                apart = angles(matrix(batch.column("v"), width), centres)
+                nearest = apart.argmin(1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest, pa.int32()), pa.array(apart[np.arange(len(nearest)), nearest])], names=["doc_id", "v", "cluster", "angle"])
 
-    Vectors are dealt to blocks and queries to groups of about `block` rows; a group meets a block in one task, as a
-    product of matrices, which gives its k best only. A row without a vector, or whose vector has no length, takes no part.
+    return rows.mapInArrow(run, "doc_id long, v array<double>, cluster int, angle double")
+
+
+def bounds(asked: DataFrame, width: int, centres: np.ndarray, sizes: np.ndarray, radii: np.ndarray, k: int, least: float) -> DataFrame:
+    """(q_id, cluster, bound, first): of each question the clusters that may hold a cosine of `least`, and the most that it can be there.
+
+    No vector within a radius of a centre is nearer than the centre's angle less the radius. first marks those with the
+    highest bounds that together have more than k rows.
     """
-    length = lambda t: F.sqrt(F.aggregate(t, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    unit = lambda t, key: t.select(key, F.transform("v", lambda x: x.cast("double")).alias("v")).where(length("v") > 0)
-    rows, asked = saved(unit(vectors, "doc_id")), saved(unit(queries, "q_id"))
-    n_rows, n_asked = max(1, -(-rows.count() // block)), max(1, -(-asked.count() // block))
-    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    blocks = rows.groupBy(dealt("doc_id", n_rows).alias("b")).agg(F.collect_list(F.struct("doc_id", "v")).alias("rows")).withColumn("g", every(n_asked))
-    groups = asked.groupBy(dealt("q_id", n_asked).alias("g")).agg(F.collect_list(F.struct("q_id", "v")).alias("asked"))
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def matrix(lists: pa.Array) -> np.ndarray:
-            n = np.diff(lists.offsets.to_numpy())
-            out = np.zeros((len(n), int(n.max(initial=0))))
-            out[np.arange(out.shape[1]) < n[:, None]] = lists.flatten().to_numpy()
-            return out / np.sqrt((out**2).sum(1))[:, None]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            most = np.cos(np.clip(angles(matrix(batch.column("v"), width), centres) - radii, 0, np.pi)) + SLACK
+            order = np.argsort(-most, axis=1, kind="stable")
+            before = np.cumsum(sizes[order], axis=1) - sizes[order]
+            first = np.zeros(most.shape, bool)
+            np.put_along_axis(first, order, before <= k, axis=1)
+            i, j = np.nonzero((most >= least) & (sizes > 0))
+            yield pa.RecordBatch.from_arrays([batch.column("q_id").take(pa.array(i)), pa.array(j, pa.int32()), pa.array(most[i, j]), pa.array(first[i, j])], names=["q_id", "cluster", "bound", "first"])
+
+    return asked.mapInArrow(run, "q_id long, cluster int, bound double, first boolean")
+
+
+def met(pairs: DataFrame, asked: DataFrame, pieces: DataFrame, width: int, k: int, least: float, block: int) -> DataFrame:
+    """(q_id, doc_id, score): of each pair of a question and a cluster the k best rows of each of the cluster's pieces.
 
+    Questions are sent to the clusters that they have to see, in groups of about `block`.
+    """
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 own, ask = batch.column("rows")[i].values, batch.column("asked")[i].values
-                d, q = matrix(own.field("v")), matrix(ask.field("v"))
-                width = min(d.shape[1], q.shape[1])
-                score = np.round(q[:, :width] @ d[:, :width].T, TIES)
+                score = np.round(matrix(ask.field("v"), width) @ matrix(own.field("v"), width).T, TIES)
                 ids, q_ids = own.field("doc_id").to_numpy(), ask.field("q_id").to_numpy()
                 score[(q_ids[:, None] == ids[None, :]) | (score < least)] = -2
-                low = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k] if score.shape[1] > k else np.full(len(q), -2.0)
+                low = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k] if score.shape[1] > k else np.full(len(q_ids), -2.0)
                 a, b = np.nonzero((score >= low[:, None]) & (score > -2))
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[a]), pa.array(ids[b]), pa.array(score[a, b])], names=["q_id", "doc_id", "score"])
 
-    found = blocks.join(groups, "g").select("rows", "asked").mapInArrow(best, "q_id long, doc_id long, score double")
-    return top(found, k)
+    groups = pairs.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("groups"))
+    sent = pairs.select("q_id", "cluster").join(F.broadcast(groups), "cluster")  # a row for each cluster at most
+    sent = sent.join(asked, "q_id")
+    sent = sent.groupBy("cluster", F.pmod(F.xxhash64("q_id"), F.col("groups")).alias("group")).agg(F.collect_list(F.struct("q_id", "v")).alias("asked"))
+    return pieces.join(sent, "cluster").select("rows", "asked").mapInArrow(best, "q_id long, doc_id long, score double")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0, block: int = 2048, clusters: int = CLUSTERS) -> DataFrame:
+    """(q_id, doc_id, score, rank): for queries (q_id, v) the k rows (doc_id, v) with the greatest cosine of at least `least`, ties by doc_id; no row with its own id.
+
+    Exact. Rows are dealt to clusters around some of them, chosen by a hash, and large clusters to pieces of about
+    `block` rows; a question sees the clusters that the triangle inequality doesn't rule out: first those with the
+    highest bounds, then, with the kth score that they gave, the others that still reach it. Only questions are copied.
+    A row without a vector, or whose vector has no length, takes no part.
+    """
+    rows, asked = saved(units(vectors, "doc_id")), saved(units(queries, "q_id"))
+    n, widths = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("w")).first(), asked.agg(F.max(F.size("v"))).first()[0]
+    width = max(n.w or 0, widths or 0)
+    number = min(clusters, math.isqrt(n.n) + 1) if n.n > block else 1
+    chosen = rows.select("v", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(number).select("v").collect()
+    if not chosen:
+        return rows.select(F.lit(0).cast("long").alias("q_id"), "doc_id", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).where("false")
+    centres = matrix(pa.array([r.v for r in chosen], pa.list_(pa.float64())), width)
+    placed = saved(clustered(rows, width, centres))
+    sizes, radii = np.zeros(len(centres), np.int64), np.zeros(len(centres))
+    for r in placed.groupBy("cluster").agg(F.count("*").alias("n"), F.max("angle").alias("r")).collect():  # a row for each cluster
+        sizes[r.cluster], radii[r.cluster] = r.n, r.r
+    parts = F.element_at(F.array(*(F.lit(max(1, -(-int(x) // block))) for x in sizes)), F.col("cluster") + 1)
+    pieces = saved(placed.groupBy("cluster", F.pmod(F.xxhash64("doc_id"), parts).alias("piece")).agg(F.collect_list(F.struct("doc_id", "v")).alias("rows")))
+    if number == 1:
+        return top(met(asked.select("q_id", F.lit(0).alias("cluster")), asked, pieces, width, k, least, block), k)
+    pairs = saved(bounds(asked, width, centres, sizes, radii, k, least))
+    found = saved(top(met(pairs.where("first"), asked, pieces, width, k, least, block), k))
+    low = found.where(F.col("rank") == k).select("q_id", F.col("score").alias("low"))
+    others = pairs.where("not first").join(low, "q_id", "left").where("low is null or bound >= low")
+    return top(found.drop("rank").unionByName(met(saved(others.select("q_id", "cluster")), asked, pieces, width, k, least, block)), k)
 
 
 def fuse(lists: list[DataFrame], offset: int, ties: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
@@ -106,24 +106,42 @@ def questions(spark: SparkSession, sf_dir: str, terms) -> DataFrame:
     return t.groupBy("q_id", "term").agg(F.count("*").alias("times"))
 
 
-def both_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, b, a): the terms of both rankings, from one pass; a is null where a text is too short for the second."""
-    long = F.length(F.regexp_replace("text", r"^\s+|\s+$", "")) >= 100
-    return rt.tokenised(docs_of(spark, sf_dir), b=tx.terms(F.col("text")), a=F.when(long, tx.chunk_terms(F.col("text"))))
+def asked_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return questions(spark, sf_dir, tx.search_terms).withColumn("times", F.lit(1))
 
 
-def lexical(spark: SparkSession, sf_dir: str, tokens: DataFrame | None = None) -> DataFrame:
-    counted = rt.tokenised(docs_of(spark, sf_dir), t=tx.terms(F.col("text"))) if tokens is None else tokens.select("doc_id", F.col("b").alias("t"))
-    return rt.bm25(counted, questions(spark, sf_dir, tx.search_terms).withColumn("times", F.lit(1)), 1.0)
+def asked_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return questions(spark, sf_dir, tx.chunk_terms)
+
+
+def long_terms() -> Column:
+    """The terms of the second ranking, null where a text is too short for it."""
+    return F.when(F.length(F.regexp_replace("text", r"^\s+|\s+$", "")) >= 100, tx.chunk_terms(F.col("text")))
+
+
+def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of both rankings' terms, from one pass over the texts."""
+    return rt.frequencies(docs_of(spark, sf_dir), b=(tx.terms(F.col("text")), asked_b(spark, sf_dir)), a=(long_terms(), asked_a(spark, sf_dir)))
+
+
+def of_list(counts: DataFrame, name: str) -> DataFrame:
+    return counts.where(f"{name}_len is not null").select("doc_id", F.col(name).alias("tf"), F.col(f"{name}_len").alias("len"))
+
+
+def lexical(spark: SparkSession, sf_dir: str, counts: DataFrame | None = None) -> DataFrame:
+    asked = asked_b(spark, sf_dir)
+    counts = rt.frequencies(docs_of(spark, sf_dir), b=(tx.terms(F.col("text")), asked)) if counts is None else counts
+    return rt.bm25(of_list(counts, "b"), asked, 1.0)
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.top(lexical(spark, sf_dir).where("score > 0"), 10).select("q_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def chunk_lexical(spark: SparkSession, sf_dir: str, tokens: DataFrame | None = None) -> DataFrame:
-    tokens = both_tokens(spark, sf_dir) if tokens is None else tokens
-    return rt.bm25(tokens.where("a is not null").select("doc_id", F.col("a").alias("t")), questions(spark, sf_dir, tx.chunk_terms))
+def chunk_lexical(spark: SparkSession, sf_dir: str, counts: DataFrame | None = None) -> DataFrame:
+    asked = asked_a(spark, sf_dir)
+    counts = rt.frequencies(docs_of(spark, sf_dir), a=(long_terms(), asked)) if counts is None else counts
+    return rt.bm25(of_list(counts, "a"), asked)
 
 
 def bm25_a_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,8 +152,9 @@ def fts_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with all of the first twenty terms of a question, best first, ten at most."""
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.array_distinct(F.slice(tx.terms(F.col("text")), 1, 20)).alias("t"))
     asked = q.select("q_id", F.size("t").alias("need"), F.explode("t").alias("term"))
-    found = rt.postings(rt.tokenised(docs_of(spark, sf_dir), t=tx.terms(F.col("text"))), asked).join(sized(asked), "term")
-    whole = found.groupBy("q_id", "doc_id").agg(F.count("*").alias("have"), F.max("need").alias("need"), F.sum("f").alias("f"), F.max("len").alias("len")).where("have = need")
+    counts = rt.frequencies(docs_of(spark, sf_dir), t=(tx.terms(F.col("text")), asked))
+    found = rt.postings(of_list(counts, "t")).join(sized(asked), "term")
+    whole = found.groupBy("doc_id", "q_id").agg(F.count("*").alias("have"), F.max("need").alias("need"), F.sum("f").alias("f"), F.max("len").alias("len")).where("have = need")
     scored = whole.select("q_id", "doc_id", F.round(F.col("f") / F.col("len"), rt.TIES).alias("score"))
     return rt.top(scored, 10).select("q_id", "doc_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -168,8 +187,8 @@ def intent_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_lists(spark: SparkSession, sf_dir: str, k: int = 40) -> list[DataFrame]:
-    tokens = both_tokens(spark, sf_dir)
-    return [rt.top(lexical(spark, sf_dir, tokens).where("score > 0"), k), rt.top(chunk_lexical(spark, sf_dir, tokens), k)]
+    counts = counted(spark, sf_dir)
+    return [rt.top(lexical(spark, sf_dir, counts).where("score > 0"), k), rt.top(chunk_lexical(spark, sf_dir, counts), k)]
 
 
 def fused(spark: SparkSession, sf_dir: str, offset: int, ties: str) -> DataFrame:
@@ -187,7 +206,7 @@ def rrf_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of questions whose own passage is in a document among the first 1, 5 and 10."""
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("q"))
-    ranked = bm25_topk(spark, sf_dir).join(docs_of(spark, sf_dir), "doc_id").join(F.broadcast(q), "q_id")
+    ranked = docs_of(spark, sf_dir).join(sized(bm25_topk(spark, sf_dir)), "doc_id").join(sized(q), "q_id")
     first = ranked.where(F.expr("instr(text, q) > 0")).groupBy("q_id").agg(F.min("rank").alias("first"))
     share = lambda k: F.round(F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0)), 9)
     return q.join(first, "q_id", "left").agg(share(1).alias("recall_1"), share(5).alias("recall_5"), share(10).alias("recall_10"), F.count_if(F.col("first").isNull()).alias("misses"))
@@ -205,13 +224,13 @@ def map_at_5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def passages_budgeted(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = docs_of(spark, sf_dir).select("doc_id", F.length("text").cast("long").alias("n_chars"))
-    out = rt.passages(bm25_topk(spark, sf_dir).join(sizes, "doc_id"))
+    out = rt.passages(sizes.join(sized(bm25_topk(spark, sf_dir)), "doc_id"))
     return out.select("q_id", F.array_join(F.transform("picks", lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["taken"].cast("string"))), ",").alias("picks"), "used")
 
 
 def context_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled context of each question from its three best documents."""
-    ranked = rt.top(lexical(spark, sf_dir).where("score > 0"), 3).join(docs_of(spark, sf_dir), "doc_id")
+    ranked = docs_of(spark, sf_dir).join(sized(rt.top(lexical(spark, sf_dir).where("score > 0"), 3)), "doc_id")
     label = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] document "), F.col("doc_id").cast("string"), F.lit(" ("), F.format_string("%.3f", "score"), F.lit("): "), "text")
     return ranked.groupBy("q_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", label.alias("t")))), lambda x: x["t"]), "\n\n").alias("context"))
 

@@ -11,8 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a table is broadcast, after it was counted.
-BROADCAST_ROWS = 200_000
+#: Rows, and bytes of its files, up to which a table is broadcast, after it was counted.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 #: Sessions by the scratch folders that saved() made in them and nothing has removed yet.
 MADE: dict[str, SparkSession] = {}
 
@@ -72,7 +72,17 @@ def forget_all() -> None:
             MADE.clear()
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, saved, and marked for broadcast only if it has no more than some rows."""
+def file_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a table made by saved() has."""
+    spark, total = df.sparkSession, 0
+    for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return total
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df, saved, and marked for broadcast only if it has no more than some rows and its files no more than some bytes."""
     kept = saved(df)
-    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+    few = file_bytes(kept) <= size and kept.limit(rows + 1).count() <= rows
+    return F.broadcast(kept) if few else kept

@@ -5,6 +5,7 @@ import re
 import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quire.operators import graph as gr
 from quire.operators import retrieval as rt
@@ -171,6 +172,40 @@ def test_passages_by_a_loop(spark):
         assert got[q] == (picks, used)
 
 
+def test_nearest_leaves_clusters_out(spark):
+    r = np.random.default_rng(4)
+    means = r.normal(size=(20, 16))
+    m = np.round(means[np.arange(1500) % 20] + 0.05 * r.normal(size=(1500, 16)), 3)
+    m[900:1000] = m[900]  # copies
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "doc_id long, v array<double>").repartition(3)
+    asked = rows.where("doc_id % 25 = 0").withColumnRenamed("doc_id", "q_id")
+    got = {(x.q_id, x.rank): (x.doc_id, x.score) for x in rt.nearest(rows, asked, 5, block=64).collect()}
+    unit = m / np.linalg.norm(m, axis=1)[:, None]
+    kth = {}
+    for q in range(0, 1500, 25):
+        s = np.round(unit @ unit[q], 9)
+        order = [i for i in np.lexsort((np.arange(1500), -s)) if i != q][:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, s[i]) for i in order]
+        kth[q] = s[order[-1]]
+    assert len(got) == 5 * len(kth)
+    centres = unit[:40]
+    apart = rt.angles(unit, centres)
+    own = apart.argmin(1)
+    sizes, radii = np.bincount(own, minlength=40), np.array([apart[own == c, c].max(initial=0) for c in range(40)])
+    pairs = rt.bounds(rt.units(asked, "q_id"), 16, centres, sizes, radii, 5, -1.0).collect()
+    assert sum(x.bound >= kth[x.q_id] for x in pairs) < 0.2 * 40 * len(kth)
+
+
+def test_terms_by_join(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, ["b", "a", "b", "x"]), (2, []), (3, ["x", "it's", "\\"]), (4, None)], "doc_id long, t array<string>")
+    asked = spark.createDataFrame([(0, "a", 1), (0, "b", 1), (1, "it's", 2), (1, "\\", 1), (2, "none", 1)], "q_id long, term string, times int")
+    want = {1: ([("a", 1), ("b", 2)], 4), 2: ([], 0), 3: ([("\\", 1), ("it's", 1)], 3), 4: ([], None)}
+    for most in (rt.TERMS, 0):
+        monkeypatch.setattr(rt, "TERMS", most)
+        got = rt.frequencies(docs, w=(F.col("t"), asked)).collect()
+        assert {r.doc_id: ([tuple(x) for x in r.w], r.w_len) for r in got} == want
+
+
 def test_nearest_by_force(spark):
     r = np.random.default_rng(1)
     m = r.normal(size=(300, 5)).round(1)
