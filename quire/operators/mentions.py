@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.structure import union_intervals
+from quire.scratch import saved
 
 WORD = r"[\p{L}\p{N}]+"
 TOKEN = re.compile(r"[^\W_]+")
@@ -118,6 +119,53 @@ def mentions(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     return met.where("size(aliases) > 0").mapInArrow(scanned, f"key {kind}, target long, alias string, start int, end int, quote string")
 
 
+#: Needles that a pass over the texts looks for, and characters of each that stand in the automaton.
+NEEDLES, PROBE = 20_000, 24
+
+
+def holding(texts: DataFrame, needles: DataFrame, most: int = NEEDLES) -> DataFrame:
+    """(item, key): which texts (key, text) hold which needles (item, needle), character by character.
+
+    The needles are a stated set that meets all texts, in blocks of about `most`: a block's middle pieces are one
+    automaton, which each text passes once, and what it finds is looked up whole. Texts don't move. Null and empty
+    needles are in no text.
+    """
+    known = saved(needles.where("needle <> ''").select(F.col("item").cast("long").alias("item"), "needle"))
+    blocks = max(1, -(-known.count() // most))
+    kind, out = texts.schema["key"].dataType.simpleString(), None
+
+    def passed(own: list[tuple[int, str]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pieces: dict[str, list[tuple[int, str]]] = {}
+            for item, needle in own:
+                at = max(0, (len(needle) - PROBE) // 2)
+                pieces.setdefault(needle[at : at + PROBE], []).append((item, needle))
+            machine = ahocorasick.Automaton()
+            for piece, whole in pieces.items():
+                machine.add_word(piece, whole)
+            machine.make_automaton()
+            for batch in batches:
+                rows, items = [], []
+                for i, text in enumerate(batch.column("text").to_pylist()):
+                    seen: dict[tuple[int, str], bool] = {}
+                    for _, whole in machine.iter(text) if text and own else ():
+                        for x in whole:
+                            if x not in seen:
+                                seen[x] = x[1] in text
+                    found = {item for (item, _), yes in seen.items() if yes}
+                    rows += [i] * len(found)
+                    items += found
+                yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), batch.column("key").take(pa.array(rows, pa.int64()))], names=["item", "key"])
+
+        return run
+
+    for b in range(blocks):
+        own = [(r.item, r.needle) for r in known.where(F.pmod(F.xxhash64("item", "needle"), F.lit(blocks)) == b).collect()]
+        part = texts.select("key", "text").mapInArrow(passed(own), f"item long, key {kind}")
+        out = part if out is None else out.unionByName(part)
+    return out.distinct() if blocks > 1 else out
+
+
 def owned_pieces(sections: DataFrame, chunks: DataFrame) -> DataFrame:
     """(section, owner, at, text): the parts of sections (section, owner, text) that their own chunks (section, start, end) cover, merged where these overlap or touch."""
     ranges = union_intervals(chunks.select(F.col("section").alias("key"), "start", "end")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))

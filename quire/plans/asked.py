@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import engine as en
+from quire.operators import mentions as mn
 from quire.operators import questions as qs
 from quire.operators import requests as rq
 from quire.operators import retrieval as rt
@@ -101,30 +102,16 @@ def reply_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(qs.reply_parts(F.col("r")).alias("p")).groupBy("p.answer", "p.conditions").agg(F.count("*").alias("n"))
 
 
-def holders(spark: SparkSession, sf_dir: str, wanted: DataFrame) -> DataFrame:
-    """(item_id, doc_id, text): documents that may hold an item (item_id, word), those with its word; all for an item without one.
-
-    Only ids and words meet; the texts are fetched for the pairs that are left.
-    """
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = documents.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
-    pairs = words.join(sized(wanted.where("word is not null").select("item_id", "word")), "word").select("item_id", "doc_id").distinct()
-    found = documents.join(pairs, "doc_id").select("item_id", "doc_id", "text")
-    return found.unionByName(documents.crossJoin(sized(wanted.where("word is null").select("item_id"))).select("item_id", "doc_id", "text"))  # items of one or two words
-
-
-def inner_word(text: Column) -> Column:
-    """The longest word of a text that isn't its first or last one; null where there is none."""
-    pieces = F.split(text, r"\s+")
-    inner = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0)))
-    return F.get(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
 
 
 def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark passage's surroundings in the documents that hold all of it."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("m")).where("m <> ''")
-    held = holders(spark, sf_dir, b.withColumn("word", inner_word(F.col("m")))).join(sized(b), "item_id").where("contains(text, m)")
-    cut = held.select("item_id", "doc_id", "m", qs.excerpt(F.col("text"), F.col("m")).alias("cut"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("m"))
+    held = sized(mn.holding(texts(spark, sf_dir), b.select(F.col("item_id").alias("item"), F.col("m").alias("needle"))))
+    found = texts(spark, sf_dir).join(held, "key").join(sized(b), F.col("item") == F.col("item_id"))
+    cut = found.select("item_id", F.col("key").alias("doc_id"), "m", qs.excerpt(F.col("text"), F.col("m")).alias("cut"))
     return cut.select("item_id", "doc_id", F.length("cut").alias("chars"), F.contains("cut", "m").alias("holds"))
 
 
@@ -169,10 +156,11 @@ def pass_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each case the number of documents with all its fragments, the lines of a passage."""
     c = table(spark, sf_dir, "benchmark").select("item_id", F.filter(F.split("text", "\n"), lambda x: x != "").alias("fragments"))
-    longest = F.get(F.array_sort(F.transform("fragments", lambda f: F.struct((-F.length(f)).alias("n"), f.alias("f")))), F.lit(0))["f"]
-    c = c.withColumn("word", inner_word(longest))
-    held = holders(spark, sf_dir, c.where("size(fragments) > 0")).join(sized(c.select("item_id", "fragments")), "item_id")
-    ok = held.where(F.forall("fragments", lambda f: F.contains("text", f))).groupBy("item_id").agg(F.count("*").alias("documents"))
+    needles = c.select("item_id", F.posexplode(F.array_distinct("fragments")).alias("n", "needle")).select((F.col("item_id") * 100_000 + F.col("n")).alias("item"), "needle")
+    hits = mn.holding(texts(spark, sf_dir), needles)
+    whole = hits.groupBy(F.expr("item div 100000").alias("item_id"), "key").agg(F.count("*").alias("n"))
+    sizes = c.select("item_id", F.size(F.array_distinct("fragments")).alias("need"))
+    ok = whole.join(sized(sizes), "item_id").where("n = need").groupBy("item_id").agg(F.count("*").alias("documents"))
     return c.join(ok, "item_id", "left").select("item_id", F.size("fragments").alias("fragments"), F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
