@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import asked, assembly, corpus, layout, purchases, records, sections, worded
+from quire.plans import asked, assembly, bundles, corpus, layout, purchases, records, sections, worded
 
-PLANS = (purchases, corpus, records, asked, sections, assembly, worded, layout)
+PLANS = (purchases, corpus, records, asked, sections, assembly, worded, layout, bundles)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
