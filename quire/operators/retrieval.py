@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,8 @@ def run_ends(words: str) -> Column:
     return F.when(F.size(words) > 0, F.expr(ends)).otherwise(F.array().cast("array<int>"))
 
 
-def frequencies(docs: DataFrame, **lists: tuple[Column, DataFrame]) -> DataFrame:
-    """(doc_id, and for each name: name, an array of (term, f), and name_len): how often each document has the terms of questions.
+def frequencies(docs: DataFrame, keep: tuple[str, ...] = (), **lists: tuple[Column, DataFrame]) -> DataFrame:
+    """(doc_id, the columns of keep, and for each name: name, an array of (term, f), and name_len): how often each document has the terms of questions.
 
     lists: by name the documents' tokens and the questions (q_id, term, times). A document's tokens stand in its row, so
     its terms are counted there: those that no question has go, the rest is sorted and its runs are measured. Nothing
@@ -42,7 +44,7 @@ def frequencies(docs: DataFrame, **lists: tuple[Column, DataFrame]) -> DataFrame
     more than TERMS terms, tokens meet them by a join instead.
     """
     terms = {name: [r.term for r in asked.select("term").distinct().limit(TERMS + 1).collect()] for name, (_, asked) in lists.items()}
-    out = docs.select("doc_id", *(c.alias(name) for name, (c, _) in lists.items()))
+    out = docs.select("doc_id", *keep, *(c.alias(name) for name, (c, _) in lists.items()))
     out = out.withColumns({f"{name}_len": F.when(F.col(name).isNotNull(), F.size(name)) for name in lists})
     for name, (_, asked) in lists.items():
         if len(terms[name]) > TERMS:
@@ -86,6 +88,46 @@ def bm25(counted: DataFrame, queries: DataFrame, floor: float | None = None) ->
     return hits.groupBy("doc_id", "q_id").agg(F.round(F.sum(weight * F.col("times")), TIES).alias("score")).select("q_id", "doc_id", "score")
 
 
+#: Weights of a full-text index's fields, and the constants of its ranking.
+FIELDS = {"title": 0.1, "text": 1.0}
+FIELD_K1, FIELD_B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Letters with marks, and the letters that a full-text index reads in their place.
+MARKED = [c for c in map(chr, range(0xC0, 0x250)) if len(unicodedata.normalize("NFD", c)) > 1 and c == c.lower()]
+PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in MARKED)
+
+
+def index_terms(text: Column) -> Column:
+    """Lower-case runs of letters and digits, letters without their marks."""
+    return F.regexp_extract_all(F.translate(F.lower(text), "".join(MARKED), PLAIN), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def fielded(chunks: DataFrame, queries: DataFrame, allowed: Column, most: int = 10) -> DataFrame:
+    """(q_id, doc_id, score, rank): the chunks (doc_id, kind, title, text, and what allowed needs) with all of a query's first twenty words, the best `most` of 1 to 100.
+
+    Bodies and tables come before other kinds, short ones last, then by BM25 over both fields, whose words count with the
+    field's weight; ties by doc_id. Frequencies are those of all chunks, allowed or not, as an index has them. Counts,
+    kinds and the scope come from one pass over the texts.
+    """
+    words = queries.select("q_id", F.slice(index_terms(F.col("question")), 1, 20).alias("words"))
+    asked = words.select("q_id", F.size(F.array_distinct("words")).alias("need"), F.explode("words").alias("term")).groupBy("q_id", "need", "term").agg(F.count("*").alias("times"))
+    plain = F.length(F.regexp_replace("text", r"^\s+|\s+$", ""))
+    marked = chunks.withColumns({"late": (~F.col("kind").isin("body", "table")).cast("int"), "brief": (plain < 120).cast("int"), "seen": F.coalesce(allowed, F.lit(False))})
+    counts = frequencies(marked, ("late", "brief", "seen"), **{name: (index_terms(F.col(name)), asked) for name in FIELDS})
+    size = reduce(Column.__add__, (F.coalesce(f"{name}_len", F.lit(0)) for name in FIELDS))
+    totals = counts.agg(F.count("*").alias("n"), F.avg(size).alias("avg"))  # one row
+    weighed = F.concat(*(F.expr(f"transform({name}, x -> struct(x.term as term, x.f * {w}D as f))") for name, w in FIELDS.items()))
+    rows = counts.repartition("doc_id").select("doc_id", "late", "brief", "seen", size.alias("len"), F.explode(weighed).alias("x"))
+    rows = rows.groupBy("doc_id", "late", "brief", "seen", "len", "x.term").agg(F.sum("x.f").alias("f"))  # where they are
+    df = sized(counts.select(F.explode(F.array_distinct(F.concat(*(F.transform(name, lambda x: x["term"]) for name in FIELDS)))).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+    idf = F.greatest(F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
+    terms = sized(asked.join(df, "term").crossJoin(F.broadcast(totals)).select("q_id", "need", "term", "times", idf.alias("idf"), "avg"))
+    part = F.col("times") * F.col("idf") * F.col("f") * (FIELD_K1 + 1) / (F.col("f") + FIELD_K1 * (1 - FIELD_B + FIELD_B * F.col("len") / F.col("avg")))
+    found = rows.where("seen").join(terms, "term").groupBy("doc_id", "q_id", "need", "late", "brief").agg(F.count("*").alias("have"), F.round(F.sum(part), TIES).alias("score"))
+    order = Window.partitionBy("q_id").orderBy("late", "brief", F.desc("score"), "doc_id")
+    best = found.where("have = need").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= min(max(most, 1), 100))
+    return best.select("q_id", "doc_id", "score", "rank")
+
+
 def top(scores: DataFrame, k: int, score: str = "score", key: str = "q_id", tie: str = "doc_id") -> DataFrame:
     """The k best of each key with their rank from 1, ties by `tie`."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), tie))

@@ -9,6 +9,7 @@ from quire.functions import text as tx
 from quire.operators import chunks as ck
 from quire.operators import retrieval as rt
 from quire.operators import structure as st
+from quire.operators import versions as vs
 from quire.plans.tables import table
 from quire.scratch import sized
 
@@ -159,6 +160,19 @@ def fts_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.top(scored, 10).select("q_id", "doc_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def fielded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks with their first sentence as title, asked for two words of a passage, within a scope."""
+    i = F.col("doc_id")
+    chunks = table(spark, sf_dir, "documents").select(
+        "doc_id", F.split("text", "[.\n]")[0].alias("title"), "text", F.when(i % 4 == 0, "footer").when(i % 4 == 1, "table").otherwise("body").alias("kind"),
+        F.when(i % 3 == 0, "internal").otherwise("public").alias("classification"), F.when(i % 5 == 0, "review").when(i % 5 == 1, "archived").otherwise("active").alias("status"),
+    )
+    words = F.split("text", " ")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.concat_ws(" ", words[1], words[4], F.when(F.col("item_id") % 2 == 0, words[1])).alias("question"))
+    out = rt.fielded(chunks, asked, vs.permitted(["public"], True, False))
+    return out.select("q_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(q_id, doc_id, score): the first vector of each label, in one broadcast block of a row for each label, against all others."""
     v = table(spark, sf_dir, "embeddings")
@@ -281,6 +295,12 @@ s{x} AS (SELECT q_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.
         "bm25_topk": f"WITH {b} SELECT q_id, doc_id, round(score, 6) AS score, rank FROM ({top('(SELECT * FROM s WHERE score > 0)', 10)})",
         "bm25_a_topk": f"WITH {a} SELECT q_id, doc_id, round(score, 6) AS score, rank FROM ({top('sa', 10)}) WHERE score > 0",
         "fts_all_terms": f"WITH t AS (SELECT doc_id, {terms('text')} AS t FROM documents), p AS (SELECT doc_id, term, count(*) AS f, any_value(len) AS len FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM t) GROUP BY 1, 2), q AS (SELECT item_id AS q_id, list_distinct({terms('text')}[1:20]) AS ts FROM benchmark), k AS (SELECT q_id, len(ts) AS need, unnest(ts) AS term FROM q), s AS (SELECT q_id, doc_id, round(sum(f) / max(len), 9) AS score FROM p JOIN k USING (term) GROUP BY 1, 2 HAVING count(*) = max(need)) SELECT q_id, doc_id, round(score, 9) AS score, rank FROM ({top('s', 10)})",
+        "fielded_search": rf"""WITH d AS (SELECT doc_id, text, regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}]+') AS x, regexp_extract_all(strip_accents(lower(regexp_split_to_array(text, '[.\n]')[1])), '[\p{{L}}\p{{N}}]+') AS t FROM documents),
+            tot AS (SELECT count(*) AS n, avg(len(x) + len(t)) AS avg FROM d), w AS (SELECT item_id AS q_id, string_split(text, ' ') AS w FROM benchmark),
+            q AS (SELECT q_id, regexp_extract_all(strip_accents(lower(concat_ws(' ', w[2], w[5], CASE WHEN q_id % 2 = 0 THEN w[2] END))), '[\p{{L}}\p{{N}}]+')[1:20] AS ws FROM w), k AS (SELECT q_id, need, term, count(*) AS times FROM (SELECT q_id, len(list_distinct(ws)) AS need, unnest(ws) AS term FROM q) GROUP BY 1, 2, 3),
+            u AS (SELECT doc_id, len(x) + len(t) AS len, unnest(x) AS term, 1.0::DOUBLE AS w FROM d UNION ALL SELECT doc_id, len(x) + len(t), unnest(t), 0.1::DOUBLE FROM d), p AS (SELECT doc_id, len, term, sum(w) AS f FROM u WHERE term IN (SELECT term FROM k) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+            s AS (SELECT q_id, doc_id, round(sum(times * greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6) * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg))), 9) AS score FROM p JOIN df USING (term) JOIN k USING (term), tot WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 1 GROUP BY q_id, doc_id, need HAVING count(*) = need),
+            r AS (SELECT s.*, row_number() OVER (PARTITION BY q_id ORDER BY doc_id % 4 = 0, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 120, score DESC, doc_id) AS rank FROM s JOIN documents USING (doc_id)) SELECT q_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""",
         "cosine_topk": f"WITH {near} SELECT q_id, doc_id, round(score, 6) AS score, rank FROM ({top('(SELECT * FROM d WHERE score >= 0.25)', 40)})",
         "intent_route": f"WITH {dense}, k AS (SELECT doc_id, score, ql, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ql) AS k FROM d) SELECT doc_id AS vec_id, score, CASE WHEN score >= 0.3 THEN ql END AS intent FROM k WHERE k = 1",
         "rrf_a": f"WITH {b}, {a}, {fuse(0)} SELECT q_id, doc_id, round(score, 9) AS score, rank FROM ({top('f', 30, 'tie')})",
@@ -291,5 +311,5 @@ s{x} AS (SELECT q_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.
     }
 
 
-NAMES = "legacy_sections legacy_chunks lexical_tokens token_offsets heading_lines running_lines section_ranges parent_sections ownership chunk_windows chunk_stats merged_ranges bm25_topk bm25_a_topk fts_all_terms cosine_topk intent_route rrf_a rrf_b recall_at_k map_at_5 passages_budgeted context_build".split()
+NAMES = "legacy_sections legacy_chunks lexical_tokens token_offsets heading_lines running_lines section_ranges parent_sections ownership chunk_windows chunk_stats merged_ranges bm25_topk bm25_a_topk fts_all_terms fielded_search cosine_topk intent_route rrf_a rrf_b recall_at_k map_at_5 passages_budgeted context_build".split()
 QUERIES = {name: globals()[name] for name in NAMES}
