@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.operators import bundle as bd
 from quire.plans.tables import table
+from quire.scratch import scratch_dir
+from quire.streaming import rebuild as rb
 
 
 def made(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -62,6 +64,24 @@ def unowned_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bd.unowned(rows, own["chunks"].where("end < 1000000 or end is null").select("section", "start", "end"))
 
 
+def rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions after three batches of a stream: half of the documents, then the others and changes to some, then changes back, deletions and repetitions; how many chunks each has, and which batch made them."""
+    folder = scratch_dir(spark)
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    i = F.col("doc_id")
+    rows = lambda where, n, text="text", gone=False: d.where(where).select("doc_id", F.expr(text).alias("text"), F.lit(n).cast("long").alias("modified"), F.lit(gone).alias("deleted"))
+    batches = (
+        rows("doc_id % 2 = 0", 1), rows("doc_id % 2 = 1", 2).unionByName(rows("doc_id % 4 = 0", 2, "concat(text, ' changed')")).unionByName(rows("doc_id % 6 = 2", 2)),
+        rows("doc_id % 8 = 0", 3).unionByName(rows("doc_id % 5 = 0", 4, gone=True)).unionByName(rows("doc_id % 7 = 0 and doc_id % 4 <> 0", 3)),
+    )
+    cut = lambda texts: texts.select("doc_id", "version", F.explode(F.sequence(F.lit(0), F.expr("cast(greatest(length(text) - 1, 0) div 500 as int)"))).alias("k"))
+    for batch in batches:
+        batch.write.mode("append").parquet(f"{folder}/landing")
+        rb.rebuild(spark, f"{folder}/landing", f"{folder}/index", f"{folder}/checkpoint", cut).awaitTermination()
+    made = rb.chunks(spark, f"{folder}/index", "k int", archived=True).groupBy("doc_id", "version").agg(F.count("*").alias("chunks"), F.max("batch").alias("made"))
+    return rb.versions(spark, f"{folder}/index").join(made, ["doc_id", "version"]).select(i, "version", "status", "batch", "chunks", "made")
+
+
 def sql() -> dict[str, str]:
     base = """d AS (SELECT doc_id AS i, text, length(text) AS n, length(text) // 2 AS h FROM documents WHERE length(text) > 3),
       c0 AS (SELECT i, n, unnest(range((n - 1) // 200 + 1)) AS k FROM d), c AS (SELECT *, i * 1000 + k AS chunk FROM c0 UNION ALL SELECT *, i * 1000 + k FROM c0 WHERE i % 71 = 19 AND k = 0)"""
@@ -79,9 +99,13 @@ def sql() -> dict[str, str]:
           (SELECT count(*) FROM d WHERE i % 3 = 1) + (SELECT count(*) FROM d WHERE i % 101 = 7 AND i % 3 = 1) AS archived_documents, (SELECT count(*) FROM d WHERE i % 3 = 0) + (SELECT count(*) FROM d WHERE i % 101 = 7 AND i % 3 = 0) AS documents_needing_review,
           (SELECT count(*) FROM d) AS graph_edges, (SELECT count(*) FROM d WHERE i % 5 = 0) AS overrides, (SELECT 2 * count(*) FROM d WHERE i % 4 = 0) AS tables, (SELECT count(*) FROM d) AS sections, (SELECT count(*) FROM c) AS chunks, (SELECT count(*) FROM d) + (SELECT count(*) FROM d WHERE i % 73 = 23) AS graph_nodes,
           (SELECT count(*) FROM d WHERE i % 101 = 7) + (SELECT count(*) FROM d WHERE i % 71 = 19) + (SELECT count(*) FROM d WHERE i % 73 = 23) AS warnings""",
+        "rebuilt": """WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(text || ' changed', '') AS other FROM documents),
+          v AS (SELECT doc_id, text, CASE WHEN doc_id % 5 = 0 OR (doc_id % 4 = 0 AND doc_id % 8 <> 0) THEN 'archived' ELSE 'active' END AS status, CASE WHEN doc_id % 8 = 0 AND doc_id % 5 <> 0 THEN 2 WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS batch, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS made FROM d
+            UNION ALL SELECT doc_id, other, CASE WHEN doc_id % 8 = 0 OR doc_id % 5 = 0 THEN 'archived' ELSE 'active' END, 1, 1 FROM d WHERE doc_id % 4 = 0)
+          SELECT doc_id, sha256(text) AS version, status, CAST(batch AS BIGINT) AS batch, CAST(greatest(length(text) - 1, 0) // 500 + 1 AS BIGINT) AS chunks, CAST(made AS BIGINT) AS made FROM v""",
         "unowned_evidence": f"""WITH {base}, e AS (SELECT i AS section, n, unnest(range((n - 1) // 150 + 1)) AS k FROM d), f AS (SELECT section, CAST(k * 150 AS INT) AS start, CAST(least(k * 150 + 90, n) AS INT) AS "end" FROM e),
           r AS (SELECT i, k * 200 AS a, least(k * 200 + 200, n) AS b FROM c0 WHERE (i + k) % 59 <> 11) SELECT section, start, "end" FROM f WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.i = section AND a <= start AND b >= "end")""",
     }
 
 
-QUERIES = {f.__name__: f for f in (bundle_problems, bundle_summary, unowned_evidence)}
+QUERIES = {f.__name__: f for f in (rebuilt, bundle_problems, bundle_summary, unowned_evidence)}
