@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import search_terms, terms
+from quire.operators.retrieval import K1, TIES, B
+from quire.scratch import saved
+
 #: Fixed equivalents of typographic marks, one for one.
 TYPOGRAPHY = ("‐‑–—’‘“”", "----''\"\"")
 ANCILLARY_KINDS = ("header", "footer", "footnote")
@@ -126,21 +130,45 @@ def add(state: Column, x: Column, most: int, budget: int, each: int, least: int)
     return F.when(go, F.struct(F.concat(picks, F.array(pick)).alias("picks"), (state["used"] + w["b"] - w["a"]).alias("used"))).otherwise(state)
 
 
-def assembled(ranked: DataFrame, edges: DataFrame, scored: DataFrame, first: int = 4, most: int = 6, hops: int = 2, budget: int = 24_000, each: int = 12_000, least: int = 500) -> DataFrame:
+def hop_ranked(named: DataFrame, sections: DataFrame, questions: DataFrame, most: int = 30) -> DataFrame:
+    """(q_id, edge, section, rank): for references (q_id, edge, target_doc, target_section, label) that questions (q_id, question) meet, the sections (section, doc_id, text) of the target, best first.
+
+    The query is the question with the target's label; frequencies are those of the target's sections alone. Sections
+    without any of its terms aren't ranked; ties by section.
+    """
+    query = F.array_distinct(search_terms(F.concat_ws(" ", "question", "label")))
+    pairs = named.join(questions, "q_id").select("q_id", "edge", "target_doc", "target_section", query.alias("query"))
+    own = sections.select("section", F.col("doc_id").alias("target_doc"), terms(F.col("text")).alias("t"))
+    met = pairs.join(own, "target_doc").where("target_section is null or target_section = section").select("q_id", "edge", "section", "t", "query", F.size("t").alias("len"))
+    totals = met.groupBy("q_id", "edge").agg(F.count("*").alias("n"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avg"))
+    count = F.transform("query", lambda w: F.struct(w.alias("term"), F.size(F.filter("t", lambda x: x == w)).alias("f")))
+    hits = met.select("q_id", "edge", "section", "len", F.explode(count).alias("x")).select("q_id", "edge", "section", "len", "x.term", "x.f").where("f > 0")
+    df = hits.groupBy("q_id", "edge", "term").agg(F.count("*").alias("df"))
+    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
+    scored = hits.join(df, ["q_id", "edge", "term"]).join(totals, ["q_id", "edge"]).groupBy("q_id", "edge", "section").agg(F.round(F.sum(part), TIES).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("q_id", "edge").orderBy(F.desc("score"), "section"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= most).select("q_id", "edge", "section", "rank")
+
+
+def assembled(ranked: DataFrame, edges: DataFrame, sections: DataFrame, questions: DataFrame, first: int = 4, most: int = 6, hops: int = 2, budget: int = 24_000, each: int = 12_000, least: int = 500) -> DataFrame:
     """(q_id, picks, used): passages of ranked sections, four of them first, and up to two more by one reference hop, six in all.
 
-    ranked: (q_id, rank, section, doc_id, start, end, text), a top-k of each question. edges: (edge, source, target_doc,
-    target_section or null, quote), references whose quote stands in the source section. scored: (q_id, section, doc_id,
-    rank, start, end, text), from which a reference's target section is taken, the best one that can be added.
+    ranked: (q_id, rank, section, doc_id, start, end, text), a top-k of each question (q_id, question). edges: (edge,
+    source, target_doc, target_section or null, label, quote), references whose quote stands in the source section.
+    sections: (section, doc_id, start, end, text), from which a reference's section is taken: the best one for question
+    and label, by hop_ranked(), that can be added.
     """
     none = F.struct(F.array().cast(f"array<{PICK}>").alias("picks"), F.lit(0).alias("used"))
     x = F.struct("rank", "section", "doc_id", "start", "end", "text", F.lit(None).cast("bigint").alias("edge"))
     rows = ranked.groupBy("q_id").agg(F.array_sort(F.collect_list(x)).alias("rows"))
-    base = rows.select("q_id", F.aggregate("rows", none, lambda s, r: add(s, r, first, budget, each, least)).alias("s"))
+    base = saved(rows.select("q_id", F.aggregate("rows", none, lambda s, r: add(s, r, first, budget, each, least)).alias("s")))
     here = base.select("q_id", F.posexplode("s.picks").alias("place", "p")).select("q_id", "place", F.col("p.section").alias("source"), F.col("p.doc_id").alias("from_doc"), F.col("p.text").alias("passage"))
-    named = here.join(edges, "source").where(F.contains("passage", "quote") & (F.col("target_doc") != F.col("from_doc"))).select("q_id", "place", "edge", "target_doc", "target_section")
-    met = named.join(scored.withColumnRenamed("doc_id", "target_doc"), ["q_id", "target_doc"]).where(F.col("target_section").isNull() | (F.col("target_section") == F.col("section")))
-    y = F.struct("place", "edge", "rank", "section", F.col("target_doc").alias("doc_id"), "start", "end", "text")
+    named = here.join(edges, "source").where(F.contains("passage", "quote") & (F.col("target_doc") != F.col("from_doc")))
+    named = saved(named.select("q_id", "place", "edge", "target_doc", "target_section", "label"))
+    best = hop_ranked(named.drop("place").distinct(), sections, questions)
+    met = named.select("q_id", "place", "edge").join(best, ["q_id", "edge"]).join(sections, "section")
+    y = F.struct("place", "edge", "rank", "section", "doc_id", "start", "end", "text")
     more = met.groupBy("q_id").agg(F.array_sort(F.collect_list(y)).alias("more"))  # sections of the documents that four passages name
     state = F.struct(F.col("s.picks").alias("picks"), F.col("s.used").alias("used"))
 

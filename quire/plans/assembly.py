@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import text as tx
 from quire.operators import assembly as am
 from quire.operators import evaluation as ev
 from quire.operators import retrieval as rt
@@ -13,7 +14,7 @@ from quire.operators import versions as vs
 from quire.plans import corpus, records
 from quire.plans.purchases import REQ, decided
 from quire.plans.tables import table
-from quire.scratch import sized
+from quire.scratch import saved, sized
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +78,31 @@ def rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", am.rewritten(terms, model, F.col("c_name")).alias("search"))
 
 
+def hop_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Ranked sections, references, sections and questions: documents in pieces of 3,000 characters, every second of which names a document by a quote from its text."""
+    d = table(spark, sf_dir, "documents").where("text <> ''")
+    cut = d.select("doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(length(text) - 1) div 3000"))).alias("k"))
+    piece = F.expr("substring(text, cast(k * 3000 + 1 as int), 3000)")
+    sections = saved(cut.select((F.col("doc_id") * 1000 + F.col("k")).alias("section"), "doc_id", F.lit(20).alias("start"), F.least(F.length(piece), F.lit(60)).alias("end"), piece.alias("text")))
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("question"))
+    asked = questions.select("q_id", F.explode(F.array_distinct(tx.search_terms(F.col("question")))).alias("term")).withColumn("times", F.lit(1))
+    counts = rt.frequencies(sections.withColumnRenamed("doc_id", "doc").withColumnRenamed("section", "doc_id"), s=(tx.terms(F.col("text")), asked))
+    ranked = sized(rt.top(rt.bm25(counts.select("doc_id", F.col("s").alias("tf"), F.col("s_len").alias("len")), asked, 1.0).where("score > 0"), 10).select("q_id", "rank", F.col("doc_id").alias("section")))
+    ranked = sections.join(ranked, "section").select("q_id", F.col("rank").cast("long").alias("rank"), "section", "doc_id", "start", "end", "text")
+    named = d.select(F.col("doc_id").alias("target_doc"), F.concat_ws(" ", F.lit("about"), F.get(F.split("text", " "), F.lit(2)), F.get(F.split("text", " "), F.lit(5))).alias("label"), (F.col("doc_id") % 97).alias("slot"))
+    edges = sections.where("section % 2 = 0").select(F.col("section").alias("edge"), F.col("section").alias("source"), ((F.col("doc_id") * 7 + 5) % 97).alias("slot"), F.expr("substring(text, 31, 12)").alias("quote"))
+    edges = edges.join(named.groupBy("slot").agg(F.min(F.struct("target_doc", "label")).alias("x")), "slot")
+    edges = edges.select("edge", "source", "x.target_doc", F.when(F.col("edge") % 5 == 0, F.col("x.target_doc") * 1000).alias("target_section"), "x.label", "quote")
+    return ranked, edges, sections, questions
+
+
+def passages_with_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of each question: four by rank, and those that their references lead to."""
+    out = am.assembled(*hop_inputs(spark, sf_dir))
+    picks = F.transform("picks", lambda p: F.concat_ws(":", p["section"].cast("string"), p["a"].cast("string"), p["b"].cast("string"), F.coalesce(p["edge"].cast("string"), F.lit(""))))
+    return out.select("q_id", F.array_join(picks, ",").alias("picks"), F.col("used").cast("long").alias("used"))
+
+
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of documents, forms (every third) and lines as sections, and the relations that contain them or are a form's source."""
     d = records.docs(spark, sf_dir)
@@ -278,7 +304,7 @@ def sql() -> dict[str, str]:
 
 
 NAMES = (
-    "body_positions block_spans quote_spans verified_claims hybrid_dense rewrites graph_nodes text_join pair_join section_lookup manifest_equalized types_and_files model_windows reviewed_sources "
+    "body_positions block_spans quote_spans verified_claims passages_with_hop hybrid_dense rewrites graph_nodes text_join pair_join section_lookup manifest_equalized types_and_files model_windows reviewed_sources "
     "label_mismatches quoted_constants cart_suite difficulty_counts grounding_summary first_questions flat_metadata cart_page graph_json"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}

@@ -167,8 +167,8 @@ def fielded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.split("text", "[.\n]")[0].alias("title"), "text", F.when(i % 4 == 0, "footer").when(i % 4 == 1, "table").otherwise("body").alias("kind"),
         F.when(i % 3 == 0, "internal").otherwise("public").alias("classification"), F.when(i % 5 == 0, "review").when(i % 5 == 1, "archived").otherwise("active").alias("status"),
     )
-    words = F.split("text", " ")
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.concat_ws(" ", words[1], words[4], F.when(F.col("item_id") % 2 == 0, words[1])).alias("question"))
+    word = lambda k: F.get(F.split("text", " "), F.lit(k))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.concat_ws(" ", word(1), word(4), F.when(F.col("item_id") % 2 == 0, word(1))).alias("question"))
     out = rt.fielded(chunks, asked, vs.permitted(["public"], True, False))
     return out.select("q_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 

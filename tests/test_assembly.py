@@ -1,11 +1,16 @@
 """Quotes, claims, passages and hops against plain loops."""
 
+import math
 import random
 import re
 
 from pyspark.sql import functions as F
 
+from quire.functions import text as tx
 from quire.operators import assembly as am
+from quire.plans import assembly as plans
+
+DATA = "/root/testdata/sf0.001"
 
 
 def test_quotes(spark):
@@ -44,18 +49,96 @@ def test_claims(spark):
     assert got[2].line == "Both say so, BUS 43 too. [1] [2]" and got[2].quotes == ["second source of some", "BUS-43 says so on page 9."]
 
 
-def test_assembled(spark):
-    long = "\n\n".join(f"paragraph {i} " + "x" * 400 for i in range(60))
-    texts = {10: (1, "alpha one; see the other policy. " * 20), 11: (1, "alpha one"), 12: (2, long), 13: (3, "gamma " * 300), 14: (4, "delta " * 100), 15: (5, "epsilon " * 100), 16: (6, "zeta " * 50), 17: (6, "zeta zeta"), 18: (7, "eta " * 20)}
-    ranked = [(1, k, s, texts[s][0], 13_000 if s == 12 else 0, 13_010 if s == 12 else 5, texts[s][1]) for k, s in enumerate((10, 11, 12, 13, 14, 15))]
-    scored = [(1, s, texts[s][0], k, 0, 4, texts[s][1]) for k, s in enumerate((17, 16, 18))]
-    edges = [(1, 10, 6, None, "see the other policy"), (2, 10, 7, 18, "not in it"), (3, 13, 7, 18, "gamma"), (4, 13, 3, None, "gamma")]
-    cols = "start int, end int, text string"
-    got = am.assembled(spark.createDataFrame(ranked, f"q_id int, rank int, section long, doc_id long, {cols}"), spark.createDataFrame(edges, "edge long, source long, target_doc long, target_section long, quote string"), spark.createDataFrame(scored, f"q_id int, section long, doc_id long, rank int, {cols}")).first()
-    assert [(p.section, p.edge) for p in got.picks] == [(10, None), (12, None), (13, None), (14, None), (17, 1), (18, 3)]
-    piece = got.picks[1]
-    assert piece.text == long[piece.a : piece.b] and len(piece.text) <= 12_000 and piece.text.startswith("paragraph") and piece.a <= 13_000 and piece.b >= 13_010
-    assert got.used == sum(p.b - p.a for p in got.picks) <= 24_000
+def by_loop(question, ranked, edges, sections):
+    """The passages of one question, section by section, as plain strings."""
+    picks, used = [], 0
+
+    def add(section, start, end, edge):
+        nonlocal used
+        doc, _, _, text = sections[section]
+        left = 24_000 - used
+        if len(picks) >= (4 if edge is None else 6) or section in [p[0] for p in picks] or left < 500:
+            return False
+        if any(sections[p[0]][0] == doc and (text in p[4] or p[4] in text) for p in picks):
+            return False
+        limit, a, b = min(12_000, left), 0, len(text)
+        if b > limit:
+            a = max(0, (start + end) // 2 - limit // 2)
+            b = min(len(text), a + limit)
+            if (gap := text.find("\n\n", a, start)) >= 0:
+                a = gap + 2
+            if (gap := text.rfind("\n\n", end, b)) >= end:
+                b = gap
+        if end - start > b - a:
+            return False
+        picks.append((section, a, b, edge, text[a:b]))
+        used += b - a
+        return True
+
+    for section in ranked:
+        add(section, *sections[section][1:3], None)
+    hops = 0
+    for section, _, _, _, passage in list(picks):
+        for edge, source, target, only, label, quote in sorted(edges):
+            if hops == 2 or len(picks) == 6 or source != section or quote not in passage or target == sections[section][0] or edge in [p[3] for p in picks]:
+                continue
+            own = [i for i in sorted(sections) if sections[i][0] == target and only in (None, i)]
+            tokens = {i: [w for w in re.findall("[a-z0-9]+", sections[i][3].lower()) if w not in tx.STOPWORDS] for i in own}
+            asked = {w for w in re.findall("[a-z0-9]+", f"{question} {label}".lower()) if w not in tx.STOPWORDS}
+            asked |= {x for w in asked for x in tx.EXPANSIONS.get(w, "").split()}
+            average = max(sum(map(len, tokens.values())) / max(len(own), 1), 1)
+            score = {i: 0.0 for i in own}
+            for w in asked:
+                df = sum(w in t for t in tokens.values())
+                for i, t in tokens.items():
+                    if f := t.count(w):
+                        score[i] += math.log(1 + (len(own) - df + 0.5) / (df + 0.5)) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len(t) / average))
+            for i in sorted((i for i in own if score[i] > 0), key=lambda i: (-round(score[i], 9), i))[:30]:
+                if add(i, *sections[i][1:3], edge):
+                    hops += 1
+                    break
+    return [p[:4] for p in picks], used
+
+
+def test_assembled_at_random(spark):
+    r = random.Random(12)
+    words = "alpha beta gamma delta bid quote vendor limit rule".split()
+    text = lambda n: "".join(r.choice(words) + r.choice([" ", " ", ". ", "\n\n"]) for _ in range(n))
+    sections = {}
+    for i in range(60):
+        body = text(r.choice([8, 40, 300, 2500]))
+        if i % 9 == 8:
+            body = sections[i - 1][3][: len(body)]  # within its neighbour's text
+        start = r.randrange(len(body) - 5)
+        sections[i] = (i // 3, start, min(len(body), start + r.choice([5, 300])), body)
+    edges = [(e, s, r.randrange(20), r.choice([None, r.randrange(60)]), text(2), sections[s][3][5:15] if r.random() < 0.8 else "nowhere") for e, s in enumerate(r.choices(range(60), k=150))]
+    edges = [(e, s, d, o if o is None or o // 3 == d else 3 * d, *x) for e, s, d, o, *x in edges]
+    questions = {q: text(5) for q in range(25)}
+    ranked = {q: r.sample(range(60), 10) for q in questions}
+    rows = [(q, k, i, sections[i][0], *sections[i][1:]) for q, own in ranked.items() for k, i in enumerate(own, start=1)]
+    got = am.assembled(
+        spark.createDataFrame(rows, "q_id int, rank int, section long, doc_id long, start int, end int, text string"), spark.createDataFrame(edges, "edge long, source long, target_doc long, target_section long, label string, quote string"),
+        spark.createDataFrame([(i, *x) for i, x in sections.items()], "section long, doc_id long, start int, end int, text string"), spark.createDataFrame(list(questions.items()), "q_id int, question string"),
+    )
+    found = {x.q_id: ([(p.section, p.a, p.b, p.edge) for p in x.picks], x.used) for x in got.collect()}
+    want = {q: by_loop(questions[q], ranked[q], edges, sections) for q in questions}
+    assert found == want
+    assert sum(p[3] is not None for picks, _ in want.values() for p in picks) > 20
+
+
+def test_passages_with_hop(spark):
+    ranked, edges, sections, questions = (x.collect() for x in plans.hop_inputs(spark, DATA))
+    own = {s.section: (s.doc_id, s.start, s.end, s.text) for s in sections}
+    lists = {}
+    for x in sorted(ranked, key=lambda x: x["rank"]):
+        lists.setdefault(x.q_id, []).append(x.section)
+    asked = {q.q_id: q.question for q in questions}
+    refs = [tuple(e) for e in edges]
+    got = {x.q_id: (x.picks, x.used) for x in plans.passages_with_hop(spark, DATA).collect()}
+    for q, own_list in lists.items():
+        picks, used = by_loop(asked[q], own_list, [e for e in refs], own)
+        assert got[q] == (",".join(f"{s}:{a}:{b}:{'' if e is None else e}" for s, a, b, e in picks), used)
+    assert len(got) == len(lists)
 
 
 def test_rewritten(spark):
