@@ -29,6 +29,36 @@ def grounding(rows: DataFrame) -> DataFrame:
     return out.withColumn("review", (F.col("invalid_refs") != "") | (F.col("unmatched") != ""))
 
 
+def grounding_summary(rows: DataFrame, error: Column, refused: Column) -> DataFrame:
+    """One row of counters over grounding()'s rows: errors and refusals aren't evaluated."""
+    done = ~error & ~refused
+    count = lambda c: F.count_if(done & c)
+    return rows.agg(
+        F.count("*").alias("total"), F.count_if(error).alias("execution_errors"), F.count_if(~error & refused).alias("refusals"), count(F.lit(True)).alias("evaluated"), count(F.col("review")).alias("flagged"),
+        count(F.col("invalid_refs") != "").alias("invalid_citations"), count(F.col("unmatched") != "").alias("unmatched_dollar_amounts"), count(F.col("question_only") != "").alias("question_amounts_not_in_evidence"),
+    )
+
+
+def stands(value: Column, quote: Column) -> Column:
+    """Whether a constant stands in its quote: plain, with commas, in thousands, or in millions."""
+    forms = F.array(value.cast("long").cast("string"), F.format_number(value, 0), F.concat((value / 1000).cast("long").cast("string"), F.lit("K")), F.concat(F.regexp_replace((value / 1e6).cast("string"), r"\.0$", ""), F.lit(" million")))
+    return F.exists(forms, lambda f: F.contains(quote, f))
+
+
+def positions(grades: DataFrame) -> DataFrame:
+    """(run, grade, n, positions) of a run's grades (run, place, grade): how many of each, and at which places, ascending. A run is one list of questions."""
+    return grades.groupBy("run", "grade").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("place")).alias("positions"))
+
+
+def pool_recall(questions: DataFrame, hits: DataFrame, sizes: DataFrame) -> DataFrame:
+    """One row: recall at 1, 5 and in the pool, mean pool size, and misses. hits: (q_id, rank) of right candidates in the pools, sizes: (q_id, pool)."""
+    best = hits.groupBy("q_id").agg(F.min("rank").alias("first"))
+    rows = questions.select("q_id").join(best, "q_id", "left").join(sizes, "q_id", "left")
+    share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 9)
+    first = F.col("first")
+    return rows.agg(share(first == 1).alias("recall_1"), share(first <= 5).alias("recall_5"), share(first.isNotNull()).alias("recall_pool"), F.round(F.avg(F.coalesce("pool", F.lit(0))), 9).alias("mean_pool"), F.count_if(~F.coalesce(first <= 5, F.lit(False))).alias("missed_5"), F.count_if(first.isNull()).alias("missed_pool"))
+
+
 def numeric_grade(truth: Column, answer: Column) -> Column:
     """correct, partial or wrong by the share of the truth's numbers of four digits or more that the answer holds; none: correct."""
     numbers = F.array_distinct(F.transform(F.regexp_extract_all(truth, F.lit(r"(\d[\d,]{3,})"), F.lit(1)), lambda n: F.regexp_replace(n, ",", "")))

@@ -17,11 +17,19 @@ def headings(rows: DataFrame) -> DataFrame:
     return rows.withColumn("level", heading_level(F.col("line"))).where("level is not null")
 
 
+#: Fixed value: lines that open a part of the text, which are no running headers even where they are repeated.
+STRUCTURAL = r"(?i)^(?:ARTICLE|PART|SECTION)\b|^[IVXLCDM]{1,6}\.|^[A-Z]\."
+
+
 def running_labels(rows: DataFrame, k: int = 3) -> DataFrame:
-    """Lines (doc_id, page, pos, label) that stand among the first or last k of more than one page of their document, with keep for the first occurrence."""
+    """Lines (doc_id, page, pos, label) that stand among the first or last k of more than one page of their document, with keep for the first occurrence.
+
+    A label is a whole line without the white space around it; structural markers don't run.
+    """
     page = Window.partitionBy("doc_id", "page")
     edge = rows.withColumns({"up": F.row_number().over(page.orderBy("pos")), "down": F.row_number().over(page.orderBy(F.desc("pos")))}).where((F.col("up") <= k) | (F.col("down") <= k))
-    often = edge.where("label <> ''").groupBy("doc_id", "label").agg(F.count_distinct("page").alias("pages")).where("pages > 1")
+    edge = edge.where((F.col("label") != "") & ~F.col("label").rlike(STRUCTURAL))
+    often = edge.groupBy("doc_id", "label").agg(F.count_distinct("page").alias("pages")).where("pages > 1")
     found = edge.join(often, ["doc_id", "label"])
     return found.withColumn("keep", F.row_number().over(Window.partitionBy("doc_id", "label").orderBy("page", "pos")) == 1).drop("up", "down")
 

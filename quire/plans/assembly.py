@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 from quire.operators import assembly as am
+from quire.operators import catalog as ct
 from quire.operators import evaluation as ev
 from quire.operators import retrieval as rt
 from quire.operators import rules
 from quire.operators import versions as vs
 from quire.plans import corpus, records
-from quire.plans.purchases import REQ, decided
+from quire.plans.purchases import REQ, choose, decided, pick
 from quire.plans.tables import table
 from quire.scratch import saved, sized
 
@@ -119,9 +120,8 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents found by their text alone: equal texts give the last one's id."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.length("text").alias("n"))
-    last = d.groupBy("sha", "n").agg(F.max("doc_id").alias("found"))
-    return d.join(last, ["sha", "n"]).select("doc_id", "found")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ct.by_text(d, d)
 
 
 def pair_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,31 +129,30 @@ def pair_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha1(F.col("text").cast("binary")).alias("key"))
     lost = F.when(F.col("doc_id") % 10 == 0, F.sha1(F.col("key").cast("binary"))).otherwise(F.col("key"))
     store = d.where("doc_id % 2 = 0").select(lost.alias("key"), F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 3 + 1).cast("int")), lambda i: F.concat_ws(" ", F.lit("question"), i.cast("string"))).alias("questions"))
-    asked = store.groupBy("key").agg(F.max("questions").alias("questions")).select("key", F.explode("questions").alias("question"))
-    texts = d.groupBy("key").agg(F.min(F.struct("doc_id", "lang")).alias("x"))
-    met = asked.join(texts, "key", "left")
-    return met.groupBy(F.coalesce("x.lang", F.lit("none")).alias("lang")).agg(F.count("*").alias("questions"), F.count_distinct("key").alias("texts"), F.min("x.doc_id").alias("first"))
+    out = ct.paired(store, d).join(d.select("doc_id", "lang"), "doc_id", "left")
+    return out.groupBy(F.coalesce("lang", F.lit("none")).alias("lang")).agg(F.count("*").alias("questions"), F.count_distinct("key").alias("texts"), F.min("doc_id").alias("first"))
 
 
 def section_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some lines by key with their parent line, as a scope sees them."""
-    seen = records.docs(spark, sf_dir).where(vs.permitted(["public", "internal"], True, False))
-    rows = seen.select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    asked = table(spark, sf_dir, "labels").select("doc_id", (F.col("doc_id") % 5).cast("int").alias("k"))
-    child = rows.join(asked, ["doc_id", "k"])
-    parent = rows.select("doc_id", F.col("k").alias("up"), F.length("line").alias("parent_chars"))
-    return child.withColumn("up", F.when(F.col("k") > 0, F.expr("(k - 1) div 2"))).join(parent, ["doc_id", "up"], "left").select("doc_id", F.col("k").cast("long").alias("k"), F.length("line").cast("long").alias("chars"), F.col("parent_chars").cast("long").alias("parent_chars"))
+    k = F.col("section")
+    rows = records.docs(spark, sf_dir).select("doc_id", "classification", "status", F.posexplode(F.split("text", "\n")).alias("section", "text")).withColumn("parent", F.when(k > 0, F.expr("cast((section - 1) div 2 as int)")))
+    asked = table(spark, sf_dir, "labels").select("doc_id", (F.col("doc_id") % 5).cast("int").alias("section"))
+    out = ct.looked_up(rows, asked, vs.permitted(["public", "internal"], True, False))
+    return out.select("doc_id", k.cast("long").alias("k"), F.length("text").cast("long").alias("chars"), F.length("parent_text").cast("long").alias("parent_chars"))
 
 
 def manifest_equalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A manifest against the files at hand: present entries are active with the file's hash, unlisted files get an entry of their own."""
+    """A manifest, entries of which name two files, against the files at hand."""
     s = table(spark, sf_dir, "supplier")
     key = F.col("s_suppkey")
-    files = s.where(key % 3 != 0).select(F.concat(F.lit("My__File "), key.cast("string"), F.lit(".PDF")).alias("file"), F.sha2(F.col("s_name").cast("binary"), 256).alias("sha"))
-    listed = s.where(key % 2 == 0).select(F.concat(F.lit("doc-"), key.cast("string")).alias("id"), F.concat(F.lit("my_file_"), key.cast("string"), F.lit(".pdf")).alias("name"), F.lit("review").alias("status"))
-    both = listed.withColumn("norm", vs.normalized(F.col("name"))).join(files.withColumn("norm", vs.normalized(F.col("file"))), "norm", "full")
-    stem = F.regexp_replace(F.lower(F.regexp_replace("file", r"\.[^.]*$", "")), "[^a-z0-9]+", "-")
-    return both.select(F.coalesce("id", F.regexp_replace(stem, "^-|-$", "")).alias("id"), F.coalesce("name", "file").alias("name"), F.when(F.col("sha").isNotNull(), "active").otherwise(F.col("status")).alias("status"), "sha")
+    own = F.sha2(F.col("s_name").cast("binary"), 256)
+    files = s.where(key % 3 != 0).select(F.concat(F.lit("My__File "), key.cast("string"), F.lit(".PDF")).alias("file"), own.alias("sha"))
+    files = files.unionByName(s.where(key % 4 == 0).select(F.concat(F.lit("annex_"), key.cast("string"), F.lit(".docx")).alias("file"), own.alias("sha")))
+    names = F.array(F.concat(F.lit("my_file_"), key.cast("string"), F.lit(".pdf")), F.concat(F.lit("Annex "), key.cast("string"), F.lit(".DOCX")))
+    listed = s.where(key % 2 == 0).select(F.concat(F.lit("doc-"), key.cast("string")).alias("id"), names.alias("names"), F.concat(F.lit("File "), key.cast("string")).alias("title"), F.lit("review").alias("status"))
+    out = ct.equalized(listed, files)
+    return out.select("id", F.array_join("names", "; ").alias("names"), "title", "status", "sha")
 
 
 def types_and_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,11 +169,9 @@ def model_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reviewed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether pinned sources can be cited: active, public, of the reviewed hash, and with the quote in their text."""
     d = records.docs(spark, sf_dir)
-    sha = F.sha2(F.col("text").cast("binary"), 256)
-    pinned = F.when(F.col("doc_id") % 4 == 0, F.sha2(F.lit("other").cast("binary"), 256)).otherwise(sha)
+    pinned = F.when(F.col("doc_id") % 4 == 0, F.sha2(F.lit("other").cast("binary"), 256)).otherwise(ct.sha(F.col("text")))
     quote = F.when(F.col("doc_id") % 3 == 0, "not in any text").otherwise(F.substring("text", 3, 20))
-    why = F.when(F.col("status") != "active", "not active").when(F.col("classification") != "public", "not public").when(pinned != sha, "changed").when(~F.contains("text", quote), "quote changed").otherwise("fine")
-    return d.groupBy(F.when(F.col("classification").isNull(), "not public").otherwise(why).alias("state")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    return d.groupBy(ct.citable(pinned, quote).alias("state")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
 
 
 def label_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,25 +185,58 @@ def records_decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided(spark, sf_dir).select("request_id", "value", "form_required")
 
 
-CONSTANTS = (("BID", rules.BID, "bids at $100,000 or more"), ("TAG", rules.TAG, "items of $5,000"), ("MICRO", rules.MICRO, "limit of $15K"), ("SAT", rules.SAT, "$250,000"), ("COST", rules.COST_PRICING, "$2.5 million or more"), ("DAYS", rules.PARITY_ABOVE_DAYS, "more than 90 days"))
+def quoted_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each order's price in thousands stands in a quote, written in one of five ways, two of them wrong."""
+    v = F.floor(F.col("o_totalprice") / 1000) * 1000.0
+    k = F.col("o_orderkey") % 5
+    whole = v.cast("long").cast("string")
+    quote = F.when(k == 0, F.concat(F.lit("at $"), F.format_number(v, 0))).when(k == 1, F.concat(F.lit("of "), whole)).when(k == 2, F.concat(F.lit("$"), (v / 1000).cast("long").cast("string"), F.lit("K"))).when(k == 3, F.concat(F.lit("$"), F.format_number(v + 1000, 0), F.lit("."))).otherwise("none")
+    return table(spark, sf_dir, "orders").where("o_totalprice >= 1000").groupBy(k.alias("way"), ev.stands(v, quote).alias("stands")).agg(F.count("*").alias("n"))
 
 
-def quoted_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each constant stands in its quote: plain, with commas, in thousands, or in millions."""
-    c = spark.createDataFrame([(n, float(v), q) for n, v, q in CONSTANTS], "name string, value double, quote string")
-    forms = F.array(F.col("value").cast("long").cast("string"), F.format_number("value", 0), F.concat((F.col("value") / 1000).cast("long").cast("string"), F.lit("K")), F.concat(F.regexp_replace((F.col("value") / 1e6).cast("string"), r"\.0$", ""), F.lit(" million")))
-    return c.select("name", F.exists(forms, lambda f: F.contains("quote", f)).alias("stands"))
+def cart_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cart for each order a cent below, at, or a cent above its funding's boundary, with what it should give, and whether it does."""
+    k, zero = F.col("o_orderkey"), F.lit("0").cast("decimal(14,2)")
+    funding = pick("o_orderkey", ("non_federal", "federal_contract", "federal_grant", "unknown", "mixed"))
+    limit = F.element_at(F.create_map(*(F.lit(x) for p in (("non_federal", rules.FORM_OTHER), ("federal_contract", rules.FORM_CONTRACT), ("federal_grant", rules.FORM_GRANT)) for x in p)), F.col("funding"))
+    step = F.expr("o_custkey % 3 - 1")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", funding.alias("funding")).withColumn("limit", limit)
+    amount = (F.coalesce("limit", F.lit(100)).cast("decimal(14,2)") + step.cast("decimal(14,2)") / 100).cast("decimal(14,2)")
+    carts = rows.select(k, "funding", F.when(F.col("limit").isNotNull(), step >= 0).alias("expected"), amount.alias("subtotal"), zero.alias("tax"), zero.alias("shipping"), zero.alias("handling"), F.lit(1).alias("suppliers"), F.lit(True).alias("reviewed"), F.lit(True).alias("single"))
+    out = rules.cart_guide(carts)
+    return out.groupBy("funding", F.col("subtotal").cast("string").alias("amount"), "status").agg(F.count("*").alias("n"), F.bool_and(F.col("required").eqNullSafe(F.col("expected"))).alias("passed"))
+
+
+def additional_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that repeat an earlier one's text."""
+    return ct.additional_files(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def manifest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with entries made from suppliers."""
+    k = F.col("s_suppkey")
+    sha = F.sha2(F.col("s_name").cast("binary"), 256)
+    rows = table(spark, sf_dir, "supplier").select(
+        F.when(k % 11 == 3, "No Slug").otherwise(F.concat(F.lit("entry-"), k.cast("string"))).alias("id"), F.when(k % 7 == 2, F.array(F.lit("abc"))).when(k % 7 == 3, F.array(sha)).otherwise(F.array(F.sha2(F.lit("old").cast("binary"), 256))).alias("archived"),
+        F.when(k % 2 == 0, "active").otherwise("review").alias("status"), F.when(k % 5 != 0, "reviewer").alias("reviewer"), F.when(k % 13 == 4, "2024-02-31").otherwise("2024-05-01T10:00:00Z").alias("reviewed_at"), sha.alias("sha"),
+    )
+    return rows.groupBy(ct.entry_problem().alias("problem")).agg(F.count("*").alias("n"), F.min("id").alias("first"))
 
 
-SUITE = (("99999.99", "non_federal", False), ("100000.00", "non_federal", True), ("14999.99", "federal_contract", False), ("15000.00", "federal_contract", True), ("49999.99", "federal_grant", False), ("50000.00", "federal_grant", True), ("100.00", "unknown", None), ("100.00", "mixed", None))
+def tagged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of files met with a table of some of them by normalised name."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey").cast("string")
+    pages = p.select("p_partkey", F.concat(F.lit("Über "), k, F.when(F.col("p_partkey") % 3 == 0, "-A.PDF").when(F.col("p_partkey") % 3 == 1, "_a.docx").otherwise("")).alias("source"))
+    known = p.where("p_partkey % 2 = 0").select(F.concat(F.lit("über_"), k, F.when(F.col("p_partkey") % 3 == 0, " a.pdf").when(F.col("p_partkey") % 3 == 1, "A.Docx").otherwise("")).alias("file"), F.col("p_name").alias("policy_name"), F.col("p_brand").alias("doc_type"))
+    return ct.tagged(pages, known)
 
 
-def cart_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Carts on both sides of each boundary, with what they should give, and whether they do."""
-    zero = F.lit("0").cast("decimal(14,2)")
-    rows = spark.createDataFrame([(a, f, w) for a, f, w in SUITE], "amount string, funding string, expected boolean")
-    carts = rows.select("amount", "funding", "expected", F.col("amount").cast("decimal(14,2)").alias("subtotal"), zero.alias("tax"), zero.alias("shipping"), zero.alias("handling"), F.lit(1).alias("suppliers"), F.lit(True).alias("reviewed"), F.lit(True).alias("single"))
-    return rules.cart_guide(carts).select("amount", "funding", "status", F.col("required").eqNullSafe(F.col("expected")).alias("passed"))
+def grade_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which lines of each order were graded how, by their discount."""
+    grade = F.when(F.col("l_discount") < 0.03, "correct").when(F.col("l_discount") < 0.07, "partial").otherwise("wrong")
+    out = ev.positions(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("place"), grade.alias("grade")))
+    return out.select("run", "grade", "n", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
 
 
 def difficulty_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,14 +247,7 @@ def difficulty_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grounding_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters over answers: errors and refusals aren't evaluated."""
-    g = ev.grounding(records.answers(spark, sf_dir))
-    error, refused = F.col("id") % 13 == 0, F.col("id") % 11 == 0
-    done = ~error & ~refused
-    count = lambda c: F.count_if(done & c)
-    return g.agg(
-        F.count("*").alias("total"), F.count_if(error).alias("execution_errors"), F.count_if(~error & refused).alias("refusals"), count(F.lit(True)).alias("evaluated"), count(F.col("review")).alias("flagged"),
-        count(F.col("invalid_refs") != "").alias("invalid_citations"), count(F.col("unmatched") != "").alias("unmatched_dollar_amounts"), count(F.col("question_only") != "").alias("question_amounts_not_in_evidence"),
-    )
+    return ev.grounding_summary(ev.grounding(records.answers(spark, sf_dir)), F.col("id") % 13 == 0, F.col("id") % 11 == 0)
 
 
 def first_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,12 +256,10 @@ def first_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flat_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per part the pages of its lines as one range, the first ship date and the first receipt date by order."""
-    li = table(spark, sf_dir, "lineitem")
-    first = lambda c: F.min(F.struct("l_orderkey", "l_linenumber", c))[c]
-    rows = li.groupBy("l_partkey").agg(F.min("l_linenumber").alias("a"), F.max("l_linenumber").alias("z"), first("l_shipdate").alias("effective"), F.count("*").alias("n"))
-    pages = F.when(F.col("a") == F.col("z"), F.col("a").cast("string")).otherwise(F.concat_ws("-", F.col("a").cast("string"), F.col("z").cast("string")))
-    return rows.select("l_partkey", pages.alias("page"), F.date_format("effective", "yyyy-MM-dd").alias("effective_date"), "n")
+    """Per part the pages of its lines as one range, the first ship date and, where lines have one, the first date of a discounted line by order."""
+    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", F.struct("l_orderkey", "l_linenumber").alias("place"), F.col("l_linenumber").alias("page"), day.alias("effective"), F.when(F.col("l_discount") >= 0.09, day).alias("revision"))
+    return ct.flat_metadata(rows, "l_partkey")
 
 
 ITEM = '<div class="document__cell__item" id="LineItemSixPack{k}"><span class="ProductDescription">{d}</span><input name="Req_ProductHdrQuantity:{k}" value="{q}"><span id="UnitPriceValueBlock:{k}">${p} USD</span></div>'
@@ -273,8 +294,6 @@ def sql() -> dict[str, str]:
       p AS (SELECT doc_id, k, CAST(chars + 2 * sum((chars > 0)::INT) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS s, length(text) AS n FROM c)"""
     d = records.sql()["scope_filter"].split("WITH ")[1].split(" SELECT 'public'")[0]
     ans = records.sql()["answer_grounding"]
-    suite = ", ".join(f"('{a}', '{f}', '{'needs_details' if w is None else 'checked'}', TRUE)" for a, f, w in SUITE)
-    constants = ", ".join(f"('{n}', {str(n in ('BID', 'TAG', 'MICRO', 'COST', 'DAYS')).upper()})" for n, _, _ in CONSTANTS)
     money = "format('{:,d}', CAST(floor(o_totalprice) AS BIGINT))"
     return {
         "body_positions": f'WITH {body} SELECT doc_id, k AS ordinal, s AS start, s + n AS "end" FROM p',
@@ -287,17 +306,23 @@ def sql() -> dict[str, str]:
         "text_join": "SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS found FROM documents",
         "pair_join": "WITH d AS (SELECT doc_id, lang, sha1(text) AS key FROM documents), st AS (SELECT CASE WHEN doc_id % 10 = 0 THEN sha1(key) ELSE key END AS key, max(doc_id % 3 + 1) AS n FROM d WHERE doc_id % 2 = 0 GROUP BY 1), t AS (SELECT key, min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang FROM d GROUP BY 1) SELECT coalesce(lang, 'none') AS lang, CAST(sum(n) AS BIGINT) AS questions, count(*) AS texts, min(doc_id) AS first FROM st LEFT JOIN t USING (key) GROUP BY 1",
         "section_lookup": f"WITH {d}, s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM d WHERE classification IN ('public', 'internal') AND status IN ('active', 'review')) SELECT a.doc_id, a.k, length(a.line) AS chars, length(p.line) AS parent_chars FROM s a JOIN labels y ON y.doc_id = a.doc_id AND y.doc_id % 5 = a.k LEFT JOIN s p ON p.doc_id = a.doc_id AND a.k > 0 AND p.k = (a.k - 1) // 2",
-        "manifest_equalized": "SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'doc-' || s_suppkey ELSE 'my-file-' || s_suppkey END AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'my_file_' || s_suppkey || '.pdf' ELSE 'My__File ' || s_suppkey || '.PDF' END AS name, CASE WHEN s_suppkey % 3 <> 0 THEN 'active' ELSE 'review' END AS status, CASE WHEN s_suppkey % 3 <> 0 THEN sha256(s_name) END AS sha FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 3 <> 0",
+        "manifest_equalized": """WITH s AS (SELECT s_suppkey AS k, sha256(s_name) AS sha, s_suppkey % 3 <> 0 AS f, s_suppkey % 4 = 0 AS x FROM supplier)
+          SELECT 'doc-' || k AS id, CASE WHEN f AND x THEN 'my_file_' || k || '.pdf' WHEN x THEN 'Annex ' || k || '.DOCX; my_file_' || k || '.pdf' ELSE 'my_file_' || k || '.pdf; Annex ' || k || '.DOCX' END AS names, 'File ' || k AS title, CASE WHEN f OR x THEN 'active' ELSE 'review' END AS status, CASE WHEN f OR x THEN sha END AS sha FROM s WHERE k % 2 = 0
+          UNION ALL SELECT 'annex-' || k, 'Annex ' || k || '.DOCX', 'annex ' || k, 'active', sha FROM s WHERE f AND x UNION ALL SELECT 'my-file-' || k, 'My__File ' || k || '.PDF', 'My  File ' || k, 'active', sha FROM s WHERE f AND k % 2 = 1""",
         "types_and_files": "SELECT source, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs, count(*) AS n FROM documents GROUP BY 1",
         "model_windows": r"WITH c AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n FROM documents), w AS (SELECT doc_id, n, unnest(range(CASE WHEN n <= 118 THEN 1 ELSE 1 + CAST(ceil((n - 118) / 78) AS BIGINT) END)) AS k FROM c WHERE n > 0) SELECT doc_id, count(*) AS windows, max(least(k * 78 + 118, n) - k * 78 + 2) AS most, 0::BIGINT AS over FROM w GROUP BY 1",
         "reviewed_sources": f"WITH {d} SELECT CASE WHEN classification IS NULL THEN 'not public' WHEN status <> 'active' THEN 'not active' WHEN classification <> 'public' THEN 'not public' WHEN doc_id % 4 = 0 THEN 'changed' WHEN doc_id % 3 = 0 THEN 'quote changed' ELSE 'fine' END AS state, count(*) AS n, min(doc_id) AS first FROM d GROUP BY 1",
         "label_mismatches": REQ + ", a AS (SELECT request_id, CASE WHEN request_id % 17 <> 0 THEN value >= 100000 END AS expected, form_required FROM t) SELECT * FROM a WHERE expected IS DISTINCT FROM form_required",
-        "quoted_constants": f"SELECT * FROM (VALUES {constants}) AS c(name, stands)",
-        "cart_suite": f"SELECT * FROM (VALUES {suite}) AS c(amount, funding, status, passed)",
+        "quoted_constants": "SELECT o_orderkey % 5 AS way, o_orderkey % 5 < 3 AS stands, count(*) AS n FROM orders WHERE o_totalprice >= 1000 GROUP BY 1, 2",
+        "cart_suite": f"WITH a AS (SELECT {choose(('non_federal', 'federal_contract', 'federal_grant', 'unknown', 'mixed'))} AS funding, o_custkey % 3 - 1 AS step FROM orders) SELECT funding, CAST(CAST(CASE funding WHEN 'non_federal' THEN 100000 WHEN 'federal_contract' THEN 15000 WHEN 'federal_grant' THEN 50000 ELSE 100 END + step / 100 AS DECIMAL(14,2)) AS VARCHAR) AS amount, CASE WHEN funding IN ('unknown', 'mixed') THEN 'needs_details' ELSE 'checked' END AS status, count(*) AS n, TRUE AS passed FROM a GROUP BY 1, 2, 3",
+        "additional_files": "WITH f AS (SELECT doc_id, sha256(text) AS sha, min(doc_id) OVER (PARTITION BY sha256(text)) AS first FROM documents) SELECT 'document:' || first || ':' || sha AS version_id, doc_id, first FROM f WHERE doc_id <> first",
+        "manifest_entries": "WITH k AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 11 = 3 THEN 'No Slug' ELSE 'entry-' || s_suppkey END AS id FROM supplier) SELECT CASE WHEN k % 11 = 3 THEN 'no slug' WHEN k % 7 = 2 THEN 'archived version without a hash' WHEN k % 7 = 3 THEN 'current version is archived' WHEN k % 2 = 0 AND k % 5 = 0 THEN 'active without review' WHEN k % 2 = 0 AND k % 13 = 4 THEN 'review is no date' END AS problem, count(*) AS n, min(id) AS first FROM k GROUP BY 1",
+        "tagged_files": "WITH s AS (SELECT *, 'Über ' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '-A.PDF' WHEN 1 THEN '_a.docx' ELSE '' END AS source FROM part) SELECT p_partkey, source, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE source END AS policy_name, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'General Policy' END AS doc_type, CASE p_partkey % 3 WHEN 0 THEN 'PDF' WHEN 1 THEN 'DOCX' ELSE 'UNKNOWN' END AS file_format FROM s",
+        "grade_positions": "SELECT l_orderkey AS run, CASE WHEN l_discount < 0.03 THEN 'correct' WHEN l_discount < 0.07 THEN 'partial' ELSE 'wrong' END AS grade, count(*) AS n, string_agg(l_linenumber, ',' ORDER BY l_linenumber) AS positions FROM lineitem GROUP BY 1, 2",
         "difficulty_counts": r"WITH c AS (SELECT len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n FROM benchmark) SELECT count(*) FILTER (n < 20) AS simple, count(*) FILTER (n >= 20 AND n < 40) AS scenario, count(*) FILTER (n >= 40) AS edge_case, count(*) AS total FROM c",
         "grounding_summary": f"WITH g AS ({ans}), h AS (SELECT *, id % 13 <> 0 AND id % 11 <> 0 AS done FROM g) SELECT count(*) AS total, count(*) FILTER (id % 13 = 0) AS execution_errors, count(*) FILTER (id % 13 <> 0 AND id % 11 = 0) AS refusals, count(*) FILTER (done) AS evaluated, count(*) FILTER (done AND review) AS flagged, count(*) FILTER (done AND invalid_refs <> '') AS invalid_citations, count(*) FILTER (done AND unmatched <> '') AS unmatched_dollar_amounts, count(*) FILTER (done AND question_only <> '') AS question_amounts_not_in_evidence FROM h",
         "first_questions": "SELECT item_id, length(text) AS chars FROM benchmark ORDER BY item_id LIMIT 25",
-        "flat_metadata": "WITH a AS (SELECT l_partkey, min(l_linenumber) AS a, max(l_linenumber) AS z, min({'a': l_orderkey, 'b': l_linenumber, 'c': l_shipdate}).c AS e, count(*) AS n FROM lineitem GROUP BY 1) SELECT l_partkey, CASE WHEN a = z THEN a::VARCHAR ELSE a || '-' || z END AS page, strftime(e, '%Y-%m-%d') AS effective_date, n FROM a",
+        "flat_metadata": "WITH a AS (SELECT l_partkey, min(l_linenumber) AS a, max(l_linenumber) AS z, arg_min(strftime(l_shipdate, '%Y-%m-%d'), (l_orderkey, l_linenumber, strftime(l_shipdate, '%Y-%m-%d'))) AS effective_date, arg_min(strftime(l_shipdate, '%Y-%m-%d'), (l_orderkey, l_linenumber, strftime(l_shipdate, '%Y-%m-%d'))) FILTER (l_discount >= 0.09) AS revision_date, count(*) AS n FROM lineitem GROUP BY 1) SELECT l_partkey, CASE WHEN a = z THEN a::VARCHAR ELSE a || '-' || z END AS page, effective_date, revision_date, n FROM a",
         "cart_page": "SELECT l_orderkey, count(*) AS items, 'part ' || min({'a': l_linenumber, 'b': l_partkey}).b AS description, CAST(sum(CAST(l_extendedprice AS DECIMAL(14,2))) AS DECIMAL(14,2)) AS prices, CAST(sum(CAST(l_quantity AS INT)) AS BIGINT) AS quantity, CAST(CASE WHEN l_orderkey % 2 = 0 THEN 3.75 ELSE 1.25 END AS DECIMAL(14,2)) AS tax, CAST(CASE WHEN l_orderkey % 3 = 0 THEN 1000 + l_orderkey % 100 END AS DECIMAL(14,2)) AS shipping, CAST(NULL AS DECIMAL(14,2)) AS handling FROM lineitem GROUP BY 1",
         "graph_json": "SELECT '{\"id\":\"region:' || n_regionkey || '\",\"targets\":[' || string_agg('\"nation:' || n_nationkey || '\"', ',' ORDER BY 'nation:' || n_nationkey) || ']}' AS value FROM nation GROUP BY n_regionkey",
     }
@@ -305,6 +330,6 @@ def sql() -> dict[str, str]:
 
 NAMES = (
     "body_positions block_spans quote_spans verified_claims passages_with_hop hybrid_dense rewrites graph_nodes text_join pair_join section_lookup manifest_equalized types_and_files model_windows reviewed_sources "
-    "label_mismatches quoted_constants cart_suite difficulty_counts grounding_summary first_questions flat_metadata cart_page graph_json"
+    "label_mismatches quoted_constants cart_suite additional_files manifest_entries tagged_files grade_positions difficulty_counts grounding_summary first_questions flat_metadata cart_page graph_json"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}

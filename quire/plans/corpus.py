@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 from quire.operators import chunks as ck
+from quire.operators import evaluation as ev
 from quire.operators import retrieval as rt
 from quire.operators import structure as st
 from quire.operators import versions as vs
@@ -37,9 +38,10 @@ def heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines in pages of six, with the first word of each as its label."""
-    label = F.regexp_extract(F.trim("line"), r"^(\S+)", 1)
-    return st.lines(docs_of(spark, sf_dir)).select("doc_id", F.expr("line_no div 6").alias("page"), F.expr("line_no % 6").alias("pos"), label.alias("label"))
+    """Lines in pages of six; some pages begin with their document's header, some end with a section's opening line, and all pages of some documents do."""
+    i, page, pos = F.col("doc_id"), F.expr("line_no div 6"), F.expr("line_no % 6")
+    head = F.when((pos == 0) & (page % 3 != 1), F.concat(F.lit(" Header of "), (i % 7).cast("string"))).when((pos == 5) & (i % 4 == 1), "SECTION 1 Scope").otherwise(F.col("line"))
+    return st.lines(docs_of(spark, sf_dir)).select("doc_id", page.alias("page"), pos.alias("pos"), F.regexp_replace(head, r"^\s+|\s+$", "").alias("label"))
 
 
 def running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,6 +228,34 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.join(first, "q_id", "left").agg(share(1).alias("recall_1"), share(5).alias("recall_5"), share(10).alias("recall_10"), F.count_if(F.col("first").isNull()).alias("misses"))
 
 
+def pool_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall in the pools of forty candidates, where documents of a question's own language are right."""
+    pool = sized(rt.top(lexical(spark, sf_dir).where("score > 0"), 40).select("q_id", "doc_id", "rank"))
+    lang = table(spark, sf_dir, "documents").select("doc_id", F.element_at(F.create_map(*(F.lit(x) for x in ("en", 0, "fr", 1, "de", 2, "es", 3))), F.col("lang")).alias("k"))
+    hits = lang.join(pool, "doc_id").where("k = q_id % 4").select("q_id", "rank")
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"))
+    return ev.pool_recall(questions, hits, pool.groupBy("q_id").agg(F.count("*").alias("pool")))
+
+
+def hybrid_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forty best by terms and the forty nearest vectors of at least 0.25, fused to thirty, ties by id."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    asked = v.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").withColumnRenamed("vec_id", "q_id")
+    near = rt.nearest(v.withColumnRenamed("vec_id", "doc_id"), asked, 40, 0.25)
+    lists = [rt.top(lexical(spark, sf_dir).where("score > 0"), 40), near]
+    return rt.top(rt.fuse(lists, -1, "id"), 30, tie="tie").select("q_id", "doc_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def pool_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to twenty candidates of either list, each text once, the one that comes first, and the eight with the best score of the first list."""
+    lists = [x.select("q_id", "doc_id", "rank", F.lit(i).alias("list")) for i, x in enumerate(two_lists(spark, sf_dir, 20))]
+    pool = sized(lists[0].unionByName(lists[1]).groupBy("q_id", "doc_id").agg(F.min(F.struct("list", "rank")).alias("place")))
+    marks = docs_of(spark, sf_dir).select("doc_id", F.md5(F.col("text").cast("binary")).alias("mark")).join(F.broadcast(pool), "doc_id")
+    first = marks.groupBy("q_id", "mark").agg(F.min(F.struct("place", "doc_id")).alias("x")).select("q_id", "x.doc_id")
+    scored = first.join(lexical(spark, sf_dir), ["q_id", "doc_id"], "left").select("q_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return rt.top(scored, 8).select("q_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def map_at_5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """accuracy@1, accuracy@5 and MAP@5 of the dense lists, where vectors of the same label are right."""
     lab = table(spark, sf_dir, "embeddings").select("vec_id", "label")
@@ -279,7 +309,7 @@ s{x} AS (SELECT q_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.
         "lexical_tokens": f"SELECT doc_id, len(regexp_extract_all(text, '{tok}')) AS tokens, len(regexp_extract_all(text, '{WORD}+')) AS words, coalesce(CAST(list_sum(list_transform(regexp_extract_all(text, '{tok}'), lambda p: length(p))) AS BIGINT), 0) AS last_end FROM documents",
         "token_offsets": rf"WITH a AS (SELECT item_id, regexp_extract_all(text, '{tok}') AS p FROM benchmark), b AS (SELECT item_id, unnest(p) AS p, generate_subscripts(p, 1) - 1 AS k FROM a), c AS (SELECT *, sum(length(p)) OVER (PARTITION BY item_id ORDER BY k) AS e, regexp_replace(p, '^\s+', '') AS token FROM b) SELECT item_id, CAST(k AS INT) AS k, CAST(e - length(token) AS INT) AS start, CAST(e AS INT) AS end_, token FROM c",
         "heading_lines": rf"WITH {lines}, t AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS s FROM l), v AS (SELECT doc_id, CAST(line_no AS INT) AS line_no, CASE WHEN length(s) > 180 OR regexp_matches(s, '\.{{3,}}\s*\d+\s*$') THEN NULL WHEN regexp_matches(s, '(?i)^(ARTICLE|PART|SECTION)\s+(\d+|[IVX]+)\b') OR regexp_matches(s, '^[IVXLCDM]{{1,6}}\.\s+[A-Z]') THEN 1 WHEN regexp_matches(s, '^[A-Z]\.\s+[A-Z]') THEN 2 WHEN length(s) >= 6 AND regexp_matches(s, '^[A-Z][A-Z &/()\-:]{{4,}}$') THEN 2 END AS level FROM t) SELECT * FROM v WHERE level IS NOT NULL",
-        "running_lines": rf"WITH {lines}, p AS (SELECT doc_id, line_no // 6 AS page, line_no % 6 AS pos, regexp_extract(trim(line), '^(\S+)', 1) AS label FROM l), w AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY pos) AS up, row_number() OVER (PARTITION BY doc_id, page ORDER BY pos DESC) AS down FROM p), x AS (SELECT * FROM w WHERE up <= 3 OR down <= 3), o AS (SELECT doc_id, label, count(DISTINCT page) AS pages FROM x WHERE label <> '' GROUP BY 1, 2 HAVING count(DISTINCT page) > 1) SELECT doc_id, page, pos, label, pages, row_number() OVER (PARTITION BY doc_id, label ORDER BY page, pos) = 1 AS keep FROM x JOIN o USING (doc_id, label)",
+        "running_lines": rf"WITH {lines}, p AS (SELECT doc_id, line_no // 6 AS page, line_no % 6 AS pos, regexp_replace(CASE WHEN line_no % 6 = 0 AND line_no // 6 % 3 <> 1 THEN ' Header of ' || (doc_id % 7) WHEN line_no % 6 = 5 AND doc_id % 4 = 1 THEN 'SECTION 1 Scope' ELSE line END, '^\s+|\s+$', '', 'g') AS label FROM l), w AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY pos) AS up, row_number() OVER (PARTITION BY doc_id, page ORDER BY pos DESC) AS down FROM p), x AS (SELECT * FROM w WHERE (up <= 3 OR down <= 3) AND NOT regexp_matches(label, '(?i)^(?:ARTICLE|PART|SECTION)\b|^[IVXLCDM]{{1,6}}\.|^[A-Z]\.')), o AS (SELECT doc_id, label, count(DISTINCT page) AS pages FROM x WHERE label <> '' GROUP BY 1, 2 HAVING count(DISTINCT page) > 1) SELECT doc_id, page, pos, label, pages, row_number() OVER (PARTITION BY doc_id, label ORDER BY page, pos) = 1 AS keep FROM x JOIN o USING (doc_id, label)",
         "section_ranges": f'WITH {heads} SELECT doc_id, CAST(start AS INT) AS start, level, CAST("end" AS INT) AS "end" FROM r',
         "parent_sections": f"WITH {heads}, c AS (SELECT i.doc_id, i.start, i.level, i.\"end\", o.start AS ps, row_number() OVER (PARTITION BY i.doc_id, i.start ORDER BY o.level DESC NULLS LAST, o.start) AS k FROM r i LEFT JOIN r o ON o.doc_id = i.doc_id AND o.start <= i.start AND o.\"end\" >= i.\"end\" AND o.level < i.level) SELECT doc_id, CAST(start AS INT) AS start, level, CAST(\"end\" AS INT) AS \"end\", CAST(ps AS INT) AS parent FROM c WHERE k = 1",
         "ownership": f"WITH {heads}, b AS (SELECT doc_id, start AS a FROM r UNION SELECT doc_id, \"end\" FROM r UNION SELECT doc_id, 0 FROM e UNION SELECT doc_id, n FROM e), c AS (SELECT doc_id, a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM b), d AS (SELECT c.doc_id, c.a, c.b, r.start AS owner, row_number() OVER (PARTITION BY c.doc_id, c.a ORDER BY r.level DESC NULLS LAST, r.start DESC) AS k FROM c LEFT JOIN r ON r.doc_id = c.doc_id AND r.start <= c.a AND r.\"end\" >= c.b WHERE c.b > c.a) SELECT doc_id, CAST(a AS INT) AS a, CAST(b AS INT) AS b, CAST(owner AS INT) AS owner FROM d WHERE k = 1",
@@ -306,10 +336,13 @@ s{x} AS (SELECT q_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.
         "rrf_a": f"WITH {b}, {a}, {fuse(0)} SELECT q_id, doc_id, round(score, 9) AS score, rank FROM ({top('f', 30, 'tie')})",
         "rrf_b": f"WITH {b}, {a}, {fuse(-1)} SELECT q_id, doc_id, round(score, 9) AS score, rank FROM ({top('f', 30)})",
         "recall_at_k": f"WITH {b}, r AS ({top('(SELECT * FROM s WHERE score > 0)', 10)}), m AS (SELECT q_id, min(rank) AS first FROM r JOIN documents d USING (doc_id) JOIN benchmark ON item_id = q_id WHERE contains(d.text, benchmark.text) GROUP BY 1), j AS (SELECT first FROM benchmark LEFT JOIN m ON item_id = q_id) SELECT round(avg(CASE WHEN first <= 1 THEN 1.0 ELSE 0.0 END), 9) AS recall_1, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0.0 END), 9) AS recall_5, round(avg(CASE WHEN first <= 10 THEN 1.0 ELSE 0.0 END), 9) AS recall_10, count(*) FILTER (first IS NULL) AS misses FROM j",
+        "pool_recall": f"WITH {b}, r AS ({top('(SELECT * FROM s WHERE score > 0)', 40)}), h AS (SELECT q_id, min(rank) AS first FROM r JOIN documents USING (doc_id) WHERE CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 WHEN 'es' THEN 3 END = q_id % 4 GROUP BY 1), n AS (SELECT q_id, count(*) AS pool FROM r GROUP BY 1), j AS (SELECT first, pool FROM benchmark LEFT JOIN h ON h.q_id = item_id LEFT JOIN n ON n.q_id = item_id) SELECT round(avg(CASE WHEN first = 1 THEN 1.0 ELSE 0.0 END), 9) AS recall_1, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0.0 END), 9) AS recall_5, round(avg(CASE WHEN first IS NOT NULL THEN 1.0 ELSE 0.0 END), 9) AS recall_pool, round(avg(coalesce(pool, 0)), 9) AS mean_pool, count(*) FILTER (first IS NULL OR first > 5) AS missed_5, count(*) FILTER (first IS NULL) AS missed_pool FROM j",
+        "hybrid_sections": f"WITH {b}, v AS (SELECT q.vec_id AS q_id, e.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score FROM embeddings q JOIN benchmark ON item_id = q.vec_id JOIN embeddings e ON e.vec_id <> q.vec_id), u AS (SELECT q_id, doc_id, rank FROM ({top('(SELECT * FROM s WHERE score > 0)', 40)}) UNION ALL SELECT q_id, doc_id, rank FROM ({top('(SELECT * FROM v WHERE score >= 0.25)', 40)})), f AS (SELECT q_id, doc_id, round(sum(1 / (59 + rank)::DOUBLE), 9) AS score FROM u GROUP BY 1, 2) SELECT q_id, doc_id, round(score, 9) AS score, rank FROM ({top('f', 30)})",
+        "pool_by_text": f"WITH {b}, {a}, u AS (SELECT q_id, doc_id, 0 AS li, rank FROM ({top('(SELECT * FROM s WHERE score > 0)', 20)}) UNION ALL SELECT q_id, doc_id, 1, rank FROM ({top('sa', 20)})), c AS (SELECT q_id, doc_id, min(li * 1000000 + rank) AS place FROM u GROUP BY 1, 2), k AS (SELECT q_id, arg_min(doc_id, (place, doc_id)) AS doc_id FROM c JOIN documents USING (doc_id) GROUP BY q_id, text), z AS (SELECT q_id, doc_id, coalesce(score, 0) AS score FROM k LEFT JOIN s USING (q_id, doc_id)) SELECT q_id, doc_id, round(score, 6) AS score, rank FROM ({top('z', 8)})",
         "map_at_5": f"WITH {near}, r AS ({top('d', 5)}), h AS (SELECT q_id, rank, CAST(el = ql AS INT) AS hit, sum(CAST(el = ql AS INT)) OVER (PARTITION BY q_id ORDER BY rank) AS upto FROM r), e AS (SELECT q_id, sum(CASE WHEN hit = 1 THEN upto / rank ELSE 0 END) AS p, sum(hit) AS hits, max(hit) FILTER (rank = 1) AS top FROM h GROUP BY 1) SELECT round(avg(top), 9) AS accuracy_1, round(avg(CASE WHEN hits > 0 THEN 1 ELSE 0 END), 9) AS accuracy_5, round(avg(CASE WHEN hits > 0 THEN p / hits ELSE 0 END), 9) AS map_5 FROM e",
         "context_build": f"WITH {b}, r AS ({top('(SELECT * FROM s WHERE score > 0)', 3)}) SELECT q_id, string_agg('[' || rank || '] document ' || doc_id || ' (' || format('{{:.3f}}', score) || '): ' || text, chr(10) || chr(10) ORDER BY rank) AS context FROM r JOIN documents USING (doc_id) GROUP BY 1",
     }
 
 
-NAMES = "legacy_sections legacy_chunks lexical_tokens token_offsets heading_lines running_lines section_ranges parent_sections ownership chunk_windows chunk_stats merged_ranges bm25_topk bm25_a_topk fts_all_terms fielded_search cosine_topk intent_route rrf_a rrf_b recall_at_k map_at_5 passages_budgeted context_build".split()
+NAMES = "legacy_sections legacy_chunks lexical_tokens token_offsets heading_lines running_lines section_ranges parent_sections ownership chunk_windows chunk_stats merged_ranges bm25_topk bm25_a_topk fts_all_terms fielded_search cosine_topk intent_route rrf_a rrf_b recall_at_k pool_recall hybrid_sections pool_by_text map_at_5 passages_budgeted context_build".split()
 QUERIES = {name: globals()[name] for name in NAMES}
