@@ -49,10 +49,12 @@ def describe(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     x = np.zeros((total, FEATURES))
     if not len(first):
         return x, count
-    owner = np.repeat(bag, np.diff(np.append(first, len(data))))  # of each byte from the first word on
-    body = data[first[0] :]
+    until = np.minimum(np.append(first[1:], len(data)), (begin + size + 1)[doc])  # a word's bytes go to the next one, or to one space behind its own text
+    own = until - first
+    place = np.repeat(first - np.cumsum(own) + own, own) + np.arange(own.sum())
+    owner, body = np.repeat(bag, own), data[place]
     n_bytes = np.bincount(owner, minlength=total)
-    x[:, :CLASSES] = np.bincount(owner * CLASSES + kind[first[0] :], minlength=total * CLASSES).reshape(total, CLASSES)
+    x[:, :CLASSES] = np.bincount(owner * CLASSES + kind[place], minlength=total * CLASSES).reshape(total, CLASSES)
     x[:, :CLASSES] /= np.maximum(n_bytes, 1)[:, None]
     n = np.bincount(bag, minlength=total)
     share = lambda of: np.bincount(bag, of, total) / np.maximum(n, 1)
