@@ -3,12 +3,13 @@
 Vectors are quantised to integers and range-sorted by a code of signs of random projections, so that rows in a range
 look alike. Ranges of BLOCK rows are blocks: forward indexes (a dense matrix with ids) with the greatest and least
 value of each term; SHARD blocks are a shard, with its own maxima. A query's score with any row of a block or shard is
-at most the sum of its terms with those maxima. The kth score starts at that within the query's own block.
+at most the sum of its terms with those maxima, and at most that with the block's centre and the query's length times
+the block's radius more. The kth score starts at that within the query's own block.
 
-Queries, in groups, meet the shards' maxima first. What they ask for is pairs of a query and a shard whose bound
-reaches the query's kth score; only queries are sent, to the shards that they ask for. First each goes to the FIRST
-shards with the highest bounds, then, with the kth score found there, to the others that still reach it. In a shard, a
-query's blocks are scored in the order of their bounds until these fall below the kth score.
+Queries, in groups, meet the shards' maxima first, and each is sent to the FIRST shards with the highest bounds. With
+the kth score found there they meet the maxima again, and are sent to the others whose bound still reaches it; these
+pairs are not kept. Only queries move. In a shard, a query's blocks are scored in the order of their bounds until these
+fall below the kth score.
 """
 
 from __future__ import annotations
@@ -79,11 +80,24 @@ def kth(scores: np.ndarray, k: int) -> np.ndarray:
 
 
 QUERY = "struct<row: long, query_id: long, low: long, v: binary, width: int>"
-SHARDS = f"shard long, width int, ids binary, rows binary, data binary, top binary, least binary, queries array<{QUERY}>"
+SHARDS = f"shard long, width int, ids binary, rows binary, data binary, top binary, least binary, centre binary, radius double, queries array<{QUERY}>"
 ASKED = pa.list_(pa.struct([("row", pa.int64()), ("query_id", pa.int64()), ("low", pa.int64()), ("v", pa.binary()), ("width", pa.int32())]))
 
 
-def sharded(every: int, k: int):
+def ball(v: np.ndarray) -> tuple[np.ndarray, float]:
+    """A centre of integers and how far from it the rows of v are at most."""
+    centre = np.round(v.mean(0)).astype(np.int64)
+    return centre, float(np.sqrt(((v - centre).astype(float) ** 2).sum(1).max(initial=0)))
+
+
+def bounds(q: np.ndarray, top: np.ndarray, least: np.ndarray, centre: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """The most that each row of q can score in each block: by the sum of term maxima, or by the block's centre and radius, whichever is less."""
+    by_terms = products(np.maximum(q, 0), top) + products(np.minimum(q, 0), least)
+    apart = np.sqrt((q.astype(float) ** 2).sum(1))[:, None] * radius[None, :]
+    return np.minimum(by_terms, products(q, centre) + np.ceil(apart * (1 + 1e-9)).astype(np.int64) + 1)
+
+
+def sharded(every: int, k: int, block: int, shard: int):
     """Shards from rows sorted by code, and each shard's queries with the kth score in their own block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,8 +107,8 @@ def sharded(every: int, k: int):
             ids, rows = (table.column(c).to_numpy() for c in ("vec_id", "row"))
             v = dense(table.column("v").combine_chunks())
             queries = []
-            for b in range(0, len(ids), BLOCK):
-                own, at = ids[b : b + BLOCK], v[b : b + BLOCK]
+            for b in range(0, len(ids), block):
+                own, at = ids[b : b + block], v[b : b + block]
                 asked = np.flatnonzero(own % every == 0)
                 if not len(asked):
                     continue
@@ -102,18 +116,20 @@ def sharded(every: int, k: int):
                 s[np.arange(len(asked)), asked] = LOWEST + 1
                 low = kth(s, k) if len(own) > k else np.full(len(asked), LOWEST)
                 queries += [{"row": int(rows[b + i]), "query_id": int(own[i]), "low": x, "v": at[i].tobytes(), "width": v.shape[1]} for i, x in zip(asked.tolist(), low.tolist(), strict=True)]
-            one = [pa.array([part << 32 | made]), pa.array([v.shape[1]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, rows, v, v.max(0), v.min(0))), pa.array([queries], ASKED)]
-            return pa.RecordBatch.from_arrays(one, names=["shard", "width", "ids", "rows", "data", "top", "least", "queries"])
+            centre, radius = ball(v)
+            blobs = (pa.array([x.tobytes()], pa.binary()) for x in (ids, rows, v, v.max(0), v.min(0), centre))
+            one = [pa.array([part << 32 | made]), pa.array([v.shape[1]], pa.int32()), *blobs, pa.array([radius]), pa.array([queries], ASKED)]
+            return pa.RecordBatch.from_arrays(one, names=["shard", "width", "ids", "rows", "data", "top", "least", "centre", "radius", "queries"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
-            while held.num_rows >= BLOCK * SHARD:
-                yield out(held.slice(0, BLOCK * SHARD))
+            while held.num_rows >= block * shard:
+                yield out(held.slice(0, block * shard))
                 made += 1
-                held = held.slice(BLOCK * SHARD)
+                held = held.slice(block * shard)
         if held is not None and held.num_rows:
             yield out(held)
 
@@ -128,32 +144,39 @@ def matrix(asked: list[dict], width: int) -> np.ndarray:
     return out
 
 
-def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows with a group of queries and a group of shards' maxima the pairs (row, shard, bound) whose bound reaches the kth score."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            asked, shards = batch.column("asked")[i].as_py(), batch.column("maxima")[i].as_py()
-            width = max(x["width"] for x in shards)
-            top, least = (np.zeros((len(shards), width), np.int64) for _ in range(2))
-            for j, x in enumerate(shards):
-                top[j, : x["width"]], least[j, : x["width"]] = np.frombuffer(x["top"], np.int64), np.frombuffer(x["least"], np.int64)
-            q = matrix(asked, width)
-            bound = products(np.maximum(q, 0), top) + products(np.minimum(q, 0), least)
-            a, b = np.nonzero(bound >= np.array([x["low"] for x in asked])[:, None])
-            row, shard = np.array([x["row"] for x in asked])[a], np.array([x["shard"] for x in shards])[b]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (row, shard, bound[a, b])], names=["row", "shard", "bound"])
-
-
-def searched(k: int):
+def bounded(most: int | None):
+    """Of rows with a group of queries and a group of shards' maxima the pairs (row, shard, bound) whose bound reaches the kth score; of each query the `most` with the highest bounds, or all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                asked, shards = batch.column("asked")[i].as_py(), batch.column("maxima")[i].as_py()
+                width = max(x["width"] for x in shards)
+                top, least, centre = (np.zeros((len(shards), width), np.int64) for _ in range(3))
+                for j, x in enumerate(shards):
+                    for whole, name in ((top, "top"), (least, "least"), (centre, "centre")):
+                        whole[j, : x["width"]] = np.frombuffer(x[name], np.int64)
+                q = matrix(asked, width)
+                bound = bounds(q, top, least, centre, np.array([x["radius"] for x in shards]))
+                reaches = bound >= np.array([x["low"] for x in asked])[:, None]
+                if most is not None:
+                    reaches &= bound >= kth(bound, most)[:, None]
+                a, b = np.nonzero(reaches)
+                row, shard = np.array([x["row"] for x in asked])[a], np.array([x["shard"] for x in shards])[b]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (row, shard, bound[a, b])], names=["row", "shard", "bound"])
+
+    return run
+
+
+def searched(k: int, block: int):
     """The k best of each shard for each query of a group that asks for it."""
 
     def one(ids: np.ndarray, rows: np.ndarray, data: np.ndarray, asked: list[dict]) -> list[np.ndarray]:
         q, own_row = matrix(asked, data.shape[1]), np.array([x["row"] for x in asked])
         low = np.array([x["low"] for x in asked])
-        cuts = range(0, len(ids), BLOCK)
-        top = np.stack([data[b : b + BLOCK].max(0) for b in cuts])
-        least = np.stack([data[b : b + BLOCK].min(0) for b in cuts])
-        bound = products(np.maximum(q, 0), top) + products(np.minimum(q, 0), least)
+        parts = [data[b : b + block] for b in range(0, len(ids), block)]
+        balls = [ball(x) for x in parts]
+        bound = bounds(q, np.stack([x.max(0) for x in parts]), np.stack([x.min(0) for x in parts]), np.stack([c for c, _ in balls]), np.array([r for _, r in balls]))
         order = np.argsort(-bound, axis=1, kind="stable")
         best = [np.zeros(0, np.int64)] * 3
         for r in range(order.shape[1]):
@@ -163,7 +186,7 @@ def searched(k: int):
             found = [best]
             for b in np.unique(order[active, r]).tolist():
                 who = active[order[active, r] == b]
-                cut = slice(b * BLOCK, (b + 1) * BLOCK)
+                cut = slice(b * block, (b + 1) * block)
                 s = products(q[who], data[cut])
                 i, j = np.nonzero((s >= low[who, None]) & (rows[cut][None, :] != own_row[who, None]))
                 found.append([who[i], ids[cut][j], s[i, j]])
@@ -193,7 +216,7 @@ def best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
+def search(vectors: DataFrame, every: int = 50, k: int = 5, block: int = BLOCK, shard: int = SHARD, group: int = GROUP) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row whose vec_id is divisible by `every`, the k other rows with the highest scores, ties to the smaller vec_id.
 
     Vectors as quantised() keeps them; shorter ones count as if they ended in zeros. Rows count one by one: of rows with
@@ -202,26 +225,30 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """
     rows = saved(quantised(vectors).mapInArrow(coded, "vec_id long, v array<long>, code long").withColumn("row", F.monotonically_increasing_id()))
     ordered = rows.repartitionByRange("code", "vec_id", "row").sortWithinPartitions("code", "vec_id", "row")
-    shards = saved(ordered.mapInArrow(sharded(every, k), SHARDS))
+    shards = saved(ordered.mapInArrow(sharded(every, k, block, shard), SHARDS))
     asked = shards.select(F.explode("queries").alias("q")).select("q.*")
     n_asked, n_shards = asked.count(), shards.count()
-    groups, parts = max(1, -(-n_asked // GROUP)), max(1, -(-n_shards // GROUP))
+    groups, parts = max(1, -(-n_asked // group)), max(1, -(-n_shards // group))
     dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
     every_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    grouped = asked.groupBy(dealt("row", groups).alias("group")).agg(F.collect_list(F.struct("row", "query_id", "low", "v", "width")).alias("asked"))
-    maxima = shards.groupBy(dealt("shard", parts).alias("part")).agg(F.collect_list(F.struct("shard", "width", "top", "least")).alias("maxima"))
-    met = grouped.withColumn("part", every_of(parts)).join(maxima, "part").select("asked", "maxima").repartition(max(1, groups * parts))
-    pairs = met.mapInArrow(bounded, "row long, shard long, bound long")
-    pairs = saved(pairs.withColumn("nth", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("bound"), "shard"))))
+    listed = lambda: F.collect_list(F.struct("row", "query_id", "low", "v", "width"))
+    maxima = shards.groupBy(dealt("shard", parts).alias("part")).agg(F.collect_list(F.struct("shard", "width", "top", "least", "centre", "radius")).alias("maxima"))
+
+    def pairs(queries: DataFrame, most: int | None) -> DataFrame:
+        grouped = queries.groupBy(dealt("row", groups).alias("group")).agg(listed().alias("asked"))
+        met = grouped.withColumn("part", every_of(parts)).join(maxima, "part").select("asked", "maxima").repartition(max(1, groups * parts))
+        return met.mapInArrow(bounded(most), "row long, shard long, bound long")
 
     def scored(wanted: DataFrame, queries: DataFrame) -> DataFrame:
         sent = wanted.select("row", "shard").join(queries, "row")
-        sent = sent.groupBy("shard", dealt("row", groups).alias("group")).agg(F.collect_list(F.struct("row", "query_id", "low", "v", "width")).alias("asked"))
+        sent = sent.groupBy("shard", dealt("row", groups).alias("group")).agg(listed().alias("asked"))
         data = shards.select("shard", "width", "ids", "rows", "data").join(sent, "shard")
-        return data.select("width", "ids", "rows", "data", "asked").mapInArrow(searched(k), "row long, query_id long, vec_id long, score long")
+        return data.select("width", "ids", "rows", "data", "asked").mapInArrow(searched(k, block), "row long, query_id long, vec_id long, score long")
 
-    first = saved(best(scored(pairs.where(F.col("nth") <= FIRST), asked), k))
+    nth = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("bound"), "shard"))
+    chosen = saved(pairs(asked, FIRST).withColumn("nth", nth).where(F.col("nth") <= FIRST).select("row", "shard"))
+    first = saved(best(scored(chosen, asked), k))
     raised = asked.join(first.where(F.col("rank") == k).select("row", F.col("score").alias("kth")), "row", "left").withColumn("low", F.greatest("low", "kth")).drop("kth")
-    others = pairs.where(F.col("nth") > FIRST).join(raised.select("row", "low"), "row").where("bound >= low")
+    others = pairs(raised, None).join(chosen, ["row", "shard"], "left_anti")
     found = first.drop("rank").unionByName(scored(others, raised))
     return best(found, k).select("query_id", "rank", "vec_id", "score")

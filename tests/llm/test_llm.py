@@ -525,6 +525,32 @@ def test_pii_merge_is_linear():
     assert len(found) == 12000 and time.monotonic() - began < 10
 
 
+@pytest.mark.parametrize("spread", [0.02, 0.6])
+def test_topk_many_shards(spark, spread):
+    """Brute force over fifty shards, ties across them among the rest; on vectors in clusters most shards are left out."""
+    r = np.random.default_rng(8)
+    centres = r.normal(0, 0.4, (40, 12))
+    v = np.round(centres[r.integers(0, 40, 20_000)] + r.normal(0, spread, (20_000, 12)), 2)
+    v[::37] = v[1]  # one vector many times, in more than one shard
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+    got = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in topk.search(rows, 200, 5, block=50, shard=8, group=30).collect()}
+    m = np.floor(256 * v).astype(np.int64)
+    for i in range(0, 20_000, 200):
+        s = m @ m[i]
+        order = [j for j in np.lexsort((np.arange(20_000), -s)) if j != i][:5]
+        assert [got[i, k + 1] for k in range(5)] == [(j, s[j]) for j in order]
+    assert len(got) == 500
+
+
+def test_topk_bounds_hold():
+    r = np.random.default_rng(2)
+    for scale in (3, 1 << 20):
+        q, blocks = r.integers(-scale, scale, (30, 8)), [r.integers(-scale, scale, (20, 8)) // (1 + b) for b in range(12)]
+        balls = [topk.ball(b) for b in blocks]
+        bound = topk.bounds(q, np.stack([b.max(0) for b in blocks]), np.stack([b.min(0) for b in blocks]), np.stack([c for c, _ in balls]), np.array([x for _, x in balls]))
+        assert (bound >= np.stack([(q @ b.T).max(1) for b in blocks], 1)).all()
+
+
 def test_topk_repeated_ids(spark):
     r = np.random.default_rng(4)
     rows = [(int(i) % 40 * 5, [float(x) for x in r.normal(0, 1, 6)]) for i in range(300)]
