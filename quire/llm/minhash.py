@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import add_columns, forget, saved
+from quire.llm.common import add_columns, blocks, forget, saved
 from quire.llm.components import components, roots
 
 WORDS = 5
@@ -39,6 +39,8 @@ PERCENT = 85
 #: Posterior probability of a link below which a pair is dropped, and minima compared at a time.
 MISS, BATCH = 1e-9, 32
 BLOCK = 256
+#: Bytes of text whose sets a task makes at once.
+TOGETHER = 2 << 20
 #: Parts into which each key's rows are dealt where they meet what is known of the key.
 SALTS = 32
 #: Distinct words whose hashes a task remembers; others are hashed again.
@@ -109,7 +111,7 @@ def sketch(docs: DataFrame) -> DataFrame:
         return [n, same, keys, sig]
 
     fields = [T.StructField("n_shingles", T.LongType()), T.StructField("same", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())]
-    return add_columns(docs, "text", fields, make).drop("text")
+    return add_columns(docs, "text", fields, make, TOGETHER).drop("text")
 
 
 def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +257,7 @@ def sets_of(need: DataFrame, documents: DataFrame, classes: DataFrame) -> DataFr
     texts = documents.join(classes.select("row", "doc_id", "same").join(need, "row"), "doc_id").select("row", "same", "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches, "text", TOGETHER):
             rows, sets = [], []
             for row, same, text in zip(*(batch.column(c).to_pylist() for c in ("row", "same", "text")), strict=True):
                 own = shingles(text)
