@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.mentions import mentions
@@ -61,6 +61,46 @@ def levels(parents: DataFrame) -> DataFrame:
     return done.select("node", F.when(F.col("rooted"), F.col("steps")).alias("level")).unionByName(open_.select("node", F.lit(None).cast("int").alias("level")))
 
 
+def key(*parts: Column | str) -> Column:
+    """The parts as text, with colons between."""
+    return F.concat_ws(":", *(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+
+
+def nodes(documents: DataFrame, sections: DataFrame, outside: DataFrame) -> DataFrame:
+    """(node, kind, label, version, classification, status, properties): documents, forms, sections and references to what is outside.
+
+    documents: (version, doc_id, title, kind, policy_id, classification, status), those of kind form give a form too;
+    sections: (section, version, title, kind, ordinal); outside: (version, reference, uri), of which each is one node with
+    its document's rights, named by a hash of both. A reference is never resolved to a document.
+    """
+    d, columns = documents, ("node", "kind", "label", "version", "classification", "status", "properties")
+    props = lambda **of: F.create_map(*(x for k, v in of.items() for x in (F.lit(k), v.cast("string"))))
+    of = lambda t, node, kind, label, properties: t.select(node.alias("node"), F.lit(kind).alias("kind"), label.alias("label"), "version", "classification", "status", properties.alias("properties")).select(*columns)
+    version, rights = F.col("version"), d.select("version", "classification", "status")
+    own = of(d, key("document", version), "document", F.col("title"), props(document_id=F.col("doc_id"), policy_id=F.col("policy_id"), kind=F.col("kind")))
+    forms = of(d.where("kind = 'form'"), key("form", version), "form", F.col("title"), props(document_id=F.col("doc_id")))
+    parts = of(sections.join(rights, "version"), key("section", F.col("section")), "section", F.col("title"), props(kind=F.col("kind"), ordinal=F.col("ordinal")))
+    name = F.concat(F.lit("reference:"), F.substring(F.sha2(F.concat_ws(":", version.cast("string"), "reference").cast("binary"), 256), 1, 20))
+    far = outside.groupBy("version", "reference").agg(F.min("uri").alias("uri")).join(rights, "version")
+    return own.unionByName(forms).unionByName(parts).unionByName(of(far, name, "reference", F.col("reference"), props(resolved=F.lit("false"), uri=F.col("uri"))))
+
+
+def containing(documents: DataFrame, sections: DataFrame, most: int = 160) -> DataFrame:
+    """(source, target, relation, start, end, quote): each section (section, version, parent, kind, text) in its parent or its document, and each form's source, its document.
+
+    The evidence is the section's first `most` characters; a form's is that of its document's first body section at the
+    top, by ordinal.
+    """
+    end = F.least(F.length("text"), F.lit(most))
+    quote = F.expr(f"substring(text, 1, {most})")
+    source = F.when(F.col("parent").isNotNull(), key("section", F.col("parent"))).otherwise(key("document", F.col("version")))
+    rows = lambda t, a, b, relation: t.select(a.alias("source"), b.alias("target"), F.lit(relation).alias("relation"), F.lit(0).alias("start"), end.alias("end"), quote.alias("quote"))
+    held = rows(sections, source, key("section", F.col("section")), "contains")
+    top = sections.where("parent is null and kind = 'body'").join(documents.where("kind = 'form'").select("version"), "version", "left_semi")
+    first = top.groupBy("version").agg(F.min(F.struct("ordinal", "section", "text")).alias("x")).select("version", "x.text")
+    return held.unionByName(rows(first, key("form", F.col("version")), key("document", F.col("version")), "has_source"))
+
+
 LINK = r"<a href=\"([^\"]+)\">([^<]*)</a>"
 
 

@@ -9,6 +9,7 @@ from quire.functions import text as tx
 from quire.operators import assembly as am
 from quire.operators import catalog as ct
 from quire.operators import evaluation as ev
+from quire.operators import graph as gr
 from quire.operators import retrieval as rt
 from quire.operators import rules
 from quire.operators import versions as vs
@@ -104,18 +105,25 @@ def passages_with_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("q_id", F.array_join(picks, ",").alias("picks"), F.col("used").cast("long").alias("used"))
 
 
-def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes of documents, forms (every third) and lines as sections, and the relations that contain them or are a form's source."""
+def graph_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, every third a form, their lines as sections in a binary tree, and the addresses that some name."""
     d = records.docs(spark, sf_dir)
-    doc, form = F.concat(F.lit("document:"), F.col("doc_id").cast("string")), F.col("doc_id") % 3 == 0
-    lines_ = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    section = F.concat(F.lit("section:"), F.concat_ws(":", "doc_id", "k"))
-    node = lambda t, kind, key: t.select(F.lit(kind).alias("kind"), key.alias("id"))
-    own = node(d, "document", doc).unionByName(node(d.where(form), "form", F.concat(F.lit("form:"), doc))).unionByName(node(lines_, "section", section))
-    link = lambda t, kind, a, b: t.select(F.lit(kind).alias("kind"), F.concat_ws(">", a, b).alias("id"))
-    parent = F.when(F.col("k") == 0, doc).otherwise(F.concat(F.lit("section:"), F.concat_ws(":", F.col("doc_id"), F.expr("(k - 1) div 2"))))
-    edges = link(lines_, "contains", parent, section).unionByName(link(lines_.where(form & (F.col("k") == 0)), "has_source", F.concat(F.lit("form:"), doc), doc))
-    return own.unionByName(edges).groupBy("kind").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
+    i = F.col("doc_id")
+    documents = d.select(i.alias("version"), "doc_id", F.concat(F.lit("Title "), i.cast("string")).alias("title"), F.when(i % 3 == 0, "form").otherwise("policy").alias("kind"), F.when(i % 4 == 0, F.concat(F.lit("P-"), i.cast("string"))).alias("policy_id"), "classification", "status")
+    cut = d.select(i.alias("version"), F.posexplode(F.split("text", "\n")).alias("ordinal", "text"))
+    number = lambda k: F.col("version") * 1_000_000 + k
+    sections = cut.select(number(F.col("ordinal")).alias("section"), "version", F.concat(F.lit("Line "), F.col("ordinal").cast("string")).alias("title"), F.when(F.col("ordinal") == 0, "body").otherwise("text").alias("kind"), F.col("ordinal").cast("long").alias("ordinal"), F.when(F.col("ordinal") > 0, number(F.expr("(ordinal - 1) div 2"))).alias("parent"), "text")
+    outside = d.where("doc_id % 5 < 2").select(i.alias("version"), F.explode(F.array(F.lit("FAR 1.1"), F.lit("FAR 1.1"), F.lit("https://example.org"))).alias("reference")).withColumn("uri", F.when(F.col("reference").startswith("http"), F.col("reference")))
+    return documents, sections, outside
+
+
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and containing relations of the documents' graph, by kind."""
+    documents, sections, outside = graph_tables(spark, sf_dir)
+    own = gr.nodes(documents, sections, outside).select("kind", F.col("node").alias("id"), F.coalesce(F.map_values("properties")[0], F.lit("")).alias("property"))
+    links = gr.containing(documents, sections).select(F.col("relation").alias("kind"), F.concat_ws(">", "source", "target").alias("id"), "quote")
+    of = lambda t, c: t.groupBy("kind").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"), F.max(c).alias("most"))
+    return of(own, "property").unionByName(of(links, "quote"))
 
 
 def text_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,7 +310,11 @@ def sql() -> dict[str, str]:
         "verified_claims": f"SELECT o_orderkey AS q_id, CASE o_orderkey % 8 WHEN 1 THEN 'number without evidence' WHEN 2 THEN 'own citation' WHEN 3 THEN 'blank' WHEN 4 THEN 'unknown source' WHEN 6 THEN 'unknown part' WHEN 7 THEN 'absent quote' END AS problem, CASE o_orderkey % 8 WHEN 0 THEN 'Claim ' || {money} || ' [1]' WHEN 5 THEN 'Claim ' || {money} || ' BUS 43 [1]' END AS line, CASE o_orderkey % 8 WHEN 0 THEN 'Bids start at $' || {money} || ' for   this “kind”.' WHEN 5 THEN 'start at $' || {money} || ' for   this “kind”.' END AS quotes FROM orders",
         "hybrid_dense": f"{with_a}, v AS (SELECT q.vec_id AS q_id, e.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score FROM embeddings q JOIN benchmark ON item_id = q.vec_id JOIN embeddings e ON e.vec_id <> q.vec_id), u AS (SELECT q_id, doc_id, rank, 0 AS li FROM ({top('sa', 30)}) UNION ALL SELECT q_id, doc_id, rank, 1 AS li FROM ({top('(SELECT * FROM v WHERE score >= 0)', 30)})), f AS (SELECT q_id, doc_id, round(sum(1 / (60 + rank)::DOUBLE), 9) AS score, min(li * 1000000 + rank) AS tie FROM u GROUP BY 1, 2) SELECT q_id, doc_id, round(score, 9) AS score, rank FROM ({top('f', 10, 'tie')})",
         "rewrites": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'limit of ' || regexp_replace(c_mktsegment, '\\s+', ' ', 'g') WHEN c_custkey % 3 <> 1 AND c_custkey % 5 = 0 THEN 'key words' ELSE c_name END AS search FROM customer",
-        "graph_nodes": f"WITH {l}, n AS (SELECT 'document' AS kind, 'document:' || doc_id AS id FROM documents UNION ALL SELECT 'form', 'form:document:' || doc_id FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 'section', 'section:' || doc_id || ':' || k FROM l UNION ALL SELECT 'contains', CASE WHEN k = 0 THEN 'document:' || doc_id ELSE 'section:' || doc_id || ':' || ((k - 1) // 2) END || '>section:' || doc_id || ':' || k FROM l UNION ALL SELECT 'has_source', 'form:document:' || doc_id || '>document:' || doc_id FROM documents WHERE doc_id % 3 = 0) SELECT kind, count(*) AS n, min(id) AS first, max(id) AS last FROM n GROUP BY 1",
+        "graph_nodes": f"""WITH {d}, s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents),
+          n AS (SELECT 'document' AS kind, 'document:' || doc_id AS id, doc_id::VARCHAR AS p FROM d UNION ALL SELECT 'form', 'form:' || doc_id, doc_id::VARCHAR FROM d WHERE doc_id % 3 = 0 UNION ALL SELECT 'section', 'section:' || (doc_id * 1000000 + k), CASE WHEN k = 0 THEN 'body' ELSE 'text' END FROM s
+            UNION ALL SELECT 'reference', 'reference:' || substr(sha256(doc_id || ':' || r), 1, 20), 'false' FROM d, (VALUES ('FAR 1.1'), ('https://example.org')) AS v(r) WHERE doc_id % 5 < 2
+            UNION ALL SELECT 'contains', CASE WHEN k = 0 THEN 'document:' || doc_id ELSE 'section:' || (doc_id * 1000000 + (k - 1) // 2) END || '>section:' || (doc_id * 1000000 + k), substr(text, 1, 160) FROM s UNION ALL SELECT 'has_source', 'form:' || doc_id || '>document:' || doc_id, substr(text, 1, 160) FROM s WHERE k = 0 AND doc_id % 3 = 0)
+          SELECT kind, count(*) AS n, min(id) AS first, max(id) AS last, max(p) AS most FROM n GROUP BY 1""",
         "text_join": "SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS found FROM documents",
         "pair_join": "WITH d AS (SELECT doc_id, lang, sha1(text) AS key FROM documents), st AS (SELECT CASE WHEN doc_id % 10 = 0 THEN sha1(key) ELSE key END AS key, max(doc_id % 3 + 1) AS n FROM d WHERE doc_id % 2 = 0 GROUP BY 1), t AS (SELECT key, min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang FROM d GROUP BY 1) SELECT coalesce(lang, 'none') AS lang, CAST(sum(n) AS BIGINT) AS questions, count(*) AS texts, min(doc_id) AS first FROM st LEFT JOIN t USING (key) GROUP BY 1",
         "section_lookup": f"WITH {d}, s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM d WHERE classification IN ('public', 'internal') AND status IN ('active', 'review')) SELECT a.doc_id, a.k, length(a.line) AS chars, length(p.line) AS parent_chars FROM s a JOIN labels y ON y.doc_id = a.doc_id AND y.doc_id % 5 = a.k LEFT JOIN s p ON p.doc_id = a.doc_id AND a.k > 0 AND p.k = (a.k - 1) // 2",

@@ -60,7 +60,7 @@ def sql() -> dict[str, str]:
     return {
         "body_fonts": f"WITH {base} SELECT file, body_size FROM b",
         "layout_headings": f"""WITH {base}, s AS (SELECT file, page, line, sum(shown) AS shown, sum(CASE WHEN bold THEN shown ELSE 0 END) AS b, max(CASE WHEN shown > 0 THEN size END) AS size FROM r GROUP BY 1, 2, 3),
-          p AS (SELECT file, n // {LINES} AS page, n % {LINES} AS line, t, length(t) * {WIDTH} AS x1, coalesce(sum(length(t) + 1) OVER (PARTITION BY file, n // {LINES} ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS title FROM l)
+          p AS (SELECT file, n // {LINES} AS page, n % {LINES} AS line, t, CAST(length(t) * {WIDTH} AS DOUBLE) AS x1, coalesce(sum(length(t) + 1) OVER (PARTITION BY file, n // {LINES} ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS title FROM l)
           SELECT file, page, line, CAST(start AS BIGINT) AS start, title, CASE WHEN size >= body_size + 4 THEN 1 ELSE 2 END AS level, x1 FROM p JOIN s USING (file, page, line) JOIN b USING (file)
           WHERE length(title) BETWEEN 4 AND 150 AND NOT ends_with(title, '.') AND (size >= body_size + 2 OR b / nullif(shown, 0) >= 0.85) AND NOT (line BETWEEN 8 AND 20 AND x1 <= file * 37 % 900 + 200)""",
         "link_targets": """WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) - 1 AS n FROM pages), k AS (SELECT *, (page_id + n) % 4 AS kind FROM h),

@@ -11,6 +11,7 @@ from quire.operators import graph as gr
 from quire.operators import mentions as mn
 from quire.operators import versions as vs
 from quire.plans.tables import table
+from quire.sources import generations as gn
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,6 +171,12 @@ def reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.alias_references(texts, names.select(F.col("target").cast("long").alias("target"), "alias"))
 
 
+def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a collection that is built anew, numbered through in an order: the id is chunk_ and the number."""
+    rows = gn.numbered(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id")
+    return rows.select("doc_id", F.concat(F.lit("chunk_"), F.col("number").cast("string")).alias("id"))
+
+
 def owned_sections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents as sections, chunks that overlap or leave gaps, and two aliases of every seventh document: its fourth and fifth word, and its seventh."""
     d = table(spark, sf_dir, "documents").where("text <> ''").select(F.col("doc_id").alias("section"), F.col("doc_id").alias("owner"), "text")
@@ -347,6 +354,7 @@ def sql() -> dict[str, str]:
         "date_observations": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 3 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 5 = 3 THEN strftime(o_orderdate, '%Y-%m') END AS effective FROM orders",
         "quote_partition": "WITH p AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '[.\\n]'), lambda s: trim(s)), lambda s: length(s) >= 20) AS q FROM benchmark) SELECT item_id, CAST(generate_subscripts(q, 1) AS INT) AS k, unnest(q) AS quote FROM p",
         "sample_stratified": "WITH h AS (SELECT doc_id, lang, md5(doc_id::VARCHAR) AS h FROM documents) SELECT doc_id, lang, ('0x' || substr(h, 5, 4))::INT < 9830 AS evaluation FROM h WHERE ('0x' || substr(h, 1, 4))::INT < CASE WHEN lang = 'en' THEN 45875 ELSE 19660 END",
+        "numbered_rows": "SELECT doc_id, 'chunk_' || (row_number() OVER (ORDER BY lang, doc_id) - 1) AS id FROM documents",
         "owned_references": r"""WITH RECURSIVE c AS (SELECT doc_id AS section, text, length(text) AS n, unnest(range((length(text) - 1) // 300 + 1)) AS k FROM documents WHERE text <> ''),
           r AS (SELECT section, k * 300 AS a, least(k * 300 + CASE WHEN k % 3 = 0 THEN 340 ELSE 250 END, n) AS b FROM c WHERE (section + k) % 4 <> 0),
           i AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY section ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM r WHERE b > a),
@@ -375,7 +383,7 @@ def sql() -> dict[str, str]:
 
 NAMES = (
     "dedup_versions version_status archive_merge latest_rows scope_filter scoped_snapshot clearances manifest_checks integrity_violations index_summary tag_documents enrich_merge resume_todo "
-    "bfs_2hop walk_edges tree_levels hyperlink_refs legal_refs reference_edges owned_references page_links html_extract answer_grounding numeric_score diagnostic_flags flag_histogram latency_summary grade_counts holdout_split amounts durations "
+    "bfs_2hop walk_edges tree_levels hyperlink_refs legal_refs numbered_rows reference_edges owned_references page_links html_extract answer_grounding numeric_score diagnostic_flags flag_histogram latency_summary grade_counts holdout_split amounts durations "
     "date_observations quote_partition claim_checks sample_stratified"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}

@@ -10,9 +10,11 @@ import re
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.scratch import saved
+
 VERSION = 1
 PUBLICATIONS = "schema_version int, generation string, tables array<string>, published timestamp"
 
@@ -21,12 +23,31 @@ def partition(root: str, table: str, generation: str) -> str:
     return f"{root}/{table}/generation={generation}"
 
 
+def numbered(df: DataFrame, *order: str, name: str = "number") -> DataFrame:
+    """df with gapless numbers from 0 in an order, each row's partition and place added up; ties by nothing else, so order should be unique.
+
+    Rows are range-sorted and written; only a count for each partition meets in one place.
+    """
+    at, row = name + "_part", name + "_row"
+    rows = saved(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({at: F.spark_partition_id(), row: F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+    sizes = rows.groupBy(at).agg(F.count("*").alias("n"))  # a row for each partition
+    base = sizes.select(at, (F.sum("n").over(Window.orderBy(at)) - F.col("n")).alias(name + "_base"))
+    return rows.join(F.broadcast(base), at).withColumn(name, F.col(name + "_base") + F.col(row)).drop(at, row, name + "_base")
+
+
 def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], check: Callable[[dict[str, DataFrame]], DataFrame] | None = None, preview: bool = False) -> str:
-    """Writes tables as a new generation and returns its name. check gives rows for problems; any row stops the publication."""
+    """Writes tables as a new generation and returns its name. check gives rows for problems; any row stops the publication.
+
+    Rows are counted as they are written and again as they are read; a difference stops the publication too.
+    """
     name = f"gen-{uuid.uuid4().hex}"
+    written = {}
     for table, df in tables.items():
-        df.write.parquet(partition(root, table, name))
-    written = {t: spark.read.parquet(partition(root, t, name)) for t in tables}
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(partition(root, table, name))
+        written[table] = spark.read.parquet(partition(root, table, name))
+        if written[table].count() != seen.get["n"]:
+            raise ValueError(f"not published: {table} is not whole")
     if check is not None and (found := check(written).limit(5).collect()):
         raise ValueError(f"not published: {found}")
     if not preview:
