@@ -51,7 +51,7 @@ def frequencies(docs: DataFrame, keep: tuple[str, ...] = (), **lists: tuple[Colu
             out = joined_frequencies(out, name, asked)
             continue
         inside = f"filter({name}, w -> w in ({', '.join(map(quoted, terms[name]))}))" if terms[name] else f"filter({name}, w -> false)"
-        out = out.withColumn(name, F.array_sort(F.coalesce(F.expr(inside), F.array().cast("array<string>")))).withColumn("ends", run_ends(name))
+        out = out.withColumn(name, F.sort_array(F.coalesce(F.expr(inside), F.array().cast("array<string>")))).withColumn("ends", run_ends(name))
         counts = F.expr(f"transform(ends, (e, k) -> struct(get({name}, e - 1) as term, cast(e - coalesce(get(ends, k - 1), 0) as bigint) as f))")
         out = out.withColumn(name, counts).drop("ends")
     return saved(out)
