@@ -67,24 +67,43 @@ def joined_frequencies(docs: DataFrame, name: str, asked: DataFrame) -> DataFram
     return row.join(counts, "row", "left").withColumn(name, F.coalesce("counts", none)).drop("row", "counts")
 
 
-def postings(counted: DataFrame) -> DataFrame:
-    """(doc_id, len, term, f) of documents (doc_id, len, tf), with all rows of a document in one partition."""
-    return counted.repartition("doc_id").select("doc_id", "len", F.explode("tf").alias("x")).select("doc_id", "len", "x.term", "x.f")
+#: Pairs of a document and a question that one task sums up.
+PAIRS = 1_000_000
+
+
+def spread(counted: DataFrame, pairs: int, most: int | None = None) -> DataFrame:
+    """Documents dealt by id to so many partitions that none has more than about `most` (PAIRS) of the pairs that come of them.
+
+    A document's row is small and its pairs are many, so the number follows from the pairs and not from the rows' bytes.
+    """
+    parts = max(counted.sparkSession.sparkContext.defaultParallelism, -(-pairs // (most or PAIRS)))
+    return counted.repartition(parts, "doc_id")
+
+
+def pairs_of(counted: DataFrame, queries: DataFrame) -> int:
+    """The most pairs that documents and questions can make."""
+    return counted.count() * queries.select("q_id").distinct().count()
+
+
+def postings(counted: DataFrame, pairs: int) -> DataFrame:
+    """(doc_id, len, term, f) of documents (doc_id, len, tf), with all rows of a document in one partition; pairs as in spread()."""
+    return spread(counted, pairs).select("doc_id", "len", F.explode("tf").alias("x")).select("doc_id", "len", "x.term", "x.f")
 
 
 def bm25(counted: DataFrame, queries: DataFrame, floor: float | None = None) -> DataFrame:
     """(q_id, doc_id, score) for documents (doc_id, len, tf) and queries (q_id, term, times): only documents with a term of the query.
 
     Documents' counts move once, a row for each document; then they meet the terms' weights and the questions where they
-    are, and are summed there. Terms, frequencies and questions are broadcast up to a counted number of rows.
+    are, and are summed there, a bounded number of pairs in each task. Terms, frequencies and questions are broadcast up to a counted number of rows.
     """
     totals = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))  # one row
     df = counted.select(F.explode("tf").alias("x")).groupBy("x.term").agg(F.count("*").alias("df"))
     average = F.greatest(F.col("avg"), F.lit(floor)) if floor is not None else F.col("avg")
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = sized(queries.join(sized(df), "term").crossJoin(F.broadcast(totals)).select("q_id", "term", "times", idf.alias("idf"), average.alias("average")))
+    weighed = sized(queries.join(sized(df), "term").crossJoin(F.broadcast(totals)).select("q_id", "term", "times", "df", "n", idf.alias("idf"), average.alias("average")))
+    most = weighed.agg(F.coalesce(F.least(F.sum("df"), F.max("n") * F.count_distinct("q_id")), F.lit(0)).alias("pairs")).first().pairs
     weight = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("average")))
-    hits = postings(counted).join(weighed, "term")
+    hits = postings(counted, most).join(weighed.drop("df", "n"), "term")
     return hits.groupBy("doc_id", "q_id").agg(F.round(F.sum(weight * F.col("times")), TIES).alias("score")).select("q_id", "doc_id", "score")
 
 
@@ -116,7 +135,7 @@ def fielded(chunks: DataFrame, queries: DataFrame, allowed: Column, most: int =
     size = reduce(Column.__add__, (F.coalesce(f"{name}_len", F.lit(0)) for name in FIELDS))
     totals = counts.agg(F.count("*").alias("n"), F.avg(size).alias("avg"))  # one row
     weighed = F.concat(*(F.expr(f"transform({name}, x -> struct(x.term as term, x.f * {w}D as f))") for name, w in FIELDS.items()))
-    rows = counts.repartition("doc_id").select("doc_id", "late", "brief", "seen", size.alias("len"), F.explode(weighed).alias("x"))
+    rows = spread(counts, pairs_of(counts, asked)).select("doc_id", "late", "brief", "seen", size.alias("len"), F.explode(weighed).alias("x"))
     rows = rows.groupBy("doc_id", "late", "brief", "seen", "len", "x.term").agg(F.sum("x.f").alias("f"))  # where they are
     df = sized(counts.select(F.explode(F.array_distinct(F.concat(*(F.transform(name, lambda x: x["term"]) for name in FIELDS)))).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
     idf = F.greatest(F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
