@@ -13,16 +13,31 @@ LINES, HEIGHT, WIDTH = 40, 12.0, 6.0
 SENTENCES = r"[.\n] ?"
 
 
+#: Words of a bold line's runs: so many bold ones, then a plain one.
+BOLD = 8
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words of all documents, set on pages of 40 lines, a sentence to a line; some lines are larger, some bold."""
-    docs = table(spark, sf_dir, "documents").where("text <> ''").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", SENTENCES)).alias("n", "line_text"))
-    words = docs.select("file", F.col("n").cast("long").alias("n"), F.posexplode(F.split("line_text", " ")).alias("k", "word"), "line_text")
-    before = F.length(F.array_join(F.slice(F.split("line_text", " "), F.lit(1), F.col("k")), " ")) + F.when(F.col("k") > 0, 1).otherwise(0)
-    size = F.when((F.col("n") + F.col("file")) % 17 == 3, 14.0).when((F.col("n") + F.col("file")) % 13 == 5, 12.0).otherwise(10.0)
-    font = F.when(((F.col("n") + F.col("file")) % 11 == 7) & (F.col("k") % 9 < 8), "Serif-Bold").otherwise("Serif")
-    text = F.when(F.col("k") > 0, F.concat(F.lit(" "), "word")).otherwise(F.col("word"))
-    x0, top = before * WIDTH, F.col("n") % LINES * HEIGHT
-    return words.select("file", F.floor(F.col("n") / LINES).alias("page"), "n", (F.col("n") % LINES).alias("line"), F.col("k").alias("ordinal"), text.alias("text"), x0.alias("x0"), top.alias("top"), (x0 + F.length("word") * WIDTH).alias("x1"), (top + 10.0).alias("bottom"), size.alias("size"), font.alias("font"))
+    """The text of all documents, set on pages of 40 lines, a sentence to a line; some lines are larger, some bold but for every ninth word.
+
+    A plain line is one run; a bold one has runs of eight words and of one, whose places are summed up along the line.
+    """
+    n, file = F.col("n"), F.col("file")
+    docs = table(spark, sf_dir, "documents").where("text <> ''").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", SENTENCES)).alias("n", "t"))
+    bold = (n + file) % 11 == 7
+    piece = lambda k, text, font: F.struct(k.cast("int").alias("ordinal"), text.alias("text"), F.lit(font).alias("font"))
+    pair = lambda k: F.array(piece(k, F.array_join(F.slice("words", k + 1, F.lit(BOLD)), " "), "Serif-Bold"), piece(k + BOLD, F.get("words", k + BOLD), "Serif"))
+    cut = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.size("words") - 1, F.lit(BOLD + 1)), pair)), lambda x: x["text"].isNotNull())
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    step = lambda s, x: F.struct((s["at"] + F.length(x["text"]) + 1).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts"))
+    lined = docs.select("file", n.cast("long").alias("n"), "t", F.when(bold, F.split("t", " ")).alias("words"))
+    lined = lined.withColumn("pieces", F.when(bold, cut).otherwise(F.array(piece(F.lit(0), F.col("t"), "Serif"))))
+    lined = lined.withColumn("starts", F.when(bold, F.aggregate("pieces", start, step)["starts"]).otherwise(F.array(F.lit(0))))
+    each = lined.select("file", "n", F.explode(F.arrays_zip("pieces", "starts")).alias("x")).select("file", "n", "x.pieces.*", F.col("x.starts").alias("before"))
+    size = F.when((n + file) % 17 == 3, 14.0).when((n + file) % 13 == 5, 12.0).otherwise(10.0)
+    x0, top = F.col("before") * WIDTH, n % LINES * HEIGHT
+    text = F.when(F.col("ordinal") > 0, F.concat(F.lit(" "), "text")).otherwise(F.col("text"))
+    return each.select("file", F.floor(n / LINES).alias("page"), "n", (n % LINES).alias("line"), "ordinal", text.alias("text"), x0.alias("x0"), top.alias("top"), (x0 + F.length("text") * WIDTH).alias("x1"), (top + 10.0).alias("bottom"), size.alias("size"), "font")
 
 
 def boxes(found: DataFrame) -> DataFrame:

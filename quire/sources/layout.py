@@ -7,30 +7,43 @@ Everything here is built-in functions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.scratch import saved
+
+#: White space, as \\s has it.
+BLANKS = " \t\n\x0b\f\r"
 #: Side of the squares that a page is cut into where boxes and lines meet.
 SQUARE = 144.0
 
 
+def shown(text: str) -> Column:
+    """The number of a text's characters other than white space."""
+    return F.length(reduce(lambda c, x: F.replace(c, F.lit(x), F.lit("")), BLANKS, F.col(text)))
+
+
 def body_sizes(runs: DataFrame) -> DataFrame:
     """(file, body_size): the size, to a tenth, that most characters other than white space have; of equally frequent ones the first met."""
-    seen = F.length(F.regexp_replace("text", r"\s+", ""))
-    n = runs.where(seen > 0).groupBy("file", F.round("size", 1).alias("size")).agg(F.sum(seen).alias("n"), F.min(F.struct("page", "line", "ordinal")).alias("first"))
+    seen = F.col("seen")
+    n = runs.withColumn("seen", shown("text")).where(seen > 0).groupBy("file", F.round("size", 1).alias("size")).agg(F.sum(seen).alias("n"), F.min(F.struct("page", "line", "ordinal")).alias("first"))
     return n.groupBy("file").agg(F.min(F.struct((-F.col("n")).alias("n"), "first", "size")).alias("b")).select("file", F.col("b.size").alias("body_size"))
 
 
 def lines(runs: DataFrame) -> DataFrame:
     """(file, page, line, text, start, its box, size, bold): lines of runs, where each begins in its page's text, its largest size and the share of bold characters.
 
-    A page's text is its lines with a line end between them.
+    A page's text is its lines with a line end between them. Runs move once, by file, which also serves the pages and what
+    is joined by file.
     """
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "")
-    shown = F.length(F.regexp_replace("text", r"\s+", ""))
-    bold = F.sum(F.when(F.lower("font").contains("bold"), shown).otherwise(0))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "")
+    seen = F.col("seen")
+    bold = F.sum(F.when(F.lower("font").contains("bold"), seen).otherwise(0))
     box = [F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom")]
-    out = runs.groupBy("file", "page", "line").agg(text.alias("text"), *box, F.max(F.when(shown > 0, F.col("size"))).alias("size"), F.try_divide(bold, F.sum(shown)).alias("bold"))
+    dealt = runs.withColumn("seen", shown("text")).repartition("file")
+    out = dealt.groupBy("file", "page", "line").agg(text.alias("text"), *box, F.max(F.when(seen > 0, F.col("size"))).alias("size"), F.try_divide(bold, F.sum(seen)).alias("bold"))
     before = Window.partitionBy("file", "page").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     return out.withColumn("start", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)))
 
@@ -59,9 +72,9 @@ def heading_hints(runs: DataFrame, boxes: DataFrame) -> DataFrame:
     bold for 85 % of its characters; of level 1 where it is 4 points larger, else 2.
     """
     found = lines(runs).join(body_sizes(runs), "file")
-    title = F.regexp_replace("text", r"^\s+|\s+$", "")
+    title = F.btrim("text", F.lit(BLANKS))
     looks = F.length(title).between(4, 150) & ~title.endswith(".") & ((F.col("size") >= F.col("body_size") + 2) | (F.col("bold") >= 0.85))
-    hints = found.where(looks).withColumn("title", title).withColumn("level", F.when(F.col("size") >= F.col("body_size") + 4, 1).otherwise(2))
+    hints = saved(found.where(looks).withColumn("title", title).withColumn("level", F.when(F.col("size") >= F.col("body_size") + 4, 1).otherwise(2)))  # read twice
     out = hints.join(inside(hints, boxes).select("file", "page", "line"), ["file", "page", "line"], "left_anti")
     return out.select("file", "page", "line", "start", "title", "level", "x0", "top", "x1", "bottom")
 

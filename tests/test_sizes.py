@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import retrieval as rt
+from quire.plans import layout as layout_plan
 
 
 def test_pairs_of_a_ranking_are_spread_by_their_number(spark, monkeypatch):
@@ -14,3 +15,13 @@ def test_pairs_of_a_ranking_are_spread_by_their_number(spark, monkeypatch):
     counts = rt.frequencies(docs, t=(F.col("t"), asked)).select("doc_id", F.col("t").alias("tf"), F.col("t_len").alias("len"))
     sizes = [r["count"] for r in rt.bm25(counts, asked).groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert sum(sizes) == 240 and len(sizes) >= 15 and max(sizes) <= 40
+
+
+def test_a_long_line_has_few_runs_with_their_places(spark, tmp_path):
+    text = " ".join(f"w{k}" for k in range(2000))
+    spark.createDataFrame([(7, text), (6, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")  # 7 is bold, 6 is not
+    rows = layout_plan.runs(spark, str(tmp_path)).orderBy("file", "ordinal").collect()
+    assert [len([r for r in rows if r.file == k]) for k in (6, 7)] == [1, 445]
+    assert all("".join(r.text for r in rows if r.file == k) == text for k in (6, 7))
+    assert all(text[int(r.x0 // 6) : int(r.x1 // 6)] == r.text.strip(" ") for r in rows)
+    assert all((r.font == "Serif") == (r.ordinal % 9 == 8) for r in rows if r.file == 7)
