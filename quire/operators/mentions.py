@@ -1,6 +1,6 @@
 """Mentions of names in texts: whole-word aliases by one automaton, over owned ranges of sections, with their evidence.
 
-Texts meet the aliases whose first words they have; then one automaton over the aliases of a batch of texts reads each
+Texts meet the aliases whose first two words they have, or whose only one; then one automaton over the aliases of a batch of texts reads each
 text once, whatever their number. It reads letters and digits alone, so that "BUS-43" is found in "bus 43"; what it finds
 counts if it begins and ends with words of the text and has breaks only where the alias has them.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.structure import union_intervals
-from quire.scratch import saved
+from quire.scratch import saved, sized
 
 WORD = r"[\p{L}\p{N}]+"
 TOKEN = re.compile(r"[^\W_]+")
@@ -100,23 +100,48 @@ def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = upto
 
 
+#: Hashes of beginnings, and bytes of their file, up to which they are broadcast, after they were counted.
+KEYS, KEY_BYTES = 4_000_000, 48 << 20
+
+
+def words_of(text: str) -> Column:
+    """The words of a text in lower case; none for null."""
+    return F.coalesce(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower), F.array().cast("array<string>"))
+
+
+def beginnings(parts: str) -> Column:
+    """What a text that has an alias of these words has of it: its one word, or its first two, each of which may join several of the alias's."""
+    n = F.size(parts)
+    joined = lambda a, b: F.array_join(F.slice(parts, a, b - a + 1), "")
+    two = lambda k: F.transform(F.sequence(k + 1, n), lambda m: F.concat_ws(" ", joined(F.lit(1), k), joined(k + 1, m)))
+    pairs = F.flatten(F.transform(F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")), two))
+    return F.concat(F.array(joined(F.lit(1), n)), pairs)
+
+
+def candidates(texts: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(key, aliases): the aliases (target, alias) whose beginning a text has, for texts that have one."""
+    named = aliases.withColumn("parts", words_of("alias")).where("size(parts) > 0")
+    named = saved(named.select(F.col("target").cast("long").alias("target"), "alias", F.explode(F.array_distinct(F.transform(beginnings("parts"), lambda x: F.xxhash64(x)))).alias("begin")))
+    known = sized(named.select("begin").distinct(), KEYS, KEY_BYTES)
+    own = texts.select("key", words_of("text").alias("words"))
+    pairs = F.zip_with("words", F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))), lambda x, y: F.concat_ws(" ", x, y))
+    begins = own.select("key", F.explode(F.array_distinct(F.transform(F.concat("words", pairs), lambda x: F.xxhash64(x)))).alias("begin"))
+    held = begins.join(known, "begin", "left_semi").join(sized(named), "begin")
+    return held.groupBy("key").agg(F.collect_set(F.struct("target", "alias")).alias("aliases"))
+
+
 def mentions(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """(key, target, alias, start, end, quote): every place of whole-word aliases (target, alias) in texts (key, text), from 0, the end exclusive, as it stands there.
 
     Between an alias's words a text may have any characters but letters and digits, or none. Where aliases overlap the
     longer one has the place, of equally long ones the one with the least target. Aliases without letters and digits and
     null texts give nothing. An alias in a batch that another text brought in is looked for in all of the batch's texts:
-    whoever has it has its first words, so nothing more is found.
+    whoever has it has its beginning, so nothing more is found. Texts meet aliases by hashes of beginnings; those that no
+    alias has go before anything moves.
     """
-    named = aliases.withColumn("parts", F.transform(F.regexp_extract_all("alias", F.lit(WORD), F.lit(0)), F.lower)).where("size(parts) > 0")
-    begins = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda k: F.array_join(F.slice("parts", F.lit(1), k), ""))
-    named = named.select(F.col("target").cast("long").alias("target"), "alias", F.array_join("parts", "").alias("joined"), F.explode(F.array_distinct(begins)).alias("word"))
-    words = texts.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("word"))
-    maybe = words.join(named, "word").groupBy("key").agg(F.collect_set(F.struct("target", "alias", "joined")).alias("aliases"))
-    bare = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", "")
-    met = texts.select("key", "text", bare.alias("bare")).join(maybe, "key").select("key", "text", F.filter("aliases", lambda x: F.contains(F.col("bare"), x["joined"])).alias("aliases"))
+    met = texts.select("key", "text").join(candidates(texts, aliases), "key").select("key", "text", "aliases")
     kind = texts.schema["key"].dataType.simpleString()
-    return met.where("size(aliases) > 0").mapInArrow(scanned, f"key {kind}, target long, alias string, start int, end int, quote string")
+    return met.mapInArrow(scanned, f"key {kind}, target long, alias string, start int, end int, quote string")
 
 
 #: Needles that a pass over the texts looks for, and characters of each that stand in the automaton.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.operators import mentions
 from quire.operators import retrieval as rt
 from quire.plans import layout as layout_plan
 
@@ -25,3 +26,14 @@ def test_a_long_line_has_few_runs_with_their_places(spark, tmp_path):
     assert all("".join(r.text for r in rows if r.file == k) == text for k in (6, 7))
     assert all(text[int(r.x0 // 6) : int(r.x1 // 6)] == r.text.strip(" ") for r in rows)
     assert all((r.font == "Serif") == (r.ordinal % 9 == 8) for r in rows if r.file == 7)
+
+
+def test_texts_meet_only_aliases_whose_beginning_they_have(spark, monkeypatch):
+    aliases = spark.createDataFrame([(k, f"common-word{k}") for k in range(50)] + [(90, "a-b-c"), (91, "solo"), (92, "...")], "target long, alias string")
+    texts = spark.createDataFrame([("one", "the common word7 is"), ("two", "common thing"), ("abc", "see abc"), ("a_bc", "A, bc!"), ("ab_c", "ab c"), ("cut", "a b d"), ("solo", "Solo"), ("none", None)], "key string, text string")
+    want = {"one": [7], "abc": [90], "a_bc": [90], "ab_c": [90], "cut": [90], "solo": [91]}
+    for keys in (mentions.KEYS, 1):  # broadcast, and joined by hash
+        monkeypatch.setattr(mentions, "KEYS", keys)
+        assert {r.key: sorted(a.target for a in r.aliases) for r in mentions.candidates(texts, aliases).collect()} == want
+        found = {(r.key, r.target, r.quote) for r in mentions.mentions(texts, aliases).collect()}
+        assert found == {("one", 7, "common word7"), ("abc", 90, "abc"), ("a_bc", 90, "A, bc"), ("ab_c", 90, "ab c"), ("solo", 91, "Solo")}
