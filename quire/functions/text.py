@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+import re
+from collections.abc import Callable
+from re import _constants, _parser
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +27,51 @@ EXPANSIONS = {
 }
 
 
+def needed(pieces) -> frozenset[str] | None:
+    """Literals of which each match of a parsed pattern holds at least one; None where the pattern has none of two characters."""
+    options, run = [], ""
+    for op, of in [*pieces, (None, None)]:
+        if op is _constants.LITERAL and 32 <= of < 127:
+            run += chr(of).lower()
+            continue
+        options, run = [*options, frozenset([run])], ""
+        if op is _constants.SUBPATTERN:
+            options.append(needed(of[3]))
+        elif op is _constants.BRANCH:
+            branches = [needed(b) for b in of[1]]
+            options.append(frozenset().union(*branches) if all(branches) else None)
+        elif op in (_constants.MAX_REPEAT, _constants.MIN_REPEAT) and of[0] > 0:
+            options.append(needed(of[2]))
+    known = [o for o in options if o and min(map(len, o)) > 1]
+    return max(known, key=lambda o: (min(min(map(len, o)), 4), -len(o), sorted(o)), default=None)
+
+
+@functools.cache
+def stems(pattern: str) -> tuple[str, ...]:
+    """Lower-case literals of which any text that a pattern is in, in any case, holds one; none where that isn't known."""
+    try:
+        found = needed(_parser.parse(f"(?i){pattern}")) or ()
+    except re.error:  # other engines' syntax
+        found = ()
+    return tuple(sorted(x for x in found if not any(y != x and y in x for y in found)))
+
+
+def said(text: Column, pattern: str, low: Column | None = None) -> Column:
+    """Whether a pattern is in a text, in any case; false for null. It is looked for only in texts with one of its stems.
+
+    low: the text in lower case, or that of a longer text around it, which callers with many patterns compute once.
+    """
+    low = F.lower(text) if low is None else low
+    held = [F.contains(low, F.lit(s)) for s in stems(pattern)]
+    found = text.rlike(f"(?i){pattern}")
+    return F.coalesce(functools.reduce(operator.or_, held) & found if held else found, F.lit(False))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row, however often use() names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def terms(text: Column) -> Column:
     """Lower-case runs of a-z and 0-9 that aren't stop words, in order."""
     stop = F.array(*map(F.lit, STOPWORDS))
@@ -89,12 +140,12 @@ def number(word: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in NUMBERS.items() for x in p)), F.lower(word)), word.try_cast("int"))
 
 
-def duration_days(text: Column) -> Column:
-    """Days of the first duration in days, weeks of 7 or months of 30, else null."""
+def duration_days(text: Column, low: Column | None = None) -> Column:
+    """Days of the first duration in days, weeks of 7 or months of 30, else null. low as in said()."""
     pattern = rf"(?i)\b(\d+|{'|'.join(NUMBERS)})[\s-]*(day|week|month)s?\b"
     unit = F.lower(F.regexp_extract(text, pattern, 2))
     size = F.when(unit == "day", 1).when(unit == "week", 7).when(unit == "month", 30)
-    return number(F.regexp_extract(text, pattern, 1)) * size
+    return F.when(said(text, "day|week|month", low), number(F.regexp_extract(text, pattern, 1)) * size)
 
 
 def labelled_date(text: Column, label: str) -> Column:

@@ -48,11 +48,11 @@ def decide(requests: DataFrame, sections: DataFrame) -> DataFrame:
     topical = lambda t, value: F.when(F.array_contains("topics", t), value)
     found = {
         "post_employment": topical("post_employment", qs.post_employment(q)), "business_meal": topical("business_meal", F.when(qs.business_meal(q), "documents")),
-        "alcohol_permit": topical("alcohol_permit", F.when(qs.alcohol(q).isNotNull(), "permit")), "risk_matrix": topical("risk_matrix", qs.risk(q)),
+        "alcohol_permit": topical("alcohol_permit", F.when(qs.said(q, qs.ALCOHOL), "permit")), "risk_matrix": topical("risk_matrix", qs.risk(q)),
     }
     out = out.withColumns({
         "all_flags": F.transform(codes, lambda c: F.struct(c.alias("code"), severity(c, F.col("prohibited")).alias("severity"))),
-        "equipment": F.transform("items", tag), "ladders": compact(*(F.when(v.isNotNull(), F.concat_ws(":", F.lit(k), v)) for k, v in found.items())),
+        "equipment": F.transform("items", tag), "ladders": compact(*(F.concat(F.lit(f"{k}:"), v) for k, v in found.items())),
         "facts": F.when((F.col("amount") == 0) & (F.size("items") == 0), reference_facts(F.col("topics"))).otherwise(F.array().cast("array<string>")),
         "bid_required": F.when(has, F.col("bid_required")), "form_required": F.when(has, F.col("form_required")),
     })

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.text import let, said
+
 # Fixed patterns of the topics, in the order of their names' declaration.
 #: Without the look-behinds that topics() puts before it, since SQL engines without them take it too.
 FEDERAL = r"\b(federal(ly)?|nih|nsf|doe|dod|nasa|usda|darpa|noaa|hhs|uniform guidance|2 cfr)\b"
@@ -36,47 +38,48 @@ NOT_TEMPLATED = ("split", "sole_source", "covered", "post_employment", "business
 TEMPLATE_INTENTS = ("bidding_threshold", "sspr_form", "federal_funding", "equipment_tagging")
 
 
-def said(text: Column, pattern: str) -> Column:
-    return F.coalesce(text.rlike(f"(?i){pattern}"), F.lit(False))
-
-
 def topics(text: Column) -> Column:
     """The topics of a text, sorted. Federal doesn't count right behind "non-" or "non "."""
-    found = [F.when(said(text, rf"(?<!non-)(?<!non ){p}" if t == "federal" else p), t) for t, p in TOPICS.items()]
-    return F.array_sort(F.array_compact(F.array(*found)))
+    found = lambda low: F.array(*(F.when(said(text, rf"(?<!non-)(?<!non ){p}" if t == "federal" else p, low), t) for t, p in TOPICS.items()))
+    return let(F.lower(text), lambda low: F.array_sort(F.array_compact(found(low))))
 
 
 # Fixed patterns of the amounts and of what stands around them.
 AMOUNT = r"\$\s?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?\s*(?i:k|m|mm|million|thousand)?\b|\b\d+(?:\.\d+)?\s?[kK]\b"
 TIMES = {"k": 1e3, "thousand": 1e3, "m": 1e6, "mm": 1e6, "million": 1e6}
-BEFORE = r"(?i)((threshold|limit|maximum|minimum|cap)\s*(is|of|at|amount of)?\s*(the\s+)?|\b(under|below|over|exceeds?|exceeding|above|than|up to|at least|within)\s+(the\s+)?(approximately\s+)?)$"
-AFTER = r"(?i)^\s*(\w+\s+){0,2}(threshold|limit|per occurrence|umbrella|coverage|insurance|policy limit|grant\b|award\b|budget\b)"
-TOTAL = r"(?i)(total(ing|s)?|in total|combined|bringing .{0,40}to|overall|altogether)\s*(of|is|to)?\s*(about|approximately|roughly)?\s*$"
-YEARLY = r"(?i)^\s*(/\s*(year|yr)|per\s+(year|yr|annum)|a\s+year|each\s+year|annually|every\s+year)"
-INSURED = r"(?i)insurance|liability|umbrella|per occurrence|coverage|policy limit"
+BEFORE = r"((threshold|limit|maximum|minimum|cap)\s*(is|of|at|amount of)?\s*(the\s+)?|\b(under|below|over|exceeds?|exceeding|above|than|up to|at least|within)\s+(the\s+)?(approximately\s+)?)$"
+AFTER = r"^\s*(\w+\s+){0,2}(threshold|limit|per occurrence|umbrella|coverage|insurance|policy limit|grant\b|award\b|budget\b)"
+TOTAL = r"(total(ing|s)?|in total|combined|bringing .{0,40}to|overall|altogether)\s*(of|is|to)?\s*(about|approximately|roughly)?\s*$"
+YEARLY = r"^\s*(/\s*(year|yr)|per\s+(year|yr|annum)|a\s+year|each\s+year|annually|every\s+year)"
+INSURED = r"insurance|liability|umbrella|per occurrence|coverage|policy limit"
 
 
 def amounts(text: Column) -> Column:
     """The amounts of a text with their start and end, and whether what stands around makes each a reference, a total or a yearly one.
 
-    Dollar amounts, and bare ones in thousands such as 25k. Pieces between amounts come from one split, so offsets are sums
-    of lengths; context is 45 characters before, 40 after, and for insurance the sentence.
+    Dollar amounts, and bare ones in thousands such as 25k. Offsets are sums of the lengths of amounts and of the pieces
+    between them; context is 45 characters before, 40 after, and for insurance the sentence.
     """
-    hits = F.regexp_extract_all(text, F.lit(AMOUNT), F.lit(0))
-    gaps = F.split(text, AMOUNT)
+    amount = f"(?=[$0123456789])(?:{AMOUNT})"
+    gaps = F.split(F.regexp_replace(F.translate(text, "\1", "\2"), amount, "\1"), "\1")
+    found = F.struct(F.lower(text).alias("low"), F.regexp_extract_all(text, F.lit(amount), F.lit(0)).alias("hits"), gaps.alias("gaps"))
+    none = F.array().cast("array<struct<value:double,start:int,end:int,reference:boolean,total:boolean,per_year:boolean>>")
     number = lambda h: F.regexp_replace(F.regexp_extract(h, r"([\d,]+(?:\.\d+)?)", 1), ",", "").try_cast("double")
     unit = lambda h: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in TIMES.items() for x in p)), F.lower(F.regexp_extract(h, r"([A-Za-z]+)$", 1))), F.lit(1.0))
 
-    def one(h: Column, i: Column) -> Column:
-        before = F.aggregate(F.zip_with(F.slice(gaps, 1, i + 1), F.slice(hits, 1, F.greatest(i, F.lit(0))), lambda g, x: F.length(g) + F.coalesce(F.length(x), F.lit(0))), F.lit(0), lambda a, n: a + n)
-        end = before + F.length(h)
+    def one(f: Column, h: Column, before: Column) -> Column:
+        end, low = before + F.length(h), f["low"]
         left = F.substring(text, F.greatest(before - 44, F.lit(1)), F.least(before, F.lit(45)))
         right = F.substring(text, end + 1, F.lit(40))
-        sentence = F.concat(F.element_at(F.split(F.substring(text, F.lit(1), before), r"[.?] "), -1), h, F.element_at(F.split(F.substring(text, end + 1, F.length(text)), r"[.?] "), 1))
-        reference = left.rlike(BEFORE) | right.rlike(AFTER) | sentence.rlike(INSURED)
-        return F.struct((number(h) * unit(h)).alias("value"), before.alias("start"), end.alias("end"), reference.alias("reference"), left.rlike(TOTAL).alias("total"), right.rlike(YEARLY).alias("per_year"))
+        sentence = F.concat(F.regexp_extract(F.substring(text, F.lit(1), before), r"(?s)^(?:.*[.?] )?(.*)\z", 1), h, F.regexp_extract(F.substring(text, end + 1, F.length(text)), r"(?s)^(.*?)(?:[.?] |\z)", 1))
+        reference = said(left, BEFORE, low) | said(right, AFTER, low) | said(sentence, INSURED, low)
+        return F.struct((number(h) * unit(h)).alias("value"), before.alias("start"), end.alias("end"), reference.alias("reference"), said(left, TOTAL, low).alias("total"), said(right, YEARLY, low).alias("per_year"))
+
+    def start(f: Column, i: Column) -> Column:
+        return F.aggregate(F.slice(f["gaps"], 1, i + 1), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice(f["hits"], 1, i), F.lit(0), lambda a, h: a + F.length(h))
 
-    return F.filter(F.transform(hits, one), lambda a: a["value"] > 0)
+    every = lambda f: F.transform(f["hits"], lambda h, i: let(start(f, i), lambda at: one(f, h, at)))
+    return F.when(text.rlike(r"\d"), F.filter(let(found, every), lambda a: a["value"] > 0)).when(text.isNotNull(), none)
 
 
 def gates(rows: DataFrame) -> DataFrame:
@@ -113,26 +116,36 @@ LOW = r"\bp1\b|protected level 1|public data|vra.{0,30}(minimal|low)"
 
 def post_employment(text: Column) -> Column:
     """Which rung holds for a former employee: retiree, two years, 12 months, representing, check; null for other texts."""
-    ladder = (
-        F.when(said(text, r"\bretire") & ~said(text, REPRESENTING), "retiree")
-        .when(said(text, DECIDED), "two_years")
-        .when(said(text, POLICYMAKER) & said(text, SAME_UNIT), "12_months")
-        .when(said(text, REPRESENTING), "representing")
-        .otherwise("check")
-    )
-    return F.when(said(text, FORMER) & said(text, CONTRACTING), ladder)
+
+    def rung(low: Column) -> Column:
+        is_in = lambda p: said(text, p, low)
+        ladder = (
+            F.when(is_in(r"\bretire") & ~is_in(REPRESENTING), "retiree")
+            .when(is_in(DECIDED), "two_years")
+            .when(is_in(POLICYMAKER) & is_in(SAME_UNIT), "12_months")
+            .when(is_in(REPRESENTING), "representing")
+            .otherwise("check")
+        )
+        return F.when(is_in(FORMER) & is_in(CONTRACTING), ladder)
+
+    return let(F.lower(text), rung)
 
 
 def business_meal(text: Column) -> Column:
-    documents = said(text, r"document|reimburs|receipt|expense|claim|approv")
-    return said(text, MEAL) & ~(said(text, INSURANCE) & ~documents)
+    documents = r"document|reimburs|receipt|expense|claim|approv"
+    return let(F.lower(text), lambda low: said(text, MEAL, low) & ~(said(text, INSURANCE, low) & ~said(text, documents, low)))
 
 
 def risk(text: Column) -> Column:
     """high with the exposures, moderate, low or rule; null where the matrix isn't asked for."""
-    letters = F.array_join(F.array_compact(F.array(*(F.when(said(text, p), k) for k, p in EXPOSURES.items()))), "")
-    asked = said(text, RISK) | (said(text, INSURANCE) & (letters != ""))
-    return F.when(asked, F.when(letters != "", F.concat(F.lit("high:"), letters)).when(said(text, MODERATE), "moderate").when(said(text, LOW), "low").otherwise("rule"))
+
+    def level(low: Column) -> Column:
+        is_in = lambda p: said(text, p, low)
+        found = F.array_join(F.array_compact(F.array(*(F.when(is_in(p), k) for k, p in EXPOSURES.items()))), "")
+        of = lambda letters: F.when(is_in(RISK) | (letters != ""), F.when(letters != "", F.concat(F.lit("high:"), letters)).when(is_in(MODERATE), "moderate").when(is_in(LOW), "low").otherwise("rule"))
+        return F.when(is_in(RISK) | is_in(INSURANCE), let(found, of))
+
+    return let(F.lower(text), level)
 
 
 # Fixed patterns of the alcohol permit ladder.

@@ -58,9 +58,9 @@ EXCEPTIONS = (
 YEARS = rf"(?i)(?:×|x|for|over)?\s*\b(\d+|{'|'.join(NUMBERS)})[\s-]*(?:years?|yrs?)\b(?!\s+ago)"
 
 
-def first_said(text: Column, patterns: tuple) -> Column:
-    """The name of the first pattern that is in a text."""
-    return F.coalesce(*(F.when(said(text, p), name) for name, p in patterns))
+def first_said(text: Column, patterns: tuple, low: Column) -> Column:
+    """The name of the first pattern that is in a text; low as in said()."""
+    return F.coalesce(*(F.when(said(text, p, low), name) for name, p in patterns))
 
 
 def total_of(values: Column) -> Column:
@@ -83,11 +83,13 @@ def parse(questions: DataFrame) -> DataFrame:
     """questions (q_id, question) with amounts, topics and the columns of a request; amount is 0 without a purchase."""
     q = F.coalesce("question", F.lit(""))
     out = questions.withColumns({"description": q, "topics": topics(q), "amounts": amounts(q)})
-    q = F.col("description")
+    q, low = F.col("description"), F.col("_low")
+    is_in = lambda p: said(q, p, low)
+    out = out.withColumn("_low", F.lower("description"))
     out = out.withColumn("concrete", F.filter("amounts", lambda a: ~a["reference"]))
     n = F.size("concrete")
-    out = out.withColumn("tagging", said(q, EQUIPMENT) & (n > 0))
-    out = out.withColumn("buying", ~F.col("tagging") & (n > 0) & said(q, PROCUREMENT))
+    out = out.withColumn("tagging", is_in(EQUIPMENT) & (n > 0))
+    out = out.withColumn("buying", ~F.col("tagging") & (n > 0) & is_in(PROCUREMENT))
     every = total_of(F.col("concrete"))
     stated = F.get(F.filter("concrete", lambda a: a["total"]), F.lit(0))
     summed = F.when(n >= 3, F.get(F.filter("concrete", lambda a: F.abs(every - 2 * a["value"]) < 1), F.lit(0)))
@@ -98,13 +100,19 @@ def parse(questions: DataFrame) -> DataFrame:
         later = F.array_min(F.transform(F.filter("concrete", lambda o: o["start"] > a["start"]), lambda o: o["start"]))
         return F.substring(q, a["end"] + 1, F.least(F.coalesce(later, F.length(q)), a["end"] + 70) - a["end"])
 
-    other = lambda a: said(behind(a), OTHER_MONEY)
-    out = out.withColumns({"other_parts": F.filter("parts", other), "federal_parts": F.filter("parts", lambda a: ~other(a) & said(behind(a), FEDERAL_WORD))})
+    other = lambda a: said(behind(a), OTHER_MONEY, low)
+    out = out.withColumns({"other_parts": F.filter("parts", other), "federal_parts": F.filter("parts", lambda a: ~other(a) & said(behind(a), FEDERAL_WORD, low))})
     whole, parts = F.col("whole"), F.col("parts")
-    related = said(q, TOPICS["split"])
+    related = is_in(TOPICS["split"])
     by_funds = (F.size("federal_parts") > 0) & ((F.size("other_parts") > 0) | whole.isNotNull())
     by_orders = (F.size(parts) >= 2) & related & (whole.isNull() | (F.abs(total_of(parts) - whole["value"]) < 1))
-    years = F.greatest(F.coalesce(number(F.nullif(F.regexp_extract(q, YEARS, 1), F.lit(""))).cast("double"), F.lit(1.0)), F.lit(1.0))
+    years = F.when(F.contains(low, F.lit("year")) | F.contains(low, F.lit("yr")), number(F.nullif(F.regexp_extract(q, YEARS, 1), F.lit(""))).cast("double"))
+    out = out.withColumns({"by_funds": by_funds, "by_orders": by_orders, "term": F.greatest(F.coalesce(years, F.lit(1.0)), F.lit(1.0)), "named_federal": is_in(FEDERAL_WORD)})
+    by_funds, by_orders, years, buying = F.col("by_funds"), F.col("by_orders"), F.col("term"), F.col("buying")
+    federal = F.col("named_federal") | (buying & by_funds)
+    sole = is_in(TOPICS["sole_source"]) | (federal & is_in(EMERGENCY))
+    out = out.withColumn("sole", buying & sole)
+    out = out.withColumn("reason", F.when(F.col("sole"), first_said(q, JUSTIFICATIONS, low)))
     main = F.get(F.array_sort(parts, lambda a, b: F.when(a["value"] != b["value"], F.when(a["value"] > b["value"], -1).otherwise(1)).otherwise((a["start"] - b["start"]).cast("int"))), F.lit(0))
     one = ~by_funds & ~by_orders & whole.isNull()
     first = F.get(parts, F.lit(0))["value"]
@@ -114,24 +122,20 @@ def parse(questions: DataFrame) -> DataFrame:
         .when(whole.isNotNull(), whole["value"])
         .otherwise(main["value"] * F.when(main["per_year"], years).otherwise(1.0))
     )
-    buying = F.col("buying")
-    federal = said(q, FEDERAL_WORD) | (buying & by_funds)
-    award = F.when(federal, F.when(said(q, FEDERAL_WORD) & said(q, FEDERAL_CONTRACT), "contract").otherwise("grant"))
+    award = F.when(federal, F.when(F.col("named_federal") & is_in(FEDERAL_CONTRACT), "contract").otherwise("grant"))
     term = F.when(one, years).when(by_orders & ~by_funds, 1.0).when(F.exists(parts, lambda a: a["per_year"]), 1.0).otherwise(years)
-    sole = said(q, TOPICS["sole_source"]) | (federal & said(q, EMERGENCY))
-    selection = F.when(sole, "sole_source").when(said(q, TOPICS["small_business"]), "small_business").when(said(q, PERSONAL), "professional_services").when(said(q, URGENT), "urgent")
-    reason = first_said(q, JUSTIFICATIONS)
-    reason = F.when(sole & ~((reason == "one_of_a_kind") & ~said(q, REALLY_ONE)), reason)
+    selection = F.when(F.col("sole"), "sole_source").when(is_in(TOPICS["small_business"]), "small_business").when(is_in(PERSONAL), "professional_services").when(is_in(URGENT), "urgent")
+    reason = F.when(~((F.col("reason") == "one_of_a_kind") & ~is_in(REALLY_ONE)), F.col("reason"))
     none = F.array().cast("array<double>")
     pieces = lambda text: F.transform(F.col("concrete"), lambda a, i: item(text, a, i))
     out = out.withColumns({
-        "amount": F.when(buying, amount).otherwise(0.0), "award": F.when(~F.col("tagging"), award), "split_intent": buying & said(q, DIVIDED),
+        "amount": F.when(buying, amount).otherwise(0.0), "award": F.when(~F.col("tagging"), award), "split_intent": buying & is_in(DIVIDED),
         "related": F.when(buying & by_orders & ~by_funds, F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda a: a["value"])).otherwise(none),
-        "years": F.when(buying, term).otherwise(1.0), "duration_days": F.when(buying, duration_days(q)), "selection": F.when(buying, selection), "justification": F.when(buying, reason),
-        "exception": F.when(buying, first_said(q, EXCEPTIONS)), "displaces": F.when(~F.col("tagging") & said(q, DISPLACING), True),
+        "years": F.when(buying, term).otherwise(1.0), "duration_days": F.when(buying, duration_days(q, low)), "selection": F.when(buying, selection), "justification": F.when(buying, reason),
+        "exception": F.when(buying, first_said(q, EXCEPTIONS, low)), "displaces": F.when(~F.col("tagging") & is_in(DISPLACING), True),
         "federal_part": F.when(buying & by_funds, total_of(F.col("federal_parts"))), "items": F.when(F.col("tagging"), pieces(q)).otherwise(F.array().cast("array<struct<name:string,cost:double,accessory:boolean>>")),
         "accesses_data": F.lit(None).cast("boolean"), "accesses_phi": F.lit(None).cast("boolean"), "it_services": F.lit(None).cast("boolean"), "commercial": F.lit(None).cast("boolean"),
         "topics": F.when(F.col("tagging"), F.array_sort(F.array_union("topics", F.array(F.lit("equipment"))))).otherwise(F.col("topics")),
     })
     out = out.withColumn("federal_amount", F.coalesce("federal_part", F.when(F.col("award").isNotNull(), F.col("amount")).otherwise(0.0)))
-    return out.drop("concrete", "tagging", "buying", "whole", "parts", "other_parts", "federal_parts", "federal_part")
+    return out.drop("_low", "by_funds", "by_orders", "term", "named_federal", "sole", "reason", "concrete", "tagging", "buying", "whole", "parts", "other_parts", "federal_parts", "federal_part")

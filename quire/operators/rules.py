@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions import text
+
 # Fixed values of the policies.
 BID, SAT, MICRO, GRANT_MICRO = 100_000, 350_000, 15_000, 50_000
 SMALL_BUSINESS, SMALL_BUSINESS_FEDERAL, TWO_QUOTES_ABOVE = 250_000, 100_000, 100_000
@@ -168,9 +170,9 @@ ADVISORY = (
 SERVICE = r"\b(services?|contractor|consult\w*|vendor on.?site|on.?site|install\w*|event|catering|repair|maintenance)\b"
 
 
-def said(pattern: str, text: str = "description") -> Column:
-    """Whether a pattern is in a text, in any case; false for null."""
-    return F.coalesce(F.col(text).rlike(f"(?i){pattern}"), F.lit(False))
+def said(pattern: str) -> Column:
+    """Whether a pattern is in a description, in any case; false for null. Of rows with _low, the description in lower case."""
+    return text.said(F.col("description"), pattern, F.col("_low"))
 
 
 def covered_services(requests: DataFrame) -> DataFrame:
@@ -181,24 +183,26 @@ def covered_services(requests: DataFrame) -> DataFrame:
     prohibited = F.coalesce("displaces", F.lit(False)) | (F.col("exception").isNotNull() & ~F.col("exception").isin(*EXCEPTIONS))
     days = F.coalesce(F.col("duration_days").cast("double"), F.col("years") * 365.0)
     notice = found & (F.col("amount") > NOTICE_ABOVE)
-    return requests.withColumn("services", services).withColumns({"prohibited": found & prohibited, "notice_required": notice, "parity_required": notice & (days > PARITY_ABOVE_DAYS)})
+    out = requests.withColumn("_low", F.lower("description")).withColumn("services", services).drop("_low")
+    return out.withColumns({"prohibited": found & prohibited, "notice_required": notice, "parity_required": notice & (days > PARITY_ABOVE_DAYS)})
 
 
 def categories(requests: DataFrame) -> DataFrame:
     """Adds needs_baa, needs_data_appendix, needs_is3 and category_flags; a stated flag goes before the text. After covered_services()."""
-    phi = F.coalesce("accesses_phi", said(PHI) & ~said(DEIDENTIFIED))
-    data = F.coalesce("accesses_data", said(DATA)) | phi
-    it = F.coalesce("it_services", said(IT))
+    phi, data = F.col("needs_baa"), F.col("needs_data_appendix")
     covered = F.size("services") > 0
     flags = compact(
         F.when(covered, "COVERED_SERVICE"),
-        F.when(phi, "PHI").when(said(DEIDENTIFIED) & said(PHI) & F.col("accesses_phi").isNull(), "PHI_DEIDENTIFIED"),
+        F.when(phi, "PHI").when(F.col("accesses_phi").isNull() & said(DEIDENTIFIED) & said(PHI), "PHI_DEIDENTIFIED"),
         F.when(data, "DATA_SECURITY"),
-        F.when(it & data, "IS3"),
+        F.when(F.col("needs_is3"), "IS3"),
         *(F.when(said(p), code) for code, p in ADVISORY),
         F.when(said(SERVICE) | covered, "BUS63"),
     )
-    return requests.withColumns({"needs_baa": phi, "needs_data_appendix": data, "needs_is3": it & data, "category_flags": flags})
+    out = requests.withColumn("_low", F.lower("description"))
+    out = out.withColumn("needs_baa", F.coalesce("accesses_phi", said(PHI) & ~said(DEIDENTIFIED)))
+    out = out.withColumn("needs_data_appendix", F.coalesce("accesses_data", said(DATA)) | phi)
+    return out.withColumn("needs_is3", data & F.coalesce("it_services", said(IT))).withColumn("category_flags", flags).drop("_low")
 
 
 FORMS = (

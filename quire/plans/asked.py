@@ -13,7 +13,7 @@ from quire.operators import retrieval as rt
 from quire.plans import corpus
 from quire.plans.purchases import choose, pick, sections
 from quire.plans.tables import table
-from quire.scratch import saved, sized
+from quire.scratch import dealt, saved, sized
 
 ASKED = (
     "Do we need a competitive bid for a federal grant purchase?", "Is non-federal money exempt from the SSPR form?", "A small business quote for three years per year", "Only one vendor: sole source with mixed funding",
@@ -48,7 +48,7 @@ PURCHASES = (
 
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question for each order, parsed."""
-    o = table(spark, sf_dir, "orders")
+    o = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey")
     money = lambda c: F.concat(F.lit("$"), F.format_number(c, 0))
     a, b = F.floor("o_totalprice"), F.col("o_custkey") * 7 % 120000 + 1
     text = F.replace(F.replace(pick("o_orderkey", PURCHASES), F.lit("{a}"), money(a)), F.lit("{b}"), money(b))

@@ -14,7 +14,7 @@ from quire.operators import rendering as rd
 from quire.operators import rules
 from quire.plans import purchases as pc
 from quire.plans.tables import table
-from quire.scratch import saved
+from quire.scratch import dealt, saved
 
 #: What a request's description goes on with.
 MORE = (
@@ -33,7 +33,7 @@ SOURCES = {
 
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests by orders, every twelfth without an amount, decided; parsed and decided once, else the optimiser copies the rules into every sentence."""
-    orders = table(spark, sf_dir, "orders").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 12 == 0, 0.0).otherwise(F.col("o_totalprice")))
+    orders = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"), "o_orderkey").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 12 == 0, 0.0).otherwise(F.col("o_totalprice")))
     rows = pc.requests(orders).withColumn("description", F.concat("description", pc.pick("request_id", MORE)))
     none = F.array().cast("array<struct<name:string,cost:double,accessory:boolean>>")
     thing = F.array(F.struct(F.lit("laser").alias("name"), F.col("amount").alias("cost"), (F.col("request_id") % 2 == 0).alias("accessory")))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows, and bytes of its files, up to which a table is broadcast, after it was counted.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+#: Rows of a task that puts much work into each.
+TASK_ROWS = 20_000
 #: Sessions by the scratch folders that saved() made in them and nothing has removed yet.
 MADE: dict[str, SparkSession] = {}
 
@@ -72,6 +74,11 @@ def forget_all() -> None:
             MADE.clear()
 
 
+def dealt(df: DataFrame, key: str, most: int = TASK_ROWS) -> DataFrame:
+    """df dealt by a key to so many tasks that each has about `most` rows, for work that costs much more than a row's bytes tell."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // most)), key)
+
+
 def file_bytes(df: DataFrame) -> int:
     """Bytes of the files that a table made by saved() has."""
     spark, total = df.sparkSession, 0

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators import mentions
+from quire import scratch
+from quire.functions import text
+from quire.operators import mentions, rules
+from quire.operators import questions as qs
+from quire.operators import requests as rq
 from quire.operators import retrieval as rt
+from quire.plans import asked, purchases, worded
 from quire.plans import layout as layout_plan
 
 
@@ -37,3 +42,30 @@ def test_texts_meet_only_aliases_whose_beginning_they_have(spark, monkeypatch):
         assert {r.key: sorted(a.target for a in r.aliases) for r in mentions.candidates(texts, aliases).collect()} == want
         found = {(r.key, r.target, r.quote) for r in mentions.mentions(texts, aliases).collect()}
         assert found == {("one", 7, "common word7"), ("abc", 90, "abc"), ("a_bc", 90, "A, bc"), ("ab_c", 90, "ab c"), ("solo", 91, "Solo")}
+
+
+def test_patterns_are_looked_for_only_in_texts_with_their_stems(spark):
+    patterns = {name: p for part in (qs, rq, rules) for name, p in vars(part).items() if name.isupper() and isinstance(p, str) and "(" in p and not name.startswith("CART")}
+    patterns |= qs.TOPICS | qs.EXPOSURES | qs.PERMIT_NOTES | dict(rules.COVERED) | dict(rules.ADVISORY) | dict(rq.JUSTIFICATIONS) | {f"exception_{k}": p for k, p in rq.EXCEPTIONS}
+    texts = [*purchases.TEXTS, *worded.MORE, *asked.ASKED, *(x.upper() for x in asked.ASKED), "Straße İ K riK level: RISK LEVEL", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    plain = rows.select("i", *(F.coalesce(F.col("t").rlike(f"(?i){p}"), F.lit(False)).alias(k) for k, p in patterns.items()))
+    assert sorted(rows.select("i", *(text.said(F.col("t"), p).alias(k) for k, p in patterns.items())).collect()) == sorted(plain.collect())
+    assert text.stems(qs.TOPICS["sat"]) == ("simplified acquisition",) and text.stems(r"\bp3\b|a?b+|x*") == () and text.stems(r"\p{L}ab") == ()
+    assert sum(bool(text.stems(p)) for p in patterns.values()) > 90
+
+
+def test_heavy_rows_are_dealt_to_tasks_by_their_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch.dealt, "__defaults__", (100,))
+    spark.createDataFrame([(k, k, 1000.0 * k, "2-HIGH") for k in range(2000)], "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    for rows in (asked.purchases(spark, str(tmp_path)), worded.decided(spark, str(tmp_path)).withColumn("f", F.input_file_name())):
+        by = F.col("f") if "f" in rows.columns else F.spark_partition_id()
+        sizes = [r["count"] for r in rows.groupBy(by.alias("p")).count().collect()]
+        assert sum(sizes) == 2000 and len(sizes) == 20 and max(sizes) < 200
+
+
+def test_amounts_next_to_each_other_keep_their_places(spark):
+    texts = ("$5k x25k 25k", "a\x01$ 1,200.50 and\x02 $3 million. Liability of $2,000,000? Pay 7K in total $8", "\n$12 é\U0001f600 $13", "none", "", None)
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", "t", qs.amounts(F.col("t")).alias("a")).orderBy("i").collect()
+    assert [None if r.a is None else [r.t[x.start : x.end] for x in r.a] for r in got] == [["$5k", "25k"], ["$ 1,200.50 ", "$3 million", "$2,000,000", "7K", "$8"], ["$12", "$13"], [], [], None]
+    assert [(x.reference, x.total) for x in got[1].a] == [(False, False), (False, False), (True, False), (False, False), (False, True)]
