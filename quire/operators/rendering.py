@@ -12,6 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.text import let
 from quire.operators import messages as ms
 from quire.operators import questions as qs
 from quire.operators import rules
@@ -36,6 +37,17 @@ def wording(template: str, places: Column) -> Column:
     return F.concat(*(F.coalesce(F.element_at(places, x), F.lit("")) if i % 2 else F.lit(x) for i, x in enumerate(pieces)))
 
 
+def chosen(key: Column, templates: Mapping[str, str], places: Column) -> Column:
+    """The filled template of a key, null for an unknown one; templates that are known beforehand aren't taken apart for each row."""
+    return F.coalesce(*(F.when(key == k, wording(t, places)) for k, t in templates.items()))
+
+
+def ladder(name: str) -> Column:
+    """What decide() found on one of the ladders; null where it doesn't apply."""
+    own = F.get(F.filter("ladders", lambda x: F.startswith(x, F.lit(f"{name}:"))), F.lit(0))
+    return F.substring(own, len(name) + 2, 1_000)
+
+
 def dollars(x: Column) -> Column:
     return F.concat(F.lit("$"), F.format_number(x, 0))
 
@@ -46,7 +58,7 @@ def short(x: Column) -> Column:
 
 
 def listed(codes: Column) -> Column:
-    return F.regexp_replace(codes, ",", ", ")
+    return F.replace(codes, F.lit(","), F.lit(", "))
 
 
 def places(decided: DataFrame) -> DataFrame:
@@ -59,7 +71,7 @@ def places(decided: DataFrame) -> DataFrame:
     exempt = F.element_at(mapping({k.partition(":")[2]: v for k, v in ms.MESSAGES.items() if k.startswith("exemption:")}), F.col("bid_exemption"))
     yes = lambda c: F.when(F.col(c), "YES").otherwise("NO")
     parity = F.when(F.col("notice_required"), F.concat(F.lit(" Wage/benefit parity: "), yes("parity_required"), F.lit("."))).otherwise("")
-    letters = F.regexp_extract(F.coalesce(qs.risk(F.col("description")), F.lit("")), "^high:(.*)$", 1)
+    letters = F.regexp_extract(F.coalesce(ladder("risk_matrix"), qs.risk(F.col("description")), F.lit("")), "^high:(.*)$", 1)
     exposures = F.array_join(F.transform(F.split(letters, ""), lambda x: F.element_at(mapping(ms.EXPOSURES), x)), "; ")
     others = F.filter("forms", lambda f: f != rules.FORMS[0])
     values = {
@@ -75,7 +87,7 @@ def places(decided: DataFrame) -> DataFrame:
         "line_exemption": F.when(F.col("over_bid"), F.concat(F.lit("; exemption: "), exempt)), "line_sections": F.when(F.col("form_required"), F.concat(F.lit("; sections "), listed(F.col("sections")))),
     }
     out = decided.withColumn("places", F.create_map(*(x for k, v in values.items() for x in (F.lit(k), F.coalesce(v, F.lit(""))))))
-    basis = fill(F.element_at(mapping({k: v for k, v in ms.MESSAGES.items() if k.startswith("basis:")}), F.concat(F.lit("basis:"), "basis")), F.col("places"))
+    basis = chosen(F.col("basis"), {k.partition(":")[2]: v for k, v in ms.MESSAGES.items() if k.startswith("basis:")}, F.col("places"))
     return out.withColumn("places", F.map_concat("places", F.create_map(F.lit("basis"), F.coalesce(basis, F.lit("")))))
 
 
@@ -108,9 +120,10 @@ def worded(decided: DataFrame, templates: Mapping[str, str] = ms.MESSAGES) -> Da
     out = places(decided)
     say = lambda key: wording(templates[key], F.col("places"))
     has, federal, value = F.col("amount") > 0, F.col("federal_rules"), F.col("value")
-    known = mapping({k: v for k, v in templates.items() if k.partition(":")[0] in ms.POLICIES})
+    known = {k: v for k, v in templates.items() if k.partition(":")[0] in ms.POLICIES}
     covered = covered_text(say)
-    message = lambda f, key: F.when(f["code"] == "COVERED_SERVICE", covered).otherwise(fill(F.coalesce(F.element_at(known, key), F.element_at(known, f["code"])), F.col("places")))
+    own = lambda key, code: F.when(key.isin(*known), key).otherwise(code)
+    message = lambda f, key: F.when(f["code"] == "COVERED_SERVICE", covered).otherwise(let(own(key, f["code"]), lambda k: chosen(k, known, F.col("places"))))
     texts = F.zip_with("all_flags", flag_keys(), lambda f, k: F.struct(f["code"].alias("code"), f["severity"].alias("severity"), message(f, k).alias("message"), F.element_at(mapping(ms.POLICIES), f["code"]).alias("policy")))
     whole_term = (F.col("years") > 1) & ~federal & (F.col("aggregate") >= rules.BID) & (value < rules.BID)
     micro = federal & (F.col("federal_award") == "grant") & ~F.col("form_required") & (value >= rules.MICRO)
@@ -127,15 +140,14 @@ def worded(decided: DataFrame, templates: Mapping[str, str] = ms.MESSAGES) -> Da
     facts = mapping({f: templates[f] for f in templates if f.partition(":")[2].isdigit()})
     tag = lambda e, yes, no, more=None: fill(F.when(~e["must_tag"], templates[no]).when(F.coalesce(e["accessory"], F.lit(False)) if more else F.lit(False), templates[more or yes]).otherwise(templates[yes]), F.create_map(F.lit("name"), e["name"], F.lit("cost"), dollars(e["cost"])))
     kind = lambda e: F.struct(e["name"], e["cost"], e["must_tag"], F.get(F.filter("items", lambda x: x["name"] == e["name"]), F.lit(0))["accessory"].alias("accessory"))
-    q, topic = F.col("description"), lambda t: F.array_contains("topics", t)
-    rung = lambda name, key, *more: F.when(key.isNotNull(), F.struct(F.lit(ms.LADDERS[name]).alias("code"), fill(F.element_at(mapping({k: v for k, v in templates.items() if k.startswith(f"{name}:")}), F.concat(F.lit(f"{name}:"), key)), F.col("places")).alias("headline"), F.concat(F.array(F.lit(templates[name])), compact(*more)).alias("lines")))
-    note = F.split(F.coalesce(qs.alcohol(q), F.lit("")), ",")
-    ladders = compact(
-        rung("post_employment", F.when(topic("post_employment"), qs.post_employment(q)), F.lit(templates["post_employment:ask"])),
-        rung("business_meal", F.when(topic("business_meal") & qs.business_meal(q), F.lit("documents"))),
-        rung("alcohol_permit", F.when(topic("alcohol_permit") & qs.alcohol(q).isNotNull(), F.lit("permit")), *(F.when(F.array_contains(note, k), templates[f"alcohol_permit:{k}"]) for k in qs.PERMIT_NOTES)),
-        rung("risk_matrix", F.when(topic("risk_matrix"), F.substring_index(qs.risk(q), ":", 1)), F.lit(templates["risk_matrix:limits"])),
-    )
+    headline = lambda name, key: chosen(key, {k.partition(":")[2]: v for k, v in templates.items() if k.startswith(f"{name}:")}, F.col("places"))
+    rung = lambda name, more: let(F.substring_index(ladder(name), ":", 1), lambda key: F.when(key.isNotNull(), F.struct(F.lit(ms.LADDERS[name]).alias("code"), headline(name, key).alias("headline"), F.concat(F.array(F.lit(templates[name])), more).alias("lines"))))
+    notes_of = lambda note: compact(*(F.when(F.array_contains(note, k), templates[f"alcohol_permit:{k}"]) for k in qs.PERMIT_NOTES))
+    none = F.array().cast("array<string>")
+    ladders = F.when(F.size("ladders") > 0, compact(
+        rung("post_employment", F.array(F.lit(templates["post_employment:ask"]))), rung("business_meal", none),
+        rung("alcohol_permit", let(F.split(F.coalesce(qs.alcohol(F.col("description")), F.lit("")), ","), notes_of)), rung("risk_matrix", F.array(F.lit(templates["risk_matrix:limits"]))),
+    )).otherwise(F.array().cast("array<struct<code:string,headline:string,lines:array<string>>>"))
     out = out.withColumns({"ladders_text": ladders, "facts_text": F.transform("facts", lambda k: F.element_at(facts, k)), "equipment": F.transform("equipment", kind)})
     return out.withColumns({
         "flag_texts": texts, "notes": F.when(has, notes), "funding_text": F.when(has, funding),
@@ -155,16 +167,16 @@ def answer_line(rows: DataFrame, templates: Mapping[str, str] = ms.MESSAGES) ->
         F.transform(forbidden, lambda f: f["message"]), compact(mixed, F.when(has, say("line:bid")), F.when(has, say("line:form"))), F.transform("equipment_text", lambda e: e["line"]),
         compact(covered, also), F.transform("ladders_text", lambda x: x["headline"]),
     )
-    parts = F.when(F.size(parts) > 0, parts).otherwise(F.slice("facts_text", 1, 1))
-    return rows.withColumn("header", F.when(F.size(parts) > 0, F.concat(F.lit(templates["line:before"]), F.array_join(parts, " "))).otherwise(""))
+    line = lambda p: F.when(F.size(p) > 0, F.concat(F.lit(templates["line:before"]), F.array_join(p, " "))).otherwise("")
+    return rows.withColumn("header", let(let(parts, lambda p: F.when(F.size(p) > 0, p).otherwise(F.slice("facts_text", 1, 1))), line))
 
 
 def summary(rows: DataFrame, templates: Mapping[str, str] = ms.MESSAGES) -> DataFrame:
     """worded() rows with summary, the lines of all that was decided, and context, the same between its two marks."""
     has = F.col("amount") > 0
-    under = lambda title, lines: F.when(F.size(lines) > 0, F.concat(F.array(F.lit(title)), F.transform(lines, lambda x: F.concat(F.lit("  - "), x)))).otherwise(F.array().cast("array<string>"))
+    under = lambda title, lines: let(lines, lambda own: F.when(F.size(own) > 0, F.concat(F.array(F.lit(title)), F.transform(own, lambda x: F.concat(F.lit("  - "), x)))).otherwise(F.array().cast("array<string>")))
     yes = lambda c: F.when(F.col(c), "YES").otherwise("NO")
-    form = lambda f: fill(F.element_at(mapping(ms.FORM_LINES), f), F.col("places"))
+    form = lambda f: chosen(f, ms.FORM_LINES, F.col("places"))
     serious = F.filter("flag_texts", lambda f: f["severity"].isin(*SERIOUS))
     related = F.filter("flag_texts", lambda f: f["severity"] == "info")
     flag = lambda f: F.concat(F.lit("["), F.upper(f["severity"]), F.lit("] "), f["message"], F.lit(" ("), f["policy"], F.lit(")"))
@@ -175,11 +187,11 @@ def summary(rows: DataFrame, templates: Mapping[str, str] = ms.MESSAGES) -> Data
         F.when(has, F.concat(F.lit("  SSPR form required: "), yes("form_required"))),
         F.when(has & F.col("form_required"), F.concat(F.lit("  SSPR sections: "), listed(F.col("sections")))),
     )
-    ladder = F.flatten(F.transform("ladders_text", lambda x: F.concat(F.array(F.concat(x["code"], F.lit(": "), x["headline"])), F.transform(x["lines"], lambda y: F.concat(F.lit("  - "), y)))))
+    rungs = F.flatten(F.transform("ladders_text", lambda x: F.concat(F.array(F.concat(x["code"], F.lit(": "), x["headline"])), F.transform(x["lines"], lambda y: F.concat(F.lit("  - "), y)))))
     lines = F.concat(
         thresholds, under("EQUIPMENT TAGGING (BUS-29):", F.transform("equipment_text", lambda e: e["summary"])), under("REQUIRED FORMS:", F.transform("forms", form)),
         under("COMPLIANCE FLAGS:", F.transform(serious, flag)), under("RELATED POLICIES:", F.transform(related, lambda f: F.concat(f["message"], F.lit(" ("), f["policy"], F.lit(")")))),
-        under("POLICY THRESHOLDS (reference):", F.col("facts_text")), ladder,
+        under("POLICY THRESHOLDS (reference):", F.col("facts_text")), rungs,
     )
     out = rows.withColumn("summary", lines)
     return out.withColumn("context", F.array_join(F.concat(F.array(F.lit(templates["context:before"])), "summary", F.array(F.lit(templates["context:after"]))), "\n"))
