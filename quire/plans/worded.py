@@ -61,7 +61,8 @@ def rule_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flag_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each flag's message occurs, by severity and policy."""
-    flags = rd.worded(decided(spark, sf_dir)).select(F.explode("flag_texts").alias("f")).select("f.*")
+    # the outer form, since the optimiser puts a filter before the other one that words all messages two more times
+    flags = rd.worded(decided(spark, sf_dir)).select(F.explode_outer("flag_texts").alias("f")).where(F.col("f").isNotNull()).select("f.*")
     return flags.groupBy("code", "severity", "policy").agg(F.count("*").alias("n"), F.min("message").alias("first"), F.max("message").alias("last"))
 
 
