@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import questions as qs
 from quire.operators import rendering, rules
+from quire.operators.messages import LADDERS
 from quire.operators.rules import compact
 
 # Fixed severities of the flags.
@@ -30,13 +31,25 @@ def severity(flag: Column, prohibited: Column) -> Column:
     return F.when(flag == "COVERED_SERVICE", F.when(prohibited, "block").otherwise("require")).otherwise(F.element_at(known, flag))
 
 
+def read(requests: DataFrame) -> DataFrame:
+    """Adds what decide() takes from description and topics alone: heard, and rungs, what each ladder finds; rows that have both stay as they are.
+
+    decide() calls it. Callers whose requests share their texts can call it on each text once and join.
+    """
+    if "rungs" in requests.columns:
+        return rules.heard(requests)
+    q = F.col("description")
+    found = {"post_employment": qs.post_employment(q), "business_meal": F.when(qs.business_meal(q), "documents"), "alcohol_permit": F.when(qs.said(q, qs.ALCOHOL), "permit"), "risk_matrix": qs.risk(q)}
+    return rules.heard(requests).withColumn("rungs", F.struct(*(F.when(F.array_contains("topics", k), v).alias(k) for k, v in found.items())))
+
+
 def decide(requests: DataFrame, sections: DataFrame) -> DataFrame:
-    """Requests, as parse() makes them, with all determinations: those of the rules, all_flags (code, severity), facts, ladders, tagged items.
+    """Requests, as parse() makes them, with all determinations: those of the rules, all_flags (code, severity), facts, ladders and their rungs, tagged items.
 
     Without an amount nothing is decided on funding and thresholds: bid_required and form_required are null. Facts are
     for questions without a purchase. substantive: something is required, blocked or tagged; empty: nothing was found.
     """
-    out = rules.split_orders(rules.sole_source(rules.evaluated(rules.funding(requests))))
+    out = rules.split_orders(rules.sole_source(rules.evaluated(rules.funding(read(requests)))))
     out = rules.forms(rules.categories(rules.covered_services(rules.thresholds(out, sections))))
     has = F.col("amount") > 0
     split = F.transform("split_flags", lambda _: F.lit("SPLIT_ORDER"))
@@ -44,15 +57,9 @@ def decide(requests: DataFrame, sections: DataFrame) -> DataFrame:
     bought = F.concat(split, "flags", compact(below))
     codes = F.concat(F.when(has, bought).otherwise(F.array().cast("array<string>")), "category_flags")
     tag = lambda x: F.struct(x["name"].alias("name"), x["cost"].alias("cost"), (x["cost"] >= rules.TAG).alias("must_tag"))
-    q = F.col("description")
-    topical = lambda t, value: F.when(F.array_contains("topics", t), value)
-    found = {
-        "post_employment": topical("post_employment", qs.post_employment(q)), "business_meal": topical("business_meal", F.when(qs.business_meal(q), "documents")),
-        "alcohol_permit": topical("alcohol_permit", F.when(qs.said(q, qs.ALCOHOL), "permit")), "risk_matrix": topical("risk_matrix", qs.risk(q)),
-    }
     out = out.withColumns({
         "all_flags": F.transform(codes, lambda c: F.struct(c.alias("code"), severity(c, F.col("prohibited")).alias("severity"))),
-        "equipment": F.transform("items", tag), "ladders": compact(*(F.concat(F.lit(f"{k}:"), v) for k, v in found.items())),
+        "equipment": F.transform("items", tag), "ladders": compact(*(F.concat(F.lit(f"{k}:"), F.col("rungs")[k]) for k in LADDERS)),
         "facts": F.when((F.col("amount") == 0) & (F.size("items") == 0), reference_facts(F.col("topics"))).otherwise(F.array().cast("array<string>")),
         "bid_required": F.when(has, F.col("bid_required")), "form_required": F.when(has, F.col("form_required")),
     })

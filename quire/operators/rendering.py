@@ -1,7 +1,9 @@
 """Determinations in words: flags' messages, the summary, the answer's line, and the four-part answer.
 
-Templates stand in a map by key; a row's places are another map, and fill() puts the two together in one pass over the
-template's pieces. Everything is a projection of the row: no join, no shuffle. Callers can give their own templates.
+Templates stand in a map by key; places() are the columns that fill them, and wording() puts the two side by side, so that
+a row makes only those places that its own sentences name. Everything is a projection of the row: no join, no shuffle.
+Lambdas are left to lists of a row, since Spark doesn't compile what stands in one or what it is applied to. Callers can
+give their own templates.
 """
 
 from __future__ import annotations
@@ -31,21 +33,20 @@ def fill(template: Column, places: Column) -> Column:
     return F.array_join(F.transform(pieces, lambda x, i: F.when(i % 2 == 1, F.coalesce(F.element_at(places, x), F.lit(""))).otherwise(x)), "")
 
 
-def wording(template: str, places: Column) -> Column:
-    """fill() for a template that is known beforehand: its pieces and places side by side."""
-    pieces = re.split("[{}]", template)
-    return F.concat(*(F.coalesce(F.element_at(places, x), F.lit("")) if i % 2 else F.lit(x) for i, x in enumerate(pieces)))
+def wording(template: str, places: Mapping[str, Column] | Column) -> Column:
+    """fill() for a template that is known beforehand: its pieces and places, columns by name or a map, side by side."""
+    own = lambda x: places.get(x, F.lit("")) if isinstance(places, Mapping) else F.element_at(places, x)
+    return F.concat(*(F.coalesce(own(x), F.lit("")) if i % 2 else F.lit(x) for i, x in enumerate(re.split("[{}]", template))))
 
 
-def chosen(key: Column, templates: Mapping[str, str], places: Column) -> Column:
+def chosen(key: Column, templates: Mapping[str, str], places: Mapping[str, Column] | Column) -> Column:
     """The filled template of a key, null for an unknown one; templates that are known beforehand aren't taken apart for each row."""
     return F.coalesce(*(F.when(key == k, wording(t, places)) for k, t in templates.items()))
 
 
-def ladder(name: str) -> Column:
-    """What decide() found on one of the ladders; null where it doesn't apply."""
-    own = F.get(F.filter("ladders", lambda x: F.startswith(x, F.lit(f"{name}:"))), F.lit(0))
-    return F.substring(own, len(name) + 2, 1_000)
+def rung(name: str) -> Column:
+    """What decide() found on one of the ladders, without its details; null where it doesn't apply."""
+    return F.substring_index(F.col("rungs")[name], ":", 1)
 
 
 def dollars(x: Column) -> Column:
@@ -61,8 +62,8 @@ def listed(codes: Column) -> Column:
     return F.replace(codes, F.lit(","), F.lit(", "))
 
 
-def places(decided: DataFrame) -> DataFrame:
-    """Adds places, the map that templates are filled from, to rows of engine.decide()."""
+def places() -> dict[str, Column]:
+    """What templates are filled with, columns of rows of engine.decide() by the places' names."""
     federal, contract = F.col("federal_rules"), F.col("award") == "contract"
     trigger = F.when(contract, rules.FORM_CONTRACT).otherwise(rules.FORM_GRANT)
     order_form = F.when(~federal, rules.FORM_OTHER).otherwise(trigger)
@@ -71,9 +72,9 @@ def places(decided: DataFrame) -> DataFrame:
     exempt = F.element_at(mapping({k.partition(":")[2]: v for k, v in ms.MESSAGES.items() if k.startswith("exemption:")}), F.col("bid_exemption"))
     yes = lambda c: F.when(F.col(c), "YES").otherwise("NO")
     parity = F.when(F.col("notice_required"), F.concat(F.lit(" Wage/benefit parity: "), yes("parity_required"), F.lit("."))).otherwise("")
-    letters = F.regexp_extract(F.coalesce(ladder("risk_matrix"), qs.risk(F.col("description")), F.lit("")), "^high:(.*)$", 1)
+    letters = F.regexp_extract(F.coalesce(F.col("rungs")["risk_matrix"], qs.risk(F.col("description")), F.lit("")), "^high:(.*)$", 1)
     exposures = F.array_join(F.transform(F.split(letters, ""), lambda x: F.element_at(mapping(ms.EXPOSURES), x)), "; ")
-    others = F.filter("forms", lambda f: f != rules.FORMS[0])
+    others = F.array_remove("forms", rules.FORMS[0])
     values = {
         "amount": dollars(F.col("amount")), "federal": dollars(F.coalesce("federal_amount", F.lit(0.0))), "other": dollars(F.col("non_federal")), "trigger": dollars(trigger),
         "award": F.coalesce("award", F.lit("grant")), "award_label": label, "requirements": F.when(F.col("federal_award") == "contract", "FAR").otherwise("2 CFR 200 Uniform Guidance"),
@@ -86,9 +87,8 @@ def places(decided: DataFrame) -> DataFrame:
         "bid": yes("bid_required"), "form": yes("form_required"), "notice": yes("notice_required"), "line_parity": parity, "others": F.array_join(others, "; "), "exposures": exposures,
         "line_exemption": F.when(F.col("over_bid"), F.concat(F.lit("; exemption: "), exempt)), "line_sections": F.when(F.col("form_required"), F.concat(F.lit("; sections "), listed(F.col("sections")))),
     }
-    out = decided.withColumn("places", F.create_map(*(x for k, v in values.items() for x in (F.lit(k), F.coalesce(v, F.lit(""))))))
-    basis = chosen(F.col("basis"), {k.partition(":")[2]: v for k, v in ms.MESSAGES.items() if k.startswith("basis:")}, F.col("places"))
-    return out.withColumn("places", F.map_concat("places", F.create_map(F.lit("basis"), F.coalesce(basis, F.lit("")))))
+    basis = chosen(F.col("basis"), {k.partition(":")[2]: v for k, v in ms.MESSAGES.items() if k.startswith("basis:")}, values)
+    return values | {"basis": basis}
 
 
 def flag_keys() -> Column:
@@ -115,15 +115,29 @@ def covered_text(say) -> Column:
     return F.array_join(compact(say("covered:is"), allowed, notice, parity), " ")
 
 
+def headline(name: str, templates: Mapping[str, str], own_places: Mapping[str, Column]) -> Column:
+    """The first sentence of what decide() found on a ladder."""
+    return chosen(rung(name), {k.partition(":")[2]: v for k, v in templates.items() if k.startswith(f"{name}:")}, own_places)
+
+
+def prohibitions(templates: Mapping[str, str], say) -> list[Column]:
+    """The messages of the flags that forbid something, in the flags' order, each null where its flag isn't up."""
+    up = lambda code: F.array_contains(F.col("all_flags.code"), code)
+    split = [F.when(up("SPLIT_ORDER") & F.array_contains("split_flags", kind), say(f"SPLIT_ORDER:{kind}")) for kind in ("competitive_bid", "form", "intent") if f"SPLIT_ORDER:{kind}" in templates]
+    j, granted = F.col("justification"), F.coalesce(F.col("federal_award") == "grant", F.lit(False))
+    reasons = [F.when((j == x) & ~granted if x == "no_competition" else j == x, say(f"SOLE_SOURCE_INVALID:{x}")) for x in (*rules.DISALLOWED, "no_competition") if f"SOLE_SOURCE_INVALID:{x}" in templates]
+    return [*split, F.when(up("SOLE_SOURCE_INVALID"), F.coalesce(*reasons, say("SOLE_SOURCE_INVALID"))), F.when(up("SB_LIMIT_EXCEEDED"), say("SB_LIMIT_EXCEEDED"))]
+
+
 def worded(decided: DataFrame, templates: Mapping[str, str] = ms.MESSAGES) -> DataFrame:
     """Rows of engine.decide() with flag_texts (code, severity, message, policy), notes, funding_text, facts_text, equipment_text and ladders_text (code, headline, lines)."""
-    out = places(decided)
-    say = lambda key: wording(templates[key], F.col("places"))
+    own_places = places()
+    say = lambda key: wording(templates[key], own_places)
     has, federal, value = F.col("amount") > 0, F.col("federal_rules"), F.col("value")
     known = {k: v for k, v in templates.items() if k.partition(":")[0] in ms.POLICIES}
     covered = covered_text(say)
     own = lambda key, code: F.when(key.isin(*known), key).otherwise(code)
-    message = lambda f, key: F.when(f["code"] == "COVERED_SERVICE", covered).otherwise(let(own(key, f["code"]), lambda k: chosen(k, known, F.col("places"))))
+    message = lambda f, key: F.when(f["code"] == "COVERED_SERVICE", covered).otherwise(let(own(key, f["code"]), lambda k: chosen(k, known, own_places)))
     texts = F.zip_with("all_flags", flag_keys(), lambda f, k: F.struct(f["code"].alias("code"), f["severity"].alias("severity"), message(f, k).alias("message"), F.element_at(mapping(ms.POLICIES), f["code"]).alias("policy")))
     whole_term = (F.col("years") > 1) & ~federal & (F.col("aggregate") >= rules.BID) & (value < rules.BID)
     micro = federal & (F.col("federal_award") == "grant") & ~F.col("form_required") & (value >= rules.MICRO)
@@ -140,15 +154,14 @@ def worded(decided: DataFrame, templates: Mapping[str, str] = ms.MESSAGES) -> Da
     facts = mapping({f: templates[f] for f in templates if f.partition(":")[2].isdigit()})
     tag = lambda e, yes, no, more=None: fill(F.when(~e["must_tag"], templates[no]).when(F.coalesce(e["accessory"], F.lit(False)) if more else F.lit(False), templates[more or yes]).otherwise(templates[yes]), F.create_map(F.lit("name"), e["name"], F.lit("cost"), dollars(e["cost"])))
     kind = lambda e: F.struct(e["name"], e["cost"], e["must_tag"], F.get(F.filter("items", lambda x: x["name"] == e["name"]), F.lit(0))["accessory"].alias("accessory"))
-    headline = lambda name, key: chosen(key, {k.partition(":")[2]: v for k, v in templates.items() if k.startswith(f"{name}:")}, F.col("places"))
-    rung = lambda name, more: let(F.substring_index(ladder(name), ":", 1), lambda key: F.when(key.isNotNull(), F.struct(F.lit(ms.LADDERS[name]).alias("code"), headline(name, key).alias("headline"), F.concat(F.array(F.lit(templates[name])), more).alias("lines"))))
+    steps = lambda name, more: F.when(F.col("rungs")[name].isNotNull(), F.struct(F.lit(ms.LADDERS[name]).alias("code"), headline(name, templates, own_places).alias("headline"), F.concat(F.array(F.lit(templates[name])), more).alias("lines")))
     notes_of = lambda note: compact(*(F.when(F.array_contains(note, k), templates[f"alcohol_permit:{k}"]) for k in qs.PERMIT_NOTES))
     none = F.array().cast("array<string>")
     ladders = F.when(F.size("ladders") > 0, compact(
-        rung("post_employment", F.array(F.lit(templates["post_employment:ask"]))), rung("business_meal", none),
-        rung("alcohol_permit", let(F.split(F.coalesce(qs.alcohol(F.col("description")), F.lit("")), ","), notes_of)), rung("risk_matrix", F.array(F.lit(templates["risk_matrix:limits"]))),
+        steps("post_employment", F.array(F.lit(templates["post_employment:ask"]))), steps("business_meal", none),
+        steps("alcohol_permit", let(F.split(F.coalesce(qs.alcohol(F.col("description")), F.lit("")), ","), notes_of)), steps("risk_matrix", F.array(F.lit(templates["risk_matrix:limits"]))),
     )).otherwise(F.array().cast("array<struct<code:string,headline:string,lines:array<string>>>"))
-    out = out.withColumns({"ladders_text": ladders, "facts_text": F.transform("facts", lambda k: F.element_at(facts, k)), "equipment": F.transform("equipment", kind)})
+    out = decided.withColumns({"ladders_text": ladders, "facts_text": F.transform("facts", lambda k: F.element_at(facts, k)), "equipment": F.transform("equipment", kind)})
     return out.withColumns({
         "flag_texts": texts, "notes": F.when(has, notes), "funding_text": F.when(has, funding),
         "equipment_text": F.transform("equipment", lambda e: F.struct(tag(e, "tag:yes", "tag:no", "tag:accessory").alias("summary"), tag(e, "line:tag", "line:no_tag").alias("line"))),
@@ -157,18 +170,16 @@ def worded(decided: DataFrame, templates: Mapping[str, str] = ms.MESSAGES) -> Da
 
 def answer_line(rows: DataFrame, templates: Mapping[str, str] = ms.MESSAGES) -> DataFrame:
     """worded() rows with header, the determination in one line: prohibitions first, so that no later NO reads as permission; headlines of the ladders last; else the first fact. Empty where nothing was decided."""
-    say = lambda key: wording(templates[key], F.col("places"))
+    own_places = places()
+    say = lambda key: wording(templates[key], own_places)
     has = F.col("amount") > 0
-    forbidden = F.filter("flag_texts", lambda f: f["severity"].isin("block", "require") & f["code"].isin(*ms.PROHIBITIONS))
     mixed = F.when(has & F.col("mixed"), F.when(F.col("federal_rules"), say("line:mixed_federal")).otherwise(say("line:mixed_other")))
     covered = F.when(F.size("services") > 0, F.when(F.col("prohibited"), say("line:prohibited")).otherwise(say("line:exception")))
-    also = F.when(F.exists("forms", lambda f: f != rules.FORMS[0]), say("line:also"))
-    parts = F.concat(
-        F.transform(forbidden, lambda f: f["message"]), compact(mixed, F.when(has, say("line:bid")), F.when(has, say("line:form"))), F.transform("equipment_text", lambda e: e["line"]),
-        compact(covered, also), F.transform("ladders_text", lambda x: x["headline"]),
-    )
-    line = lambda p: F.when(F.size(p) > 0, F.concat(F.lit(templates["line:before"]), F.array_join(p, " "))).otherwise("")
-    return rows.withColumn("header", let(let(parts, lambda p: F.when(F.size(p) > 0, p).otherwise(F.slice("facts_text", 1, 1))), line))
+    also = F.when(F.size(F.array_remove("forms", rules.FORMS[0])) > 0, say("line:also"))
+    # one string rather than a list, whose filters and joins Spark doesn't compile; each part is a sentence, so it is empty only without parts
+    parts = F.concat_ws(" ", *prohibitions(templates, say), mixed, F.when(has, say("line:bid")), F.when(has, say("line:form")), F.transform("equipment_text", lambda e: e["line"]), covered, also, *(headline(name, templates, own_places) for name in ms.LADDERS))
+    line = F.when(F.col("_parts") != "", F.concat(F.lit(templates["line:before"]), "_parts")).when(F.size("facts_text") > 0, F.concat(F.lit(templates["line:before"]), F.get("facts_text", F.lit(0)))).otherwise("")
+    return rows.withColumn("_parts", parts).withColumn("header", line).drop("_parts")
 
 
 def summary(rows: DataFrame, templates: Mapping[str, str] = ms.MESSAGES) -> DataFrame:
@@ -176,7 +187,8 @@ def summary(rows: DataFrame, templates: Mapping[str, str] = ms.MESSAGES) -> Data
     has = F.col("amount") > 0
     under = lambda title, lines: let(lines, lambda own: F.when(F.size(own) > 0, F.concat(F.array(F.lit(title)), F.transform(own, lambda x: F.concat(F.lit("  - "), x)))).otherwise(F.array().cast("array<string>")))
     yes = lambda c: F.when(F.col(c), "YES").otherwise("NO")
-    form = lambda f: chosen(f, ms.FORM_LINES, F.col("places"))
+    own_places = places()
+    form = lambda f: chosen(f, ms.FORM_LINES, own_places)
     serious = F.filter("flag_texts", lambda f: f["severity"].isin(*SERIOUS))
     related = F.filter("flag_texts", lambda f: f["severity"] == "info")
     flag = lambda f: F.concat(F.lit("["), F.upper(f["severity"]), F.lit("] "), f["message"], F.lit(" ("), f["policy"], F.lit(")"))

@@ -175,34 +175,48 @@ def said(pattern: str) -> Column:
     return text.said(F.col("description"), pattern, F.col("_low"))
 
 
-def covered_services(requests: DataFrame) -> DataFrame:
-    """Adds services, prohibited, notice_required (above 100 000) and parity_required (and longer than 90 days)."""
+def heard(texts: DataFrame) -> DataFrame:
+    """Adds heard, what the rules on services and categories take from a description alone; rows that have it stay as they are."""
+    if "heard" in texts.columns:
+        return texts
     not_this = {"security": said(NOT_GUARDS) & ~said(GUARDS), "building maintenance": said(CRAFTS)}
-    services = compact(*(F.when(said(p) & ~not_this.get(name, F.lit(False)), name) for name, p in COVERED))
+    found = {
+        "services": compact(*(F.when(said(p) & ~not_this.get(name, F.lit(False)), name) for name, p in COVERED)),
+        "advisory": compact(*(F.when(said(p), code) for code, p in ADVISORY)),
+        "phi": said(PHI), "deidentified": said(DEIDENTIFIED), "data": said(DATA), "it": said(IT), "service": said(SERVICE),
+    }
+    return texts.withColumn("_low", F.lower("description")).withColumn("heard", F.struct(*(v.alias(k) for k, v in found.items()))).drop("_low")
+
+
+def covered_services(requests: DataFrame) -> DataFrame:
+    """Adds heard, services, prohibited, notice_required (above 100 000) and parity_required (and longer than 90 days)."""
     found = F.size("services") > 0
     prohibited = F.coalesce("displaces", F.lit(False)) | (F.col("exception").isNotNull() & ~F.col("exception").isin(*EXCEPTIONS))
     days = F.coalesce(F.col("duration_days").cast("double"), F.col("years") * 365.0)
     notice = found & (F.col("amount") > NOTICE_ABOVE)
-    out = requests.withColumn("_low", F.lower("description")).withColumn("services", services).drop("_low")
+    out = heard(requests).withColumn("services", F.col("heard.services"))
     return out.withColumns({"prohibited": found & prohibited, "notice_required": notice, "parity_required": notice & (days > PARITY_ABOVE_DAYS)})
 
 
 def categories(requests: DataFrame) -> DataFrame:
-    """Adds needs_baa, needs_data_appendix, needs_is3 and category_flags; a stated flag goes before the text. After covered_services()."""
+    """Adds needs_baa, needs_data_appendix, needs_is3 and category_flags, and drops heard; a stated flag goes before the text. After covered_services()."""
     phi, data = F.col("needs_baa"), F.col("needs_data_appendix")
     covered = F.size("services") > 0
-    flags = compact(
-        F.when(covered, "COVERED_SERVICE"),
-        F.when(phi, "PHI").when(F.col("accesses_phi").isNull() & said(DEIDENTIFIED) & said(PHI), "PHI_DEIDENTIFIED"),
-        F.when(data, "DATA_SECURITY"),
-        F.when(F.col("needs_is3"), "IS3"),
-        *(F.when(said(p), code) for code, p in ADVISORY),
-        F.when(said(SERVICE) | covered, "BUS63"),
+    is_in = lambda name: F.col("heard")[name]
+    flags = F.concat(
+        compact(
+            F.when(covered, "COVERED_SERVICE"),
+            F.when(phi, "PHI").when(F.col("accesses_phi").isNull() & is_in("deidentified") & is_in("phi"), "PHI_DEIDENTIFIED"),
+            F.when(data, "DATA_SECURITY"),
+            F.when(F.col("needs_is3"), "IS3"),
+        ),
+        is_in("advisory"),
+        compact(F.when(is_in("service") | covered, "BUS63")),
     )
-    out = requests.withColumn("_low", F.lower("description"))
-    out = out.withColumn("needs_baa", F.coalesce("accesses_phi", said(PHI) & ~said(DEIDENTIFIED)))
-    out = out.withColumn("needs_data_appendix", F.coalesce("accesses_data", said(DATA)) | phi)
-    return out.withColumn("needs_is3", data & F.coalesce("it_services", said(IT))).withColumn("category_flags", flags).drop("_low")
+    out = heard(requests)
+    out = out.withColumn("needs_baa", F.coalesce("accesses_phi", is_in("phi") & ~is_in("deidentified")))
+    out = out.withColumn("needs_data_appendix", F.coalesce("accesses_data", is_in("data")) | phi)
+    return out.withColumn("needs_is3", data & F.coalesce("it_services", is_in("it"))).withColumn("category_flags", flags).drop("heard")
 
 
 FORMS = (

@@ -14,7 +14,7 @@ from quire.operators import rendering as rd
 from quire.operators import rules
 from quire.plans import purchases as pc
 from quire.plans.tables import table
-from quire.scratch import dealt, saved
+from quire.scratch import dealt, saved, sized
 
 #: What a request's description goes on with.
 MORE = (
@@ -31,19 +31,32 @@ SOURCES = {
 }
 
 
-def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests by orders, every twelfth without an amount, decided; parsed and decided once, else the optimiser copies the rules into every sentence."""
-    orders = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"), "o_orderkey").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 12 == 0, 0.0).otherwise(F.col("o_totalprice")))
-    rows = pc.requests(orders).withColumn("description", F.concat("description", pc.pick("request_id", MORE)))
+def read_once(given: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows with topics and what decide() takes from a description, from the distinct descriptions of the same rows as they are given."""
+    texts = dealt(given.select(F.col("description").alias("text")).distinct(), "text")
+    texts = en.read(texts.withColumns({"description": F.col("text"), "topics": qs.topics(F.col("text"))})).drop("description")
+    return rows.join(sized(texts), F.col("description").eqNullSafe(F.col("text")), "left").drop("text")
+
+
+def determined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests by orders, every twelfth without an amount, decided; descriptions that many requests share are read once each."""
+    described = lambda orders: pc.requests(orders.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 12 == 0, 0.0).otherwise(F.col("o_totalprice")))).withColumn("description", F.concat("description", pc.pick("request_id", MORE)))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    rows = read_once(described(orders), described(dealt(orders, "o_orderkey")))
     none = F.array().cast("array<struct<name:string,cost:double,accessory:boolean>>")
     thing = F.array(F.struct(F.lit("laser").alias("name"), F.col("amount").alias("cost"), (F.col("request_id") % 2 == 0).alias("accessory")))
-    rows = rows.withColumns({"topics": qs.topics(F.col("description")), "items": F.when(F.col("request_id") % 21 == 5, thing).otherwise(none)})
-    return saved(rules.source_keys(en.decide(rows, pc.sections(spark))))
+    rows = rows.withColumns({"items": F.when(F.col("request_id") % 21 == 5, thing).otherwise(none)})
+    return rules.source_keys(en.decide(rows, pc.sections(spark)))
+
+
+def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """determined(), written once, for sentences in lambdas, into which the optimiser copies the rules."""
+    return saved(determined(spark, sf_dir))
 
 
 def answer_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The determination in one line: prohibitions first, headlines of ladders last."""
-    return rd.answer_line(rd.worded(decided(spark, sf_dir))).select("request_id", "header")
+    return rd.answer_line(rd.worded(determined(spark, sf_dir))).select("request_id", "header")
 
 
 def rule_context(spark: SparkSession, sf_dir: str) -> DataFrame:

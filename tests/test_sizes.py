@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire import scratch
 from quire.functions import text
-from quire.operators import mentions, rules
+from quire.operators import engine, mentions, messages, rendering, rules
 from quire.operators import questions as qs
 from quire.operators import requests as rq
 from quire.operators import retrieval as rt
@@ -74,3 +74,21 @@ def test_amounts_next_to_each_other_keep_their_places(spark):
 def test_messages_of_flags_are_worded_once(spark):
     plan = worded.flag_messages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("zip_with(") == 1
+
+
+def test_descriptions_that_requests_share_are_read_once(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(worded, "sized", lambda df: read.append(df.count()) or scratch.sized(df))
+    texts = [*(t + m for t in purchases.TEXTS for m in worded.MORE), "", None]
+    rows = spark.createDataFrame([(i, texts[i % len(texts)]) for i in range(3 * len(texts))], "request_id long, description string")
+    one_by_one = engine.read(rows.withColumn("topics", qs.topics(F.col("description"))))
+    got = worded.read_once(rows, rows).select(one_by_one.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, one_by_one.collect())) and read == [len(texts)]
+    assert "RLIKE" not in worded.determined(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_header_words_only_the_flags_that_it_names(spark):
+    assert "zip_with(" not in worded.answer_headers(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    forbidden = F.filter("flag_texts", lambda f: f["severity"].isin("block", "require") & f["code"].isin(*messages.PROHIBITIONS))
+    rows = rendering.answer_line(rendering.worded(worded.decided(spark, "/root/testdata/sf0.001"))).select("header", F.transform(forbidden, lambda f: f["message"]).alias("m")).collect()
+    assert all(r.header.startswith(" ".join([messages.MESSAGES["line:before"].strip(), *r.m])) for r in rows if r.m) and len({m for r in rows for m in r.m}) > 100
