@@ -181,11 +181,11 @@ def citation(policy: Column, page: Column, section: Column) -> Column:
 
 def reply_parts(text: Column) -> Column:
     """(answer, conditions) of a reply; lines under Rule or Source are dropped, conditions without text are None."""
-    stop = r"(?im)^\s*\**(?:Rule|Source)s?\**\s*:"
-    cut = F.split(text, r"(?im)^\s*\**Conditions\**\s*:\s*", 2)
-    first = lambda t: F.element_at(F.split(t, stop, 2), 1)
-    answer = F.regexp_replace(F.trim(first(cut[0])), r"(?i)^\s*\**Answer\**\s*:\s*", "")
-    rest = F.trim(F.regexp_replace(first(F.coalesce(F.get(cut, F.lit(1)), F.lit(""))), r"^\s+|\s+$", ""))
+    # not by split(), which compiles its pattern again for each row
+    first = lambda t: F.regexp_replace(t, r"(?im)^\s*\**(?:Rule|Source)s?\**\s*:(?s:.*)", "")
+    conditions = r"(?im)^\s*\**Conditions\**\s*:\s*((?s:.*))"
+    answer = F.regexp_replace(F.trim(first(F.regexp_replace(text, conditions, ""))), r"(?i)^\s*\**Answer\**\s*:\s*", "")
+    rest = F.trim(F.regexp_replace(first(F.coalesce(F.regexp_extract(text, conditions, 1), F.lit(""))), r"^\s+|\s+$", ""))
     return F.struct(F.trim(F.regexp_replace(answer, r"\s+", " ")).alias("answer"), F.when(rest == "", "None").otherwise(rest).alias("conditions"))
 
 

@@ -121,9 +121,13 @@ def headline(name: str, templates: Mapping[str, str], own_places: Mapping[str, C
 
 
 def prohibitions(templates: Mapping[str, str], say) -> list[Column]:
-    """The messages of the flags that forbid something, in the flags' order, each null where its flag isn't up."""
-    up = lambda code: F.array_contains(F.col("all_flags.code"), code)
-    split = [F.when(up("SPLIT_ORDER") & F.array_contains("split_flags", kind), say(f"SPLIT_ORDER:{kind}")) for kind in ("competitive_bid", "form", "intent") if f"SPLIT_ORDER:{kind}" in templates]
+    """The messages of the flags that forbid something, in the flags' order, each null where its flag isn't up.
+
+    Only purchases have such flags, and the rules' own columns tell them, so that all_flags need not be made for them.
+    """
+    has = F.col("amount") > 0
+    up = lambda code: has & F.array_contains("flags", code)
+    split = [F.when(has & F.array_contains("split_flags", kind), say(f"SPLIT_ORDER:{kind}")) for kind in ("competitive_bid", "form", "intent") if f"SPLIT_ORDER:{kind}" in templates]
     j, granted = F.col("justification"), F.coalesce(F.col("federal_award") == "grant", F.lit(False))
     reasons = [F.when((j == x) & ~granted if x == "no_competition" else j == x, say(f"SOLE_SOURCE_INVALID:{x}")) for x in (*rules.DISALLOWED, "no_competition") if f"SOLE_SOURCE_INVALID:{x}" in templates]
     return [*split, F.when(up("SOLE_SOURCE_INVALID"), F.coalesce(*reasons, say("SOLE_SOURCE_INVALID"))), F.when(up("SB_LIMIT_EXCEEDED"), say("SB_LIMIT_EXCEEDED"))]
@@ -227,16 +231,18 @@ def pure_threshold(intent: Column) -> Column:
 
 
 def answered(rows: DataFrame, reply: Column, intent: Column, sources: Column, templates: Mapping[str, str] = ms.MESSAGES) -> DataFrame:
-    """rendered() rows with answer, its four parts in four lines.
+    """answer_line() rows with answer, its four parts in four lines.
 
     The rule and the sources are the engine's, word for word; answer and conditions are the reply's, without anything it
     says under Rule or Source. A question for a general threshold needs no reply: the facts are its answer. sources: an
     array of cited lines.
     """
-    rule = F.regexp_replace("header", "^" + templates["line:before"].replace("(", r"\(").replace(")", r"\)"), "")
+    before = templates["line:before"]
+    rule = F.when(F.startswith("header", F.lit(before)), F.substr("header", F.lit(len(before) + 1))).otherwise(F.col("header"))
     source = F.coalesce(F.nullif(F.array_join(sources, "; "), F.lit("")), F.lit(templates["answer:no_source"]))
     parts = qs.reply_parts(F.coalesce(reply, F.lit("")))
-    pure = pure_threshold(intent)
-    said = F.when(pure, F.array_join("facts_text", " ")).otherwise(F.coalesce(F.nullif(parts["answer"], F.lit("")), rule))
-    conditions = F.when(pure, F.lit(templates["answer:general"])).otherwise(parts["conditions"])
-    return rows.withColumn("answer", F.concat(F.lit("Answer: "), said, F.lit("\nRule: "), rule, F.lit("\nSource: "), source, F.lit("\nConditions: "), conditions))
+    out = rows.withColumns({"_rule": rule, "_pure": pure_threshold(intent), "_said": parts["answer"], "_conditions": parts["conditions"]})  # once a row
+    said = F.when(F.col("_pure"), F.array_join("facts_text", " ")).when(F.col("_said") != "", F.col("_said")).otherwise(F.col("_rule"))
+    conditions = F.when(F.col("_pure"), F.lit(templates["answer:general"])).otherwise(F.col("_conditions"))
+    answer = F.concat(F.lit("Answer: "), said, F.lit("\nRule: "), F.col("_rule"), F.lit("\nSource: "), source, F.lit("\nConditions: "), conditions)
+    return out.withColumn("answer", answer).drop("_rule", "_pure", "_said", "_conditions")

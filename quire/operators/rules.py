@@ -119,11 +119,12 @@ def split_orders(requests: DataFrame) -> DataFrame:
     orders = F.concat(F.array("amount"), F.coalesce("related", F.array().cast("array<double>")))
     total = F.aggregate(orders, F.lit(0.0), lambda a, x: a + x)
     form = F.when(~F.col("federal_rules"), FORM_OTHER).when(F.col("award") == "contract", FORM_CONTRACT).otherwise(FORM_GRANT)
-    under = lambda limit: (F.size(orders) >= 2) & F.forall(orders, lambda x: x < limit) & (total >= limit)
-    found = compact(F.when(under(F.lit(BID)), "competitive_bid"), F.when((form != BID) & under(form), "form"))
-    intent = F.coalesce("split_intent", F.lit(False))
-    flags = F.when(F.size(found) > 0, found).when(intent, F.array(F.lit("intent"))).otherwise(found)
-    return requests.withColumns({"orders_total": total, "n_orders": F.size(orders), "split_flags": flags})
+    # by the largest order, not forall(), since Spark doesn't compile lambdas; a null among the orders leaves no total
+    under = lambda limit: (F.col("n_orders") >= 2) & (F.col("_most") < limit) & (F.col("orders_total") >= limit)
+    bid, own = under(F.lit(BID)), (form != BID) & under(form)
+    named = lambda *names: F.array(*map(F.lit, names))
+    flags = F.when(bid & own, named("competitive_bid", "form")).when(bid, named("competitive_bid")).when(own, named("form")).when(F.col("split_intent"), named("intent")).otherwise(F.array().cast("array<string>"))
+    return requests.withColumns({"orders_total": total, "n_orders": F.size(orders), "_most": F.array_max(orders)}).withColumn("split_flags", flags).drop("_most")
 
 
 def equipment(items: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def rule_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rule_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The answer's four parts around a reply."""
-    rows = rd.rendered(decided(spark, sf_dir))
+    rows = rd.answer_line(rd.worded(determined(spark, sf_dir)))  # the answer takes no line of the summary
     keys = F.when(F.col("amount") > 0, F.col("source_keys")).otherwise(F.array().cast("array<string>"))
     out = rd.answered(rows, pc.pick("request_id", REPLIES), pc.pick("request_id", INTENTS), rd.cited(keys, SOURCES))
     return out.select("request_id", "answer")

@@ -92,3 +92,42 @@ def test_a_header_words_only_the_flags_that_it_names(spark):
     forbidden = F.filter("flag_texts", lambda f: f["severity"].isin("block", "require") & f["code"].isin(*messages.PROHIBITIONS))
     rows = rendering.answer_line(rendering.worded(worded.decided(spark, "/root/testdata/sf0.001"))).select("header", F.transform(forbidden, lambda f: f["message"]).alias("m")).collect()
     assert all(r.header.startswith(" ".join([messages.MESSAGES["line:before"].strip(), *r.m])) for r in rows if r.m) and len({m for r in rows for m in r.m}) > 100
+
+
+def test_an_answer_makes_only_what_it_says(spark):
+    fields = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    plan = worded.rule_answers(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.debug.maxToStringFields", fields)
+    # two tables are read, orders and descriptions, and none of determinations; no flag but the prohibitions' is made; replies are taken apart in a column of their own
+    assert plan.count("] parquet") == 2 and "flags#" in plan and "category_flags#" not in plan and "COVERED_SERVICE" not in plan and plan.count("Conditions\\**") <= 3
+
+
+def test_replies_are_cut_at_their_first_marks(spark):
+    texts = (
+        *worded.REPLIES, *asked.REPLIES, "Conditions: a\nConditions: b\nSource: c", "\n \n**Conditions** : \n\n x\u2028y\nRule: z", "Rule: r\nAnswer: n", "Answer: a\r\nSources: s\r\nConditions:\r\n- one\r\n- two",
+        "no conditions: here", "a\nrules : b\nCONDITIONS:c\n**Source**: d\nmore", "Answer: x Rule: y", "\\$1 \\ $2\nConditions: $3", "Conditions:",
+    )
+    stop, mark = r"(?im)^\s*\**(?:Rule|Source)s?\**\s*:", r"(?im)^\s*\**Conditions\**\s*:\s*"
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    cut = lambda c, p: F.split(c, p, 2)
+    answer = F.regexp_replace(F.trim(cut(cut(F.col("t"), mark)[0], stop)[0]), r"(?i)^\s*\**Answer\**\s*:\s*", "")
+    rest = F.trim(F.regexp_replace(cut(F.coalesce(F.get(cut(F.col("t"), mark), F.lit(1)), F.lit("")), stop)[0], r"^\s+|\s+$", ""))
+    want = rows.select("i", F.trim(F.regexp_replace(answer, r"\s+", " ")).alias("answer"), F.when(rest == "", "None").otherwise(rest).alias("conditions"))
+    assert sorted(rows.select("i", qs.reply_parts(F.col("t")).alias("p")).select("i", "p.*").collect()) == sorted(want.collect())
+
+
+def test_split_orders_without_lambdas(spark):
+    amounts = (None, 0.0, 10_000.0, 49_999.99, 50_000.0, 99_999.99, 100_000.0, float("nan"))
+    related = (None, [], [None], [5_000.0], [40_000.0, 30_000.0], [90_000.0, None], [100_000.0], [float("nan")])
+    cases = [(a, r, f, w, s) for a in amounts for r in related for f in (True, False, None) for w in ("contract", None) for s in (True, None)]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, amount double, related array<double>, federal_rules boolean, award string, split_intent boolean")
+    orders = F.concat(F.array("amount"), F.coalesce("related", F.array().cast("array<double>")))
+    total = F.aggregate(orders, F.lit(0.0), lambda a, x: a + x)
+    form = F.when(~F.col("federal_rules"), rules.FORM_OTHER).when(F.col("award") == "contract", rules.FORM_CONTRACT).otherwise(rules.FORM_GRANT)
+    under = lambda limit: (F.size(orders) >= 2) & F.forall(orders, lambda x: x < limit) & (total >= limit)
+    found = rules.compact(F.when(under(F.lit(rules.BID)), "competitive_bid"), F.when((form != rules.BID) & under(form), "form"))
+    want = rows.select("i", F.when(F.size(found) > 0, found).when(F.coalesce("split_intent", F.lit(False)), F.array(F.lit("intent"))).otherwise(found).alias("f")).orderBy("i").collect()
+    out = rules.split_orders(rows)
+    assert [r.split_flags for r in out.orderBy("i").collect()] == [r.f for r in want] and {len(r.f) for r in want} == {0, 1, 2}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("lambdafunction") <= 2  # the total's own
