@@ -1,86 +1,208 @@
-"""Mentions of names in texts: whole-word aliases by one automaton, over owned ranges of sections, with their evidence.
+"""Mentions of names in texts: whole-word aliases by one table of hashes, over owned ranges of sections, with their evidence.
 
-Texts meet the aliases whose first two words they have, or whose only one; then one automaton over the aliases of a batch of texts reads each
-text once, whatever their number. It reads letters and digits alone, so that "BUS-43" is found in "bus 43"; what it finds
-counts if it begins and ends with words of the text and has breaks only where the alias has them.
+Aliases that are few enough, after they were counted, go to all tasks as one table, so that texts don't move; of more, each
+text meets those whose first two words it has, or whose only one. A stretch of texts is laid out as one array and looked up
+by the hashes of its words, then of two words of which the first begins an alias, and so on; what it finds is compared
+character by character. It reads letters and digits alone, so that "BUS-43" is found in "bus 43"; what it finds counts if it
+begins and ends with words of the text and has breaks only where the alias has them.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.structure import union_intervals
-from quire.scratch import saved, sized
+from quire.scratch import file_bytes, saved, sized
 
 WORD = r"[\p{L}\p{N}]+"
-TOKEN = re.compile(r"[^\W_]+")
-#: Aliases in one automaton; a batch of texts with more is read in parts.
-ALIASES = 200_000
-
-
-def lower(text: str) -> str:
-    """Lower case, each character for itself."""
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(y if len(y := c.lower()) == 1 else c for c in text)
-
-
-def found_in(text: str, automaton: ahocorasick.Automaton) -> list[tuple]:
-    """(target, alias, start, end) of the aliases in a text. The longest alias goes first, of equally long ones the one with the least target; none overlaps another's place."""
-    spans = [m.span() for m in TOKEN.finditer(text)]
-    flat = lower("".join(text[a:b] for a, b in spans))
-    first, last, at = {}, {}, 0
-    for k, (a, b) in enumerate(spans):
-        first[at] = k
-        at += b - a
-        last[at] = k
-    hits: dict[tuple, list[tuple[int, int]]] = {}
-    for end, (size, entries) in automaton.iter(flat):
-        i, j = first.get(end + 1 - size), last.get(end + 1)
-        if i is None or j is None or text[spans[i][0] - 1 : spans[i][0]] == "_" or text[spans[j][1] : spans[j][1] + 1] == "_":
-            continue
-        breaks, at = set(), 0
-        for a, b in spans[i:j]:
-            at += b - a
-            breaks.add(at)
-        for order, target, alias, cuts in entries:
-            if breaks <= cuts:
-                hits.setdefault((order, target, alias), []).append((i, j))
-    taken, out = bytearray(len(spans)), []
-    for (_, target, alias), places in sorted(hits.items()):
-        free = 0
-        for i, j in sorted(places):
-            if i < free:
+#: Aliases of one table, and bytes of their file, up to which all tasks get them; a batch of texts with more is read in parts.
+ALIASES, ALIAS_BYTES = 1_000_000, 48 << 20
+#: Characters of texts that are laid out at once.
+STRETCH = 1 << 18
+#: Fixed odd numbers: the base of hashes, and what mixes their bits.
+BASE, MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(MIX)
+    return x ^ (x >> np.uint64(29))
+
+
+@functools.cache
+def characters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each code point: whether it is a letter or digit; its lower case, each for itself; that one's number in hashes."""
+    every = range(0x110000)
+    low = np.fromiter((ord(y) if len(y := chr(c).lower()) == 1 else c for c in every), np.uint32, len(every))
+    return np.fromiter((chr(c).isalnum() for c in every), bool, len(every)), low, mixed((low.astype(np.uint64) + np.uint64(1)) * np.uint64(BASE))
+
+
+@functools.lru_cache(1)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE to the powers 0 to n, and their inverses, modulo 2**64."""
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)])) for b in (BASE, pow(BASE, -1, 1 << 64)))
+
+
+class Laid:
+    """Texts one after another: their words' places (a, b) in `whole` and (fa, fb) among the letters and digits alone, and which text each is of."""
+
+    def __init__(self, texts: list[str]):
+        letter, low, number = characters()
+        self.whole = "\n" + "\n".join(texts) + "\n"
+        self.points = np.frombuffer(self.whole.encode("utf-32-le"), np.uint32)
+        lettered = letter[self.points]
+        edges = np.flatnonzero(lettered[1:] != lettered[:-1]) + 1
+        self.a, self.b = edges[::2], edges[1::2]
+        self.begin = np.cumsum([1, *(len(t) + 1 for t in texts)])[:-1]
+        self.text = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(self.a, [*self.begin, len(self.whole)])))
+        self.flat = low[self.points[lettered]]
+        self.fb = np.cumsum(self.b - self.a)
+        self.fa = self.fb - (self.b - self.a)
+        up, self.down = powers(max(2 * STRETCH, 1 << len(self.flat).bit_length()))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(number[self.flat] * up[: len(self.flat)])])
+
+    def hashes(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Of the words from i to j, joined."""
+        return mixed((self.sums[self.fb[j]] - self.sums[self.fa[i]]) * self.down[self.fa[i]])
+
+
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1 and so on, count of them, for each."""
+    return np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
+
+
+class Names:
+    """Aliases by rank: the longest goes first, of equally long ones the one with the least target. Found by the hashes of their first words, joined."""
+
+    def __init__(self, pairs: set[tuple]):
+        ranked = sorted(pairs, key=lambda x: (-len(x[1]), x[0] is None, x[0] or 0, x[1]))
+        self.targets, self.aliases = pa.array([t for t, _ in ranked], pa.int64()), pa.array([x for _, x in ranked], pa.string())
+        laid = Laid([x for _, x in ranked])
+        bounds = np.searchsorted(laid.text, np.arange(len(ranked) + 1))
+        start = bounds[:-1][laid.text]  # of each word the first one of its alias
+        ends = np.arange(1, len(start) + 1) == bounds[1:][laid.text]
+        self.hashes, place = np.unique(laid.hashes(start, np.arange(len(start))), return_inverse=True)
+        self.longer = np.zeros(len(self.hashes), bool)
+        self.longer[place[~ends]] = True
+        by_hash = np.argsort(place[ends], kind="stable")
+        self.ranks = laid.text[ends][by_hash]
+        self.first = np.searchsorted(place[ends][by_hash], np.arange(len(self.hashes) + 1))
+        self.letters, self.at, self.size = laid.flat, np.zeros(len(ranked), np.int64), np.zeros(len(ranked), np.int64)
+        self.at[laid.text[ends]] = laid.fa[start[ends]]
+        self.size[laid.text[ends]] = laid.fb[ends] - laid.fa[start[ends]]
+        self.cuts = (laid.text[~ends] << 32) + laid.fb[~ends] - laid.fa[start[~ends]]
+        bits = max(1, len(self.hashes).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.slot = np.searchsorted(self.hashes >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of hashes in the table, -1 for those that aren't there."""
+        out = np.full(len(hashes), -1)
+        top = (hashes >> self.shift).astype(np.int64)
+        at, end = self.slot[top], self.slot[top + 1]
+        left = np.flatnonzero(at < end)
+        at, end, hashes = at[left], end[left], hashes[left]
+        while len(left):
+            same = self.hashes[at] == hashes
+            out[left[same]] = at[same]
+            go = ~same & (at + 1 < end)
+            left, at, end, hashes = left[go], at[go] + 1, end[go], hashes[go]
+        return out
+
+    def places(self, laid: Laid) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rank, i, j): aliases that stand from word i to word j, all of them."""
+        clear = laid.points != ord("_")
+        i, out = np.flatnonzero(clear[laid.a - 1]), []
+        for more in range(len(laid.a)):
+            at = self.known(laid.hashes(i, i + more))
+            i, at = i[at >= 0], at[at >= 0]
+            count = np.where(clear[laid.b[i + more]], self.first[at + 1] - self.first[at], 0)
+            out.append((self.ranks[spread(self.first[at], count)], k := np.repeat(i, count), k + more))
+            i = i[self.longer[at] & (i + more + 1 < len(laid.a))]
+            i = i[laid.text[i + more + 1] == laid.text[i]]
+            if not len(i):
+                break
+        return tuple(map(np.concatenate, zip(*map(lambda x: self.same(laid, *x), out), strict=True))) if out else (np.zeros(0, np.int64),) * 3
+
+    def same(self, laid: Laid, rank: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places whose hashes an alias has: those that have its letters and digits, and breaks only where it has them."""
+        good = self.size[rank] == laid.fb[j] - laid.fa[i]
+        size = np.where(good, self.size[rank], 0)
+        unlike = laid.flat[spread(laid.fa[i], size)] != self.letters[spread(self.at[rank], size)]
+        if unlike.any():
+            good[np.repeat(np.arange(len(size)), size)[unlike]] = False
+        for k in range(int((j - i).max(initial=0))):  # all have equally many words
+            key = (rank << 32) + laid.fb[i + k] - laid.fa[i]
+            at = np.minimum(np.searchsorted(self.cuts, key), len(self.cuts) - 1)
+            good &= self.cuts[at] == key if len(self.cuts) else False
+        return rank[good], i[good], j[good]
+
+    def chosen(self, texts: list[str]) -> tuple[Laid, np.ndarray, np.ndarray, np.ndarray]:
+        """The texts laid out, and (rank, i, j) of the aliases in them; none overlaps another's place, those of higher rank go first."""
+        laid = Laid(texts)
+        rank, i, j = self.places(laid)
+        order = np.argsort(i, kind="stable")
+        rank, i, j = rank[order], i[order], j[order]
+        starts = np.ones(len(i), bool)  # of groups that overlap
+        starts[1:] = i[1:] > np.maximum.accumulate(j)[:-1]
+        alone = starts & np.append(starts[1:], True)
+        shared = np.flatnonzero(~alone)
+        shared = shared[np.lexsort((i[shared], rank[shared]))]
+        taken, last, free = bytearray(len(laid.a)), -1, 0
+        for at, own, x, y in zip(shared.tolist(), rank[shared].tolist(), i[shared].tolist(), (j[shared] + 1).tolist(), strict=True):
+            if own == last and x < free:
                 continue
-            free = j + 1
-            if not any(taken[i : j + 1]):
-                taken[i : j + 1] = b"\1" * (j + 1 - i)
-                out.append((target, alias, spans[i][0], spans[j][1]))
-    return out
-
-
-def automaton_of(aliases: list[tuple]) -> ahocorasick.Automaton:
-    """The automaton of (target, alias) pairs: by the joined words, each alias with the places where its words end."""
-    entries: dict[str, list[tuple]] = {}
-    for target, alias in aliases:
-        cuts, joined = set(), ""
-        for word in TOKEN.findall(alias):
-            joined += lower(word)
-            cuts.add(len(joined))
-        entries.setdefault(joined, []).append((-len(alias), target, alias, frozenset(cuts)))
-    out = ahocorasick.Automaton()
-    for joined, own in entries.items():
-        out.add_word(joined, (len(joined), own))
-    out.make_automaton()
-    return out
+            last, free = own, y
+            if 1 not in taken[x:y]:
+                taken[x:y] = b"\1" * (y - x)
+                alone[at] = True
+        return laid, rank[alone], i[alone], j[alone]
+
+    def read(self, keys: pa.Array, texts: list[str | None]) -> Iterator[pa.RecordBatch]:
+        """What mentions() returns, for texts and their keys, a stretch at a time."""
+        upto = 0
+        while upto < len(texts):
+            at, size = upto, 0
+            while upto < len(texts) and (upto == at or size < STRETCH):
+                size += len(texts[upto] or "")
+                upto += 1
+            laid, rank, i, j = self.chosen([t or "" for t in texts[at:upto]])
+            own, a, b = laid.text[i], laid.a[i], laid.b[j]
+            quotes = pa.array([laid.whole[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.string())
+            places = [pa.array((x - laid.begin[own]).astype(np.int32)) for x in (a, b)]
+            if len(own):
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(own + at)), self.targets.take(pa.array(rank)), self.aliases.take(pa.array(rank)), *places, quotes], names=["key", "target", "alias", "start", "end", "quote"])
+
+
+def automaton_of(aliases: list[tuple]) -> Names:
+    """The table of (target, alias) pairs."""
+    return Names(set(aliases))
+
+
+def found_in(text: str, names: Names) -> list[tuple]:
+    """(target, alias, start, end) of the aliases in a text, from its beginning on."""
+    rows = (r for b in names.read(pa.array([0]), [text]) for r in b.to_pylist())
+    return [(r["target"], r["alias"], r["start"], r["end"]) for r in rows]
+
+
+def reading(names: Names) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts (key, text) read by one table of aliases."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from names.read(batch.column("key"), batch.column("text").to_pylist())
+
+    return run
 
 
 def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts (key, text, aliases) read by the aliases of their batch."""
     for batch in batches:
         texts = batch.column("text").to_pylist()
         wanted = [[(x["target"], x["alias"]) for x in own] for own in batch.column("aliases").to_pylist()]
@@ -90,13 +212,7 @@ def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while upto < len(texts) and len(some) < ALIASES:
                 some.update(wanted[upto])
                 upto += 1
-            machine = automaton_of(sorted(some))
-            rows = [(k, *hit) for k in range(at, upto) for hit in found_in(texts[k], machine)]
-            if rows:
-                k, target, alias, start, end = zip(*rows, strict=True)
-                quotes = pa.array([texts[i][a:b] for i, a, b in zip(k, start, end, strict=True)], pa.string())
-                made = [batch.column("key").take(pa.array(k)), pa.array(target, pa.int64()), pa.array(alias, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), quotes]
-                yield pa.RecordBatch.from_arrays(made, names=["key", "target", "alias", "start", "end", "quote"])
+            yield from automaton_of(list(some)).read(batch.column("key").slice(at, upto - at), texts[at:upto])
             at = upto
 
 
@@ -137,11 +253,16 @@ def mentions(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     longer one has the place, of equally long ones the one with the least target. Aliases without letters and digits and
     null texts give nothing. An alias in a batch that another text brought in is looked for in all of the batch's texts:
     whoever has it has its beginning, so nothing more is found. Texts meet aliases by hashes of beginnings; those that no
-    alias has go before anything moves.
+    alias has go before anything moves. Up to ALIASES of them, which are counted, are one table for all tasks, and no text moves.
     """
-    met = texts.select("key", "text").join(candidates(texts, aliases), "key").select("key", "text", "aliases")
     kind = texts.schema["key"].dataType.simpleString()
-    return met.mapInArrow(scanned, f"key {kind}, target long, alias string, start int, end int, quote string")
+    out = f"key {kind}, target long, alias string, start int, end int, quote string"
+    known = saved(aliases.select(F.col("target").cast("long").alias("target"), "alias").where("alias is not null").distinct())
+    if known.count() <= ALIASES and file_bytes(known) <= ALIAS_BYTES:
+        pairs = known.toArrow()
+        return texts.select("key", "text").mapInArrow(reading(automaton_of(list(zip(*(c.to_pylist() for c in pairs.columns), strict=True)))), out)
+    met = texts.select("key", "text").join(candidates(texts, known), "key").select("key", "text", "aliases")
+    return met.mapInArrow(scanned, out)
 
 
 #: Needles that a pass over the texts looks for, and characters of each that stand in the automaton.
@@ -194,8 +315,8 @@ def holding(texts: DataFrame, needles: DataFrame, most: int = NEEDLES) -> DataFr
 def owned_pieces(sections: DataFrame, chunks: DataFrame) -> DataFrame:
     """(section, owner, at, text): the parts of sections (section, owner, text) that their own chunks (section, start, end) cover, merged where these overlap or touch."""
     ranges = union_intervals(chunks.select(F.col("section").alias("key"), "start", "end")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))
-    cut = sections.join(ranges, sections["section"] == ranges["key"]).select("section", "owner", F.col("text").alias("whole"), F.explode("ranges").alias("r"))
-    return cut.select("section", "owner", F.col("r.start").alias("at"), F.expr("substring(whole, r.start + 1, r.end - r.start)").alias("text"))
+    pieces = F.transform("ranges", lambda r: F.struct(r["start"].alias("at"), F.substring("text", r["start"] + 1, r["end"] - r["start"]).alias("text")))
+    return sections.join(ranges.hint("shuffle_hash"), sections["section"] == ranges["key"]).select("section", "owner", F.explode(pieces).alias("p")).select("section", "owner", "p.*")
 
 
 def edge_id(*parts: str) -> Column:

@@ -183,8 +183,10 @@ def owned_sections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(length(text) - 1) div 300"))).alias("k")
     chunks = d.select("section", F.length("text").alias("n"), starts).where("(section + k) % 4 <> 0")
     chunks = chunks.select("section", (F.col("k") * 300).cast("int").alias("start"), F.least(F.col("k") * 300 + F.when(F.col("k") % 3 == 0, 340).otherwise(250), F.col("n")).cast("int").alias("end")).where("end > start")
-    w = d.where("owner % 7 = 0").select(F.col("owner").alias("target"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)).alias("w")).where("size(w) > 6 and w[3] <> w[4]")
-    names = w.select("target", F.explode(F.array(F.concat(F.col("w")[3], F.lit("-"), F.col("w")[4]), F.col("w")[6])).alias("alias"))
+    words = lambda text: F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0))
+    first = tx.let(words(F.left("text", F.lit(400))), lambda w: F.when(F.size(w) > 7, w).otherwise(words(F.col("text"))))  # the last word of a beginning may be cut
+    two = lambda w: F.when((F.size(w) > 6) & (w[3] != w[4]), F.array(F.concat(w[3], F.lit("-"), w[4]), w[6]))
+    names = d.where("owner % 7 = 0").select(F.col("owner").alias("target"), F.explode(tx.let(first, two)).alias("alias"))
     return d, chunks, names.groupBy("alias").agg(F.min("target").alias("target"))
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+import re
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quire import scratch
@@ -10,7 +14,7 @@ from quire.operators import engine, mentions, messages, rendering, rules
 from quire.operators import questions as qs
 from quire.operators import requests as rq
 from quire.operators import retrieval as rt
-from quire.plans import asked, purchases, worded
+from quire.plans import asked, purchases, records, worded
 from quire.plans import layout as layout_plan
 
 
@@ -44,6 +48,56 @@ def test_texts_meet_only_aliases_whose_beginning_they_have(spark, monkeypatch):
         assert found == {("one", 7, "common word7"), ("abc", 90, "abc"), ("a_bc", 90, "A, bc"), ("ab_c", 90, "ab c"), ("solo", 91, "Solo")}
 
 
+def test_few_aliases_are_one_table_and_texts_stay(spark, monkeypatch):
+    aliases = spark.createDataFrame([(k, f"common-word{k}") for k in range(50)] + [(7, "word"), (8, "word"), (3, "..."), (4, None)], "target long, alias string")
+    texts = spark.createDataFrame([(1, "a WORD of common word7; common_word8 commonword9, _word word"), (2, None), (3, "common, common word1word2")], "key long, text string")
+    want = {(1, 7, 2, 6), (1, 7, 10, 22), (1, 8, 24, 36), (1, 9, 37, 48), (1, 7, 56, 60)}
+    found = mentions.mentions(texts, aliases)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert {(r.key, r.target, r.start, r.end) for r in found.collect()} == want
+    monkeypatch.setattr(mentions, "ALIASES", 5)  # more aliases than one table has
+    many = mentions.mentions(texts, aliases)
+    assert "Join" in many._jdf.queryExecution().executedPlan().toString() and sorted(many.collect()) == sorted(found.collect())
+
+
+def test_names_are_compared_letter_by_letter(monkeypatch):
+    r, words = random.Random(3), ["a", "b", "ab", "A", "é", "É", "İ", "日", "1", "_", " ", " ", "-", "\n"]
+    some = lambda n: "".join(r.choice(words) for _ in range(r.randint(0, n)))
+    letters = lambda t: [[c.lower() if len(c.lower()) == 1 else c for c in w] for w in re.findall(r"[^\W_]+", t)]
+
+    def searched(text, aliases):
+        spans, own, taken, out = [m.span() for m in re.finditer(r"[^\W_]+", text)], letters(text), set(), []
+        for target, alias in sorted(aliases, key=lambda x: (-len(x[1]), *x)):
+            parts, free = letters(alias), 0
+            cuts = {sum(map(len, parts[: k + 1])) for k in range(len(parts))}
+            for i in range(len(own)):
+                for j in range(i + 1, len(own) + 1):
+                    breaks = {sum(map(len, own[i : k + 1])) for k in range(i, j)}
+                    edges = text[: spans[i][0]][-1:] + text[spans[j - 1][1] :][:1]
+                    if i >= free and sum(own[i:j], []) == sum(parts, []) and breaks <= cuts and "_" not in edges:
+                        free = j
+                        if not taken & {*range(i, j)}:
+                            taken |= {*range(i, j)}
+                            out.append((target, alias, spans[i][0], spans[j - 1][1]))
+        return sorted(out)
+
+    for n in range(300):
+        monkeypatch.setattr(mentions, "MIX", 0 if n % 3 == 2 else 0xBF58476D1CE4E5B9)  # with 0 all hashes are equal
+        monkeypatch.setattr(mentions, "STRETCH", (1, 30, 1 << 18)[n % 3])
+        aliases, texts = [(r.randint(1, 4), some(5)) for _ in range(r.randint(0, 9))], [some(30), None, some(30), some(9)]
+        rows = [x for b in mentions.automaton_of(aliases).read(pa.array(range(4)), texts) for x in b.to_pylist()]
+        assert all(texts[x["key"]][x["start"] : x["end"]] == x["quote"] for x in rows)
+        assert [sorted((x["target"], x["alias"], x["start"], x["end"]) for x in rows if x["key"] == k) for k in range(4)] == [searched(t or "", set(aliases)) for t in texts]
+
+
+def test_names_of_sections_come_from_their_first_words(spark, tmp_path):
+    texts = ["aaa bbb ccc ddd eee fff ggg hhh", "é " * 300 + "One Two Three Four Five Six Seven", "x" * 3 + " yy " * 130 + "abc def ghi jkl mno pqr stu", "aaa bbb ccc ddd eee fff", "aaa bbb ccc ddd ddd eee fff ggg", "日" * 390 + " aaa bbb ccc dddddd eee fff ggg"]
+    spark.createDataFrame([(7 * k, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    names = records.owned_sections(spark, str(tmp_path))[2]
+    assert {(r.alias, r.target) for r in names.collect()} == {("ddd-eee", 0), ("ggg", 0), ("four-five", 7), ("seven", 7), ("ghi-jkl", 14), ("pqr", 14), ("dddddd-eee", 35)}
+
+
 def test_patterns_are_looked_for_only_in_texts_with_their_stems(spark):
     patterns = {name: p for part in (qs, rq, rules) for name, p in vars(part).items() if name.isupper() and isinstance(p, str) and "(" in p and not name.startswith("CART")}
     patterns |= qs.TOPICS | qs.EXPOSURES | qs.PERMIT_NOTES | dict(rules.COVERED) | dict(rules.ADVISORY) | dict(rq.JUSTIFICATIONS) | {f"exception_{k}": p for k, p in rq.EXCEPTIONS}
