@@ -91,8 +91,8 @@ def windows(sized: DataFrame, size: int = 240, overlap: int = 40) -> DataFrame:
 
 
 def union_intervals(rows: DataFrame) -> DataFrame:
-    """(key, start, end) with overlapping and touching intervals merged."""
-    order = Window.partitionBy("key").orderBy("start", "end")
+    """(key, start, end) with overlapping and touching intervals merged; those without a start go into their key's last one, where it has one."""
+    order = Window.partitionBy("key").orderBy(F.col("start").asc_nulls_last(), F.col("end").asc_nulls_last())
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     flagged = rows.withColumn("new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
     group = flagged.withColumn("g", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
